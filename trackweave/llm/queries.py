@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trackweave.llm import fingerprints
+from trackweave.llm import fingerprints, mixing, packing, sharding, store, token_files, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +18,35 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_successor(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokens.path("byte_bpe_50k.json")))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    size = F.octet_length(F.coalesce("text", F.lit(""))) + 1
+    shuffled = sharding.two_pass_shuffle(docs, "doc_id", size)
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return shuffled.select("doc_id", size.cast("long").alias("size"), crc.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = store.new_path(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), path, tokens.path("word_bpe_49k.json"))
+    return token_files.read_documents(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op7_mixing": op7_mixing,
+    "op8_packing": op8_packing,
+    "op9_sharding": op9_sharding,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLES: dict[str, str] = {}
