@@ -1,7 +1,8 @@
 """Token-id files: fixed-size blocks of ids, transposed into byte planes, each plane compressed.
 
 A file is a Parquet container (uncompressed; the planes are) with one row per segment. A segment holds
-whole documents in file order: ``file`` and ``segment`` give its place, ``n_ids`` its ids, ``doc_id``
+whole documents in file order: ``file`` and ``segment`` give its place, ``first`` the ids of the file
+before it, ``n_ids`` its ids, ``doc_id``
 and ``doc_end`` (end offset of each document's ids in the segment) its documents, ``index`` the chunk
 index (byte offset of every plane of every block in ``planes``, and the end), ``planes`` the zstandard
 frames. Block b holds ids [b * BLOCK, (b + 1) * BLOCK); its planes are byte 0 (the low byte) of all its
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackweave.llm import store, tokens
@@ -30,8 +31,8 @@ BLOCK = 1 << 14
 SEGMENT = 1 << 18
 LEVEL = 3
 END = 1
-SCHEMA = "file int, segment int, n_ids bigint, doc_id array<bigint>, doc_end array<bigint>, index array<bigint>, planes binary"
-ARROW = pa.schema([("file", pa.int32()), ("segment", pa.int32()), ("n_ids", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("doc_end", pa.list_(pa.int64())), ("index", pa.list_(pa.int64())), ("planes", pa.binary())])
+SCHEMA = "file int, segment int, first bigint, n_ids bigint, doc_id array<bigint>, doc_end array<bigint>, index array<bigint>, planes binary"
+ARROW = pa.schema([("file", pa.int32()), ("segment", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("doc_end", pa.list_(pa.int64())), ("index", pa.list_(pa.int64())), ("planes", pa.binary())])
 
 
 def pack_planes(ids: np.ndarray, level: int = LEVEL) -> tuple[bytes, np.ndarray]:
@@ -65,11 +66,11 @@ def unpack_planes(planes: bytes, index: np.ndarray, n: int, first_block: int = 0
     return np.concatenate(out) if out else np.zeros(0, "<u4")
 
 
-def _segment(file: int, number: int, ids: list[np.ndarray], docs: list[int]) -> pa.RecordBatch:
+def _segment(file: int, number: int, first: int, ids: list[np.ndarray], docs: list[int]) -> pa.RecordBatch:
     flat = np.concatenate(ids)
     planes, index = pack_planes(flat)
     ends = np.cumsum([len(x) for x in ids])
-    return pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([number], pa.int32()), pa.array([len(flat)], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64())), pa.array([index], pa.list_(pa.int64())), pa.array([planes], pa.binary())], schema=ARROW)
+    return pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([number], pa.int32()), pa.array([first], pa.int64()), pa.array([len(flat)], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64())), pa.array([index], pa.list_(pa.int64())), pa.array([planes], pa.binary())], schema=ARROW)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
@@ -82,7 +83,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        file, number, held, names, size = TaskContext.get().partitionId(), 0, [], [], 0
+        file, number, first, held, names, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
         encode = tokens.encoder(tokenizer).encode
         for b in batches:
             ids, at = encode(b.column("text"))
@@ -91,10 +92,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
                 names.append(doc)
                 size += j - i + 1
                 if size >= SEGMENT:
-                    yield _segment(file, number, held, names)
-                    number, held, names, size = number + 1, [], [], 0
+                    yield _segment(file, number, first, held, names)
+                    number, first, held, names, size = number + 1, first + size, [], [], 0
         if held:
-            yield _segment(file, number, held, names)
+            yield _segment(file, number, first, held, names)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = own.repartitionByRange(store.partitions_for(docs), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
@@ -104,21 +105,16 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
 def segments(spark: SparkSession, path: str) -> DataFrame:
     """The segments of the files with ``start``: the ids of all segments before, over all files.
 
-    Only the counts are gathered for that: summed by file, then within each file.
+    The files' totals (one number a file, however many documents) go by the driver; no shuffle of planes.
     """
     rows = spark.read.schema(SCHEMA).parquet(path)
-    counts = rows.select("file", "segment", "n_ids")
-    files = counts.groupBy("file").agg(F.sum("n_ids").alias("ids"))
-    # one row a file, however many documents
-    totals = dict(files.collect())
+    totals = dict(rows.groupBy("file").agg(F.sum("n_ids")).collect())
     base, so_far = [], 0
     for f in sorted(totals):
         base.append((f, so_far))
         so_far += totals[f]
-    bases = spark.createDataFrame(base, "file int, base bigint")
-    before = F.sum("n_ids").over(Window.partitionBy("file").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1))
-    places = counts.join(bases, "file").select("file", "segment", (F.col("base") + F.coalesce(before, F.lit(0))).alias("start"))
-    return rows.join(places, ["file", "segment"])
+    bases = F.broadcast(spark.createDataFrame(base, "file int, base bigint"))
+    return rows.join(bases, "file").withColumn("start", F.col("base") + F.col("first"))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -19,9 +19,8 @@ import pyarrow as pa
 
 from trackweave.llm import text as tx
 
-#: Distinct units that a worker remembers; beyond that only those of the batch at hand are kept.
-#: Bounds memory, never results.
-REMEMBERED = 500_000
+#: Distinct units that a worker remembers before it starts afresh; bounds memory, never results.
+REMEMBERED = 1_500_000
 
 #: White space other than the ASCII kinds, and controls on which libraries disagree.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
@@ -67,6 +66,44 @@ def units(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+class Places:
+    """Positions of 64-bit hashes in order of arrival: an open-addressed table of flat arrays."""
+
+    def __init__(self, most: int):
+        size = 1 << max(10, (2 * most - 1).bit_length())
+        self.mask = np.uint64(size - 1)
+        self.keys = np.zeros(size, np.uint64)  # 0 is free
+        self.values = np.zeros(size, np.int32)
+        self.n = 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The position of every hash, -1 for unknown ones. Hashes are not 0."""
+        out = np.full(len(h), -1, np.int64)
+        left, slot = np.arange(len(h)), (h & self.mask).astype(np.int64)
+        while len(left):
+            there = self.keys[slot]
+            hit = there == h[left]
+            out[left[hit]] = self.values[slot[hit]]
+            on = ~hit & (there != 0)
+            left, slot = left[on], (slot[on] + 1) & int(self.mask)
+        return out
+
+    def add(self, h: np.ndarray) -> None:
+        """New, distinct hashes get the next positions in their order."""
+        value = np.arange(self.n, self.n + len(h), dtype=np.int32)
+        self.n += len(h)
+        left, slot = np.arange(len(h)), (h & self.mask).astype(np.int64)
+        while len(left):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            _, one = np.unique(slot[free], return_index=True)
+            won = free[one]
+            self.keys[slot[won]] = h[left[won]]
+            self.values[slot[won]] = value[left[won]]
+            on = np.ones(len(left), bool)
+            on[won] = False
+            left, slot = left[on], (slot[on] + 1) & int(self.mask)
+
+
 class Encoder:
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -80,9 +117,9 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[int, int] = {}
-        self.pool = np.zeros(0, self.width)
-        self.at = np.zeros(1, np.int64)
+        self.places = Places(REMEMBERED)
+        self.pool = np.zeros(1 << 16, self.width)
+        self.at = np.zeros(1 << 16, np.int64)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -110,19 +147,19 @@ class Encoder:
         if not len(start):
             return np.zeros(0, self.width), np.zeros(n, np.int64)
         end = np.append(start[1:], len(data))
-        codes, distinct = pd.factorize(tx.span_hashes(tx.prefix_hashes(data), start, end))
-        keys = distinct.tolist()
-        place = self.place
-        fresh = [k for k, h in enumerate(keys) if h not in place]
-        if len(place) + len(fresh) > REMEMBERED and place:
-            self._keep([h for h in keys if h in place])
-            place = self.place
-        if fresh:
-            first = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1))
+        codes, distinct = pd.factorize(tx.span_hashes(tx.prefix_hashes(data), start, end) | tx.U64(1))
+        where = self.places.find(distinct)
+        fresh = np.flatnonzero(where < 0)
+        if len(fresh):
+            if self.places.n and self.places.n + len(fresh) > REMEMBERED:
+                self._forget()
+                fresh = np.arange(len(distinct))
+            # codes count up in order of appearance
+            first = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1))[fresh]
             raw = data.tobytes()
-            texts = [raw[start[first[k]] : end[first[k]]].decode("utf-8", "replace") for k in fresh]
-            self._learn([keys[k] for k in fresh], texts)
-        where = np.fromiter(map(place.__getitem__, keys), np.int64, len(keys))[codes]
+            self._learn(distinct[fresh], [raw[i:j].decode("utf-8", "replace") for i, j in zip(start[first].tolist(), end[first].tolist(), strict=True)])
+            where = self.places.find(distinct)
+        where = where[codes]
         lengths = self.at[where + 1] - self.at[where]
         of_unit = np.cumsum(lengths) - lengths
         ids = self.pool[np.arange(lengths.sum()) + np.repeat(self.at[where] - of_unit, lengths)]
@@ -136,22 +173,28 @@ class Encoder:
             return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
         return ids, np.diff(total)
 
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        n = self.places.n
+        if n + len(hashes) > REMEMBERED:
+            self.places = Places(n + len(hashes))
+        self.places.add(hashes)
         found = []
         for i in range(0, len(texts), 4096):
             found += self.whole(texts[i : i + 4096])
-        n = len(self.at) - 1
-        self.place.update(zip(keys, range(n, n + len(keys)), strict=True))
-        self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(found), self.width)))
-        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum([len(f) for f in found])))
-
-    def _keep(self, keys: list[int]) -> None:
-        at = np.array([self.place[k] for k in keys], np.int64)
-        parts = [self.pool[self.at[a] : self.at[a + 1]] for a in at.tolist()]
-        self._forget()
-        self.place = dict(zip(keys, range(len(keys)), strict=True))
-        self.pool = np.concatenate([self.pool, *parts])
-        self.at = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
+        ends = self.at[n] + np.cumsum([len(f) for f in found])
+        self.at = _room(self.at, n + 1 + len(ends))
+        self.at[n + 1 : n + 1 + len(ends)] = ends
+        self.pool = _room(self.pool, int(ends[-1]))
+        self.pool[self.at[n] : ends[-1]] = np.fromiter(chain.from_iterable(found), self.width, int(ends[-1] - self.at[n]))
+
+
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    """The array, or a longer copy that has room for n."""
+    if n <= len(a):
+        return a
+    out = np.zeros(max(n, 3 * len(a) // 2), a.dtype)
+    out[: len(a)] = a
+    return out
 
 
 @lru_cache(maxsize=4)
