@@ -34,7 +34,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackweave.llm import components, store, tally
@@ -131,16 +131,17 @@ def _profiles(docs: DataFrame, words: int) -> DataFrame:
                 keys.append(set_key(u) if len(u) else None)
                 sizes.append(len(u))
                 maps.append(bitmap(u) if len(u) else None)
-            yield _row_batch(b.num_rows, doc_id=b.column("doc_id").cast(pa.int64()), n=pa.array(sizes, pa.int64()), key=pa.array(keys, pa.int64()), payload=pa.array(maps, pa.binary()))
+            yield _row_batch(b.num_rows, doc_id=b.column("doc_id"), text_hash=b.column("text_hash"), n=pa.array(sizes, pa.int64()), key=pa.array(keys, pa.int64()), payload=pa.array(maps, pa.binary()))
         parts = tally.slices(counts)
         if parts:
             yield _row_batch(len(parts), slice=pa.array([i for i, _ in parts], pa.int32()), payload=pa.array([p for _, p in parts], pa.binary()))
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, key bigint, slice int, payload binary")
+    rows = docs.withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, n bigint, key bigint, slice int, payload binary")
 
 
 def _row_batch(rows: int, **cols) -> pa.RecordBatch:
-    kinds = {"doc_id": pa.int64(), "n": pa.int64(), "key": pa.int64(), "slice": pa.int32(), "payload": pa.binary()}
+    kinds = {"doc_id": pa.int64(), "text_hash": pa.int64(), "n": pa.int64(), "key": pa.int64(), "slice": pa.int32(), "payload": pa.binary()}
     return pa.RecordBatch.from_arrays([cols.get(c, pa.nulls(rows, t)) for c, t in kinds.items()], list(kinds))
 
 
@@ -384,7 +385,11 @@ def _pair_batch(held: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row (see the module's text)."""
+    """doc_id, n_shingles, component_id of every row (see the module's text).
+
+    Also ``component``, a number of the component that exists without any doc_id (null for empty sets),
+    and ``text_hash``, which tells apart texts of equal doc_id.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = store.partitions_for(docs)
     profiles = store.written(_profiles(docs, words), "profiles")
@@ -416,6 +421,20 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     store.drop(scan)
     nodes = classes.select("key", "least").join(found.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     names = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = nodes.join(names, "component").select("key", "component_id")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "key").join(named, "key", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = nodes.join(names, "component").select("key", "component", "component_id")
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "key", "text_hash").join(named, "key", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component", "text_hash")
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+    """``docs`` with one document of each component: the one of least doc_id (nulls last). Empty sets stay."""
+    found = store.written(jaccard_components(docs, words, num, den).select("doc_id", "component", "text_hash"), "components")
+    place = F.row_number().over(Window.partitionBy("component").orderBy(F.col("doc_id").asc_nulls_last(), "text_hash"))
+    firsts = found.filter(F.col("component").isNotNull()).withColumn("place", place).filter("place = 1").drop("place")
+    kept = firsts.unionByName(found.filter(F.col("component").isNull()).distinct()).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("component").isNotNull().alias("_single"))
+    rows = docs.withColumn("_text", F.xxhash64(F.col("text").cast("string")))
+    joined = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")))
+    if not found.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
+        again = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(0)))
+        joined = joined.withColumn("_again", again).filter((F.col("_again") == 1) | ~F.col("_single"))
+    return joined.select(*(f"`{c}`" for c in docs.columns))

@@ -10,7 +10,8 @@ row in one pass without a shuffle.
 
 Defined results: null text scores as the empty text; a null id is never held out and never trained on;
 labels that are null are ignored and repeated ones count each; without labels of both kinds the score
-is the share of label 1 (0.5 without any); other columns pass by.
+is the share of label 1, and about 1 without any label, as nothing speaks against a text; other columns
+pass by.
 """
 
 from __future__ import annotations
@@ -140,7 +141,7 @@ class Forest:
 def train(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bins: int = BINS, rate: float = RATE) -> Forest:
     """Boosts ``trees`` trees on the logistic loss."""
     share = (y.sum() + 0.5) / (len(y) + 1)
-    prior = float(np.log(share / (1 - share)))
+    prior = float(np.log(share / (1 - share))) if len(y) else 20.0
     none = np.zeros(0, np.int64)
     if not len(y) or y.min() == y.max():
         return Forest(prior, none, none, np.zeros(0), none, none, np.zeros(0), 0)

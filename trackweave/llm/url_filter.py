@@ -3,9 +3,10 @@
 DataFrame operations only. A URL's path is first generalised by form (numbers become ``{n}``, long hex
 names ``{h}``), which turns a host's pages into few raw templates with counts. The tree over those is
 then generalised level by level: where a node has many children of few pages each, the segment is
-variable and all of them become ``*``; else children whose share of good labels doesn't differ from
-the node's by more than ``Z`` standard errors are merged into one ``*`` branch, and those that do stay
-on their own. A template is rejected when its share of good labels, smoothed towards the host's and
+variable and all of them become ``*``; else the children with a share of good labels under ``REJECT``,
+and the others (with those without labels), are pooled each; a child whose share doesn't differ from
+its pool's by more than ``Z`` standard errors is merged into one branch with its like (``*low`` or
+``*``), and one that does stays on its own. A template is rejected when its share of good labels, smoothed towards the host's and
 that towards the whole table's, is under ``REJECT``.
 
 Fixed rules come first: the longest rule that fits decides (equally long ones: the first given).
@@ -86,13 +87,16 @@ def generalise(raw: DataFrame) -> DataFrame:
         here = F.get("segments", F.lit(level)) if level < LEVELS - 1 else F.when(F.size("segments") >= LEVELS, F.array_join(F.slice("segments", LEVELS, 1 << 20), "/"))
         rows = rows.withColumn("here", here)
         kids = rows.filter(F.col("here").isNotNull()).groupBy("host", "template", "here").agg(*(F.sum(c).alias(c) for c in ("n", "seen", "good")))
-        node = kids.groupBy("host", "template").agg(F.count("*").alias("children"), *(F.sum(c).alias(f"all_{c}") for c in ("n", "seen", "good")))
+        kids = kids.withColumn("low", F.coalesce(F.col("good") / F.nullif(F.col("seen"), F.lit(0)) < REJECT, F.lit(False)))
+        node = kids.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("n").alias("all_n"))
+        side = kids.groupBy("host", "template", "low").agg(F.count("*").alias("alike"), F.sum("seen").alias("all_seen"), F.sum("good").alias("all_good"))
         share = (F.col("all_good") + 1) / (F.col("all_seen") + 2)
         variable = (F.col("children") > CHILDREN) & (F.col("all_n") < F.col("children") * PAGES)
         off = F.abs(F.col("good") / F.nullif(F.col("seen"), F.lit(0)) - share)
         similar = (F.col("seen") == 0) | (off * off * F.col("seen") <= Z * Z * share * (1 - share))
-        name = F.when(variable | ((F.col("children") > 1) & similar), F.lit("*")).otherwise(F.col("here"))
-        step = kids.join(node, ["host", "template"]).select("host", "template", "here", name.alias("step"))
+        merged = (F.col("alike") > 1) & similar
+        name = F.when(variable, F.lit("*")).when(merged & F.col("low"), F.lit("*low")).when(merged, F.lit("*")).otherwise(F.col("here"))
+        step = kids.join(node, ["host", "template"]).join(side, ["host", "template", "low"]).select("host", "template", "here", name.alias("step"))
         rows = rows.join(step, ["host", "template", "here"], "left").withColumn("template", F.when(F.col("step").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "step"))).drop("here", "step")
     return rows.drop("segments")
 
