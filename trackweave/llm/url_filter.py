@@ -80,7 +80,10 @@ def templates(pages: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def generalise(raw: DataFrame) -> DataFrame:
-    """``raw`` with the column ``template``: the branch of the host's tree that each raw template is in."""
+    """``raw`` with the column ``template``: the branch of the host's tree that each raw template is in.
+
+    Each level is a table of its own in the shared folder, which keeps the plans short.
+    """
     segments = F.split(F.expr("substr(raw, 2)"), "/")
     rows = raw.withColumn("segments", F.when(F.col("raw") == "", F.array().cast("array<string>")).otherwise(segments)).withColumn("template", F.lit(""))
     for level in range(LEVELS):
@@ -98,6 +101,7 @@ def generalise(raw: DataFrame) -> DataFrame:
         name = F.when(variable, F.lit("*")).when(merged & F.col("low"), F.lit("*low")).when(merged, F.lit("*")).otherwise(F.col("here"))
         step = kids.join(node, ["host", "template"]).join(side, ["host", "template", "low"]).select("host", "template", "here", name.alias("step"))
         rows = rows.join(step, ["host", "template", "here"], "left").withColumn("template", F.when(F.col("step").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "step"))).drop("here", "step")
+        rows = store.written(rows, "level")
     return rows.drop("segments")
 
 
