@@ -1,6 +1,412 @@
-"""The registered rail-network queries and their SQL counterparts."""
+"""The registered rail-network queries over the test tables, and their SQL counterparts.
+
+The tables hold no map data, so ids become pseudo-coordinates and ``events`` become tracks: a user is a
+way, its events in time are the way's nodes.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trackweave.functions import geo, text
+from trackweave.operators import filters, graph, lines, matching, track
+from trackweave.operators.rows import drop_consecutive, keep_first, keep_last
+from trackweave.sources import geojson
+
+BOX = (38.9, 116.9, 39.2, 117.3)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _lng(i: str) -> Column:
+    return F.lit(116.8) + F.pmod(F.col(i) * 7919, F.lit(1000)).cast("double") / F.lit(1000.0)
+
+
+def _lat(i: str) -> Column:
+    return F.lit(38.8) + F.pmod(F.col(i) * 104729, F.lit(600)).cast("double") / F.lit(1000.0)
+
+
+def _sql_lng(i: str) -> str:
+    return f"(116.8e0 + cast(({i} * 7919) % 1000 as double) / 1000e0)"
+
+
+def _sql_lat(i: str) -> str:
+    return f"(38.8e0 + cast(({i} * 104729) % 600 as double) / 1000e0)"
+
+
+def track_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """line_id, ts, event_id, k, lng, lat, event_type of every event."""
+    rows = table(spark, sf_dir, "events").withColumn("k", F.from_json("props", "k bigint")["k"])
+    return rows.select(F.col("user_id").alias("line_id"), "ts", "event_id", "k", "event_type", _lng("k").alias("lng"), _lat("k").alias("lat"))
+
+
+_EVENTS = f"""events_k as (
+    select user_id as line_id, ts, event_id, event_type, cast(json_extract(props, '$.k') as bigint) as k from events),
+  track_events as (select *, {_sql_lng("k")} as lng, {_sql_lat("k")} as lat from events_k)"""
+
+
+def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as tracks: one way a user."""
+    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "k", "lng", "lat")))
+    ways = track_events(spark, sf_dir).groupBy("line_id").agg(ordered.alias("p"), F.min("event_type").alias("kind"))
+    shaped = ways.select(
+        F.lit("map").alias("graph_id"), F.col("line_id").alias("way_pos"), F.col("line_id").alias("id"),
+        F.transform("p", lambda x: x["k"]).alias("nodes"), F.transform("p", lambda x: F.struct(x["lng"].alias("lng"), x["lat"].alias("lat"))).alias("geometry"),
+        F.create_map(F.lit("railway"), F.col("kind"), F.lit("name"), F.concat(F.lit("way "), F.col("line_id").cast("string"))).alias("tags"),
+    )
+    return filters.with_track_tags(shaped)
+
+
+def q_bbox_filter(spark, sf_dir):
+    spots = table(spark, sf_dir, "part").select("p_partkey", _lat("p_partkey").alias("lat"), _lng("p_partkey").alias("lng"))
+    return filters.stations_in_bbox(spots, BOX).select("p_partkey", F.round("lat", 3).alias("lat"), F.round("lng", 3).alias("lng"))
+
+
+def q_keep_first(spark, sf_dir):
+    return keep_first(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"), ["p_name"], ["p_partkey"])
+
+
+def q_drop_consecutive(spark, sf_dir):
+    return drop_consecutive(track_events(spark, sf_dir), ["line_id"], ["ts"], ["lng", "lat"]).select("line_id", "event_id", "k")
+
+
+def q_track_tags(spark, sf_dir):
+    sound = filters.sound_ways(tracks(spark, sf_dir))
+    return sound.select("id", "name", "railway", F.coalesce("service", F.lit("none")).alias("service"), F.size("nodes").alias("n_nodes"))
+
+
+def q_normalize_names(spark, sf_dir):
+    raw = F.concat(F.lit(" 地铁 "), F.col("p_name"), F.lit("："), F.col("p_brand"), F.lit("站　"))
+    ref = (F.col("p_partkey") % 20).cast("string")
+    rows = table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"), ref.alias("ref"))
+    return rows.select("p_partkey", text.list_name(F.col("raw")).alias("listed"), text.line_name(F.col("raw"), F.col("ref")).alias("line"), text.station_name(F.col("raw")).alias("station"))
+
+
+def _relations(spark, sf_dir) -> DataFrame:
+    """Orders as line relations."""
+    n = F.pmod(F.col("o_custkey"), F.lit(40))
+    silent = F.col("o_orderstatus") == "P"
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("pos"),
+        F.col("o_orderpriority").alias("network"),
+        F.when(n == 0, "").when(n == 7, "7E").otherwise(n.cast("string")).alias("ref"),
+        F.concat(F.lit("Line "), n.cast("string"), F.lit(":"), F.col("o_orderstatus")).alias("name"),
+        F.lit("subway").alias("route"),
+        F.when(silent, "").otherwise(F.col("o_orderstatus")).alias("from"),
+        F.when(silent, "").otherwise(F.year("o_orderdate").cast("string")).alias("to"),
+    )
+
+
+_RELATIONS = """relations as (
+    select o_orderkey as pos, o_orderpriority as network,
+      case o_custkey % 40 when 0 then '' when 7 then '7E' else cast(o_custkey % 40 as varchar) end as ref,
+      'Line ' || (o_custkey % 40) || ':' || o_orderstatus as name, 'subway' as route,
+      case when o_orderstatus = 'P' then '' else o_orderstatus end as "from",
+      case when o_orderstatus = 'P' then '' else cast(year(o_orderdate) as varchar) end as "to"
+    from orders)"""
+
+
+def q_line_listing(spark, sf_dir):
+    from pyspark.sql import Window
+
+    listed = lines.listed_lines(_relations(spark, sf_dir))
+    return listed.select("line_id", "ref", "name", "network", "directions", "first_pos", F.row_number().over(Window.partitionBy("network").orderBy(*lines.listing_order())).alias("place"))
+
+
+def q_last_relation(spark, sf_dir):
+    last = keep_last(_relations(spark, sf_dir), ["network"], ["pos"])
+    return last.select("network", "pos", text.line_name(F.col("name"), F.col("ref")).alias("name"))
+
+
+def _stops(spark, sf_dir) -> DataFrame:
+    """Suppliers as stations among the orders' relations."""
+    key = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(F.lit("d").alias("doc_id"), (key * 7).alias("elem_pos"), F.concat(F.lit("Stop "), F.pmod(key, F.lit(30)).cast("string")).alias("name"), (F.lit(38.8) + F.pmod(key, F.lit(30)).cast("double") / 100).alias("lat"), (F.lit(116.8) + F.pmod(key, F.lit(2)).cast("double") / 10).alias("lng"))
+
+
+def q_station_attach(spark, sf_dir):
+    rows = _relations(spark, sf_dir)
+    seen = rows.groupBy("network", "ref").agg(F.min("pos").alias("first_pos"), F.count("*").alias("relations")).withColumn("doc_id", F.lit("d"))
+    attached = keep_first(lines.attach_stations(seen, _stops(spark, sf_dir), ["network", "ref"]), ["network", "ref", "name", "lat", "lng"], ["elem_pos"])
+    return attached.groupBy("network", "ref").agg(F.count("*").alias("n_stations"), F.sum("elem_pos").alias("pos_sum"), F.min("name").alias("first_name"))
+
+
+def q_member_join(spark, sf_dir):
+    members = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("relation"), F.struct(F.lit("node").alias("type"), F.col("l_partkey").alias("ref"), F.when(F.col("l_returnflag") == "N", "stop").when(F.col("l_returnflag") == "R", "").otherwise("guide").alias("role")).alias("member"))
+    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_size")
+    stops = members.filter(filters.is_stop_member()).select("relation", F.col("member.ref").alias("id")).join(nodes, "id")
+    return stops.groupBy("relation").agg(F.count("*").alias("n_stops"), F.sum("p_size").alias("size_sum"), F.min("p_name").alias("first_name"))
+
+
+def _official(spark, sf_dir) -> DataFrame:
+    names = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("sequence"))
+    odd = F.when(F.col("sequence") % 3 == 0, F.concat(F.lit("No"), F.col("p_brand"))).otherwise(F.concat(F.col("p_brand"), F.lit("站")))
+    return names.select(F.lit("c").alias("city"), F.lit("l").alias("line"), F.col("sequence").cast("int").alias("sequence"), odd.alias("station"))
+
+
+def _candidates(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "part").filter("p_partkey % 5 <> 0")
+    return rows.select(F.col("p_partkey").alias("cand_pos"), F.concat(F.lit("地铁"), F.substring("p_brand", 1, 7)).alias("name"), _lat("p_partkey").alias("lat"), _lng("p_partkey").alias("lng"))
+
+
+_MATCH = f"""names as (
+    select p_brand, min(p_partkey) as sequence from part group by p_brand),
+  official as (
+    select sequence, case when sequence % 3 = 0 then 'No' || p_brand else p_brand || '站' end as station from names),
+  normal as (select *, regexp_replace(station, '站$', '') as a from official),
+  cands as (
+    select p_partkey as cand_pos, substr(p_brand, 1, 7) as b, {_sql_lat("p_partkey")} as lat, {_sql_lng("p_partkey")} as lng
+    from part where p_partkey % 5 <> 0),
+  scored as (
+    select n.sequence, n.station, c.cand_pos, c.b, c.lat, c.lng, case when a = b then 100 else 80 end as score
+    from normal n join cands c on a = b or contains(a, b) or contains(b, a)),
+  best as (select * from scored qualify row_number() over (partition by sequence order by score desc, cand_pos) = 1)"""
+
+
+def q_fuzzy_match(spark, sf_dir):
+    found = matching.line_stations(_official(spark, sf_dir), _candidates(spark, sf_dir))
+    return found.select("sequence", "official_name", "osm_name", "score", F.round("lat", 3).alias("lat"))
+
+
+def _overrides(spark, sf_dir) -> DataFrame:
+    rows = _official(spark, sf_dir).filter("sequence % 2 = 0")
+    return rows.select("city", "line", "station", F.lit(1.5).alias("lat"), F.lit(2.5).alias("lng"))
+
+
+def q_match_override(spark, sf_dir):
+    rows = matching.route_stations(_official(spark, sf_dir), _candidates(spark, sf_dir), _overrides(spark, sf_dir))
+    return rows.select("sequence", "name", F.round("lat", 3).alias("lat"), F.round("lng", 3).alias("lng"), "origin")
+
+
+def q_unmatched(spark, sf_dir):
+    roster = _official(spark, sf_dir)
+    few = _candidates(spark, sf_dir).filter("cand_pos % 7 = 1 AND name LIKE '%1'")
+    return matching.unmatched(roster, matching.line_stations(roster, few)).select("sequence", "station")
+
+
+def q_edges(spark, sf_dir):
+    return graph.edges(tracks(spark, sf_dir)).select("src", "dst", "way", F.round("distance", 2).alias("distance"))
+
+
+def q_nearest_node(spark, sf_dir):
+    spots = table(spark, sf_dir, "supplier").select(F.lit("map").alias("graph_id"), "s_suppkey", (_lng("s_suppkey") + 0.0004).alias("lng"), (_lat("s_suppkey") + 0.0003).alias("lat"))
+    return graph.nearest_vertices(spots, graph.vertices(tracks(spark, sf_dir)), ["s_suppkey"]).select("s_suppkey", "node")
+
+
+def _sampled_line(spark, sf_dir) -> DataFrame:
+    return track_events(spark, sf_dir).withColumn("pt_pos", F.col("event_id"))
+
+
+def q_station_order(spark, sf_dir):
+    points = _sampled_line(spark, sf_dir).filter("line_id < 20")
+    stations = table(spark, sf_dir, "nation").select((F.col("n_nationkey") % 20).cast("long").alias("line_id"), F.col("n_nationkey").alias("pos"), "n_name", (_lng("n_nationkey") + 0.0004).alias("lng"), (_lat("n_nationkey") + 0.0003).alias("lat"))
+    return lines.station_order(stations, points).select("line_id", "n_name", "idx", "place")
+
+
+def q_length(spark, sf_dir):
+    return lines.lengths(_sampled_line(spark, sf_dir), pos="ts").select("line_id", F.round("length", 2).alias("length"))
+
+
+def q_cum_distance(spark, sf_dir):
+    return lines.stamped(_sampled_line(spark, sf_dir), pos="ts").select("line_id", "event_id", F.round("distance", 1).alias("distance"))
+
+
+def q_interchange(spark, sf_dir):
+    uses = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("station_id"), F.col("l_suppkey").alias("line_id"))
+    return lines.interchanges(uses)
+
+
+def _whole_edges(spark, sf_dir) -> DataFrame:
+    """The tracks' edges with whole metres, so that sums are exact."""
+    return graph.edges(tracks(spark, sf_dir)).select("src", "dst", F.round("distance").cast("long").alias("distance"))
+
+
+def q_shortest_path(spark, sf_dir):
+    seeds = spark.range(0, 5).select(F.col("id").alias("seed"))
+    return graph.distances(_whole_edges(spark, sf_dir), seeds).select("seed", "node", "d")
+
+
+def q_route(spark, sf_dir):
+    own = tracks(spark, sf_dir)
+    stops = table(spark, sf_dir, "nation").select(F.lit("map").alias("graph_id"), F.col("n_regionkey").alias("line_id"), F.col("n_nationkey").alias("sequence"), _lng("n_nationkey").alias("lng"), _lat("n_nationkey").alias("lat"))
+    walked = graph.route(stops, graph.vertices(own), graph.edges(own))
+    return lines.stamped(walked).select("line_id", "pt_pos", "node", "distance")
+
+
+def _planar(spark, sf_dir) -> DataFrame:
+    """Lines on a plane with whole coordinates."""
+    rows = track_events(spark, sf_dir)
+    return rows.select("line_id", F.col("event_id").alias("pt_pos"), F.pmod(F.col("k") * 37, F.lit(100)).cast("double").alias("x"), F.pmod(F.col("k") * 59, F.lit(100)).cast("double").alias("y"))
+
+
+_LEGS = """pts as (
+    select line_id, event_id as pt_pos, cast((k * 37) % 100 as double) as x, cast((k * 59) % 100 as double) as y from track_events),
+  nexts as (
+    select *, lead(x) over w as x2, lead(y) over w as y2 from pts window w as (partition by line_id order by pt_pos)),
+  sized as (select *, sqrt((x - x2) * (x - x2) + (y - y2) * (y - y2)) as length from nexts where x2 is not null),
+  legs as (
+    select *, coalesce(sum(length) over (partition by line_id order by pt_pos rows between unbounded preceding and 1 preceding), 0e0) as cum
+    from sized)"""
+
+
+def q_project(spark, sf_dir):
+    legs = track.legs(_planar(spark, sf_dir))
+    spots = table(spark, sf_dir, "nation").crossJoin(F.broadcast(legs.select("line_id").distinct().filter("line_id < 10"))).select("line_id", "n_nationkey", (F.col("n_nationkey") * 4 + 0.25).cast("double").alias("px"), (F.col("n_nationkey") * 3 + 0.5).cast("double").alias("py"))
+    return track.referenced(spots, legs, ["n_nationkey"]).select("line_id", "n_nationkey", F.round("off", 3).alias("off_line"))
+
+
+def q_resample(spark, sf_dir):
+    legs = track.legs(_planar(spark, sf_dir))
+    ends = legs.groupBy("line_id").agg(F.max(F.col("cum") + F.col("length")).alias("total"))
+    ranges = ends.select("line_id", F.lit(10.5).alias("low"), F.floor("total").cast("double").alias("high"), (F.col("line_id") % 2 == 1).alias("reversed"))
+    return track.samples(ranges, legs, 400.0).select("line_id", "i", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
+
+
+def q_utm(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", (_lng("p_partkey") + 4).alias("lng"), _lat("p_partkey").alias("lat"))
+    back = track.from_utm(track.to_utm(rows).drop("lng", "lat"))
+    return back.select("p_partkey", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), F.round("lng", 6).alias("lng"), F.round("lat", 6).alias("lat"))
+
+
+def q_geojson(spark, sf_dir):
+    stops = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("line_id"), F.concat(F.lit("Region "), F.col("n_regionkey").cast("string")).alias("line"), F.col("n_nationkey").alias("pos"), F.col("n_name").alias("name"), F.round(_lng("n_nationkey"), 3).alias("lng"), F.round(_lat("n_nationkey"), 3).alias("lat"))
+    made = geojson.collections(stops)
+    parsed = made.select("line_id", F.posexplode(F.from_json("geojson", geojson.FEATURES)["features"]).alias("i", "f"))
+    return parsed.select("line_id", "i", F.get_json_object("f.geometry", "$.type").alias("kind"), F.col("f.properties")["name"].alias("name"), F.col("f.properties")["line"].alias("line"), F.get(F.from_json(F.get_json_object("f.geometry", "$.coordinates"), "array<double>"), F.lit(0)).alias("lng"))
+
+
+QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q_")}
+
+
+# -- the same in SQL
+
+_STRIP = lambda x: f"regexp_replace({x}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+_STEP = f"sqrt(pow({geo.RADIUS} * radians(lng) - {geo.RADIUS} * radians(l_lng), 2) + pow({geo.RADIUS} * ln(tan(pi() / 4 + radians(lat) / 2)) - {geo.RADIUS} * ln(tan(pi() / 4 + radians(l_lat) / 2)), 2))"
+_STEPS = f"""moved as (
+    select *, lag(lng) over w as l_lng, lag(lat) over w as l_lat from track_events window w as (partition by line_id order by ts)),
+  steps as (select *, coalesce({_STEP}, 0e0) as step from moved)"""
+_EDGES = f"""paired as (
+    select line_id, ts, event_id, k as a, lng, lat, lead(k) over w as b, lead(lng) over w as l_lng, lead(lat) over w as l_lat
+    from track_events window w as (partition by line_id order by ts, event_id)),
+  steps as (select *, {_STEP} as metres from paired where b is not null),
+  both_ways as (
+    select a as src, b as dst, line_id as way, metres as distance, ts, 0 as back from steps
+    union all select b, a, line_id, metres, ts, 1 from steps),
+  edges as (select * from both_ways qualify row_number() over (partition by src, dst, way order by ts, back) = 1)"""
+
+
+def _staged(stages: list[dict[str, str]], source: str, name: str) -> str:
+    parts, last = [], source
+    for i, stage in enumerate(stages):
+        columns = ", ".join(f"{e} as {c}" for c, e in stage.items())
+        parts.append(f"{name}{i} as (select *, {columns} from {last})")
+        last = f"{name}{i}"
+    return ",\n  ".join(parts)
+
+
+ORACLES = {
+    "q_bbox_filter": f"""with spots as (select p_partkey, {_sql_lat("p_partkey")} as lat, {_sql_lng("p_partkey")} as lng from part)
+select p_partkey, round(lat, 3) as lat, round(lng, 3) as lng from spots where lat between 38.9e0 and 39.2e0 and lng between 116.9e0 and 117.3e0""",
+    "q_keep_first": "select p_partkey, p_name, p_brand from part qualify row_number() over (partition by p_name order by p_partkey) = 1",
+    "q_drop_consecutive": f"""with {_EVENTS},
+  marked as (select *, row_number() over w as r, lag(lng) over w as l_lng, lag(lat) over w as l_lat from track_events window w as (partition by line_id order by ts))
+select line_id, event_id, k from marked where r = 1 or l_lng is distinct from lng or l_lat is distinct from lat""",
+    "q_track_tags": f"""with {_EVENTS}
+select line_id as id, 'way ' || line_id as name, min(event_type) as railway, 'none' as service, cast(count(*) as integer) as n_nodes
+from track_events group by line_id having count(*) >= 2""",
+    "q_normalize_names": f"""with rows_ as (
+    select p_partkey, ' 地铁 ' || p_name || '：' || p_brand || '站　' as raw, cast(p_partkey % 20 as varchar) as ref from part)
+select p_partkey, {_STRIP("replace(split_part(" + _STRIP("replace(raw, '：', ':')") + ", ':', 1), ' ', '')")} as listed,
+  case when ref in ('1', '1E') then '{text.LINE_ONE}' else {_STRIP("replace(raw, '地铁 ', '地铁')")} end as line,
+  regexp_replace({_STRIP("replace(replace(replace(replace(raw, '地铁', ''), '轨道交通', ''), '车站', ''), '站点', '')")}, '站$', '') as station
+from rows_""",
+    "q_line_listing": f"""with {_RELATIONS},
+  keyed as (
+    select *, replace(split_part(name, ':', 1), ' ', '') as listed, case when network <> '' and ref <> '' then ref else replace(split_part(name, ':', 1), ' ', '') end as part from relations),
+  found as (
+    select network, arg_min(ref, pos) as ref, arg_min(listed, pos) as name, min(pos) as first_pos,
+      greatest(count(distinct case when "from" <> '' or "to" <> '' then "from" || '|' || "to" end), 1) as directions
+    from keyed group by network, part)
+select network || '_' || case when ref <> '' then ref else name end as line_id, ref, name, network, directions, first_pos,
+  row_number() over (partition by network order by case when regexp_matches(ref, '^[0-9]+$') then 0 else 1 end, try_cast(ref as bigint), ref, first_pos) as place
+from found""",
+    "q_last_relation": f"""with {_RELATIONS}
+select network, pos, case when ref in ('1', '1E') then '{text.LINE_ONE}' else name end as name from relations
+qualify row_number() over (partition by network order by pos desc) = 1""",
+    "q_station_attach": f"""with {_RELATIONS},
+  seen as (select network, ref, min(pos) as first_pos from relations group by network, ref),
+  stops as (
+    select s_suppkey * 7 as elem_pos, 'Stop ' || (s_suppkey % 30) as name, s_suppkey % 30 as y, s_suppkey % 2 as x from supplier),
+  attached as (
+    select network, ref, elem_pos, name from seen join stops on elem_pos > first_pos
+    qualify row_number() over (partition by network, ref, name, y, x order by elem_pos) = 1)
+select network, ref, count(*) as n_stations, cast(sum(elem_pos) as bigint) as pos_sum, min(name) as first_name from attached group by network, ref""",
+    "q_member_join": """select l_orderkey as relation, count(*) as n_stops, cast(sum(p_size) as bigint) as size_sum, min(p_name) as first_name
+from lineitem join part on l_partkey = p_partkey where l_returnflag in ('N', 'R') group by l_orderkey""",
+    "q_fuzzy_match": f"with {_MATCH} select cast(sequence as integer) as sequence, station as official_name, '地铁' || b as osm_name, score, round(lat, 3) as lat from best",
+    "q_match_override": f"""with {_MATCH},
+  again as (
+    select n.sequence, n.station, s.lat, s.lng, case when n.a = s.b then 100 else 80 end as score, s.sequence as pos
+    from normal n join best s on n.a = s.b or contains(n.a, s.b) or contains(s.b, n.a)
+    qualify row_number() over (partition by n.sequence order by score desc, pos) = 1)
+select cast(o.sequence as integer) as sequence, o.station as name, round(coalesce(g.lat, case when o.sequence % 2 = 0 then 1.5e0 end), 3) as lat,
+  round(coalesce(g.lng, case when o.sequence % 2 = 0 then 2.5e0 end), 3) as lng, case when g.lat is not null then 'map' else 'override' end as origin
+from official o left join again g on o.sequence = g.sequence where g.lat is not null or o.sequence % 2 = 0""",
+    "q_unmatched": f"""with {_MATCH}
+select cast(sequence as integer) as sequence, station from normal n
+where not exists (select 1 from cands where cand_pos % 7 = 1 and b like '%1' and (contains(a, b) or contains(b, a)))""",
+    "q_edges": f"with {_EVENTS}, {_EDGES} select src, dst, way, round(distance, 2) as distance from edges",
+    "q_nearest_node": f"""with {_EVENTS},
+  verts as (select k as node, lng, lat, line_id, ts from track_events qualify row_number() over (partition by k order by line_id, ts) = 1),
+  spots as (select s_suppkey, {_sql_lng("s_suppkey")} + 0.0004e0 as x, {_sql_lat("s_suppkey")} + 0.0003e0 as y from supplier)
+select s_suppkey, node from spots cross join verts
+qualify row_number() over (partition by s_suppkey order by sqrt((x - lng) * (x - lng) + (y - lat) * (y - lat)), line_id, ts) = 1""",
+    "q_station_order": f"""with {_EVENTS},
+  stations as (
+    select n_nationkey % 20 as line_id, n_nationkey as pos, n_name, {_sql_lng("cast(n_nationkey as bigint)")} + 0.0004e0 as x, {_sql_lat("cast(n_nationkey as bigint)")} + 0.0003e0 as y from nation),
+  best as (
+    select s.line_id, s.pos, s.n_name, e.event_id as idx from stations s left join track_events e on e.line_id = s.line_id
+    qualify row_number() over (partition by s.pos order by sqrt((x - lng) * (x - lng) + (y - lat) * (y - lat)), event_id) = 1)
+select cast(line_id as bigint) as line_id, n_name, coalesce(idx, 0) as idx, row_number() over (partition by line_id order by coalesce(idx, 0), pos) as place from best""",
+    "q_length": f"with {_EVENTS}, {_STEPS} select line_id, round(sum(step), 2) as length from steps group by line_id",
+    "q_cum_distance": f"""with {_EVENTS}, {_STEPS}
+select line_id, event_id, round(round(sum(step) over (partition by line_id order by ts rows unbounded preceding), 2), 1) as distance from steps""",
+    "q_interchange": "select l_partkey as station_id, count(distinct l_suppkey) > 1 as interchange from lineitem group by l_partkey",
+    "q_shortest_path": f"""with recursive {_EVENTS}, {_EDGES},
+  light as (select src, dst, min(cast(round(distance) as bigint)) as w from edges group by src, dst),
+  walk as (
+    select s as seed, s as node, cast(0 as bigint) as d, 0 as hops from range(5) t(s)
+    union
+    select walk.seed, dst, min(walk.d + w), walk.hops + 1 from walk join light on walk.node = src where hops < 12 group by walk.seed, dst, walk.hops)
+select seed, node, min(d) as d from walk group by seed, node""",
+    "q_project": f"""with {_EVENTS}, {_LEGS},
+  spots as (select l as line_id, n_nationkey, n_nationkey * 4 + 0.25e0 as px, n_nationkey * 3 + 0.5e0 as py from nation, (select distinct line_id as l from legs where line_id < 10)),
+  shares as (
+    select s.line_id, n_nationkey, px, py, x, y, x2, y2,
+      case when (x2 - x) * (x2 - x) + (y2 - y) * (y2 - y) = 0 then 0e0
+        else greatest(0e0, least(1e0, ((px - x) * (x2 - x) + (py - y) * (y2 - y)) / ((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)))) end as t
+    from spots s join legs on s.line_id = legs.line_id)
+select line_id, n_nationkey, round(min(sqrt(pow(px - (x + (x2 - x) * t), 2) + pow(py - (y + (y2 - y) * t), 2))), 3) as off_line
+from shares group by line_id, n_nationkey""",
+    "q_resample": f"""with {_EVENTS}, {_LEGS},
+  ranges as (
+    select line_id, 10.5e0 as low, floor(max(cum + length)) as high, line_id % 2 = 1 as turned, max(pt_pos) as last_pos from legs group by line_id),
+  counted as (select *, cast(floor((high - low) / 400) as bigint) as steps from ranges where high >= low),
+  grid as (
+    select line_id, turned, steps + 2 as n, k, low + k * 400e0 as along, last_pos from counted, range(0, 1000) r(k) where k <= steps
+    union all select line_id, turned, steps + 2, steps + 1, high, last_pos from counted),
+  met as (
+    select g.*, x, y, x2, y2, case when length > 0 then least(1e0, (along - cum) / length) else 0e0 end as t
+    from grid g join legs l on l.line_id = g.line_id and along >= cum and (along < cum + length or pt_pos = last_pos))
+select line_id, cast(case when turned then n - k else k + 1 end as bigint) as i, round(x + (x2 - x) * t, 2) as x, round(y + (y2 - y) * t, 2) as y from met""",
+    "q_utm": f"""with spots as (select p_partkey, {_sql_lng("p_partkey")} + 4 as lng, {_sql_lat("p_partkey")} as lat from part),
+  {_staged(geo.utm_stages(), "spots", "u_")},
+  flat as (select p_partkey, x, y from u_2),
+  {_staged(geo.inverse_utm_stages(), "flat", "v_")}
+select p_partkey, round(x, 2) as x, round(y, 2) as y, round(lng, 6) as lng, round(lat, 6) as lat from v_3""",
+    "q_geojson": f"""select n_regionkey as line_id, cast(row_number() over (partition by n_regionkey order by n_nationkey) - 1 as integer) as i, 'Point' as kind,
+  n_name as name, 'Region ' || n_regionkey as line, round({_sql_lng("cast(n_nationkey as bigint)")}, 3) as lng from nation""",
+}
