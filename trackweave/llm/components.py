@@ -21,10 +21,10 @@ def components(links: DataFrame) -> DataFrame:
     only comes out as its own component.
     """
     pairs = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).dropna()
-    edges = store.written(_turned(pairs).distinct(), "edges")
+    edges = store.written(_turned(pairs).distinct(), "edges", few=True)
     before = None
     while True:
-        after = store.written(_small_star(_large_star(edges)), "edges")
+        after = store.written(_small_star(_large_star(edges)), "edges", few=True)
         store.drop(edges)
         now = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         edges = after

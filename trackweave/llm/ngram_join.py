@@ -8,7 +8,8 @@ overlap by it for certain, and in a subset's group a link to its smallest member
 
 *Heavy* sets: inverted lists over prefixes. In a common order of shingles (rare ones first) a linked
 pair shares one of either's first ``n - ceil(num/den * n) + 1``. The lists are scanned as sorted
-streams; each member is checked against the list's first member of fitting size, and where a list then
+streams; each member is checked against the list's first member of fitting size and against ``DRAWN``
+members drawn by hash, and where a list then
 still spans several components, its members of different components are compared by parity bitmaps
 (which bound the symmetric difference from below, so they never lose a link) in blocks. What passes is
 checked on the whole texts. No list is ever expanded into all pairs.
@@ -48,6 +49,8 @@ COUNT_BUCKETS, NEEDED_BITS = 1 << 22, 1 << 23
 ENTRY_COST = 16.0
 #: Rows of a list compared as one block.
 BLOCK = 512
+#: Members drawn from a list of three or more, that all others are checked against.
+DRAWN = 3
 #: Rows of one list that a scan holds before it hands on what it has.
 SCAN_ROWS = 50_000
 BITMAP, MOST_BITMAP = 1_024, 1 << 16
@@ -260,18 +263,30 @@ def _lists(cols: list[np.ndarray], carry, num: int, den: int, goes_on: bool):
             if num * n[i] > den * c_n:
                 c_n, c_node = n[i], node[i]
             first_n[i], first_node[i] = c_n, c_node
+    # besides the list's first member, a few drawn by hash, so that one outlier doesn't leave a list open
+    drawn = []
+    for k in range(DRAWN):
+        h = tx.mix64(node.view(np.uint64) ^ tx.U64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1))
+        order = np.lexsort((h, run_no))
+        of_run = order[np.searchsorted(run_no[order], np.arange(run_no[-1] + 1))]
+        d_node, d_n = node[of_run], n[of_run]
+        if continued:
+            d_node[0], d_n[0] = carry[5][k]
+        drawn.append((d_node, d_n))
     pair = fresh & (node != first_node)
     linked = pair & (overlap > 0) & (den * overlap >= num * (n + first_n - overlap))
-    check = pair & (overlap == 0) & (num * np.maximum(n, first_n) <= den * np.minimum(n, first_n))
     listed = fresh & (overlap == 0) & (members > 2)
-    out = []
-    for kind, mask in ((0, check), (1, linked)):
-        if mask.any():
-            ab = np.unique(np.column_stack((np.minimum(node[mask], first_node[mask]), np.maximum(node[mask], first_node[mask]))), axis=0)
+    out, stars = [], []
+    for c_node, c_n, some in [(first_node, first_n, pair & (overlap == 0)), *((d_node[run_no], d_n[run_no], listed) for d_node, d_n in drawn)]:
+        check = some & (node != c_node) & (num * np.maximum(n, c_n) <= den * np.minimum(n, c_n))
+        stars.append(np.column_stack((np.minimum(node[check], c_node[check]), np.maximum(node[check], c_node[check]))))
+    for kind, ab in ((0, np.concatenate(stars)), (1, np.column_stack((np.minimum(node[linked], first_node[linked]), np.maximum(node[linked], first_node[linked]))))):
+        if len(ab):
+            ab = np.unique(ab, axis=0)
             out.append(_scan_batch(kind, None, ab[:, 0], ab[:, 1]))
     if listed.any():
         out.append(_scan_batch(2, token[listed], node[listed], n[listed]))
-    after = (token[-1], overlap[-1], first_n[-1], node[-1], first_node[-1]) if goes_on else None
+    after = (token[-1], overlap[-1], first_n[-1], node[-1], first_node[-1], [(a[-1], b[-1]) for a, b in drawn]) if goes_on else None
     return out, after
 
 
@@ -317,7 +332,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), b.column("text")], ["key", "text"]).filter(pa.array(mask, pa.bool_()))
 
     found = docs.select("text").mapInArrow(fetch, "key bigint, text string").groupBy("key").agg(F.first("text").alias("text"))
-    texts = store.written(found.join(nodes, "key", "left_semi"), "texts")
+    texts = store.written(found.join(nodes, "key", "left_semi"), "texts", few=True)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -392,18 +407,18 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = store.partitions_for(docs)
-    profiles = store.written(_profiles(docs, words), "profiles")
+    profiles = store.written(_profiles(docs, words), "profiles", few=True)
     rows = profiles.filter("slice is null")
     common = tally.bits(profiles.filter("slice is not null"), COUNT_BUCKETS, lambda mean: mean + 8 * math.sqrt(mean) + 24)
-    classes = store.written(rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("payload").alias("map")), "classes")
+    classes = store.written(rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("payload").alias("map")), "classes", few=True)
     sizes = {r["n"]: r["count"] for r in classes.filter("n < 200").groupBy("n").count().collect()}
     light = boundary(sizes, num, den)
 
     entries = _entries(docs, words, num, den, common, light)
-    scan = store.written(entries.repartition(parts, "token").sortWithinPartitions("token", "overlap", "n", "node").mapInArrow(_scan(num, den), "kind int, token bigint, a bigint, b bigint"), "scan")
-    checked = store.written(_fit(scan.filter("kind = 0").select("a", "b").distinct(), classes, num, den), "checked")
+    scan = store.written(entries.repartition(parts, "token").sortWithinPartitions("token", "overlap", "n", "node").mapInArrow(_scan(num, den), "kind int, token bigint, a bigint, b bigint"), "scan", few=True)
+    checked = store.written(_fit(scan.filter("kind = 0").select("a", "b").distinct(), classes, num, den), "checked", few=True)
     links, texts = _verified(checked, docs, words, num, den)
-    links = store.written(links.unionByName(scan.filter("kind = 1").select("a", "b").distinct()), "links")
+    links = store.written(links.unionByName(scan.filter("kind = 1").select("a", "b").distinct()), "links", few=True)
     store.drop(texts)
     found = components.components(links)
 
@@ -411,10 +426,10 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     open_ = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).filter("low <> high").select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     members = lists.join(open_, "token").join(classes.select(F.col("key").alias("a"), "map"), "a")
     across = _across(members, parts, num, den).distinct().join(checked, ["a", "b"], "left_anti")
-    more = store.written(_fit(across, classes, num, den), "more")
+    more = store.written(_fit(across, classes, num, den), "more", few=True)
     if not more.isEmpty():
         late, texts = _verified(more, docs, words, num, den)
-        late = store.written(late, "links")
+        late = store.written(late, "links", few=True)
         store.drop(texts)
         if not late.isEmpty():
             found = components.components(late.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
@@ -428,7 +443,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
 
 def one_of_each(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """``docs`` with one document of each component: the one of least doc_id (nulls last). Empty sets stay."""
-    found = store.written(jaccard_components(docs, words, num, den).select("doc_id", "component", "text_hash"), "components")
+    found = store.written(jaccard_components(docs, words, num, den).select("doc_id", "component", "text_hash"), "components", few=True)
     place = F.row_number().over(Window.partitionBy("component").orderBy(F.col("doc_id").asc_nulls_last(), "text_hash"))
     firsts = found.filter(F.col("component").isNotNull()).withColumn("place", place).filter("place = 1").drop("place")
     kept = firsts.unionByName(found.filter(F.col("component").isNull()).distinct()).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("component").isNotNull().alias("_single"))

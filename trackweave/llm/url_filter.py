@@ -101,7 +101,7 @@ def generalise(raw: DataFrame) -> DataFrame:
         name = F.when(variable, F.lit("*")).when(merged & F.col("low"), F.lit("*low")).when(merged, F.lit("*")).otherwise(F.col("here"))
         step = kids.join(node, ["host", "template"]).join(side, ["host", "template", "low"]).select("host", "template", "here", name.alias("step"))
         rows = rows.join(step, ["host", "template", "here"], "left").withColumn("template", F.when(F.col("step").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "step"))).drop("here", "step")
-        rows = store.written(rows, "level")
+        rows = store.written(rows, "level", few=True)
     return rows.drop("segments")
 
 
@@ -119,8 +119,8 @@ def verdicts(tree: DataFrame) -> DataFrame:
 
 def judge(pages: DataFrame, labels: DataFrame | None, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity of every page."""
-    raw = store.written(templates(pages, labels), "templates")
-    found = store.written(verdicts(generalise(raw)), "verdicts")
+    raw = store.written(templates(pages, labels), "templates", few=True)
+    found = store.written(verdicts(generalise(raw)), "verdicts", few=True)
     store.drop(raw)
     count = found.count()
     host, path = host_of(), path_of()
