@@ -53,6 +53,7 @@ def got(df):
 def test_removes_what_brute_force_removes(spark, monkeypatch, hot, chunk):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(suffix_dedup, "HOT_CHUNK", chunk)
+    monkeypatch.setattr(suffix_dedup, "CHUNK_ROWS", 50)
     texts = random_texts(hot + chunk)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     raw = [t.encode() for t in texts]

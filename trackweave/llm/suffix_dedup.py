@@ -12,9 +12,11 @@ string can lie. For an anchor's suffixes, every interval of the tree gives the l
 right; ordering its members by what stands to their left gives for each the longest extension L that it
 shares with an earlier one; L + R >= LEAST marks the bytes. Anchors that occur once cost one row.
 
-An anchor with very many occurrences isn't gathered: equal surroundings are merged in each task before
-they are shuffled, and anchors above ``HOT`` occurrences are split into their single strings of LEAST
-bytes, each with a key of its own. The texts are shuffled once, by a number of the document.
+An anchor's row carries a hash of those surroundings. Of equal surroundings all but the earliest are
+repeats as a whole, which settles the inside of repeated passages without their bytes: in each task
+first, then over all. Bytes are fetched for the earliest of surroundings that differ at one anchor.
+An anchor with more than ``HOT`` of those is split into its single strings of LEAST bytes, each with a
+key of its own, so no task gathers it. The texts are shuffled once, by document.
 
 Defined results: null text is empty; "earlier" is a smaller doc_id (null first; equal ids by a hash of
 the text), then an earlier start; rows equal in doc_id and text are one document and get one result
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.llm import store
@@ -36,10 +38,14 @@ from trackweave.llm import text as tx
 
 LEAST = 100
 #: Bytes of an anchor; a string of LEAST bytes has LEAST - GRAM + 1 of them to choose from.
-GRAM = 32
+GRAM = 24
 #: Occurrences of an anchor in all, or in one chunk of a task, above which it is split by strings.
 HOT, HOT_CHUNK = 20_000, 2_000
-CHUNK_ANCHORS, CHUNK_ROWS = 2_000_000, 40_000
+CHUNK_ANCHORS, CHUNK_ROWS = 1_000_000, 40_000
+
+
+_LEFT = LEAST - GRAM
+_WIDE = _LEFT + LEAST
 
 
 # -- the enhanced suffix array
@@ -138,13 +144,13 @@ def _slide(x: np.ndarray, width: int, op) -> np.ndarray:
     return op(x[: len(x) - (width - done)], x[width - done :]) if width > done else x
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the bytes of texts end to end that are the anchor of some LEAST bytes, and their hashes."""
+def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in the bytes of texts end to end that are the anchor of some LEAST bytes, and their hashes;
+    and the prefix hashes of the bytes."""
     n, choice = len(data), LEAST - GRAM + 1
-    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    if n < LEAST:
-        return none
     prefix = tx.prefix_hashes(data)
+    if n < LEAST:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), prefix
     at = np.arange(n - GRAM + 1)
     grams = tx.span_hashes(prefix, at, at + GRAM)
     least = _slide(grams, choice, np.minimum)
@@ -152,112 +158,153 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     least[np.arange(len(least)) + LEAST > ends] = 0
     padded = np.concatenate((np.zeros(choice - 1, np.uint64), least, np.zeros(choice - 1, np.uint64)))
     chosen = np.flatnonzero((_slide(padded, choice, np.maximum) == grams) & (grams > 0))
-    return chosen, grams[chosen]
+    return chosen, grams[chosen], prefix
+
+
+def _surroundings(prefix, place, start, end) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of the bytes around each place in its text, and how many stand left and right."""
+    left, right = np.minimum(place - start, _LEFT), np.minimum(end - place, LEAST)
+    return tx.mix64(tx.span_hashes(prefix, place - left, place + right) ^ (left * 1000 + right).astype(np.uint64)).view(np.int64), left, right
+
+
+# Rows of ANCHORS. ``way`` says where a row is sent, ``spot`` what it is: 256 * pos + right of an anchor;
+# MARK: the anchor is hot; below that: -2 - pos of a hot anchor; SPAN: bytes [anchor, ctx) are repeats.
+ANCHORS = "way bigint, anchor bigint, ctx bigint, id bigint, tie bigint, spot bigint"
+MARK, SPAN = -1, -(1 << 62)
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """way (where the row is sent), anchor, doc, pos; pos -1 marks an anchor as hot, -2 - pos is a hot one's row."""
     held: list[tuple] = []
-    size = 0
+    size = docs = 0
     for b in batches:
         data, offsets = tx.flat(b.column("text"))
-        docs = b.column("doc").to_numpy()
+        ids, ties = b.column("id").to_numpy(), b.column("tie").to_numpy()
         for i, j in tx.pieces(offsets):
             at, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            place, h = anchors(at, own)
+            place, h, prefix = anchors(at, own)
             text = np.searchsorted(own, place, side="right") - 1
-            held.append((h.view(np.int64), docs[i + text], place - own[text]))
+            ctx, _, right = _surroundings(prefix, place, own[text], own[text + 1])
+            held.append((h.view(np.int64), ctx, ids[i + text], ties[i + text], place - own[text], right, docs + i + text))
             size += len(h)
+        docs += b.num_rows
         if size > CHUNK_ANCHORS:
-            yield _anchor_batch(held)
+            yield from _anchor_batches(held)
             held, size = [], 0
     if size:
-        yield _anchor_batch(held)
+        yield from _anchor_batches(held)
+
+
+def _anchor_batches(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    anchor, ctx, ids, ties, pos, right, doc = (np.concatenate([h[i] for h in held]) for i in range(7))
+    first, later = _earliest(ctx, ids, ties, pos)
+    at, begin, stop = _joined(doc[later], (pos - np.minimum(pos, _LEFT))[later], (pos + right)[later])
+    number = np.full(int(doc.max()) + 1, -1)
+    number[doc] = np.arange(len(doc))
+    at = number[at]
+    yield from _rows(ids[at], begin, stop, ids[at], ties[at], np.full(len(at), SPAN))
+    anchor, ctx, ids, ties, pos, right = (x[first] for x in (anchor, ctx, ids, ties, pos, right))
+    way, spot = anchor, 256 * pos + right
+    distinct, of, many = np.unique(anchor, return_inverse=True, return_counts=True)
+    if (many > HOT_CHUNK).any():
+        hot = (many > HOT_CHUNK)[of]
+        way, spot = np.where(hot, ids, anchor), np.where(hot, -2 - pos, spot)
+        marks = distinct[many > HOT_CHUNK]
+        none = np.zeros(len(marks), np.int64)
+        yield from _rows(marks, marks, none, none, none, none + MARK)
+    yield from _rows(way, anchor, ctx, ids, ties, spot)
 
 
-def _anchor_batch(held: list[tuple]) -> pa.RecordBatch:
-    anchor, doc, pos = (np.concatenate([h[i] for h in held]) for i in range(3))
-    order = np.argsort(anchor, kind="stable")
-    run = np.flatnonzero(np.diff(anchor[order], prepend=anchor[order[0]] - 1 if len(order) else 0))
-    run = run if len(run) and run[0] == 0 else np.concatenate(([0], run))
-    many = np.diff(np.append(run, len(order)))
-    way = anchor.copy()
-    if (many > HOT_CHUNK).any():
-        hot = anchor[order[run[many > HOT_CHUNK]]]
-        own = np.isin(anchor, hot)
-        way[own] = doc[own]
-        pos = np.where(own, -2 - pos, pos)
-        anchor, doc, pos, way = np.concatenate((anchor, hot)), np.concatenate((doc, hot * 0)), np.concatenate((pos, np.full(len(hot), -1))), np.concatenate((way, hot))
-    return pa.RecordBatch.from_arrays([pa.array(way), pa.array(anchor), pa.array(doc), pa.array(pos.astype(np.int32))], ["way", "anchor", "doc", "pos"])
+def _rows(*cols: np.ndarray, names: str = ANCHORS) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(cols[0]), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000].astype(np.int64)) for c in cols], [c.split()[0] for c in names.split(", ")])
+
+
+#: first and last: a repeated span; or a place and COLD or BURNING, to be looked at with its bytes.
+FOUND = "id bigint, tie bigint, first bigint, last bigint"
+COLD, BURNING = -1, -2
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, spot (2 * pos, plus 1 where hot) of anchors that occur twice, from rows sorted by anchor, pos."""
+    """FOUND rows from ANCHORS rows sorted by anchor, ctx, id, tie, spot."""
     rest: list[np.ndarray] | None = None
     hot_on: int | None = None
     for b in batches:
-        cols = [b.column(c).to_numpy() for c in ("anchor", "doc", "pos")]
+        cols = [b.column(c).to_numpy() for c in ("anchor", "ctx", "id", "tie", "spot")]
         if rest is not None:
             cols = [np.concatenate((r, c)) for r, c in zip(rest, cols, strict=True)]
         if not len(cols[0]):
             continue
         cut = np.flatnonzero(cols[0][1:] != cols[0][:-1])
         last = int(cut[-1]) + 1 if len(cut) else 0
-        yield _repeated_batch([c[:last] for c in cols], hot_on)
+        yield from _found([c[:last] for c in cols], hot_on)
         rest = [c[last:] for c in cols]
         if last:
             hot_on = None
         if len(rest[0]) > HOT:
             hot_on = int(rest[0][0])
-            yield _repeated_batch(rest, hot_on)
+            yield from _found(rest, hot_on)
             rest = [c[:0] for c in rest]
     if rest is not None:
-        yield _repeated_batch(rest, hot_on)
+        yield from _found(rest, hot_on)
 
 
-def _repeated_batch(cols: list[np.ndarray], hot_on: int | None) -> pa.RecordBatch:
-    anchor, doc, pos = cols
-    if len(anchor):
-        run = np.cumsum(np.diff(anchor, prepend=anchor[0]) != 0)
-        hot = np.bincount(run, weights=pos == -1)[run] > 0
-        hot |= anchor == hot_on if hot_on is not None else False
-        twice = np.bincount(run, minlength=1)[run] > 1
-        keep = (pos != -1) & (twice | hot | (pos < -1))
-        hot |= pos < -1
-        spot = 2 * np.where(pos < -1, -2 - pos, pos).astype(np.int64) + hot
-        doc, spot = doc[keep], spot[keep]
-    else:
-        spot = pos
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(spot.astype(np.int64))], ["doc", "spot"])
+def _found(cols: list[np.ndarray], hot_on: int | None) -> Iterator[pa.RecordBatch]:
+    anchor, ctx, ids, ties, spot = cols
+    out = []
+    span, direct = spot == SPAN, (spot < MARK) & (spot != SPAN)
+    out.append((ids[span], ties[span], anchor[span], ctx[span]))
+    out.append((ids[direct], ties[direct], -2 - spot[direct], np.full(int(direct.sum()), BURNING)))
+    r = np.flatnonzero(spot >= MARK)
+    if len(r):
+        anchor, ctx, ids, ties, spot = (c[r] for c in cols)
+        real = spot != MARK
+        start = np.diff(anchor, prepend=anchor[0] ^ 1) != 0
+        run = np.cumsum(start) - 1
+        hot = np.bincount(run, weights=~real)[run] > 0
+        if hot_on is not None:
+            hot |= anchor == hot_on
+        new = start.copy()
+        new[1:] |= ctx[1:] != ctx[:-1]
+        head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        same = (ids == ids[head]) & (ties == ties[head]) & (spot == spot[head])
+        kinds = np.bincount(run, weights=new & real)[run]
+        pos, right = spot >> 8, spot & 255
+        look = real & new & ~hot & (kinds > 1)
+        out.append((ids[look], ties[look], pos[look], np.full(int(look.sum()), COLD)))
+        later = real & ~new & ~same & ~hot
+        out.append((ids[later], ties[later], (pos - np.minimum(pos, _LEFT))[later], (pos + right)[later]))
+        burning = real & hot
+        out.append((ids[burning], ties[burning], pos[burning], np.full(int(burning.sum()), BURNING)))
+    yield from _rows(*(np.concatenate([o[i] for o in out]) for i in range(4)), names=FOUND)
 
 
 # -- what stands around repeated anchors
 
 
-_LEFT = LEAST - GRAM
-_WIDE = _LEFT + LEAST
-AROUND = "way bigint, kind int, id bigint, tie bigint, doc bigint, pos int, left int, right int, around binary"
+AROUND = "way bigint, kind int, id bigint, tie bigint, pos int, left int, right int, around binary"
 
 
 def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of AROUND. kind 0: an anchor with its surroundings; 1: one string of LEAST bytes of a hot one;
-    2: bytes [pos - left, pos + right) of doc that repeat something earlier that this task has.
-
-    Equal surroundings (or strings) are merged: only the earliest goes on.
+    """Rows of AROUND. kind 0: an anchor with its surroundings; 1: one string of LEAST bytes of a hot one,
+    the earliest that this task has; 2: repeated bytes [pos, pos + right).
     """
     spots, strings = [], []
     size = 0
     for b in batches:
         data, offsets = tx.flat(b.column("text"))
-        ids, ties, docs = (b.column(c).to_numpy() for c in ("id", "tie", "doc"))
+        ids, ties = b.column("id").to_numpy(), b.column("tie").to_numpy()
+        doc, begin, stop = _unnested(b.column("spans"), "first", "last")
+        doc, begin, stop = _joined(doc, begin, stop)
+        yield from _around_batches(2, ids[doc], ids[doc], ties[doc], begin, begin * 0, stop - begin, None)
         lists = b.column("spots")
         counts = np.diff(lists.offsets.to_numpy())
         values = lists.flatten().to_numpy()
         first = np.concatenate(([0], np.cumsum(counts)))
         for i, j in tx.pieces(offsets):
-            at, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            prefix = tx.prefix_hashes(at)
             spot = values[first[i] : first[j]]
+            if not len(spot):
+                continue
+            at, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             text = np.repeat(np.arange(i, j), counts[i:j])
             start, end = own[text - i], own[text - i + 1]
             place = start + (spot >> 1)
@@ -269,9 +316,9 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 where = p[:, None] + np.arange(-_LEFT, LEAST)
                 inside = (where >= (p - left)[:, None]) & (where < (p + right)[:, None])
                 around[inside] = at[where[inside]]
-                h = tx.mix64(tx.span_hashes(prefix, p - left, p + right) ^ (left * 1000 + right).astype(np.uint64))
-                anchor = tx.span_hashes(prefix, p, p + GRAM)
-                spots.append((h, ids[t], ties[t], p - s, docs[t], left, right, anchor.view(np.int64), around))
+                grams = np.ascontiguousarray(around[:, _LEFT : _LEFT + GRAM])
+                anchor = tx.span_hashes(tx.prefix_hashes(grams.ravel()), np.arange(len(p)) * GRAM, np.arange(1, len(p) + 1) * GRAM)
+                spots.append((anchor.view(np.int64), ids[t], ties[t], p - s, left, right, around))
                 size += len(p)
             if hot.any():
                 p, s, e, t = place[hot], start[hot], end[hot], text[hot]
@@ -280,14 +327,21 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 fits = (begin >= s) & (begin + LEAST <= e)
                 begin, one = np.unique(begin[fits], return_index=True)
                 t, s = t[fits][one], s[fits][one]
-                strings.append((tx.span_hashes(prefix, begin, begin + LEAST), ids[t], ties[t], begin - s, docs[t]))
+                strings.append((tx.span_hashes(tx.prefix_hashes(at), begin, begin + LEAST), ids[t], ties[t], begin - s))
                 size += len(begin) // 8
-        if size > 8 * CHUNK_ROWS:
+        if size > 2 * CHUNK_ROWS:
             yield from _merged(spots, strings)
             spots, strings, size = [], [], 0
     yield from _merged(spots, strings)
 
 
+def _unnested(column: pa.Array, *fields: str) -> tuple[np.ndarray, ...]:
+    """Row numbers and fields of a list-of-struct column's items."""
+    items = column.flatten()
+    row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+    return row, *(items.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields)
+
+
 def _earliest(h, ids, ties, pos) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of the earliest of equal h, and of later ones (those equal to the earliest are dropped)."""
     order = np.lexsort((pos, ties, ids, h))
@@ -301,32 +355,27 @@ def _earliest(h, ids, ties, pos) -> tuple[np.ndarray, np.ndarray]:
 
 def _merged(spots: list, strings: list) -> Iterator[pa.RecordBatch]:
     if spots:
-        h, ids, ties, pos, docs, left, right, anchor = (np.concatenate([s[i] for s in spots]) for i in range(8))
-        around = np.concatenate([s[8] for s in spots])
-        first, later = _earliest(h, ids, ties, pos)
-        later = later[left[later] + right[later] >= LEAST]
-        yield from _around_batches(0, anchor[first], ids[first], ties[first], docs[first], pos[first], left[first], right[first], around[first])
-        yield from _around_batches(2, docs[later], ids[later], ties[later], docs[later], pos[later], left[later], right[later], None)
+        yield from _around_batches(0, *(np.concatenate([s[i] for s in spots]) for i in range(7)))
     if strings:
-        h, ids, ties, pos, docs = (np.concatenate([s[i] for s in strings]) for i in range(5))
+        h, ids, ties, pos = (np.concatenate([s[i] for s in strings]) for i in range(4))
         first, later = _earliest(h, ids, ties, pos)
-        for kind, at in ((1, first), (2, later)):
-            yield from _around_batches(kind, h[at].view(np.int64) if kind == 1 else docs[at], ids[at], ties[at], docs[at], pos[at], np.zeros(len(at), np.int64), np.full(len(at), LEAST), None)
+        for kind, at, way in ((1, first, h.view(np.int64)), (2, later, ids)):
+            yield from _around_batches(kind, way[at], ids[at], ties[at], pos[at], np.zeros(len(at), np.int64), np.full(len(at), LEAST), None)
 
 
-def _around_batches(kind, way, ids, ties, docs, pos, left, right, around) -> Iterator[pa.RecordBatch]:
+def _around_batches(kind, way, ids, ties, pos, left, right, around) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(way), 20_000):
         s = slice(i, i + 20_000)
         n = len(way[s])
         blob = pa.nulls(n, pa.binary()) if around is None else pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * _WIDE).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(around[s]))])
-        yield pa.RecordBatch.from_arrays([pa.array(way[s], pa.int64()), pa.array(np.full(n, kind, np.int32)), pa.array(ids[s], pa.int64()), pa.array(ties[s], pa.int64()), pa.array(docs[s], pa.int64()), *(pa.array(x[s].astype(np.int32)) for x in (pos, left, right)), blob], [c.split()[0] for c in AROUND.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array(way[s], pa.int64()), pa.array(np.full(n, kind, np.int32)), pa.array(ids[s], pa.int64()), pa.array(ties[s], pa.int64()), *(pa.array(x[s].astype(np.int32)) for x in (pos, left, right)), blob], [c.split()[0] for c in AROUND.split(", ")])
 
 
 # -- the sparse suffix array of each anchor
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, first, last: bytes that repeat something earlier, from AROUND rows sorted by kind and way."""
+    """id, tie, first, last: bytes that repeat something earlier, from AROUND rows sorted by kind and way."""
     rest: list[np.ndarray] | None = None
     for b in batches:
         blobs = np.zeros((b.num_rows, _WIDE), np.uint8)
@@ -334,7 +383,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = column.is_valid().to_numpy(zero_copy_only=False)
         if full.any():
             blobs[full] = tx.flat(column.filter(column.is_valid()))[0].reshape(-1, _WIDE)
-        cols = [*(b.column(c).to_numpy() for c in ("kind", "way", "id", "tie", "doc", "pos", "left", "right")), blobs]
+        cols = [*(b.column(c).to_numpy() for c in ("kind", "way", "id", "tie", "pos", "left", "right")), blobs]
         if rest is not None:
             cols = [np.concatenate((r, c)) for r, c in zip(rest, cols, strict=True)]
         cut = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))
@@ -349,19 +398,26 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _span_batch(cols: list[np.ndarray]) -> pa.RecordBatch:
-    kind, way, ids, ties, docs, pos, left, right, around = cols
-    done = [(docs[kind == 2], (pos - left)[kind == 2], (pos + right)[kind == 2])]
+    kind, way, ids, ties, pos, left, right, around = cols
+    two = np.flatnonzero(kind == 2)
+    done = [(two, pos[two], pos[two] + right[two])]
     one = np.flatnonzero(kind == 1)
     later = one[_earliest(way[one], ids[one], ties[one], pos[one])[1]]
-    done.append((docs[later], pos[later], pos[later] + LEAST))
+    done.append((later, pos[later], pos[later] + LEAST))
     zero = np.flatnonzero(kind == 0)
     if len(zero):
         row, l, r = anchored_repeats(way[zero], ids[zero], ties[zero], pos[zero], left[zero], right[zero], around[zero])
         at = zero[row]
-        done.append((docs[at], pos[at] - l, pos[at] + r))
-    doc, first, last = (np.concatenate([d[i] for d in done]).astype(np.int64) for i in range(3))
-    doc, first, last = _joined(doc, first, last)
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["doc", "first", "last"])
+        done.append((at, pos[at] - l, pos[at] + r))
+    at, first, last = (np.concatenate([d[i] for d in done]).astype(np.int64) for i in range(3))
+    doc = np.zeros(len(kind), np.int64)
+    order = np.lexsort((ties, ids))
+    doc[order] = np.cumsum((np.diff(ids[order], prepend=0) != 0) | (np.diff(ties[order], prepend=0) != 0))
+    number = np.zeros(len(kind) + 2, np.int64)
+    number[doc] = np.arange(len(doc))
+    doc, first, last = _joined(doc[at], first, last)
+    at = number[doc]
+    return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ties[at]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["id", "tie", "first", "last"])
 
 
 def _joined(doc: np.ndarray, first: np.ndarray, last: np.ndarray):
@@ -453,27 +509,26 @@ def _earlier_extension(age: list[int], extends: list[int]) -> list[int]:
 # -- over a table
 
 
-def _document(text: str = "text") -> tuple[Column, Column, Column]:
-    """A number for the document, its id (null first) and the tie-break of equal ids."""
-    return F.xxhash64(F.lit(3), F.col("doc_id"), F.col(text)), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64(F.lit(4), F.col(text))
-
-
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` and ``spans``: ascending, disjoint [first, last) byte ranges that repeat something earlier.
+    """``docs`` and ``spans``: [first, last) byte ranges, ascending, that repeat something earlier.
 
     ``docs`` are shuffled once; Spark reuses that exchange for both joins.
     """
     parts = store.partitions_for(docs)
-    number, own_id, tie = _document(text)
-    own = docs.drop("spans", "_doc", "_id", "_tie").withColumns({"_doc": number, "_id": own_id, "_tie": tie})
-    dealt = own.repartition(parts, "_doc")
-    rows = own.select(F.col("_doc").alias("doc"), F.col(text).alias("text")).filter(F.octet_length("text") >= LEAST).mapInArrow(_anchor_rows, "way bigint, anchor bigint, doc bigint, pos int")
-    repeated = rows.repartition(parts, "way").sortWithinPartitions("anchor", "pos").mapInArrow(_repeated, "doc bigint, spot bigint")
-    spots = repeated.groupBy(F.col("doc").alias("_spot_doc")).agg(F.collect_list("spot").alias("spots"))
-    around = dealt.join(spots, F.col("_doc") == F.col("_spot_doc")).select(F.col("_id").alias("id"), F.col("_tie").alias("tie"), F.col("_doc").alias("doc"), F.col(text).alias("text"), "spots").mapInArrow(_around, AROUND)
-    spans = around.repartition(parts, "way").sortWithinPartitions("kind", "way").mapInArrow(_spans, "doc bigint, first int, last int")
-    lists = spans.groupBy(F.col("doc").alias("_span_doc")).agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
-    return dealt.join(lists, F.col("_doc") == F.col("_span_doc"), "left").drop("_doc", "_id", "_tie", "_span_doc")
+    single = docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    own = docs.drop("spans", "_id", "_tie").withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_tie": F.lit(0).cast("long") if single else F.xxhash64(F.lit(4), F.col(text))})
+    dealt = own.repartition(parts, "_id", "_tie")
+    rows = own.select(F.col("_id").alias("id"), F.col("_tie").alias("tie"), F.col(text).alias("text")).filter(F.octet_length("text") >= LEAST).mapInArrow(_anchor_rows, ANCHORS)
+    found = rows.repartition(parts, "way").sortWithinPartitions("anchor", "ctx", "id", "tie", "spot").mapInArrow(_repeated, FOUND)
+    spot = F.when(F.col("last") < 0, 2 * F.col("first") + (F.col("last") == BURNING).cast("long"))
+    asked = found.groupBy(F.col("id").alias("_i"), F.col("tie").alias("_t")).agg(F.collect_list(spot).alias("spots"), F.collect_list(F.when(F.col("last") >= 0, F.struct("first", "last"))).alias("spans"))
+    # all columns go into both joins, else the two exchanges would differ by what is pruned
+    whole = F.hash(F.struct(*(F.col(f"`{c}`") for c in dealt.columns)))
+    with_bytes = dealt.join(asked, (F.col("_id") == F.col("_i")) & (F.col("_tie") == F.col("_t"))).select(F.col("_id").alias("id"), F.col("_tie").alias("tie"), F.col(text).alias("text"), "spots", "spans", whole.alias("whole"))
+    spans = with_bytes.mapInArrow(_around, AROUND).repartition(parts, "way").sortWithinPartitions("kind", "way").mapInArrow(_spans, "id bigint, tie bigint, first int, last int")
+    lists = spans.groupBy(F.col("id").alias("_i"), F.col("tie").alias("_t")).agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
+    joined = dealt.join(lists, (F.col("_id") == F.col("_i")) & (F.col("_tie") == F.col("_t")), "left")
+    return joined.withColumn("_whole", whole).drop("_id", "_tie", "_i", "_t")
 
 
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -527,7 +582,7 @@ def digests(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    return rows.select("doc_id", "text", "spans").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return rows.select("doc_id", "text", "spans", "_whole").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -535,7 +590,7 @@ def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
     from pyspark.sql import types as T
 
     rows = with_spans(docs, text)
-    columns = [c for c in docs.columns if c not in ("spans", "_doc", "_id", "_tie")]
+    columns = [c for c in docs.columns if c not in ("spans", "_id", "_tie")]
     at = columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -549,4 +604,4 @@ def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, columns)
 
     schema = T.StructType([docs.schema[c] if c != text else T.StructField(text, T.StringType()) for c in columns])
-    return rows.select(*(f"`{c}`" for c in columns), "spans").mapInArrow(run, schema)
+    return rows.select(*(f"`{c}`" for c in columns), "spans", "_whole").mapInArrow(run, schema)
