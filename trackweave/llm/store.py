@@ -31,13 +31,14 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back.
 
-    ``few`` writes two files a core of the cluster at most, for tables that are small for their number
-    of partitions; not for stages whose functions look at their partition's number.
+    ``few`` writes a quarter of the session's shuffle partitions as files (two a core at least), for
+    tables that are small for their number of partitions; not for stages whose functions look at their
+    partition's number.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     if few:
-        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, partitions_for(df) // 4))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
