@@ -516,7 +516,9 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     parts = store.partitions_for(docs)
     single = docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    own = docs.drop("spans", "_id", "_tie").withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_tie": F.lit(0).cast("long") if single else F.xxhash64(F.lit(4), F.col(text))})
+    # always 0 where ids are single; not a literal, which the optimizer would take out of one join only
+    tie = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(1).cast("long")), F.lit(0).cast("long")) if single else F.xxhash64(F.lit(4), F.col(text))
+    own = docs.drop("spans", "_id", "_tie").withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_tie": tie})
     dealt = own.repartition(parts, "_id", "_tie")
     rows = own.select(F.col("_id").alias("id"), F.col("_tie").alias("tie"), F.col(text).alias("text")).filter(F.octet_length("text") >= LEAST).mapInArrow(_anchor_rows, ANCHORS)
     found = rows.repartition(parts, "way").sortWithinPartitions("anchor", "ctx", "id", "tie", "spot").mapInArrow(_repeated, FOUND)
