@@ -37,7 +37,7 @@ def test_units_give_the_librarys_ids(name):
     import random
 
     rnd = random.Random(5)
-    alphabet = [*"ab1 '\n\t,.!é—ñsŚ ", "'s", "'ll", "  ", "\r\n", "\x1c"]
+    alphabet = [*"ab1 '\n\t,.!é—ñsŚ\u00a0\u2009\u3000\u0301 ", "'s", "'ll", "  ", "\r\n", "\x1c"]
     texts = ["".join(rnd.choices(alphabet, k=rnd.randint(0, 25))) for _ in range(4000)] + [r[1] for r in cases.odd_rows() if r[1]]
     ids, at = tokens.Encoder(tokens.path(name)).encode(pa.array(texts))
     t = tokenizer(name)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackweave.llm import embedding_dedup, ngram_join, url_filter
+from trackweave.llm import embedding_dedup, ngram_join, suffix_dedup, url_filter
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,6 +44,27 @@ select nodes.vec_id, coalesce(max(n), 0) as n_links, min(other) as component_id,
 from nodes join reach on reach.node = nodes.vec_id left join counted on counted.a = nodes.vec_id group by nodes.vec_id"""
 
 
+#: Bytes as hexadecimal digits, two a byte.
+OP6 = f"""with raw as (select doc_id, hex(coalesce(text, '')) as h, length(hex(coalesce(text, ''))) // 2 as n from documents),
+  strings as (
+    select doc_id, i, substr(h, 2 * i + 1, {2 * suffix_dedup.LEAST}) as s
+    from (select doc_id, h, unnest(range(0, n - {suffix_dedup.LEAST - 1})) as i from raw where n >= {suffix_dedup.LEAST})),
+  later as (select doc_id, i from strings qualify row_number() over (partition by s order by doc_id, i) > 1),
+  marked as (
+    select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + {suffix_dedup.LEAST} then 0 else 1 end as fresh from later),
+  numbered as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as span from marked),
+  spans as (select doc_id, span, min(i) as first, max(i) + {suffix_dedup.LEAST} as last from numbered group by doc_id, span),
+  between_ as (
+    select spans.*, coalesce(lag(last) over (partition by spans.doc_id order by span), 0) as before, h from spans join raw on raw.doc_id = spans.doc_id),
+  kept as (
+    select doc_id, count(*) as n_spans, sum(last - first) as removed, max(last) as ends,
+      string_agg(substr(h, 2 * before + 1, 2 * (first - before)), '' order by span) as pieces
+    from between_ group by doc_id)
+select raw.doc_id, n as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(coalesce(pieces, '') || substr(h, 2 * coalesce(ends, 0) + 1))) as kept_sha256
+from raw left join kept on kept.doc_id = raw.doc_id"""
+
+
 def _op3() -> str:
     u = url_filter
     name = f"regexp_replace(regexp_replace(path, '/[0-9]+(\\.[A-Za-z]{{1,5}})?(/|$)', '/{{n}}\\1\\2', 'g'), '/[0-9]+(\\.[A-Za-z]{{1,5}})?(/|$)', '/{{n}}\\1\\2', 'g')"
@@ -100,4 +121,4 @@ select page_id, n.host, path, {rule.replace("host", "n.host")} as rule,
 from named n join judged j on j.host = n.host and j.raw = n.raw"""
 
 
-ORACLES = {"op2_ngram_join": OP2, "op3_url_filters": _op3(), "op4_embedding_dedup": OP4}
+ORACLES = {"op2_ngram_join": OP2, "op3_url_filters": _op3(), "op4_embedding_dedup": OP4, "op6_suffix_dedup": OP6}

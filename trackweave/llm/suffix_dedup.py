@@ -527,6 +527,8 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     # all columns go into both joins, else the two exchanges would differ by what is pruned
     whole = F.hash(F.struct(*(F.col(f"`{c}`") for c in dealt.columns)))
     with_bytes = dealt.join(asked, (F.col("_id") == F.col("_i")) & (F.col("_tie") == F.col("_t"))).select(F.col("_id").alias("id"), F.col("_tie").alias("tie"), F.col(text).alias("text"), "spots", "spans", whole.alias("whole"))
+    # in order, so that a task that is run again merges the same rows
+    with_bytes = with_bytes.sortWithinPartitions("id", "tie")
     spans = with_bytes.mapInArrow(_around, AROUND).repartition(parts, "way").sortWithinPartitions("kind", "way").mapInArrow(_spans, "id bigint, tie bigint, first int, last int")
     lists = spans.groupBy(F.col("id").alias("_i"), F.col("tie").alias("_t")).agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
     joined = dealt.join(lists, (F.col("_id") == F.col("_i")) & (F.col("_tie") == F.col("_t")), "left")

@@ -23,7 +23,7 @@ from trackweave.llm import text as tx
 REMEMBERED = 1_500_000
 
 #: White space other than the ASCII kinds, and controls on which libraries disagree.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+_ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 _c = np.arange(256)
 _WS = (_c == 0x20) | ((_c >= 0x09) & (_c <= 0x0D))
