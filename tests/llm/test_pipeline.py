@@ -65,7 +65,7 @@ def test_quality_takes_odd_tables(spark):
     odd = spark.createDataFrame([(1, 1, 0), (6, 0, 0), (12, 1, 0), (None, 1, 0), (8, None, 0)], "doc_id long, quality int, toxic int")
     for labels in (none, odd):
         forest = quality.fit(every["odd"], labels)
-        rows = quality.scored(every["odd"].withColumn("score", F.lit("clash")), forest).collect()
+        rows = quality.scored(every["odd"].withColumn("score", F.lit("clash")).withColumn("a.b", F.lit(1)), forest).collect()
         assert len(rows) == len(cases.odd_rows()) and all(0 <= r.score <= 1 for r in rows)
         assert quality.scored(every["empty"], forest).count() == 0
 

@@ -91,7 +91,7 @@ def test_takes_odd_tables(spark):
     same = [r for r in rows if r.doc_id == 14]
     assert len(same) == 2 and same[0] == same[1] and same[0].n_removed == 0
     assert suffix_dedup.digests(every["empty"]).count() == 0
-    kept = suffix_dedup.deduplicated(every["odd"].withColumn("spans", F.lit("clash")))
+    kept = suffix_dedup.deduplicated(every["odd"].withColumn("spans", F.lit("clash")).withColumn("a.b", F.lit(1))).drop("a.b")
     assert kept.columns == every["odd"].columns
     assert {r.doc_id: r.text for r in kept.collect()}[3] is None
 

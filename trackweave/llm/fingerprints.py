@@ -114,7 +114,7 @@ def merge_by(df: DataFrame, keys: list[str], fingerprint: str = "fingerprint", k
             yield pa.RecordBatch.from_arrays([c.take(pa.array(at)) for c in cols.values()] + [pa.array((h ^ np.uint64(1 << 63)).astype(np.int64))], [*cols, "h"])
 
     kinds = dict(df.select(*keys).dtypes)
-    rows = df.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keys)), fingerprint).mapInArrow(spread, ", ".join(f"k{i} {kinds[c]}" for i, c in enumerate(keys)) + ", h bigint")
+    rows = df.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keys)), fingerprint).mapInArrow(tx.tidy(spread), ", ".join(f"k{i} {kinds[c]}" for i, c in enumerate(keys)) + ", h bigint")
     names = [f"k{i}" for i in range(len(keys))]
     ranked = rows.distinct().withColumn("r", F.row_number().over(Window.partitionBy(*names).orderBy("h"))).filter(F.col("r") <= k)
 
@@ -150,10 +150,11 @@ def with_successor(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = store.partitions_for(docs)
-    bounds = ranges.cuts(docs, "doc_id", parts)
+    least = docs.agg(F.min("doc_id").alias("m"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    # a cut at the least id would leave the first range empty
+    bounds = [b for b in ranges.cuts(docs, "doc_id", parts) if least["nulls"] or b > least["m"]]
     n = len(bounds) + 1
     own = docs.select(ranges.part_of("doc_id", bounds).alias("part"), F.lit(0).alias("after"), "doc_id", "text")
-    least = docs.agg(F.min("doc_id").alias("m"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
     head = F.col("doc_id").isNull() if least["nulls"] else F.col("doc_id") == F.lit(least["m"])
     heads = own.filter(F.col("doc_id").isin(bounds) | head if bounds else head)
     ghosts = heads.withColumn("part", F.pmod(F.col("part") - 1, F.lit(n))).withColumn("after", F.lit(1))
@@ -179,7 +180,7 @@ def with_successor(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame
             if pairs:
                 yield _pairs(pairs, k, words)
 
-    return dealt.mapInArrow(run, SCHEMA)
+    return dealt.mapInArrow(tx.tidy(run), SCHEMA)
 
 
 def edited(this: str, following: str) -> str:

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trackweave.llm import store
 from trackweave.llm import text as tx
 
 #: Labelled rows that training looks at, at most.
@@ -227,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
             x = features(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("quality"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
-    found = rows.mapInArrow(run, "doc_id bigint, quality double, x array<double>").toPandas()
+    found = rows.mapInArrow(tx.tidy(run), "doc_id bigint, quality double, x array<double>").toPandas()
     found = found.sort_values(["doc_id", "quality"], kind="stable")
     x = np.stack(found["x"].to_numpy()) if len(found) else np.zeros((0, len(FEATURES)))
     order = np.lexsort(x.T[::-1]) if len(x) else []
@@ -240,9 +241,11 @@ def scored(docs: DataFrame, forest: Forest, text: str = "text") -> DataFrame:
     kept = docs.select(*(f"`{c}`" for c in columns))
     at = columns.index(text)
 
+    names = [*columns, "score"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             score = forest.score(features(b.column(at)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], [*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], names)
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())]))
+    return store.numbered(kept).mapInArrow(tx.tidy(run), T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())]))

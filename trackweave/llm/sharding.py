@@ -22,6 +22,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trackweave.llm import store
+from trackweave.llm import text as tx
+
 SHARDS = 16
 SEED = 20_241
 BUCKET_BYTES = 16 << 20
@@ -55,8 +58,9 @@ def two_pass_shuffle(records: DataFrame, key: str, size: Column, shards: int = S
 
     columns = dealt.columns
     sortable = [F.col(f"`{f.name}`") for f in dealt.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    scattered = dealt.repartitionById(shards * per, F.col("_bucket")).sortWithinPartitions(F.col("_bucket"), F.col(f"`{key}`"), *sortable)
+    scattered = dealt.repartitionById(shards * per, F.col("_bucket")).sortWithinPartitions(F.col("_bucket"), F.col(f"`{key}`"), F.struct(*sortable))
     out = T.StructType([*dealt.schema.fields, T.StructField("_at", T.LongType())])
+    bucket = columns.index("_bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -65,16 +69,16 @@ def two_pass_shuffle(records: DataFrame, key: str, size: Column, shards: int = S
         if not held:
             return
         table = pa.Table.from_batches(held)
-        of = table.column("_bucket").to_numpy()
+        of = table.column(bucket).to_numpy()
         edges = np.flatnonzero(np.diff(of, prepend=-1, append=-1))
         for i, j in zip(edges[:-1], edges[1:], strict=True):
             order = fisher_yates(j - i, seed, int(of[i]))
             for k in range(0, len(order), 2000):
                 some = order[k : k + 2000]
                 part = table.take(pa.array(i + some)).append_column("_at", pa.array(np.arange(k, k + len(some)), pa.int64()))
-                yield from part.combine_chunks().to_batches()
+                yield from part.rename_columns(out.names).combine_chunks().to_batches()
 
-    shuffled = scattered.mapInArrow(run, out)
+    shuffled = store.numbered(scattered).mapInArrow(tx.tidy(run), out)
     if shards * per <= BROADCAST_BUCKETS:
         offsets = F.broadcast(offsets)
     return shuffled.join(offsets, "_bucket").withColumn("slot", F.col("_first") + F.col("_at")).select(*(f"`{c}`" for c in columns if c != "_bucket"), "slot")

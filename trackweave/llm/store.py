@@ -58,3 +58,8 @@ def drop(df: DataFrame) -> None:
 def partitions_for(df: DataFrame) -> int:
     """Shuffle partitions as the session has them: sized by the cluster's owner for its data."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with plain column names by position: batch functions over columns of any name need that."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))

@@ -520,8 +520,8 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     tie = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(1).cast("long")), F.lit(0).cast("long")) if single else F.xxhash64(F.lit(4), F.col(text))
     own = docs.drop("spans", "_id", "_tie").withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_tie": tie})
     dealt = own.repartition(parts, "_id", "_tie")
-    rows = own.select(F.col("_id").alias("id"), F.col("_tie").alias("tie"), F.col(text).alias("text")).filter(F.octet_length("text") >= LEAST).mapInArrow(_anchor_rows, ANCHORS)
-    found = rows.repartition(parts, "way").sortWithinPartitions("anchor", "ctx", "id", "tie", "spot").mapInArrow(_repeated, FOUND)
+    rows = own.select(F.col("_id").alias("id"), F.col("_tie").alias("tie"), F.col(text).alias("text")).filter(F.octet_length("text") >= LEAST).mapInArrow(tx.tidy(_anchor_rows), ANCHORS)
+    found = rows.repartition(parts, "way").sortWithinPartitions("anchor", "ctx", "id", "tie", "spot").mapInArrow(tx.tidy(_repeated), FOUND)
     spot = F.when(F.col("last") < 0, 2 * F.col("first") + (F.col("last") == BURNING).cast("long"))
     asked = found.groupBy(F.col("id").alias("_i"), F.col("tie").alias("_t")).agg(F.collect_list(spot).alias("spots"), F.collect_list(F.when(F.col("last") >= 0, F.struct("first", "last"))).alias("spans"))
     # all columns go into both joins, else the two exchanges would differ by what is pruned
@@ -529,7 +529,7 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     with_bytes = dealt.join(asked, (F.col("_id") == F.col("_i")) & (F.col("_tie") == F.col("_t"))).select(F.col("_id").alias("id"), F.col("_tie").alias("tie"), F.col(text).alias("text"), "spots", "spans", whole.alias("whole"))
     # in order, so that a task that is run again merges the same rows
     with_bytes = with_bytes.sortWithinPartitions("id", "tie")
-    spans = with_bytes.mapInArrow(_around, AROUND).repartition(parts, "way").sortWithinPartitions("kind", "way").mapInArrow(_spans, "id bigint, tie bigint, first int, last int")
+    spans = with_bytes.mapInArrow(tx.tidy(_around), AROUND).repartition(parts, "way").sortWithinPartitions("kind", "way").mapInArrow(tx.tidy(_spans), "id bigint, tie bigint, first int, last int")
     lists = spans.groupBy(F.col("id").alias("_i"), F.col("tie").alias("_t")).agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
     joined = dealt.join(lists, (F.col("_id") == F.col("_i")) & (F.col("_tie") == F.col("_t")), "left")
     return joined.withColumn("_whole", whole).drop("_id", "_tie", "_i", "_t")
@@ -586,7 +586,7 @@ def digests(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    return rows.select("doc_id", "text", "spans", "_whole").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return rows.select("doc_id", "text", "spans", "_whole").mapInArrow(tx.tidy(run), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -608,4 +608,4 @@ def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, columns)
 
     schema = T.StructType([docs.schema[c] if c != text else T.StructField(text, T.StringType()) for c in columns])
-    return rows.select(*(f"`{c}`" for c in columns), "spans", "_whole").mapInArrow(run, schema)
+    return store.numbered(rows.select(*(f"`{c}`" for c in columns), "spans", "_whole")).mapInArrow(tx.tidy(run), schema)
