@@ -125,7 +125,7 @@ def _count(ids: np.ndarray, many: np.ndarray, side: np.ndarray, data: list[bytes
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
-    rows = store.written(vectors.select("vec_id", "embedding").mapInArrow(_packed, "vec_id bigint, key binary, data binary"), "vectors", few=True)
+    rows = store.written(vectors.select("vec_id", "embedding").mapInArrow(tx.tidy(_packed), "vec_id bigint, key binary, data binary"), "vectors", few=True)
     classes = rows.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("many"), F.any_value("data").alias("data"))
     # nodes get numbers of their own: ids may be null or repeat
     node = F.xxhash64("key")
@@ -144,7 +144,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
                     found[i] = h.tolist()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found if len(data) else [], pa.list_(pa.int64()))], [*b.schema.names, "buckets"])
 
-    held = store.written(classes.select(node.alias("node"), "key", "least", "many", "data").mapInArrow(hashed, "node bigint, key binary, least bigint, many bigint, data binary, buckets array<bigint>"), "hashed", few=True)
+    held = store.written(classes.select(node.alias("node"), "key", "least", "many", "data").mapInArrow(tx.tidy(hashed), "node bigint, key binary, least bigint, many bigint, data binary, buckets array<bigint>"), "hashed", few=True)
     spread = held.select("node", F.posexplode("buckets").alias("table", "bucket"))
     sizes = spread.groupBy("table", "bucket").agg(F.count("*").alias("n")).filter("n > 1")
     blocks = sizes.select("table", "bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
@@ -164,7 +164,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
             if len(found[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["node", "links", "near"])
 
-    found = store.written(dealt.mapInArrow(run, "node bigint, links bigint, near bigint"), "links", few=True)
+    found = store.written(dealt.mapInArrow(tx.tidy(run), "node bigint, links bigint, near bigint"), "links", few=True)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts_of = components.components(found.select(F.col("node").alias("a"), F.col("near").alias("b")))
     known = held.select("node", "key", "least", "many").join(links, "node", "left").join(parts_of, "node", "left").withColumn("component", F.coalesce("component", "node"))

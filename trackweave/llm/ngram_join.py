@@ -140,7 +140,7 @@ def _profiles(docs: DataFrame, words: int) -> DataFrame:
             yield _row_batch(len(parts), slice=pa.array([i for i, _ in parts], pa.int32()), payload=pa.array([p for _, p in parts], pa.binary()))
 
     rows = docs.withColumn("text_hash", F.xxhash64("text"))
-    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, n bigint, key bigint, slice int, payload binary")
+    return rows.mapInArrow(tx.tidy(run), "doc_id bigint, text_hash bigint, n bigint, key bigint, slice int, payload binary")
 
 
 def _row_batch(rows: int, **cols) -> pa.RecordBatch:
@@ -186,7 +186,7 @@ def _entries(docs: DataFrame, words: int, num: int, den: int, common: np.ndarray
                     ["token", "overlap", "n", "node"],
                 )
 
-    return docs.mapInArrow(run, "token bigint, overlap int, n int, node bigint")
+    return docs.mapInArrow(tx.tidy(run), "token bigint, overlap int, n int, node bigint")
 
 
 def _subset_keys(u: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
@@ -311,7 +311,7 @@ def _fit(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
 
     side = lambda s: classes.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("map").alias(f"map_{s}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"), "map_a", "map_b")
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return rows.mapInArrow(tx.tidy(run), "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -331,7 +331,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int)
                     seen.add(k)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), b.column("text")], ["key", "text"]).filter(pa.array(mask, pa.bool_()))
 
-    found = docs.select("text").mapInArrow(fetch, "key bigint, text string").groupBy("key").agg(F.first("text").alias("text"))
+    found = docs.select("text").mapInArrow(tx.tidy(fetch), "key bigint, text string").groupBy("key").agg(F.first("text").alias("text"))
     texts = store.written(found.join(nodes, "key", "left_semi"), "texts", few=True)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +348,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int)
 
     side = lambda s: texts.select(F.col("key").alias(s), F.col("text").alias(f"text_{s}"))
     rows = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
-    return rows.mapInArrow(compare, "a bigint, b bigint"), texts
+    return rows.mapInArrow(tx.tidy(compare), "a bigint, b bigint"), texts
 
 
 def _across(members: DataFrame, parts: int, num: int, den: int) -> DataFrame:
@@ -391,7 +391,7 @@ def _across(members: DataFrame, parts: int, num: int, den: int) -> DataFrame:
         if held:
             yield _pair_batch(held)
 
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return dealt.mapInArrow(tx.tidy(run), "a bigint, b bigint")
 
 
 def _pair_batch(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -415,7 +415,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     light = boundary(sizes, num, den)
 
     entries = _entries(docs, words, num, den, common, light)
-    scan = store.written(entries.repartition(parts, "token").sortWithinPartitions("token", "overlap", "n", "node").mapInArrow(_scan(num, den), "kind int, token bigint, a bigint, b bigint"), "scan", few=True)
+    scan = store.written(entries.repartition(parts, "token").sortWithinPartitions("token", "overlap", "n", "node").mapInArrow(tx.tidy(_scan(num, den)), "kind int, token bigint, a bigint, b bigint"), "scan", few=True)
     checked = store.written(_fit(scan.filter("kind = 0").select("a", "b").distinct(), classes, num, den), "checked", few=True)
     links, texts = _verified(checked, docs, words, num, den)
     links = store.written(links.unionByName(scan.filter("kind = 1").select("a", "b").distinct()), "links", few=True)

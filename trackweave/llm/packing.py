@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.llm import store, tokens
+from trackweave.llm import text as tx
 
 CAPACITY = 1024
 #: A bin with no more room than this leaves its round.
@@ -52,7 +53,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
                     start += n
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"]) if rows else pa.RecordBatch.from_pylist([], pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tx.tidy(run), PIECE)
 
 
 def best_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
@@ -86,7 +87,8 @@ def best_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
 def pack(items: DataFrame, capacity: int = CAPACITY, slack: int = SLACK) -> DataFrame:
     """``items`` (with a column ``length``) and their ``sequence_id`` and gapless ``offset`` in it."""
     columns = [c for c in items.columns if c not in ("sequence_id", "offset")]
-    items = items.select(*(f"`{c}`" for c in columns))
+    # a table first, so that making the items and packing them don't share a task's memory
+    items = store.written(items.select(*(f"`{c}`" for c in columns)), "items")
     member = items.schema.simpleString().removeprefix("struct")
     shape = f"bin bigint, fill bigint, members array<struct{member}>"
     bins = items.select(F.lit(0).cast("long").alias("bin"), F.col("length").cast("long").alias("fill"), F.array(F.struct(*(f"`{c}`" for c in columns))).alias("members"))
@@ -122,7 +124,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, slack: int = SLACK) -> Data
 
     done, parts, number = [], None, 0
     while True:
-        table = store.written(bins.mapInArrow(rounds(number), shape), f"bins{number}")
+        table = store.written(bins.mapInArrow(tx.tidy(rounds(number)), shape), f"bins{number}")
         parts = max(1, table.rdd.getNumPartitions() if parts is None else parts)
         open_bin = F.col("fill") < capacity - slack
         if number and parts == 1:
@@ -154,7 +156,7 @@ def _places(bins: DataFrame, columns: list[str], member: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*values.flatten(), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], [*columns, "sequence_id", "offset"])
 
     inner = member[1:-1]
-    return numbered.mapInArrow(run, f"{', '.join(f'`{c}` {t}' for c, t in (x.split(':', 1) for x in _fields(inner)))}, sequence_id bigint, offset bigint")
+    return numbered.mapInArrow(tx.tidy(run), f"{', '.join(f'`{c}` {t}' for c, t in (x.split(':', 1) for x in _fields(inner)))}, sequence_id bigint, offset bigint")
 
 
 def _fields(text: str) -> list[str]:

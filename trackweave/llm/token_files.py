@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackweave.llm import store, tokens
+from trackweave.llm import text as tx
 
 BLOCK = 1 << 14
 #: Ids after which a segment is closed (at the end of a document).
@@ -99,7 +100,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = own.repartitionByRange(store.partitions_for(docs), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    ordered.mapInArrow(run, SCHEMA).write.option("compression", "uncompressed").parquet(path)
+    ordered.mapInArrow(tx.tidy(run), SCHEMA).write.option("compression", "uncompressed").parquet(path)
 
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
@@ -136,4 +137,4 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return segments(spark, path).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return segments(spark, path).mapInArrow(tx.tidy(run), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

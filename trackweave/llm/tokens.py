@@ -20,7 +20,7 @@ import pyarrow as pa
 from trackweave.llm import text as tx
 
 #: Distinct units that a worker remembers before it starts afresh; bounds memory, never results.
-REMEMBERED = 1_500_000
+REMEMBERED = 800_000
 
 #: White space other than the ASCII kinds, and controls on which libraries disagree.
 _ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
