@@ -51,6 +51,8 @@ ENTRY_COST = 16.0
 BLOCK = 512
 #: Members drawn from a list of three or more, that all others are checked against.
 DRAWN = 3
+#: Members of an open list's block that the block's members of other components are shown to.
+SHOWN = 12
 #: Rows of one list that a scan holds before it hands on what it has.
 SCAN_ROWS = 50_000
 BITMAP, MOST_BITMAP = 1_024, 1 << 16
@@ -351,6 +353,48 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int)
     return rows.mapInArrow(tx.tidy(compare), "a bigint, b bigint"), texts
 
 
+def _open_members(lists: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
+    """token, a, n, component, blocks, map: the members of lists that span several components."""
+    known = lists.join(found.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    spans = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
+    open_ = spans.filter("low <> high").select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    return known.join(open_, "token").join(classes.select(F.col("key").alias("a"), "map"), "a")
+
+
+def _to_some(members: DataFrame, parts: int, num: int, den: int) -> DataFrame:
+    """Pairs of each member with SHOWN members of its list's block, drawn by hash, of other components."""
+    rows = members.withColumn("own", F.pmod(F.hash("a"), F.col("blocks"))).select("token", "own", "a", "n", "component", "map")
+    dealt = rows.repartition(parts, "token", "own").sortWithinPartitions("token", "own", "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        count = 0
+        for g in groups(batches, ["token", "own"]):
+            node, n, comp = (g.column(c).to_numpy() for c in ("a", "n", "component"))
+            maps = g.column("map").to_pylist()
+            sizes = np.array([8 * len(m) for m in maps])
+            h = tx.mix64(node.view(np.uint64) ^ tx.U64(0xD6E8FEB86659FD93))
+            for i in np.argsort(h)[:SHOWN]:
+                near = (sizes == sizes[i]) | (sizes == 2 * sizes[i]) | (2 * sizes == sizes[i])
+                other = np.flatnonzero(near & (comp != comp[i]) & (num * np.maximum(n, n[i]) <= den * np.minimum(n, n[i])))
+                if not len(other):
+                    continue
+                least = int(min(sizes[i], sizes[other].min()))
+                mine = folded(maps[i], least)
+                differing = np.bitwise_count(np.stack([folded(maps[k], least) for k in other]) ^ mine).sum(axis=1).astype(np.int64)
+                other = other[~surely_apart(differing, n[other] + n[i], num, den)]
+                if len(other):
+                    held.append(np.column_stack((np.minimum(node[other], node[i]), np.maximum(node[other], node[i]))))
+                    count += len(other)
+            if count > 20_000:
+                yield _pair_batch(held)
+                held, count = [], 0
+        if held:
+            yield _pair_batch(held)
+
+    return dealt.mapInArrow(tx.tidy(run), "a bigint, b bigint")
+
+
 def _across(members: DataFrame, parts: int, num: int, den: int) -> DataFrame:
     """Pairs of members of one list and different components that their bitmaps leave open.
 
@@ -422,18 +466,22 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     store.drop(texts)
     found = components.components(links)
 
-    lists = scan.filter("kind = 2").select("token", "a", F.col("b").alias("n")).join(found.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    open_ = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).filter("low <> high").select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    members = lists.join(open_, "token").join(classes.select(F.col("key").alias("a"), "map"), "a")
-    across = _across(members, parts, num, den).distinct().join(checked, ["a", "b"], "left_anti")
-    more = store.written(_fit(across, classes, num, den), "more", few=True)
-    if not more.isEmpty():
+    lists = store.written(scan.filter("kind = 2").select("token", "a", F.col("b").alias("n")), "lists", few=True)
+    store.drop(scan)
+    tried = checked
+    # members that no centre took are shown to some of the other components, and what is left to all
+    for pairs_of in (_to_some, _across):
+        pairs = pairs_of(_open_members(lists, found, classes), parts, num, den).distinct().join(tried, ["a", "b"], "left_anti")
+        more = store.written(_fit(pairs, classes, num, den), "more", few=True)
+        if more.isEmpty():
+            continue
+        tried = tried.unionByName(more)
         late, texts = _verified(more, docs, words, num, den)
         late = store.written(late, "links", few=True)
         store.drop(texts)
         if not late.isEmpty():
             found = components.components(late.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    store.drop(scan)
+    store.drop(lists)
     nodes = classes.select("key", "least").join(found.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     names = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = nodes.join(names, "component").select("key", "component", "component_id")
