@@ -100,7 +100,9 @@ def test_links_at_the_threshold(spark, monkeypatch, words, num, den):
     docs = list(enumerate(texts)) + [(r[0] + 1000 if r[0] else r[0], r[1]) for r in cases.odd_rows()]
     rnd.shuffle(docs)
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n", F.lit("clash")).withColumn("key", F.lit("clash")).repartition(3)
-    assert got(ngram_join.jaccard_components(df, words, num, den)) == brute_components(docs, words, num, den)
+    wanted = brute_components(docs, words, num, den)
+    for show_some in (False, True):
+        assert got(ngram_join.jaccard_components(df, words, num, den, show_some)) == wanted
 
 
 def test_empty_join(spark):

@@ -443,11 +443,13 @@ def _pair_batch(held: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, show_some: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id of every row (see the module's text).
 
     Also ``component``, a number of the component that exists without any doc_id (null for empty sets),
-    and ``text_hash``, which tells apart texts of equal doc_id.
+    and ``text_hash``, which tells apart texts of equal doc_id. ``show_some`` adds a round that settles
+    most open members before all are compared: one more pass over the texts, fewer pairs where groups
+    are loose. The result is the same.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = store.partitions_for(docs)
@@ -469,8 +471,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     lists = store.written(scan.filter("kind = 2").select("token", "a", F.col("b").alias("n")), "lists", few=True)
     store.drop(scan)
     tried = checked
-    # members that no centre took are shown to some of the other components, and what is left to all
-    for pairs_of in (_to_some, _across):
+    # members that no centre took are shown to some of the other components if asked, and what is left to all
+    for pairs_of in (_to_some, _across) if show_some else (_across,):
         pairs = pairs_of(_open_members(lists, found, classes), parts, num, den).distinct().join(tried, ["a", "b"], "left_anti")
         more = store.written(_fit(pairs, classes, num, den), "more", few=True)
         if more.isEmpty():
@@ -491,7 +493,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
 
 def one_of_each(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """``docs`` with one document of each component: the one of least doc_id (nulls last). Empty sets stay."""
-    found = store.written(jaccard_components(docs, words, num, den).select("doc_id", "component", "text_hash"), "components", few=True)
+    found = store.written(jaccard_components(docs, words, num, den, show_some=True).select("doc_id", "component", "text_hash"), "components", few=True)
     place = F.row_number().over(Window.partitionBy("component").orderBy(F.col("doc_id").asc_nulls_last(), "text_hash"))
     firsts = found.filter(F.col("component").isNotNull()).withColumn("place", place).filter("place = 1").drop("place")
     kept = firsts.unionByName(found.filter(F.col("component").isNull()).distinct()).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("component").isNotNull().alias("_single"))
