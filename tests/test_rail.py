@@ -455,3 +455,24 @@ def test_query_against_sql(spark, name):
         names = [d[0] for d in cursor.description]
         assert sorted(names) == columns
         assert sorted(tuple(r[names.index(c)] for c in columns) for r in cursor.fetchall()) == rows
+
+
+# -- whole-table queries without SQL, by brute force
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_every_line_is_referenced(spark):
+    tracks = {}
+    for r in sorted(catalog.track_events(spark, SMALL).select("line_id", "event_id", "k").collect(), key=lambda r: r.event_id):
+        tracks.setdefault(r.line_id, []).append((r.k * 37 % 100, r.k * 59 % 100))
+
+    def off(p, a, b):
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        t = max(0.0, min(1.0, ((p[0] - a[0]) * dx + (p[1] - a[1]) * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+        return math.dist(p, (a[0] + dx * t, a[1] + dy * t))
+
+    wanted = {(line, n): min(off((n * 4 + 0.25, n * 3 + 0.5), a, b) for a, b in zip(pts, pts[1:], strict=False)) for line, pts in tracks.items() if len(pts) > 1 for n in range(25)}
+    found = {(r.line_id, r.n_nationkey): r.off_line for r in catalog.QUERIES["q_project_all"](spark, SMALL).collect()}
+    assert found.keys() == wanted.keys() and max(line for line, _ in found) >= 10
+    assert all(abs(found[k] - wanted[k]) <= 0.00051 for k in wanted)

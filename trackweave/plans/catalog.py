@@ -252,10 +252,22 @@ _LEGS = """pts as (
     from sized)"""
 
 
+def _off_lines(spark, sf_dir, legs: DataFrame, ids: DataFrame) -> DataFrame:
+    """How far each nation is from each of the lines."""
+    spots = ids.crossJoin(F.broadcast(table(spark, sf_dir, "nation"))).select("line_id", "n_nationkey", (F.col("n_nationkey") * 4 + 0.25).cast("double").alias("px"), (F.col("n_nationkey") * 3 + 0.5).cast("double").alias("py"))
+    return track.referenced(spots, legs, ["n_nationkey"]).select("line_id", "n_nationkey", F.round("off", 3).alias("off_line"))
+
+
 def q_project(spark, sf_dir):
+    """The ten lines that the SQL has; every line is :func:`q_project_all`."""
     legs = track.legs(_planar(spark, sf_dir))
-    spots = table(spark, sf_dir, "nation").crossJoin(F.broadcast(legs.select("line_id").distinct().filter("line_id < 10"))).select("line_id", "n_nationkey", (F.col("n_nationkey") * 4 + 0.25).cast("double").alias("px"), (F.col("n_nationkey") * 3 + 0.5).cast("double").alias("py"))
-    return track.referenced(spots, legs, ["n_nationkey"]).select("line_id", "n_nationkey", F.round("off", 3).alias("off_line"))
+    return _off_lines(spark, sf_dir, legs, legs.select("line_id").distinct().filter("line_id < 10"))
+
+
+def q_project_all(spark, sf_dir):
+    """Each nation on every line; without SQL, tested by brute force."""
+    legs = track.legs(_planar(spark, sf_dir))
+    return _off_lines(spark, sf_dir, legs, legs.select("line_id").distinct())
 
 
 def q_resample(spark, sf_dir):
