@@ -476,3 +476,35 @@ def test_every_line_is_referenced(spark):
     found = {(r.line_id, r.n_nationkey): r.off_line for r in catalog.QUERIES["q_project_all"](spark, SMALL).collect()}
     assert found.keys() == wanted.keys() and max(line for line, _ in found) >= 10
     assert all(abs(found[k] - wanted[k]) <= 0.00051 for k in wanted)
+
+
+def test_matches_see_every_part(spark):
+    parts = [(r.p_partkey, r.p_brand) for r in catalog.table(spark, SMALL, "part").collect()]
+    sequence = {}
+    for key, brand in parts:
+        sequence[brand] = min(key, sequence.get(brand, key))
+    official = {n: f"No{b}" if n % 3 == 0 else f"{b}站" for b, n in sequence.items()}
+    bare = {n: s.removesuffix("站") for n, s in official.items()}
+    first = {}
+    for key, brand in sorted(parts):
+        first.setdefault(brand[:7], key)
+
+    def best(name):
+        hits = [(-100 if name == b else -80, key, b) for b, key in first.items() if name in b or b in name]
+        return min(hits) if hits else None
+
+    lat = lambda key: round(38.8 + key * 104729 % 600 / 1000, 3)
+    wanted = {n: (official[n], f"地铁{m[2]}", -m[0], lat(m[1])) for n in official if (m := best(bare[n]))}
+    assert any(best(bare[n])[1] % 5 == 0 for n in wanted)
+    found = {r.sequence: (r.official_name, r.osm_name, r.score, r.lat) for r in catalog.QUERIES["q_fuzzy_match_all"](spark, SMALL).collect()}
+    assert found == wanted
+
+    halts = {n: f"Halt {b[6:]}" for b, n in sequence.items() if len(b) == 7}
+    assert {(r.sequence, r.station) for r in catalog.QUERIES["q_unmatched_all"](spark, SMALL).collect()} == set(halts.items())
+    rows = {r.sequence: (r.name, r.lat, r.origin) for r in catalog.QUERIES["q_match_override_all"](spark, SMALL).collect()}
+    taken = {n: best(bare[n]) for n in official if n not in halts}
+    firsts = [(m[2], n, m[1]) for n, m in taken.items()]
+    again = {n: min((-100 if bare[n] == b else -80, pos, key) for b, pos, key in firsts if b in bare[n] or bare[n] in b)[2] for n in taken}
+    odd = {n: (s, 1.5, "override") for n, s in halts.items() if s[-1] in "13579"}
+    assert rows == {n: (official[n], lat(key), "map") for n, key in again.items()} | odd
+    assert 0 < len(odd) < len(halts)

@@ -147,9 +147,19 @@ def _official(spark, sf_dir) -> DataFrame:
     return names.select(F.lit("c").alias("city"), F.lit("l").alias("line"), F.col("sequence").cast("int").alias("sequence"), odd.alias("station"))
 
 
+def _all_candidates(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cand_pos"), F.concat(F.lit("地铁"), F.substring("p_brand", 1, 7)).alias("name"), _lat("p_partkey").alias("lat"), _lng("p_partkey").alias("lng"))
+
+
 def _candidates(spark, sf_dir) -> DataFrame:
-    rows = table(spark, sf_dir, "part").filter("p_partkey % 5 <> 0")
-    return rows.select(F.col("p_partkey").alias("cand_pos"), F.concat(F.lit("地铁"), F.substring("p_brand", 1, 7)).alias("name"), _lat("p_partkey").alias("lat"), _lng("p_partkey").alias("lng"))
+    """The candidates that the SQL has."""
+    return _all_candidates(spark, sf_dir).filter("cand_pos % 5 <> 0")
+
+
+def _all_official(spark, sf_dir) -> DataFrame:
+    """The roster, brands of one digit under names that no candidate has."""
+    other = F.when(F.length("station") <= 9, F.regexp_replace("station", "^(No)?Brand#([0-9])站?$", "Halt $2")).otherwise(F.col("station"))
+    return _official(spark, sf_dir).withColumn("station", other)
 
 
 _MATCH = f"""names as (
@@ -187,6 +197,25 @@ def q_unmatched(spark, sf_dir):
     return matching.unmatched(roster, matching.line_stations(roster, few)).select("sequence", "station")
 
 
+def q_fuzzy_match_all(spark, sf_dir):
+    """All rows of part as candidates, as in the next two; without SQL, tested by brute force."""
+    found = matching.line_stations(_official(spark, sf_dir), _all_candidates(spark, sf_dir))
+    return found.select("sequence", "official_name", "osm_name", "score", F.round("lat", 3).alias("lat"))
+
+
+def q_match_override_all(spark, sf_dir):
+    """Overrides for the stations whose names end in an odd digit; the other unmatched ones leave gaps."""
+    roster = _all_official(spark, sf_dir)
+    named = roster.filter("station RLIKE '[13579]$'").select("city", "line", "station", F.lit(1.5).alias("lat"), F.lit(2.5).alias("lng"))
+    rows = matching.route_stations(roster, _all_candidates(spark, sf_dir), named)
+    return rows.select("sequence", "name", F.round("lat", 3).alias("lat"), F.round("lng", 3).alias("lng"), "origin")
+
+
+def q_unmatched_all(spark, sf_dir):
+    roster = _all_official(spark, sf_dir)
+    return matching.unmatched(roster, matching.line_stations(roster, _all_candidates(spark, sf_dir))).select("sequence", "station")
+
+
 def q_edges(spark, sf_dir):
     return graph.edges(tracks(spark, sf_dir)).select("src", "dst", "way", F.round("distance", 2).alias("distance"))
 
