@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import heapq
+import inspect
 import json
 import math
 import random
@@ -508,3 +510,35 @@ def test_matches_see_every_part(spark):
     odd = {n: (s, 1.5, "override") for n, s in halts.items() if s[-1] in "13579"}
     assert rows == {n: (official[n], lat(key), "map") for n, key in again.items()} | odd
     assert 0 < len(odd) < len(halts)
+
+
+def test_distances_reach_the_end_or_say_so(spark):
+    chain = spark.createDataFrame([(i, i + 1, 1) for i in range(6)], "src long, dst long, distance long")
+    seeds = spark.createDataFrame([(0,)], "seed long")
+    assert {(r.node, r.d) for r in graph.distances(chain, seeds, most_hops=7).collect()} == {(i, i) for i in range(7)}
+    with pytest.raises(ValueError, match="3 hops"):
+        graph.distances(chain, seeds, most_hops=3)
+    looped = spark.createDataFrame([(0, 1, None), (1, 0, None), (0, 2, 4)], "src long, dst long, distance long")
+    assert {(r.node, r.d) for r in graph.distances(looped, seeds).collect()} == {(0, 0), (1, None), (2, 4)}
+    with pytest.raises(ValueError, match="negative"):
+        graph.distances(chain.withColumn("distance", -F.col("distance")), seeds)
+    assert inspect.signature(graph.distances).parameters["most_hops"].default is None
+
+
+def test_distances_of_all_vertices(spark):
+    near = {}
+    for r in catalog._whole_edges(spark, SMALL).collect():
+        own = near.setdefault(r.src, {})
+        own[r.dst] = min(r.distance, own.get(r.dst, r.distance))
+    wanted = set()
+    for seed in near:
+        least, heap = {}, [(0, seed)]
+        while heap:
+            d, node = heapq.heappop(heap)
+            if node not in least:
+                least[node] = d
+                for other, w in near.get(node, {}).items():
+                    heapq.heappush(heap, (d + w, other))
+        wanted |= {(seed, node, d) for node, d in least.items()}
+    found = [(r.seed, r.node, r.d) for r in catalog.QUERIES["q_shortest_path_all"](spark, SMALL).collect()]
+    assert len(found) == len(set(found)) and set(found) == wanted and len(near) > 5

@@ -122,21 +122,27 @@ def shortest_paths(edge_table: DataFrame, pairs: DataFrame) -> DataFrame:
     return light.groupBy("graph_id").cogroup(wanted.groupBy("pair_graph")).applyInPandas(solve, "graph_id string, pair_pos long, pt_pos int, node long")
 
 
-def distances(edge_table: DataFrame, seeds: DataFrame, most_hops: int = 1_000) -> DataFrame:
+def distances(edge_table: DataFrame, seeds: DataFrame, most_hops: int | None = None) -> DataFrame:
     """seed, node, d for all nodes that the seeds (seed) reach, by relaxing all frontiers together.
 
     A round is one join and one aggregation, checkpointed; only whether anything improved reaches the
-    driver, and the rounds are the longest path's hops.
+    driver, and the rounds are the longest path's hops. With ``most_hops``, paths of more raise an error,
+    as negative distances do.
     """
     light = cut_lineage(edge_table.groupBy("src", "dst").agg(F.min("distance").alias("w")))
+    if not light.filter("w < 0").isEmpty():
+        raise ValueError("negative distances")
     known = cut_lineage(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).cast(dict(light.dtypes)["w"]).alias("d"), F.lit(True).alias("fresh")))
-    for _ in range(most_hops):
-        if known.filter("fresh").isEmpty():
-            break
+    hops = 0
+    while not known.filter("fresh").isEmpty():
+        if most_hops is not None and hops >= most_hops:
+            raise ValueError(f"distances still improve after {most_hops} hops")
+        hops += 1
         reached = known.filter("fresh").join(light, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"), (F.col("d") + F.col("w")).alias("d"), F.lit(True).alias("fresh"))
         both = known.withColumn("fresh", F.lit(False)).unionByName(reached)
-        best = both.groupBy("seed", "node").agg(F.min("d").alias("d"), F.min(F.when(~F.col("fresh"), F.col("d"))).alias("old"))
-        known = cut_lineage(best.select("seed", "node", "d", (F.col("old").isNull() | (F.col("d") < F.col("old"))).alias("fresh")))
+        best = both.groupBy("seed", "node").agg(F.min("d").alias("d"), F.min(F.when(~F.col("fresh"), F.col("d"))).alias("old"), F.min("fresh").alias("new"))
+        better = F.coalesce(F.col("d") < F.col("old"), F.col("d").isNotNull() & F.col("old").isNull())
+        known = cut_lineage(best.select("seed", "node", "d", (F.col("new") | better).alias("fresh")))
     return known.select("seed", "node", "d")
 
 

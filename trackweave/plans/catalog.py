@@ -258,6 +258,12 @@ def q_shortest_path(spark, sf_dir):
     return graph.distances(_whole_edges(spark, sf_dir), seeds).select("seed", "node", "d")
 
 
+def q_shortest_path_all(spark, sf_dir):
+    """From every vertex that has an edge, itself included; without SQL, tested by brute force."""
+    whole = _whole_edges(spark, sf_dir)
+    return graph.distances(whole, whole.select(F.col("src").alias("seed")).distinct()).select("seed", "node", "d")
+
+
 def q_route(spark, sf_dir):
     own = tracks(spark, sf_dir)
     stops = table(spark, sf_dir, "nation").select(F.lit("map").alias("graph_id"), F.col("n_regionkey").alias("line_id"), F.col("n_nationkey").alias("sequence"), _lng("n_nationkey").alias("lng"), _lat("n_nationkey").alias("lat"))
