@@ -112,6 +112,14 @@ def test_templates_merge_and_reject(spark):
     assert found[602].verdict == "allow"
 
 
+def test_templates_go_as_deep_as_paths(spark):
+    kinds = {i: "spam" if i < 80 else "news" for i in range(200)}
+    pages = spark.createDataFrame([(i, f"http://deep.test/a/b/c/{k}/d/slug-{i}") for i, k in kinds.items()], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(k == "news"), 0) for i, k in kinds.items()], "doc_id long, quality int, toxic int")
+    found = {r.page_id: (r.template, r.verdict) for r in url_filter.judge(pages, labels, rules=()).collect()}
+    assert found == {i: (f"/a/b/c/{k}/d/*", "block" if k == "spam" else "allow") for i, k in kinds.items()}
+
+
 def test_op3_takes_every_page(spark):
     rows = queries.op3_url_filters(spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count()

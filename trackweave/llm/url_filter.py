@@ -27,7 +27,7 @@ from trackweave.llm import store
 
 #: (action, host, start of path)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-#: Levels of the tree; deeper segments count as one with the last.
+#: Levels of the SQL counterpart, whose last one holds all deeper segments; the tree here has as many as the paths.
 LEVELS = 4
 #: A node with more children than this, of fewer than PAGES pages on average, has a variable segment.
 CHILDREN, PAGES = 50, 20
@@ -82,13 +82,14 @@ def templates(pages: DataFrame, labels: DataFrame | None) -> DataFrame:
 def generalise(raw: DataFrame) -> DataFrame:
     """``raw`` with the column ``template``: the branch of the host's tree that each raw template is in.
 
-    Each level is a table of its own in the shared folder, which keeps the plans short.
+    Each level is a table of its own in the shared folder, which keeps the plans short; there are as
+    many as the deepest path has segments.
     """
     segments = F.split(F.expr("substr(raw, 2)"), "/")
     rows = raw.withColumn("segments", F.when(F.col("raw") == "", F.array().cast("array<string>")).otherwise(segments)).withColumn("template", F.lit(""))
-    for level in range(LEVELS):
-        here = F.get("segments", F.lit(level)) if level < LEVELS - 1 else F.when(F.size("segments") >= LEVELS, F.array_join(F.slice("segments", LEVELS, 1 << 20), "/"))
-        rows = rows.withColumn("here", here)
+    depth = rows.agg(F.max(F.size("segments"))).first()[0] or 0
+    for level in range(depth):
+        rows = rows.withColumn("here", F.get("segments", F.lit(level)))
         kids = rows.filter(F.col("here").isNotNull()).groupBy("host", "template", "here").agg(*(F.sum(c).alias(c) for c in ("n", "seen", "good")))
         kids = kids.withColumn("low", F.coalesce(F.col("good") / F.nullif(F.col("seen"), F.lit(0)) < REJECT, F.lit(False)))
         node = kids.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("n").alias("all_n"))
@@ -102,6 +103,9 @@ def generalise(raw: DataFrame) -> DataFrame:
         step = kids.join(node, ["host", "template"]).join(side, ["host", "template", "low"]).select("host", "template", "here", name.alias("step"))
         rows = rows.join(step, ["host", "template", "here"], "left").withColumn("template", F.when(F.col("step").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "step"))).drop("here", "step")
         rows = store.written(rows, "level", few=True)
+        if level:
+            store.drop(before)
+        before = rows
     return rows.drop("segments")
 
 
