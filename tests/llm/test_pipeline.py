@@ -120,6 +120,16 @@ def test_templates_go_as_deep_as_paths(spark):
     assert found == {i: (f"/a/b/c/{k}/d/*", "block" if k == "spam" else "allow") for i, k in kinds.items()}
 
 
+@pytest.mark.parametrize("copies", [1, 6])
+def test_variable_segments_keep_bad_branches(spark, copies):
+    section = {i: i % 60 for i in range(360)}
+    pages = spark.createDataFrame([(i, f"http://many.test/s{k}x/{i}") for i, k in section.items()] * copies, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(k >= 10), 0) for i, k in section.items()], "doc_id long, quality int, toxic int")
+    found = {r.page_id: (r.template, r.verdict) for r in url_filter.judge(pages, labels, rules=()).collect()}
+    for i, k in section.items():
+        assert found[i] == ((f"/s{k}x/{{n}}", "block") if k < 10 else ("/*/{n}", "allow"))
+
+
 def test_op3_takes_every_page(spark):
     rows = queries.op3_url_filters(spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count()

@@ -2,11 +2,12 @@
 
 DataFrame operations only. A URL's path is first generalised by form (numbers become ``{n}``, long hex
 names ``{h}``), which turns a host's pages into few raw templates with counts. The tree over those is
-then generalised level by level: where a node has many children of few pages each, the segment is
-variable and all of them become ``*``; else the children with a share of good labels under ``REJECT``,
+then generalised level by level: where a node has many children of few distinct URLs each, the segment
+is variable and all of them are one pool, ``*``; else the children with a share of good labels under ``REJECT``,
 and the others (with those without labels), are pooled each; a child whose share doesn't differ from
 its pool's by more than ``Z`` standard errors is merged into one branch with its like (``*low`` or
-``*``), and one that does stays on its own. A template is rejected when its share of good labels, smoothed towards the host's and
+``*``), and one that does stays on its own, in a variable segment too. URLs that repeat don't make a
+segment less variable. A template is rejected when its share of good labels, smoothed towards the host's and
 that towards the whole table's, is under ``REJECT``.
 
 Fixed rules come first: the longest rule that fits decides (equally long ones: the first given).
@@ -29,7 +30,7 @@ from trackweave.llm import store
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: Levels of the SQL counterpart, whose last one holds all deeper segments; the tree here has as many as the paths.
 LEVELS = 4
-#: A node with more children than this, of fewer than PAGES pages on average, has a variable segment.
+#: A node with more children than this, of fewer than PAGES distinct URLs on average, has a variable segment.
 CHILDREN, PAGES = 50, 20
 Z, SMOOTH, REJECT = 3.0, 4.0, 0.5
 #: Templates up to which their verdicts are broadcast (a few hundred bytes each); beyond, joined.
@@ -64,19 +65,19 @@ def raw_template(path: Column) -> Column:
 
 
 def templates(pages: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """One row for each host and raw template: pages, labelled pages, good ones.
+    """One row for each host and raw template: pages, distinct paths, labelled pages, good ones.
 
     A page's label is the quality label of the document its path ends in the number of.
     """
     own = pages.select(host_of().alias("host"), path_of().alias("path"))
-    own = own.select("host", raw_template(F.col("path")).alias("raw"), F.expr("try_cast(nullif(regexp_extract(path, '" + NUMBER + "', 1), '') as bigint)").alias("number"))
+    own = own.select("host", "path", raw_template(F.col("path")).alias("raw"), F.expr("try_cast(nullif(regexp_extract(path, '" + NUMBER + "', 1), '') as bigint)").alias("number"))
     if labels is None:
-        return own.groupBy("host", "raw").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("seen"), F.lit(0).cast("long").alias("good"))
+        return own.groupBy("host", "raw").agg(F.count("*").alias("n"), F.count_distinct("path").alias("urls"), F.lit(0).cast("long").alias("seen"), F.lit(0).cast("long").alias("good"))
     known = labels.filter(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").alias("number")).agg(F.max("quality").alias("quality"))
-    counted = own.groupBy("host", "raw", "number").agg(F.count("*").alias("n"))
+    counted = own.groupBy("host", "raw", "path", "number").agg(F.count("*").alias("n"))
     joined = counted.join(known, "number", "left")
     seen = F.when(F.col("quality").isNotNull(), F.col("n")).otherwise(0)
-    return joined.groupBy("host", "raw").agg(F.sum("n").alias("n"), F.sum(seen).alias("seen"), F.sum(F.when(F.col("quality") == 1, F.col("n")).otherwise(0)).alias("good"))
+    return joined.groupBy("host", "raw").agg(F.sum("n").alias("n"), F.count("*").alias("urls"), F.sum(seen).alias("seen"), F.sum(F.when(F.col("quality") == 1, F.col("n")).otherwise(0)).alias("good"))
 
 
 def generalise(raw: DataFrame) -> DataFrame:
@@ -90,16 +91,17 @@ def generalise(raw: DataFrame) -> DataFrame:
     depth = rows.agg(F.max(F.size("segments"))).first()[0] or 0
     for level in range(depth):
         rows = rows.withColumn("here", F.get("segments", F.lit(level)))
-        kids = rows.filter(F.col("here").isNotNull()).groupBy("host", "template", "here").agg(*(F.sum(c).alias(c) for c in ("n", "seen", "good")))
+        kids = rows.filter(F.col("here").isNotNull()).groupBy("host", "template", "here").agg(*(F.sum(c).alias(c) for c in ("urls", "seen", "good")))
         kids = kids.withColumn("low", F.coalesce(F.col("good") / F.nullif(F.col("seen"), F.lit(0)) < REJECT, F.lit(False)))
-        node = kids.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("n").alias("all_n"))
+        node = kids.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("urls").alias("all_urls"), F.sum("seen").alias("node_seen"), F.sum("good").alias("node_good"))
         side = kids.groupBy("host", "template", "low").agg(F.count("*").alias("alike"), F.sum("seen").alias("all_seen"), F.sum("good").alias("all_good"))
-        share = (F.col("all_good") + 1) / (F.col("all_seen") + 2)
-        variable = (F.col("children") > CHILDREN) & (F.col("all_n") < F.col("children") * PAGES)
+        variable = (F.col("children") > CHILDREN) & (F.col("all_urls") < F.col("children") * PAGES)
+        pool = lambda c: F.when(variable, F.col(f"node_{c}")).otherwise(F.col(f"all_{c}"))  # noqa: B023, E731
+        share = (pool("good") + 1) / (pool("seen") + 2)
         off = F.abs(F.col("good") / F.nullif(F.col("seen"), F.lit(0)) - share)
         similar = (F.col("seen") == 0) | (off * off * F.col("seen") <= Z * Z * share * (1 - share))
-        merged = (F.col("alike") > 1) & similar
-        name = F.when(variable, F.lit("*")).when(merged & F.col("low"), F.lit("*low")).when(merged, F.lit("*")).otherwise(F.col("here"))
+        merged = (variable | (F.col("alike") > 1)) & similar
+        name = F.when(merged & F.col("low") & ~variable, F.lit("*low")).when(merged, F.lit("*")).otherwise(F.col("here"))
         step = kids.join(node, ["host", "template"]).join(side, ["host", "template", "low"]).select("host", "template", "here", name.alias("step"))
         rows = rows.join(step, ["host", "template", "here"], "left").withColumn("template", F.when(F.col("step").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "step"))).drop("here", "step")
         rows = store.written(rows, "level", few=True)
