@@ -187,6 +187,18 @@ def test_fisher_yates_permutes():
     assert np.bincount(firsts).min() > 850
 
 
+def test_op9_reads_back_the_shards_it_writes(spark, monkeypatch):
+    paths = []
+    write = sharding.write_shards
+    monkeypatch.setattr(sharding, "write_shards", lambda shuffled, path: (paths.append(path), write(shuffled, path)))
+    df = queries.op9_sharding(spark, cases.SF)
+    assert len(paths) == 1 and all(paths[0].rsplit("/", 1)[1] in f for f in df.inputFiles())
+    files = {(r.shard, r.slot): (r.doc_id, r.text) for r in spark.read.parquet(paths[0]).collect()}
+    rows = df.collect()
+    assert len(files) == len(rows) == spark.read.parquet(f"{cases.SF}/documents.parquet").count()
+    assert all(files[r.shard, r.slot][0] == r.doc_id and zlib.crc32((files[r.shard, r.slot][1] or "").encode()) == r.text_crc32 for r in rows)
+
+
 def test_sharding_takes_odd_tables(spark):
     size = F.octet_length(F.coalesce("text", F.lit(""))) + 1
     for name, docs in cases.tables(spark).items():

@@ -55,8 +55,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     size = F.octet_length(F.coalesce("text", F.lit(""))) + 1
     shuffled = sharding.two_pass_shuffle(docs, "doc_id", size)
+    path = store.new_path(spark, "shards")
+    sharding.write_shards(shuffled, path)
+    read = spark.read.schema(shuffled.schema).parquet(path)
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    return shuffled.select("doc_id", size.cast("long").alias("size"), crc.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    return read.select("doc_id", size.cast("long").alias("size"), crc.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
