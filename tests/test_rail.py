@@ -542,3 +542,10 @@ def test_distances_of_all_vertices(spark):
         wanted |= {(seed, node, d) for node, d in least.items()}
     found = [(r.seed, r.node, r.d) for r in catalog.QUERIES["q_shortest_path_all"](spark, SMALL).collect()]
     assert len(found) == len(set(found)) and set(found) == wanted and len(near) > 5
+
+
+def test_station_order_takes_points_of_every_line(spark, monkeypatch):
+    seen, order = [], lines.station_order
+    monkeypatch.setattr(lines, "station_order", lambda stations, points: (seen.append(points.select("line_id").distinct().count()), order(stations, points))[1])
+    catalog.QUERIES["q_station_order"](spark, "/root/testdata/sf0.01")
+    assert seen == [catalog.table(spark, "/root/testdata/sf0.01", "events").select("user_id").distinct().count()] and seen[0] > 20

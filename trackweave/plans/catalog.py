@@ -230,7 +230,7 @@ def _sampled_line(spark, sf_dir) -> DataFrame:
 
 
 def q_station_order(spark, sf_dir):
-    points = _sampled_line(spark, sf_dir).filter("line_id < 20")
+    points = _sampled_line(spark, sf_dir)
     stations = table(spark, sf_dir, "nation").select((F.col("n_nationkey") % 20).cast("long").alias("line_id"), F.col("n_nationkey").alias("pos"), "n_name", (_lng("n_nationkey") + 0.0004).alias("lng"), (_lat("n_nationkey") + 0.0003).alias("lat"))
     return lines.station_order(stations, points).select("line_id", "n_name", "idx", "place")
 
