@@ -34,6 +34,14 @@ def odd_rows() -> list[tuple]:
     return rows
 
 
+def complements(n: int) -> tuple[str, str]:
+    """Two words of n letters, a power of two, that every weighted sum of bytes modulo 2**64 confuses."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
 def words(text: str | None) -> list[str]:
     lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     return re.findall(r"[^\x20\x09-\x0D]+", lower)

@@ -58,3 +58,14 @@ def test_words_are_the_contracts_words():
     assert counts.tolist() == [len(cases.words(t)) for t in texts]
     for i, j in tx.pieces(offsets, 100):
         assert j > i and (j == i + 1 or offsets[j] - offsets[i] <= 100)
+
+
+def test_spans_are_told_apart_by_their_bytes():
+    data = np.frombuffer(b"abcdefghij" * 80 + b"abcdefghiX", np.uint8)
+    lanes = tx.eights(data)
+    start, size = np.array([0, 0, 0, 0, 5, 0, 0]), np.array([9, 10, 10, 800, 700, 700, 0])
+    other, other_size = np.array([10, 800, 790, 0, 15, 110, 40]), np.array([9, 10, 10, 800, 700, 700, 0])
+    wanted = [bytes(data[i : i + n]) == bytes(data[j : j + m]) for i, n, j, m in zip(start, size, other, other_size, strict=True)]
+    assert tx.same_spans(lanes, start, size, lanes, other, other_size).tolist() == wanted
+    h = tx.word_numbers(data, start, start + size)
+    assert (h[[0, 3]] == tx.word_numbers(data, other, other + other_size)[[0, 3]]).all()

@@ -20,7 +20,9 @@ over the sizes the table has; sets near it are indexed both ways.
 "Rare first" comes from counting all shingles of all documents into a fixed number of buckets; a
 bucket far above the mean is common. Any order gives the same links, so bucket sharing is harmless.
 
-Equal sets are one node with the smallest doc_id. Node and shingle numbers are 64-bit hashes.
+Equal sets are one node with the smallest doc_id. Node numbers and the shingles that find candidates are
+64-bit hashes (of words by :mod:`trackweave.llm.text`, so no words can be built to agree); a candidate pair
+links by its shingles' words themselves.
 
 Defined results: a text without words is an empty set and links with nothing; null text is empty; a
 null doc_id never names a component unless it has no other (then null); rows with equal doc_id but
@@ -338,14 +340,21 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            one, own = {}, b.column("a").to_pylist()
-            firsts = [i for i, k in enumerate(own) if one.setdefault(k, i) == i]
-            sets = dict(zip([own[i] for i in firsts], sets_of(b.column("text_a").take(pa.array(firsts, pa.int64())), words), strict=True))
+            own = b.column("a").to_pylist()
+            columns = [b.column(c).cast(pa.large_string()) for c in ("text_a", "text_b")]
             keep = []
-            for k, y in zip(own, sets_of(b.column("text_b"), words), strict=True):
-                x = sets[k]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(den * both >= num * (len(x) + len(y) - both))
+            for i, j in tx.pieces(sum(tx.flat(c)[1] for c in columns)):
+                one: dict[int, int] = {}
+                firsts = []
+                for k in range(i, j):
+                    if own[k] not in one:
+                        one[own[k]] = len(firsts)
+                        firsts.append(k)
+                sets = tx.exact_shingles(pa.concat_arrays([columns[0].take(pa.array(firsts, pa.int64())), columns[1].slice(i, j - i)]), words)
+                for k in range(i, j):
+                    x, y = sets[one[own[k]]], sets[len(firsts) + k - i]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(den * both >= num * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda s: texts.select(F.col("key").alias(s), F.col("text").alias(f"text_{s}"))

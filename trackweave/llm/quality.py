@@ -62,18 +62,22 @@ def _distinct(h: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
 def _features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(offsets) - 1
     size = np.diff(offsets)
-    text_of = np.repeat(np.arange(n), size)
-    kinds = np.bincount(text_of * 11 + _KIND[data], minlength=n * 11).reshape(n, 11)[:, :11].astype(float)
+    kinds = np.zeros(n * 11)
+    text_of = np.repeat(np.arange(n, dtype=np.int32), size)
+    for i in range(0, len(data), tx.BATCH_BYTES):
+        kinds += np.bincount(text_of[i : i + tx.BATCH_BYTES] * 11 + _KIND[data[i : i + tx.BATCH_BYTES]], minlength=n * 11)
+    kinds = kinds.reshape(n, 11)
+    del text_of
     start, end, words = tx.words(data, offsets)
     word_of = np.repeat(np.arange(n), words)
     per_text = lambda x: np.bincount(word_of, weights=x, minlength=n)
     length = end - start
     longest = np.zeros(n)
     np.maximum.at(longest, word_of, length)
-    hashes = tx.span_hashes(tx.prefix_hashes(data, fold=True), start, end)
+    hashes = tx.word_numbers(data, start, end, fold=True)
     first_byte, last_byte = data[start], data[end - 1]
-    uppers = np.concatenate(([0], np.cumsum(_UPPER[data])))
-    lowers = np.concatenate(([0], np.cumsum(_LOWER[data])))
+    uppers = np.concatenate(([0], np.cumsum(_UPPER[data], dtype=np.int32)))
+    lowers = np.concatenate(([0], np.cumsum(_LOWER[data], dtype=np.int32)))
     shouted = (uppers[end] - uppers[start] > 1) & (lowers[end] == lowers[start])
     distinct, top = _distinct(hashes, word_of, n)
     if len(hashes) > 2:
@@ -85,7 +89,7 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     trigrams = np.bincount(three_of, minlength=n)
     distinct3, _ = _distinct(three, three_of, n)
     # lines: runs of words between line ends
-    breaks = np.cumsum(data == 10)
+    breaks = np.cumsum(data == 10, dtype=np.int32)
     line_no = breaks[start] if len(start) else start
     new = np.ones(len(start), bool)
     new[1:] = (line_no[1:] != line_no[:-1]) | (word_of[1:] != word_of[:-1])

@@ -3,7 +3,9 @@
 A byte-pair encoder never merges across its pre-tokenizer's cuts. A text is therefore split at places
 where both vocabularies' pre-tokenizers certainly cut (:func:`units`), every distinct unit is encoded
 once by the tokenizers library and remembered under a 64-bit hash of its bytes, and a text's ids are
-the joined ids of its units. Texts with white space beyond ASCII go to the library whole.
+the joined ids of its units. A unit takes remembered ids only where its bytes are those remembered with
+them; should hashes agree where bytes don't, the texts at hand go to the library whole, as texts with
+white space beyond ASCII always do.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from trackweave.llm import text as tx
 
 #: Distinct units that a worker remembers before it starts afresh; bounds memory, never results.
 REMEMBERED = 800_000
+#: Bytes of units that it remembers, a batch's units aside.
+REMEMBERED_BYTES = 32 << 20
 
 #: White space other than the ASCII kinds, and controls on which libraries disagree.
 _ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
@@ -120,6 +124,9 @@ class Encoder:
         self.places = Places(REMEMBERED)
         self.pool = np.zeros(1 << 16, self.width)
         self.at = np.zeros(1 << 16, np.int64)
+        # the remembered units' bytes, end to end, and where each starts
+        self.raw = np.zeros(1 << 16, np.uint8)
+        self.raw_at = np.zeros(1 << 16, np.int64)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -147,17 +154,26 @@ class Encoder:
         if not len(start):
             return np.zeros(0, self.width), np.zeros(n, np.int64)
         end = np.append(start[1:], len(data))
-        codes, distinct = pd.factorize(tx.span_hashes(tx.prefix_hashes(data), start, end) | tx.U64(1))
+        codes, distinct = pd.factorize(tx.word_numbers(data, start, end) | tx.U64(1))
+        # codes count up in order of appearance
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1))
+        lanes, size = tx.eights(data), end - start
+        if not tx.same_spans(lanes, start, size, lanes, start[first[codes]], size[first[codes]]).all():
+            return self._all_whole(data, offsets)
+        if self.raw_at[self.places.n] > REMEMBERED_BYTES:
+            self._forget()
         where = self.places.find(distinct)
+        known = np.flatnonzero(where >= 0)
+        at, own = where[known], first[known]
+        if not tx.same_spans(lanes, start[own], size[own], tx.eights_of(self.raw), self.raw_at[at], self.raw_at[at + 1] - self.raw_at[at]).all():
+            return self._all_whole(data, offsets)
         fresh = np.flatnonzero(where < 0)
         if len(fresh):
             if self.places.n and self.places.n + len(fresh) > REMEMBERED:
                 self._forget()
                 fresh = np.arange(len(distinct))
-            # codes count up in order of appearance
-            first = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1))[fresh]
             raw = data.tobytes()
-            self._learn(distinct[fresh], [raw[i:j].decode("utf-8", "replace") for i, j in zip(start[first].tolist(), end[first].tolist(), strict=True)])
+            self._learn(distinct[fresh], [raw[i:j] for i, j in zip(start[first[fresh]].tolist(), end[first[fresh]].tolist(), strict=True)])
             where = self.places.find(distinct)
         where = where[codes]
         lengths = self.at[where + 1] - self.at[where]
@@ -173,8 +189,19 @@ class Encoder:
             return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
         return ids, np.diff(total)
 
-    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+    def _all_whole(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = self.whole([data[i:j].tobytes().decode("utf-8", "replace") for i, j in zip(offsets[:-1], offsets[1:], strict=True)])
+        counts = np.array([len(f) for f in found], np.int64)
+        return np.fromiter(chain.from_iterable(found), self.width, int(counts.sum())), counts
+
+    def _learn(self, hashes: np.ndarray, raw: list[bytes]) -> None:
+        texts = [r.decode("utf-8", "replace") for r in raw]
         n = self.places.n
+        stop = self.raw_at[n] + np.cumsum([len(r) for r in raw])
+        self.raw_at = _room(self.raw_at, n + 1 + len(stop))
+        self.raw_at[n + 1 : n + 1 + len(stop)] = stop
+        self.raw = _room(self.raw, int(stop[-1]) + 8)
+        self.raw[self.raw_at[n] : stop[-1]] = np.frombuffer(b"".join(raw), np.uint8)
         if n + len(hashes) > REMEMBERED:
             self.places = Places(n + len(hashes))
         self.places.add(hashes)
