@@ -65,6 +65,35 @@ select raw.doc_id, n as n_bytes, cast(coalesce(removed, 0) as bigint) as n_remov
 from raw left join kept on kept.doc_id = raw.doc_id"""
 
 
+#: The whole queue of copies in one order, as the rules say it.
+OP7 = """with raw as (
+    select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size,
+      md5('7919:' || coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))) as key from documents),
+  sources as (select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source is null, source) - 1 as place from raw group by source),
+  weighed as (
+    select *, 3 * source_size as most, case place % 3 when 0 then 5e0 when 1 then 2e0 else 1e0 end as w, cast(sum(source_size) over () as double) as budget from sources),
+  filled as (
+    select *, (budget - coalesce(sum(most) over (order by most / w, place rows between unbounded preceding and 1 preceding), 0))
+      / sum(w) over (order by most / w, place rows between current row and unbounded following) as level from weighed),
+  levelled as (select *, level * w > most as fills from filled),
+  goals as (
+    select source, source_size, place, budget,
+      case when fills then cast(most as double) else w * (select arg_min(level, (most / w, place)) from levelled where not fills) end as target from levelled),
+  queue as (
+    select r.doc_id, r.source, size, source_size, target, place, budget, row_number() over () as item,
+      cast(sum(size) over (partition by r.source order by key rows unbounded preceding) as bigint) as upto
+    from raw r join goals g on r.source is not distinct from g.source),
+  copies as (
+    select item, size, place, budget, cast(e * source_size + upto as double) / target as time from queue, range(3) t(e) where size > 0 and target > 0),
+  ordered as (select *, cast(sum(size) over (order by time, place rows unbounded preceding) as bigint) as total from copies),
+  edge as (select arg_min(time, total) as time, arg_min(place, total) as place, min(total) as total, arg_min(size, total) as size, any_value(budget) as budget from ordered where total > budget),
+  taken as (
+    select item, count(*) as n from ordered o left join edge on true
+    where edge.time is null or o.time < edge.time or (o.time = edge.time and (o.place < edge.place or (o.place = edge.place and edge.total - edge.budget < edge.budget - (edge.total - edge.size))))
+    group by item)
+select doc_id, cast(size as bigint) as size, source_size, target, cast(size * coalesce(n, 0) as bigint) as taken from queue left join taken on taken.item = queue.item"""
+
+
 def _op3() -> str:
     u = url_filter
     name = f"regexp_replace(regexp_replace(path, '/[0-9]+(\\.[A-Za-z]{{1,5}})?(/|$)', '/{{n}}\\1\\2', 'g'), '/[0-9]+(\\.[A-Za-z]{{1,5}})?(/|$)', '/{{n}}\\1\\2', 'g')"
@@ -121,4 +150,4 @@ select page_id, n.host, path, {rule.replace("host", "n.host")} as rule,
 from named n join judged j on j.host = n.host and j.raw = n.raw"""
 
 
-ORACLES = {"op2_ngram_join": OP2, "op3_url_filters": _op3(), "op4_embedding_dedup": OP4, "op6_suffix_dedup": OP6}
+ORACLES = {"op2_ngram_join": OP2, "op3_url_filters": _op3(), "op4_embedding_dedup": OP4, "op6_suffix_dedup": OP6, "op7_mixing": OP7}
