@@ -1,12 +1,16 @@
-"""Packing token pieces into sequences: hierarchical residual best-fit.
-
-Round 0 packs the items of each partition best-fit, longest first. Bins that are nearly full leave;
-the underfull ones travel on as items of their own, to an eighth as many partitions a round, until one
-partition is left. So no task ever holds more than its share of underfull bins, and a round is a table
-in the shared folder, so a lost executor repeats its round only.
-
-Defined results: a null text is empty and still one piece with the end id; repeated rows are packed
-each; an item longer than the capacity is refused; an empty table gives no rows; other columns pass by.
+"""Packing token pieces into sequences: hierarchical residual packing.
+
+Round 0 packs the items of each partition best-fit, longest first. Bins that are nearly full leave, and so
+do those that no bin left could join (:func:`partners`); the others travel on as items of their own, to an
+eighth as many partitions a round. Best-fit leaves a partition at most one bin that is half full or less,
+two bins can only be joined if one of them is, and each such bin takes one partner with it: so at most two
+bins a partition of round 0 ever travel, whatever the items are, and no later task holds more than that.
+A round is a table in the shared folder, so a lost executor repeats its round only.
+
+Defined results: a null text is empty and still one piece with the end id; a very long text is cut into
+pieces by its ids, all of them; items of equal length are packed in the order they stand in; repeated rows
+are packed each; an item longer than the capacity is refused; an empty table gives no rows; other columns
+pass by, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,8 +20,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trackweave.llm import store, tokens
 from trackweave.llm import text as tx
@@ -27,6 +32,8 @@ CAPACITY = 1024
 SLACK = 2
 FAN_IN = 8
 END = 2
+#: Chosen bins (a number each) up to which their table is broadcast; beyond, joined.
+BROADCAST_BINS = 1_000_000
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -84,14 +91,39 @@ def best_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
+def partners(fills: dict[int, int], capacity: int = CAPACITY) -> dict[int, int]:
+    """Of the bins open after a round (how many by fill), how many of each fill stay open for the next.
+
+    Small bins (half full or less) stay, if anything fits them. Each may pull in one larger bin: the
+    fullest that has room for it, largest small ones first.
+    """
+    left = {f: n for f, n in fills.items() if 2 * f > capacity}
+    small = sorted(((f, n) for f, n in fills.items() if 2 * f <= capacity), reverse=True)
+    stay: dict[int, int] = {}
+    for fill, n in small:
+        wanted = n
+        for f in sorted((f for f in left if f + fill <= capacity and left[f]), reverse=True):
+            got = min(wanted, left[f])
+            left[f] -= got
+            stay[f] = stay.get(f, 0) + got
+            wanted -= got
+            if not wanted:
+                break
+    if stay or sum(n for _, n in small) > 1:
+        stay |= dict(small)
+    return stay
+
+
 def pack(items: DataFrame, capacity: int = CAPACITY, slack: int = SLACK) -> DataFrame:
     """``items`` (with a column ``length``) and their ``sequence_id`` and gapless ``offset`` in it."""
     columns = [c for c in items.columns if c not in ("sequence_id", "offset")]
-    # a table first, so that making the items and packing them don't share a task's memory
-    items = store.written(items.select(*(f"`{c}`" for c in columns)), "items")
-    member = items.schema.simpleString().removeprefix("struct")
-    shape = f"bin bigint, fill bigint, members array<struct{member}>"
-    bins = items.select(F.lit(0).cast("long").alias("bin"), F.col("length").cast("long").alias("fill"), F.array(F.struct(*(f"`{c}`" for c in columns))).alias("members"))
+    # a table first, so that making the items and packing them don't share a task's memory; columns by number
+    items = items.select(*(f"`{c}`" for c in columns))
+    kinds = [f.dataType for f in items.schema.fields]
+    items = store.written(store.numbered(items), "items")
+    length = columns.index("length")
+    shape = T.StructType([T.StructField("bin", T.LongType()), T.StructField("fill", T.LongType()), T.StructField("members", T.ArrayType(items.schema))])
+    bins = items.select(F.lit(0).cast("long").alias("bin"), F.col(f"c{length}").cast("long").alias("fill"), F.array(F.struct(*items.columns)).alias("members"))
 
     def rounds(number: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,46 +158,47 @@ def pack(items: DataFrame, capacity: int = CAPACITY, slack: int = SLACK) -> Data
     while True:
         table = store.written(bins.mapInArrow(tx.tidy(rounds(number)), shape), f"bins{number}")
         parts = max(1, table.rdd.getNumPartitions() if parts is None else parts)
-        open_bin = F.col("fill") < capacity - slack
-        if number and parts == 1:
+        open_bin = table.filter(F.col("fill") < capacity - slack)
+        fills = dict(open_bin.groupBy("fill").count().collect())  # no more rows than the capacity
+        stay = partners(fills, capacity)
+        if not stay or (number and parts == 1):
             done.append(table)
             break
-        done.append(table.filter(~open_bin))
         parts, number = -(-parts // FAN_IN), number + 1
-        bins = table.filter(open_bin).repartitionById(parts, F.pmod(F.hash("bin"), F.lit(parts)))
+        whole = [f for f, n in stay.items() if n == fills[f]]
+        some = {f: n for f, n in stay.items() if n < fills[f]}
+        goes_on = F.col("fill").isin(whole) if whole else F.lit(False)
+        if some:
+            # of bins equally full, the first few by number; the window keeps that many a task before it shuffles
+            ranked = open_bin.filter(F.col("fill").isin(list(some))).select("bin", "fill", F.row_number().over(Window.partitionBy("fill").orderBy("bin")).alias("r")).filter(F.col("r") <= max(some.values()))
+            wanted = F.element_at(F.create_map(*(F.lit(int(x)) for f, n in some.items() for x in (f, n))), F.col("fill").cast("int"))
+            chosen = store.written(ranked.filter(F.col("r") <= wanted).select("bin", F.lit(True).alias("chosen")), "chosen", few=True)
+            # one row a chosen bin: no more than partitions, see the module's text
+            table = table.join(F.broadcast(chosen) if sum(some.values()) <= BROADCAST_BINS else chosen, "bin", "left")
+            goes_on = goes_on | F.col("chosen").isNotNull()
+        done.append(table.filter(~goes_on).select("bin", "fill", "members"))
+        bins = table.filter(goes_on).select("bin", "fill", "members").repartitionById(parts, F.pmod(F.hash("bin"), F.lit(parts)))
     full = done[0]
     for more in done[1:]:
         full = full.unionByName(more)
-    return _places(full, columns, member)
+    return _places(full, columns, kinds, length)
 
 
-def _places(bins: DataFrame, columns: list[str], member: str) -> DataFrame:
+def _places(bins: DataFrame, columns: list[str], kinds: list[T.DataType], at: int) -> DataFrame:
     """One row a member: its bin, and the lengths of the members before it as offset."""
-    numbered = bins.select(F.col("bin").alias("sequence_id"), "members")
+    names = [*columns, "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column("members")
             values = lists.flatten()
             counts = np.diff(lists.offsets.to_numpy())
-            length = values.field("length").to_numpy(zero_copy_only=False).astype(np.int64)
+            length = values.field(at).to_numpy(zero_copy_only=False).astype(np.int64)
             before = np.cumsum(length) - length
             first = np.cumsum(counts) - counts
             offset = before - np.repeat(before[first] if len(first) else before[:0], counts)
-            sequence = np.repeat(b.column("sequence_id").to_numpy(), counts)
-            yield pa.RecordBatch.from_arrays([*values.flatten(), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], [*columns, "sequence_id", "offset"])
-
-    inner = member[1:-1]
-    return numbered.mapInArrow(tx.tidy(run), f"{', '.join(f'`{c}` {t}' for c, t in (x.split(':', 1) for x in _fields(inner)))}, sequence_id bigint, offset bigint")
-
-
-def _fields(text: str) -> list[str]:
-    """The fields of a struct's simple string, cut at its outer commas."""
-    out, depth, last = [], 0, 0
-    for i, c in enumerate(text):
-        depth += c in "<("
-        depth -= c in ">)"
-        if c == "," and not depth:
-            out.append(text[last:i])
-            last = i + 1
-    return [*out, text[last:]]
+            sequence = np.repeat(b.column("bin").to_numpy(), counts)
+            yield pa.RecordBatch.from_arrays([*values.flatten(), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names)
+
+    schema = T.StructType([*(T.StructField(c, k) for c, k in zip(columns, kinds, strict=True)), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return bins.select("bin", "members").mapInArrow(tx.tidy(run), schema)
