@@ -44,7 +44,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return mixing.planned(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,10 +54,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     size = F.octet_length(F.coalesce("text", F.lit(""))) + 1
-    shuffled = sharding.two_pass_shuffle(docs, "doc_id", size)
-    path = store.new_path(spark, "shards")
-    sharding.write_shards(shuffled, path)
-    read = spark.read.schema(shuffled.schema).parquet(path)
+    read = sharding.write_shards(docs, store.new_path(spark, "shards"), "doc_id", size)
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
     return read.select("doc_id", size.cast("long").alias("size"), crc.alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 

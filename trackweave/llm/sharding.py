@@ -1,15 +1,21 @@
 """Sharding by a two-pass external shuffle.
 
-Pass 1 scatters the records into buckets by a seeded hash of their key; a shard has as many buckets as
-keep a bucket at about ``bucket_bytes``. Pass 2 takes one bucket a task, sorts it (so that a repeated
-task repeats itself), Fisher-Yates shuffles it with a generator seeded by the bucket, and hands it on.
+Pass 1 scatters the records into buckets by seeded hashes; a shard has as many buckets as keep a bucket at
+about ``bucket_bytes``. Pass 2 takes one bucket a task, sorts it (so that a repeated task repeats itself),
+Fisher-Yates shuffles it with a generator seeded by the bucket, and writes it. A record's slot is its place
+in its bucket plus the records in the shard's buckets before, both taken from the files.
 
 The law is ``key``: doc_id and the shard count alone decide the shard, by jump consistent hashing, so
-with one more shard a record either stays or moves to the new one.
-
-Defined results: null text has size 1; a null doc_id is a key of its own; rows with equal doc_id share
-a shard (as the law asks) and repeated rows get slots of their own; an empty table gives no rows; all
-columns of the input come through, except that ``shard``, ``slot`` and ``grown_shard`` are replaced.
+with one more shard a record either stays or moves to the new one. Groups of equal texts stay together
+only as far as their doc_ids send them to one shard; moving a record to its text's group would break the
+law. Only the shard follows the key: in its shard a record's bucket is drawn from the key, all its other
+columns and its place in the input, so a repeated or null doc_id, or a row repeated over and over, spreads
+over all buckets of its shard.
+
+Defined results: null text has size 1; a very long text is one record; a null doc_id is a key of its own;
+rows with equal doc_id share a shard (as the law asks), equal rows get slots of their own; an empty table
+gives no rows; all columns of the input come through, except that ``shard``, ``slot`` and ``grown_shard``
+are replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,10 +38,6 @@ BUCKET_BYTES = 16 << 20
 BROADCAST_BUCKETS = 1_000_000
 
 
-def hashed(key: str, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col(key).isNull(), F.col(key))
-
-
 def jump_shard(key: str, shards: int, seed: int = SEED) -> Column:
     """Jump consistent hashing: step k moves the key to shard k with chance 1 / (k + 1), by a draw of its own.
 
@@ -46,19 +48,20 @@ def jump_shard(key: str, shards: int, seed: int = SEED) -> Column:
     return F.greatest(F.lit(0), F.lit(0), *(F.when(c, F.lit(k)).otherwise(F.lit(0)) for k, c in enumerate(chance, 1))).cast("int")
 
 
-def two_pass_shuffle(records: DataFrame, key: str, size: Column, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """``records`` with shard, slot (gapless from 0 in a shard) and grown_shard, each bucket shuffled."""
-    records = records.drop("shard", "slot", "grown_shard", "_bucket", "_size")
+def scattered(records: DataFrame, key: str, size: Column, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """``records`` with shard, grown_shard, _bucket and _at, the record's place in its shuffled bucket."""
+    records = records.drop("shard", "slot", "grown_shard", "_bucket", "_at")
     total = records.agg(F.sum(size)).first()[0] or 0
     per = max(1, -(-int(total) // (shards * bucket_bytes)))
     dealt = records.withColumn("shard", jump_shard(key, shards, seed)).withColumn("grown_shard", jump_shard(key, shards + 1, seed))
-    dealt = dealt.withColumn("_bucket", (F.col("shard") * per + F.pmod(hashed(key, seed + 1), F.lit(per))).cast("int"))
-    counts = dealt.groupBy("_bucket", "shard").agg(F.count("*").alias("n"))
-    offsets = counts.select("_bucket", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    plain = [F.col(f"`{f.name}`") for f in records.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    # the place only tells apart rows that are otherwise equal
+    place = F.xxhash64(F.lit(seed + 1), *plain, F.monotonically_increasing_id())
+    dealt = dealt.withColumn("_bucket", (F.col("shard") * per + F.pmod(place, F.lit(per))).cast("int"))
 
     columns = dealt.columns
-    sortable = [F.col(f"`{f.name}`") for f in dealt.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    scattered = dealt.repartitionById(shards * per, F.col("_bucket")).sortWithinPartitions(F.col("_bucket"), F.col(f"`{key}`"), F.struct(*sortable))
+    order = F.xxhash64(*plain)
+    in_buckets = dealt.repartitionById(shards * per, F.col("_bucket")).sortWithinPartitions(F.col("_bucket"), F.col(f"`{key}`"), order, F.struct(*plain))
     out = T.StructType([*dealt.schema.fields, T.StructField("_at", T.LongType())])
     bucket = columns.index("_bucket")
 
@@ -78,10 +81,31 @@ def two_pass_shuffle(records: DataFrame, key: str, size: Column, shards: int = S
                 part = table.take(pa.array(i + some)).append_column("_at", pa.array(np.arange(k, k + len(some)), pa.int64()))
                 yield from part.rename_columns(out.names).combine_chunks().to_batches()
 
-    shuffled = store.numbered(scattered).mapInArrow(tx.tidy(run), out)
-    if shards * per <= BROADCAST_BUCKETS:
-        offsets = F.broadcast(offsets)
-    return shuffled.join(offsets, "_bucket").withColumn("slot", F.col("_first") + F.col("_at")).select(*(f"`{c}`" for c in columns if c != "_bucket"), "slot")
+    return store.numbered(in_buckets).mapInArrow(tx.tidy(run), out)
+
+
+def write_shards(records: DataFrame, path: str, key: str, size: Column, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Writes each shard as a folder of Parquet files, one a bucket, rows in their shuffled order, and
+    gives what :func:`read_shards` reads back from them."""
+    shuffled = scattered(records, key, size, shards, seed, bucket_bytes)
+    shuffled.sortWithinPartitions("shard", "_bucket", "_at").write.partitionBy("shard").parquet(path)
+    return read_shards(records.sparkSession, path, shuffled.schema)
+
+
+def read_shards(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """The records of written shards, with their slot (gapless from 0 in a shard)."""
+    rows = (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    counts = rows.groupBy("shard", "_bucket").agg(F.count("*").alias("n"))
+    firsts = counts.select("_bucket", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    firsts = store.written(firsts, "firsts", few=True)
+    few = firsts.count() <= BROADCAST_BUCKETS
+    names = [c for c in rows.columns if c not in ("_bucket", "_at")]
+    return rows.join(F.broadcast(firsts) if few else firsts, "_bucket").withColumn("slot", F.col("_first") + F.col("_at")).select(*(f"`{c}`" for c in names), "slot")
+
+
+def two_pass_shuffle(records: DataFrame, key: str, size: Column, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """``records`` with shard, slot and grown_shard, by way of shards in the shared folder."""
+    return write_shards(records, store.new_path(records.sparkSession, "shards"), key, size, shards, seed, bucket_bytes)
 
 
 def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
@@ -93,8 +117,3 @@ def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
         k = draws[i]
         order[i], order[k] = order[k], order[i]
     return np.array(order, np.int64)
-
-
-def write_shards(shuffled: DataFrame, path: str) -> None:
-    """Writes each shard as a folder of Parquet files whose rows stand by slot."""
-    shuffled.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
