@@ -3,17 +3,21 @@
 Vectors are normalised; a table's bucket is the tuple of ``k`` quantised Gaussian projections, so
 vectors at a small Euclidean distance (a high cosine) often share it. ``k`` grows with the logarithm
 of the number of vectors, which keeps the number of unrelated vectors in a bucket about constant, and
-the number of tables follows from the recall wanted at the threshold itself.
+the number of tables follows from the recall wanted at the threshold itself. Comparing a block is one
+matrix product, moving its vectors is a shuffle; so buckets are large and tables few: 5 tables for
+50,000 vectors, 41 for a billion.
 
 Equal vectors are collapsed first and count by how many they are. Inside a bucket the cosines of a
-block of vectors are one matrix product in double precision; a pair is counted in the first table in
-which both share a bucket, so every link counts once and no pair leaves the task: only each vector's
-number of links and one link to its least neighbour's cluster do. A bucket above ``BLOCK`` vectors is
-dealt out as pairs of blocks.
+block of vectors are taken in double precision; a pair is counted in the first table in which both
+share a bucket, so every link counts once and no pair leaves the task: only each vector's number of
+links and one link to its least neighbour's cluster do. A bucket above ``BLOCK`` vectors is dealt out
+as pairs of blocks. A vector is shuffled once a table, in the precision it came in, with the numbers of
+its buckets in the tables before.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing;
-vectors of different length never link; equal vectors (repeated rows too) link with each other; an
-empty table gives no rows; other columns pass by.
+vectors of different length never link; equal vectors (repeated rows too) link with each other; a very
+long vector is one like others; a cosine at the threshold links; of tied ids the component's name is the
+least; an empty table gives no rows; other columns pass by.
 """
 
 from __future__ import annotations
@@ -26,16 +30,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trackweave.llm import components, store
 from trackweave.llm import text as tx
 
 COSINE = 0.95
-WIDTH = 1.0
+WIDTH = 1.75
 RECALL = 0.95
 SEED = 11
 #: Unrelated vectors that a bucket holds on average; vectors of a block.
-CROWD, BLOCK = 8, 1_024
+CROWD, BLOCK = 1_024, 2_048
+#: Buckets of more than one block (two numbers each) up to which their table is broadcast; beyond, joined.
+BROADCAST_BUCKETS = 1_000_000
 
 
 def collision(distance: float, width: float = WIDTH) -> float:
@@ -47,7 +54,7 @@ def collision(distance: float, width: float = WIDTH) -> float:
 def plan(n: int, cosine: float = COSINE, recall: float = RECALL, width: float = WIDTH) -> tuple[int, int]:
     """Projections a table, and tables, for n vectors."""
     far = collision(math.sqrt(2), width)
-    k = max(4, math.ceil(math.log(max(n, 2) / CROWD) / -math.log(far)))
+    k = max(1, math.ceil(math.log(max(n, 2) / CROWD) / -math.log(far)))
     near = collision(math.sqrt(2 - 2 * cosine), width) ** k
     return k, max(1, math.ceil(math.log(1 - recall) / math.log(1 - near)))
 
@@ -78,18 +85,22 @@ def hashes(unit: np.ndarray, k: int, tables: int, seed: int = SEED, width: float
     rng = np.random.default_rng([seed, unit.shape[1], k, tables])
     directions = rng.standard_normal((unit.shape[1], tables * k))
     cells = np.floor((unit @ directions + rng.uniform(0, width, tables * k)) / width).astype(np.int64).astype(np.uint64).reshape(len(unit), tables, k)
-    h = np.broadcast_to(np.arange(tables, dtype=np.uint64) + np.uint64(1 + (unit.shape[1] << 20)), cells.shape[:2]).copy()
+    h = np.broadcast_to(tx.mix64(np.arange(tables, dtype=np.uint64) + np.uint64(1 + (unit.shape[1] << 20))), cells.shape[:2]).copy()
     for i in range(k):
         h = tx.mix64(h ^ (cells[:, :, i] + np.uint64(0x9E3779B97F4A7C15)))
     return h.astype(np.int64)
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        vectors = _usable(b.column("embedding"))
-        data = [None if v is None else v.astype("<f8").tobytes() for v in vectors]
-        keys = [None if d is None else hashlib.blake2b(d, digest_size=16).digest() for d in data]
-        yield pa.RecordBatch.from_arrays([b.column("vec_id").cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(data, pa.binary())], ["vec_id", "key", "data"])
+def _packed(kind: str):
+    """vec_id, key (a digest; null for unusable vectors) and data, the components as ``kind``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = [None if v is None else v.astype(kind).tobytes() for v in _usable(b.column("embedding"))]
+            keys = [None if d is None else hashlib.blake2b(d, digest_size=16).digest() for d in data]
+            yield pa.RecordBatch.from_arrays([b.column("vec_id").cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(data, pa.binary())], ["vec_id", "key", "data"])
+
+    return run
 
 
 def _cluster(adjacent: np.ndarray) -> np.ndarray:
@@ -105,32 +116,35 @@ def _cluster(adjacent: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _count(ids: np.ndarray, many: np.ndarray, side: np.ndarray, data: list[bytes], keys: np.ndarray, table: int, cross: bool, cosine: float):
+def _count(ids: np.ndarray, many: np.ndarray, side: np.ndarray, x: np.ndarray, keys: np.ndarray, cross: bool, cosine: float):
     """Links first met in this bucket: (vector, number of linked vectors, a linked cluster's least vector)."""
-    unit = _unit(np.frombuffer(b"".join(data), "<f8").reshape(len(ids), -1))
+    unit = _unit(x)
     linked = unit @ unit.T >= cosine
     np.fill_diagonal(linked, False)
     if cross:
         linked &= side[:, None] != side[None, :]
-    for t in range(table):
+    for k in keys.T:
         if not linked.any():
             break
-        linked &= keys[:, t][:, None] != keys[:, t][None, :]
+        linked &= k[:, None] != k[None, :]
+    rows = np.flatnonzero(linked.any(axis=1))
+    linked, ids, many = linked[np.ix_(rows, rows)], ids[rows], many[rows]
     root = _cluster(linked)
     least = np.full(len(ids), np.iinfo(np.int64).max)
     np.minimum.at(least, root, ids)
-    rows = np.flatnonzero(linked.any(axis=1))
-    return ids[rows], (linked[rows] @ many.astype(np.float64)).astype(np.int64), least[root[rows]]
+    return ids, (linked @ many.astype(np.float64)).astype(np.int64), least[root]
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
-    rows = store.written(vectors.select("vec_id", "embedding").mapInArrow(tx.tidy(_packed), "vec_id bigint, key binary, data binary"), "vectors", few=True)
-    classes = rows.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("many"), F.any_value("data").alias("data"))
+    kind = "<f4" if vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType()) else "<f8"
+    packed = vectors.select("vec_id", "embedding").mapInArrow(tx.tidy(_packed(kind)), "vec_id bigint, key binary, data binary")
+    rows = store.written(packed.select("vec_id", "key"), "vectors", few=True)
     # nodes get numbers of their own: ids may be null or repeat
     node = F.xxhash64("key")
-    n = classes.count()
-    k, tables = plan(n, cosine, recall)
+    known = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("many"))
+    known = store.written(known.select(node.alias("node"), "key", "least", "many"), "known", few=True)
+    k, tables = plan(known.count(), cosine, recall)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -139,35 +153,41 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
             sizes = np.array([len(d) for d in data], np.int64)
             for s in np.unique(sizes):
                 at = np.flatnonzero(sizes == s)
-                unit = _unit(np.frombuffer(b"".join(data[i] for i in at), "<f8").reshape(len(at), -1))
+                unit = _unit(np.frombuffer(b"".join(data[i] for i in at), kind).reshape(len(at), -1))
                 for i, h in zip(at, hashes(unit, k, tables), strict=True):
                     found[i] = h.tolist()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found if len(data) else [], pa.list_(pa.int64()))], [*b.schema.names, "buckets"])
 
-    held = store.written(classes.select(node.alias("node"), "key", "least", "many", "data").mapInArrow(tx.tidy(hashed), "node bigint, key binary, least bigint, many bigint, data binary, buckets array<bigint>"), "hashed", few=True)
-    spread = held.select("node", F.posexplode("buckets").alias("table", "bucket"))
-    sizes = spread.groupBy("table", "bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    blocks = sizes.select("table", "bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = held.select("node", "many", "data", "buckets", F.posexplode("buckets").alias("table", "bucket")).join(blocks, ["table", "bucket"])
+    single = packed.filter("key IS NOT NULL").groupBy(node.alias("node")).agg(F.count("*").alias("many"), F.any_value("data").alias("data"))
+    held = store.written(single.mapInArrow(tx.tidy(hashed), "node bigint, many bigint, data binary, buckets array<bigint>"), "hashed", few=True)
+    # a bucket's number holds its table's
+    hot = held.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK)
+    hot = store.written(hot.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "hot", few=True)
+    members = held.select("node", "many", "data", "buckets", F.posexplode("buckets").alias("table", "bucket"))
+    members = members.withColumn("buckets", F.slice("buckets", F.lit(1), F.col("table")))
+    members = members.join(F.broadcast(hot) if hot.count() <= BROADCAST_BUCKETS else hot, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     members = members.withColumn("own", F.pmod(F.hash("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).select("table", "bucket", "low", "high", "own", "node", "many", "data", "buckets")
+    pair = F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other")
+    members = members.select("bucket", pair.alias("pair"), (F.col("own") > F.col("other")).alias("side"), "node", "many", "data", "buckets")
     parts = store.partitions_for(vectors)
-    dealt = members.repartition(parts, "table", "bucket", "low", "high").sortWithinPartitions("table", "bucket", "low", "high", "node")
+    dealt = members.repartition(parts, "bucket", "pair").sortWithinPartitions("bucket", "pair", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, ["table", "bucket", "low", "high"]):
+        for group in groups(batches, ["bucket", "pair"]):
             if group.num_rows < 2:
                 continue
-            first = group.slice(0, 1).to_pylist()[0]
-            keys = np.array(group.column("buckets").to_pylist(), np.int64)
-            found = _count(group.column("node").to_numpy(), group.column("many").to_numpy(), group.column("own").to_numpy(), group.column("data").to_pylist(), keys, first["table"], first["low"] != first["high"], cosine)
+            pair = group.column("pair")[0].as_py()
+            keys = group.column("buckets").combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
+            x = np.frombuffer(b"".join(group.column("data").to_pylist()), kind).reshape(group.num_rows, -1)
+            side = group.column("side").to_numpy(zero_copy_only=False)
+            found = _count(group.column("node").to_numpy(), group.column("many").to_numpy(), side, x, keys, pair >> 31 != pair & (1 << 31) - 1, cosine)
             if len(found[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["node", "links", "near"])
 
     found = store.written(dealt.mapInArrow(tx.tidy(run), "node bigint, links bigint, near bigint"), "links", few=True)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts_of = components.components(found.select(F.col("node").alias("a"), F.col("near").alias("b")))
-    known = held.select("node", "key", "least", "many").join(links, "node", "left").join(parts_of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = known.join(links, "node", "left").join(parts_of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = known.groupBy("component").agg(F.min("least").alias("component_id"))
     known = known.join(named, "component").select("key", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("links"), "component_id")
     out = rows.select("vec_id", "key").join(known, "key", "left")
