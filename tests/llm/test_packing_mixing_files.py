@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import cases
 from trackweave.llm import fingerprints, mixing, packing, queries, sharding, store, token_files, tokens
+from trackweave.llm import text as tx
 
 
 def tokenizer(name):
@@ -53,6 +54,33 @@ def test_forgetting_units_changes_nothing(monkeypatch):
         assert [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:], strict=True)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_built_to_collide_stay_apart(spark, n):
+    a, b = cases.complements(n)
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        t, e = tokenizer(name), tokens.Encoder(tokens.path(name))
+        for texts in ([a, b, f"x {a} {b}"], [b, a]):
+            ids, at = e.encode(pa.array(texts))
+            assert [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:], strict=True)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    x, y = fingerprints.sketches(pa.array([a, b]))
+    assert x.tolist() != y.tolist()
+    docs = spark.createDataFrame([(1, a, "s"), (2, b, "s")], "doc_id long, text string, source string").coalesce(1)
+    check_packed(packing.pack(packing.pieces(docs, tokens.path("byte_bpe_50k.json"))).collect(), {1: a, 2: b})
+    path = store.new_path(spark, "complements")
+    token_files.write(docs, path, tokens.path("word_bpe_49k.json"))
+    t = tokenizer("word_bpe_49k.json")
+    assert {r.doc_id: r.ids_crc32 for r in token_files.read_documents(spark, path).collect()} == {i: crc(t.encode(x, add_special_tokens=False).ids + [1]) for i, x in ((1, a), (2, b))}
+
+
+def test_colliding_hashes_change_no_ids(monkeypatch):
+    monkeypatch.setattr(tx, "word_numbers", lambda data, start, end, fold=False: (end - start).astype(np.uint64) * np.uint64(2))
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        t, e = tokenizer(name), tokens.Encoder(tokens.path(name))
+        for texts in (["one two six", "ten"], ["ten"], ["one"], ["two two", None, "a" * 700 + " " + "b" * 700]):
+            ids, at = e.encode(pa.array(texts, pa.string()))
+            assert [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:], strict=True)] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
 # -- packing
 
 
@@ -114,6 +142,28 @@ def test_rounds_merge_underfull_bins(spark):
     assert len({r.sequence_id for r in rows}) <= sum(i % 97 + 1 for i in range(4000)) / 1024 * 1.01 + 1
 
 
+def test_bins_without_partners_leave(spark, monkeypatch):
+    seen = []
+    write = store.written
+    monkeypatch.setattr(store, "written", lambda df, name, few=False: (lambda t: (seen.append((name, t.count())), t)[1])(write(df, name, few)))
+    items = spark.range(0, 20_000, 1, 16).select(F.col("id").alias("a:b"), F.when(F.col("id") % 1000 == 0, 300).otherwise(600).alias("length"))
+    rows = packing.pack(items).collect()
+    fills = defaultdict(int)
+    for r in rows:
+        fills[r.sequence_id] += r["length"]
+    assert sorted(r["a:b"] for r in rows) == list(range(20_000)) and max(fills.values()) <= 1024
+    assert len(fills) == 19_980
+    assert all(n <= 2 * 16 for name, n in seen if name.startswith("bins") and name != "bins0")
+
+
+def test_partners_are_the_fullest_that_fit():
+    assert packing.partners({600: 20_000}) == {}
+    assert packing.partners({600: 20_000, 500: 3}) == {500: 3}
+    assert packing.partners({600: 20_000, 700: 5, 310: 7}) == {310: 7, 700: 5, 600: 2}
+    assert packing.partners({512: 1}) == packing.partners({}) == {}
+    assert packing.partners({512: 2, 100: 1, 900: 4}) == {512: 2, 100: 1, 900: 1}
+
+
 # -- token files
 
 
@@ -190,15 +240,60 @@ def test_fisher_yates_permutes():
 def test_op9_reads_back_the_shards_it_writes(spark, monkeypatch):
     paths = []
     write = sharding.write_shards
-    monkeypatch.setattr(sharding, "write_shards", lambda shuffled, path: (paths.append(path), write(shuffled, path)))
+    monkeypatch.setattr(sharding, "write_shards", lambda docs, path, *more: (paths.append(path), write(docs, path, *more))[1])
     df = queries.op9_sharding(spark, cases.SF)
-    assert len(paths) == 1 and all(paths[0].rsplit("/", 1)[1] in f for f in df.inputFiles())
-    files = {(r.shard, r.slot): (r.doc_id, r.text) for r in spark.read.parquet(paths[0]).collect()}
+    assert len(paths) == 1 and any(paths[0].rsplit("/", 1)[1] in f for f in df.inputFiles())
+    files = {(r.shard, r._at): (r.doc_id, r.text) for r in spark.read.parquet(paths[0]).collect()}
     rows = df.collect()
     assert len(files) == len(rows) == spark.read.parquet(f"{cases.SF}/documents.parquet").count()
+    # these texts are one bucket a shard, so places in buckets are slots
     assert all(files[r.shard, r.slot][0] == r.doc_id and zlib.crc32((files[r.shard, r.slot][1] or "").encode()) == r.text_crc32 for r in rows)
 
 
+def plain_shard(doc_id, shards):
+    """Jump hashing by the book: the engine's 64-bit hash of (seed, step, is null, key), chained over the fields."""
+    import struct
+
+    import xxhash
+
+    found = 0
+    for k in range(1, shards):
+        h = 42
+        for field in (struct.pack("<i", sharding.SEED), struct.pack("<i", k), struct.pack("<i", int(doc_id is None)), *([struct.pack("<q", doc_id)] if doc_id is not None else [])):
+            h = xxhash.xxh64(field, seed=h).intdigest()
+        if (h - (1 << 64) if h >> 63 else h) % (k + 1) == 0:
+            found = k
+    return found
+
+
+def plain_shuffle(rows, bucket):
+    """Fisher-Yates from the last place down, with the bucket's own generator."""
+    rows, rng = list(rows), np.random.Generator(np.random.Philox(key=[sharding.SEED, bucket]))
+    draws = rng.integers(0, np.arange(1, len(rows) + 1))
+    for i in reversed(range(1, len(rows))):
+        rows[i], rows[draws[i]] = rows[draws[i]], rows[i]
+    return rows
+
+
+def test_op9_against_a_plain_shuffle(spark):
+    rows = queries.op9_sharding(spark, cases.SF).collect()
+    by_shard = defaultdict(list)
+    for r in rows:
+        assert (r.shard, r.grown_shard) == (plain_shard(r.doc_id, 16), plain_shard(r.doc_id, 17))
+        by_shard[r.shard].append(r)
+    for shard, own in by_shard.items():
+        assert [r.doc_id for r in sorted(own, key=lambda r: r.slot)] == plain_shuffle(sorted(r.doc_id for r in own), shard)
+
+
+def test_null_ids_fill_all_buckets_of_their_shard(spark):
+    rows = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("z" * 200)).otherwise(F.concat(F.lit("y" * 190), F.col("id").cast("string"))).alias("text"))
+    out = sharding.two_pass_shuffle(rows, "doc_id", F.octet_length("text") + 1, shards=4, bucket_bytes=100_000)
+    found = out.groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.max("slot").alias("last")).collect()
+    assert [(r.n, r.slots, r.last) for r in found] == [(20_000, 20_000, 19_999)] and found[0].shard == plain_shard(None, 4)
+    tasks = sharding.scattered(rows, "doc_id", F.octet_length("text") + 1, shards=4, bucket_bytes=100_000).groupBy("_bucket").count().collect()
+    assert len(tasks) >= 9 and max(r["count"] for r in tasks) < 3_000
+
+
 def test_sharding_takes_odd_tables(spark):
     size = F.octet_length(F.coalesce("text", F.lit(""))) + 1
     for name, docs in cases.tables(spark).items():
@@ -212,19 +307,93 @@ def test_sharding_takes_odd_tables(spark):
         if name == "odd":
             assert sorted(str(r.text) for r in rows) == sorted(str(r[1]) for r in cases.odd_rows())
             path = store.new_path(spark, "shards")
-            sharding.write_shards(out.drop("a.b"), path)
-            assert spark.read.parquet(path).count() == len(rows)
+            sharding.write_shards(docs, path, "doc_id", size, 4)
+            assert sharding.read_shards(spark, path).count() == len(rows)
 
 
 # -- mixing
 
 
-def test_shares_refill():
-    assert mixing.shares([5, 2, 1], [100, 100, 100], 80) == [50, 20, 10]
-    assert mixing.shares([5, 2, 1], [30, 100, 100], 80) == pytest.approx([30, 100 / 3, 50 / 3])
-    assert mixing.shares([5, 2], [3, 3], 100) == [3, 3]
-    assert mixing.shares([5, 2], [0, 3], 1) == [0, 1]
-    assert mixing.shares([], [], 0) == []
+def shares(weights, most, budget):
+    """The budget split by weight, no share above its most; excess goes to the others by weight."""
+    out, free, left = [0.0] * len(weights), [i for i in range(len(weights)) if most[i] > 0], budget
+    while free:
+        weight = sum(weights[i] for i in free)
+        full = [i for i in free if left * weights[i] / weight > most[i]]
+        for i in full or free:
+            out[i] = float(most[i]) if full else left * weights[i] / weight
+        if not full:
+            break
+        left -= sum(most[i] for i in full)
+        free = [i for i in free if i not in full]
+    return out
+
+
+def plain_mix(docs, budget_share=1.0):
+    """Words taken of each (doc_id, source, text): one sorted list of all copies, cut where the budget ends."""
+    sizes = defaultdict(int)
+    for _, source, text in docs:
+        sizes[source] += len(cases.words(text))
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    total = sum(sizes.values())
+    target = dict(zip(names, shares([(5, 2, 1)[i % 3] for i in range(len(names))], [3 * sizes[n] for n in names], budget_share * total), strict=True))
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    key = lambda d: md5(f"{mixing.SEED}:{'' if d[0] is None else d[0]}:{md5(d[2] or '')}")
+    copies = []
+    for place, name in enumerate(names):
+        at = 0
+        for _ in range(3):
+            for k, d in sorted(((k, d) for k, d in enumerate(docs) if d[1] == name), key=lambda x: key(x[1])):
+                n = len(cases.words(d[2]))
+                at += n
+                if n and target[name]:
+                    copies.append((at / target[name], place, n, k))
+    budget, spent, taken = min(budget_share * total, 3 * total), 0, [0] * len(docs)
+    for _, _, n, k in sorted(copies, key=lambda c: c[:2]):
+        over = spent + n > budget
+        if over and not spent + n - budget < budget - spent:
+            break
+        spent += n
+        taken[k] += n
+        if over:
+            break
+    return [(d[0], n) for d, n in zip(docs, taken, strict=True)], target
+
+
+def mixed(spark, docs):
+    rows = mixing.mix(spark.createDataFrame(docs, "doc_id long, source string, text string").repartition(3)).collect()
+    return sorted(((r.doc_id, r.copies * len(cases.words(r.text))) for r in rows), key=str)
+
+
+def planned(spark, docs):
+    return sorted(((r.doc_id, r.copies * r["size"]) for r in mixing.planned(spark.createDataFrame(docs, "doc_id long, source string, text string")).collect()), key=str)
+
+
+@pytest.mark.parametrize("case", ["equal", "giant", "one", "many", "alike", "weights"])
+def test_mix_against_a_plain_queue(spark, monkeypatch, case):
+    import random
+
+    rnd = random.Random(case)
+    text = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    docs = {
+        "equal": [(i, "a", text(10)) for i in range(8)],
+        "giant": [(i, "a", text(10)) for i in range(8)] + [(100, "b", text(3000))],
+        "one": [(1, None, text(7))],
+        "many": [(i, f"s{i % 11}" if i % 12 else None, text(rnd.randrange(0, 60))) for i in range(400)],
+        "alike": [(None, "a", "the same row")] * 50 + [(i, "b", text(9)) for i in range(30)] + [(7, "c", "twice")] * 2,
+        "weights": [(s * 100 + i, "abc"[s], text(20)) for s in range(3) for i in range(24)],
+    }[case]
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(mixing, "FEW", 3)
+    wanted = plain_mix(docs)[0]
+    if case == "equal":
+        assert sum(n for _, n in wanted) == 80
+    if case == "giant":
+        assert dict(wanted)[100] == 3000
+    assert planned(spark, docs) == mixed(spark, docs) == sorted(wanted, key=str)
+    if case == "many":
+        monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+        assert planned(spark, docs) == mixed(spark, docs) == sorted(wanted, key=str)
 
 
 def test_op7_meets_its_targets(spark):
@@ -244,12 +413,12 @@ def test_op7_meets_its_targets(spark):
     names = sorted(sums)
     weights = [(5, 2, 1)[i % 3] for i in range(len(names))]
     total = sum(s[0] for s in sums.values())
-    wanted = mixing.shares(weights, [3 * sums[n][0] for n in names], total)
+    wanted = shares(weights, [3 * sums[n][0] for n in names], total)
     for n, w in zip(names, wanted, strict=True):
         assert sums[n][2] == pytest.approx(w)
         assert abs(sums[n][1] - w) <= 2 * sums[n][3] + 1
     taken = sum(s[1] for s in sums.values())
-    assert total - max(s[3] for s in sums.values()) <= taken <= total
+    assert abs(total - taken) <= max(s[3] for s in sums.values()) / 2
     assert sorted(rows) == sorted(queries.op7_mixing(spark, cases.SF).collect())
 
 
@@ -258,8 +427,11 @@ def test_mixing_takes_odd_tables(spark, monkeypatch):
     for name, docs in cases.tables(spark).items():
         rows = mixing.mix(docs.withColumn("size", F.lit("clash")).withColumn("copies", F.lit("clash"))).collect()
         assert len(rows) == (0 if name == "empty" else len(cases.odd_rows()))
-        assert all(r.copies == 0 for r in rows if not r.size)
-        assert sum(r.copies * r.size for r in rows) <= sum(r.size for r in rows)
+        assert all(r.copies == 0 for r in rows if not cases.words(r.text))
+        assert all(r["size"] == "clash" for r in rows)
+        if rows:
+            wanted = plain_mix([(r[0], r[3], r[1]) for r in cases.odd_rows()])[0]
+            assert sorted(((r.doc_id, r.copies * len(cases.words(r.text))) for r in rows), key=str) == sorted(wanted, key=str)
 
 
 # -- fingerprints
