@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackweave.llm import embedding_dedup, ngram_join, suffix_dedup, url_filter
+from trackweave.llm import embedding_dedup, ngram_join, suffix_dedup
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -94,60 +94,56 @@ OP7 = """with raw as (
 select doc_id, cast(size as bigint) as size, source_size, target, cast(size * coalesce(n, 0) as bigint) as taken from queue left join taken on taken.item = queue.item"""
 
 
-def _op3() -> str:
-    u = url_filter
-    name = f"regexp_replace(regexp_replace(path, '/[0-9]+(\\.[A-Za-z]{{1,5}})?(/|$)', '/{{n}}\\1\\2', 'g'), '/[0-9]+(\\.[A-Za-z]{{1,5}})?(/|$)', '/{{n}}\\1\\2', 'g')"
-    steps = [
-        f"""parts as (
-    select page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{_UPPER}', '{_LOWER}') as host,
-      coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages)""",
-        f"named as (select *, {name} as raw, try_cast(nullif(regexp_extract(path, '([0-9]+)[^/0-9]*$', 1), '') as bigint) as number from parts)",
-        "known as (select doc_id as number, max(quality) as quality from labels where quality in (0, 1) group by doc_id)",
-        """level0 as (
-    select host, raw, '' as template, case when raw = '' then [] else string_split(substr(raw, 2), '/') end as segments, count(*) as n,
+#: The tree level by level, every raw template carrying the sums of its child, its pool and its node along.
+OP3 = """with recursive parts as (
+    select page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+      coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages),
+  named as (
+    select *, array_to_string(list_transform(string_split(path, '/'), lambda s: case
+        when regexp_full_match(s, '[0-9]+([.][A-Za-z]{1,5})?') then '{n}' || regexp_replace(s, '^[0-9]+', '')
+        when regexp_full_match(s, '[a-f0-9]{8,}([.][A-Za-z]{1,5})?') and regexp_matches(split_part(s, '.', 1), '[0-9]') then '{h}' || regexp_replace(s, '^[a-f0-9]+', '')
+        else s end), '/') as raw,
+      try_cast(nullif(regexp_extract(path, '([0-9]+)[^/0-9]*$', 1), '') as bigint) as number from parts),
+  known as (select doc_id as number, max(quality) as quality from labels where quality in (0, 1) group by doc_id),
+  leaves as (
+    select host, raw, case when raw = '' then [] else string_split(substr(raw, 2), '/') end as segments, count(distinct path) as urls,
       count(quality) as seen, count(case when quality = 1 then 1 end) as good
-    from named left join known on known.number = named.number group by host, raw)""",
-    ]
-    for k in range(u.LEVELS):
-        here = f"segments[{k + 1}]" if k < u.LEVELS - 1 else f"case when len(segments) >= {u.LEVELS} then array_to_string(segments[{u.LEVELS}:], '/') end"
-        steps += [
-            f"here{k} as (select *, case when len(segments) > {k} then {here} end as here from level{k})",
-            f"""kids{k} as (
-    select host, template, here, sum(n) as n, sum(seen) as seen, sum(good) as good, coalesce(sum(good) / nullif(sum(seen), 0)::double < {u.REJECT}, false) as low
-    from here{k} where here is not null group by host, template, here)""",
-            f"""pooled{k} as (
-    select *, count(*) over (partition by host, template) as children, sum(n) over (partition by host, template) as all_n,
-      count(*) over (partition by host, template, low) as alike,
-      (sum(good) over (partition by host, template, low) + 1)::double / (sum(seen) over (partition by host, template, low) + 2)::double as share
-    from kids{k})""",
-            f"""named{k} as (
-    select host, template, here, case
-        when children > {u.CHILDREN} and all_n < children * {u.PAGES} then '*'
-        when alike > 1 and (seen = 0 or pow(good / nullif(seen, 0)::double - share, 2) * seen <= {u.Z * u.Z} * share * (1 - share)) then case when low then '*low' else '*' end
-        else here end as step
-    from pooled{k})""",
-            f"""level{k + 1} as (
-    select h.host, h.raw, case when step is null then h.template else h.template || '/' || step end as template, segments, n, seen, good
-    from here{k} h left join named{k} s on s.host = h.host and s.template = h.template and s.here = h.here)""",
-        ]
-    last = f"level{u.LEVELS}"
-    rule = "null"
-    act = "null"
-    for action, h, p in sorted(u.RULES, key=lambda r: len(r[1]) + len(r[2])):
-        fits = f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')"
-        rule, act = f"case when {fits} then '{h}{p}' else {rule} end", f"case when {fits} then '{action}' else {act} end"
-    steps += [
-        f"whole as (select coalesce(sum(good) / nullif(sum(seen), 0)::double, 1e0) as base from {last})",
-        f"hosts as (select host, (sum(good) + {u.SMOOTH} * base) / (sum(seen) + {u.SMOOTH}) as at_host from {last}, whole group by host, base)",
-        f"""leaves as (
-    select l.host, template, (sum(good) + {u.SMOOTH} * at_host) / (sum(seen) + {u.SMOOTH}) as purity from {last} l join hosts on hosts.host = l.host
-    group by l.host, template, at_host)""",
-        f"judged as (select l.host, l.raw, l.template, purity from {last} l join leaves v on v.host = l.host and v.template = l.template)",
-    ]
-    return "with " + ",\n  ".join(steps) + f"""
-select page_id, n.host, path, {rule.replace("host", "n.host")} as rule,
-  coalesce({act.replace("host", "n.host")}, case when purity < {u.REJECT} then 'block' else 'allow' end) as verdict, template, round(purity, 6) as purity
-from named n join judged j on j.host = n.host and j.raw = n.raw"""
-
-
-ORACLES = {"op2_ngram_join": OP2, "op3_url_filters": _op3(), "op4_embedding_dedup": OP4, "op6_suffix_dedup": OP6, "op7_mixing": OP7}
+    from named left join known on known.number = named.number group by host, raw),
+  tree as (
+    select 0 as level, '' as template, * from leaves
+    union all
+    select level + 1, case when here is null then template
+        when variable or alike > 1 then case
+          when k_seen > 0 and power(k_good / k_seen::double - share, 2) * k_seen > 9 * share * (1 - share) then template || '/' || here
+          when variable then template || '/*' else template || '/' || kind end
+        else template || '/' || here end,
+      host, raw, segments, urls, seen, good
+    from (
+      select *, case when variable then (n_good + 1)::double / (n_seen + 2) else (p_good + 1)::double / (p_seen + 2) end as share
+      from (
+        select *, children > 50 and n_urls < children * 20 as variable, count(distinct here) over pool as alike,
+          sum(case when here is not null then seen end) over pool as p_seen, sum(case when here is not null then good end) over pool as p_good
+        from (
+          select *, case when k_seen = 0 then '*new' when k_good / k_seen::double < 0.5e0 then '*low' else '*' end as kind
+          from (
+            select *, sum(seen) over child as k_seen, sum(good) over child as k_good, count(distinct here) over node as children,
+              sum(case when here is not null then urls end) over node as n_urls, sum(case when here is not null then seen end) over node as n_seen,
+              sum(case when here is not null then good end) over node as n_good
+            from (select *, segments[level + 1] as here from tree where level < (select max(len(segments)) from leaves)) t
+            window child as (partition by host, template, here), node as (partition by host, template)) k) p
+        window pool as (partition by host, template, kind)) q) r),
+  done as (select * from tree where level = (select max(len(segments)) from leaves)),
+  whole as (select coalesce(sum(good) / nullif(sum(seen), 0)::double, 1e0) as base from done),
+  hosts as (select host, (sum(good) + 4 * base) / (sum(seen) + 4) as at_host from done, whole group by host, base),
+  pure as (
+    select d.host, template, (sum(good) + 4 * at_host) / (sum(seen) + 4) as purity from done d join hosts on hosts.host = d.host group by d.host, template, at_host),
+  rules as (
+    select * from (values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')) r(act, h, p)),
+  ruled as (
+    select page_id, arg_max(h || p, len(h || p)) as rule, arg_max(act, len(h || p)) as act
+    from named join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id)
+select n.page_id, n.host, n.path, rule, coalesce(act, case when purity < 0.5e0 then 'block' else 'allow' end) as verdict, d.template, round(purity, 6) as purity
+from named n join done d on d.host = n.host and d.raw = n.raw join pure v on v.host = d.host and v.template = d.template left join ruled on ruled.page_id = n.page_id"""
+
+
+ORACLES = {"op2_ngram_join": OP2, "op3_url_filters": OP3, "op4_embedding_dedup": OP4, "op6_suffix_dedup": OP6, "op7_mixing": OP7}

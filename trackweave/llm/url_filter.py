@@ -3,18 +3,21 @@
 DataFrame operations only. A URL's path is first generalised by form (numbers become ``{n}``, long hex
 names ``{h}``), which turns a host's pages into few raw templates with counts. The tree over those is
 then generalised level by level: where a node has many children of few distinct URLs each, the segment
-is variable and all of them are one pool, ``*``; else the children with a share of good labels under ``REJECT``,
-and the others (with those without labels), are pooled each; a child whose share doesn't differ from
-its pool's by more than ``Z`` standard errors is merged into one branch with its like (``*low`` or
-``*``), and one that does stays on its own, in a variable segment too. URLs that repeat don't make a
-segment less variable. A template is rejected when its share of good labels, smoothed towards the host's and
-that towards the whole table's, is under ``REJECT``.
+is variable and all of them are one pool, ``*``; else the children with a share of good labels under
+``REJECT`` are one pool, ``*low``, those with a higher one another, ``*``, and those without any label a
+third, ``*new``, of which nothing is known but its host. A child whose share doesn't differ from its
+pool's by more than ``Z`` standard errors is merged with its like, and one that does stays on its own, in
+a variable segment too. URLs that repeat don't make a segment less variable. A template is rejected when
+its share of good labels, smoothed towards the host's and that towards the whole table's, is under
+``REJECT``.
 
 Fixed rules come first: the longest rule that fits decides (equally long ones: the first given).
 
 Defined results: a null URL or one without ``://`` has empty host and path; a page without labels on
-its template, host or anywhere is judged by the next wider share (without any labels: allowed); rows
-may repeat, and other columns pass by.
+its template, host or anywhere is judged by the next wider share (without any labels: allowed); a very
+long URL has as many levels as segments; of tied rules the first given counts, a share at ``REJECT`` is
+allowed, and of labels that contradict each other the good one; rows may repeat; an empty table gives no
+rows; other columns pass by.
 """
 
 from __future__ import annotations
@@ -28,8 +31,6 @@ from trackweave.llm import store
 
 #: (action, host, start of path)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-#: Levels of the SQL counterpart, whose last one holds all deeper segments; the tree here has as many as the paths.
-LEVELS = 4
 #: A node with more children than this, of fewer than PAGES distinct URLs on average, has a variable segment.
 CHILDREN, PAGES = 50, 20
 Z, SMOOTH, REJECT = 3.0, 4.0, 0.5
@@ -92,17 +93,17 @@ def generalise(raw: DataFrame) -> DataFrame:
     for level in range(depth):
         rows = rows.withColumn("here", F.get("segments", F.lit(level)))
         kids = rows.filter(F.col("here").isNotNull()).groupBy("host", "template", "here").agg(*(F.sum(c).alias(c) for c in ("urls", "seen", "good")))
-        kids = kids.withColumn("low", F.coalesce(F.col("good") / F.nullif(F.col("seen"), F.lit(0)) < REJECT, F.lit(False)))
+        kids = kids.withColumn("kind", F.when(F.col("seen") == 0, "*new").when(F.col("good") / F.col("seen") < REJECT, "*low").otherwise("*"))
         node = kids.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("urls").alias("all_urls"), F.sum("seen").alias("node_seen"), F.sum("good").alias("node_good"))
-        side = kids.groupBy("host", "template", "low").agg(F.count("*").alias("alike"), F.sum("seen").alias("all_seen"), F.sum("good").alias("all_good"))
+        side = kids.groupBy("host", "template", "kind").agg(F.count("*").alias("alike"), F.sum("seen").alias("all_seen"), F.sum("good").alias("all_good"))
         variable = (F.col("children") > CHILDREN) & (F.col("all_urls") < F.col("children") * PAGES)
         pool = lambda c: F.when(variable, F.col(f"node_{c}")).otherwise(F.col(f"all_{c}"))  # noqa: B023, E731
         share = (pool("good") + 1) / (pool("seen") + 2)
         off = F.abs(F.col("good") / F.nullif(F.col("seen"), F.lit(0)) - share)
         similar = (F.col("seen") == 0) | (off * off * F.col("seen") <= Z * Z * share * (1 - share))
         merged = (variable | (F.col("alike") > 1)) & similar
-        name = F.when(merged & F.col("low") & ~variable, F.lit("*low")).when(merged, F.lit("*")).otherwise(F.col("here"))
-        step = kids.join(node, ["host", "template"]).join(side, ["host", "template", "low"]).select("host", "template", "here", name.alias("step"))
+        name = F.when(merged & variable, F.lit("*")).when(merged, F.col("kind")).otherwise(F.col("here"))
+        step = kids.join(node, ["host", "template"]).join(side, ["host", "template", "kind"]).select("host", "template", "here", name.alias("step"))
         rows = rows.join(step, ["host", "template", "here"], "left").withColumn("template", F.when(F.col("step").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "step"))).drop("here", "step")
         rows = store.written(rows, "level", few=True)
         if level:
@@ -128,10 +129,10 @@ def judge(pages: DataFrame, labels: DataFrame | None, rules=RULES) -> DataFrame:
     raw = store.written(templates(pages, labels), "templates", few=True)
     found = store.written(verdicts(generalise(raw)), "verdicts", few=True)
     store.drop(raw)
-    count = found.count()
+    few = found.count() <= BROADCAST_TEMPLATES  # rows of a written table
     host, path = host_of(), path_of()
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
     rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumns({"raw": raw_template(F.col("path")), "rule": rule, "action": action})
-    side = F.broadcast(found) if count <= BROADCAST_TEMPLATES else found
+    side = F.broadcast(found) if few else found
     joined = rows.join(side, ["host", "raw"], "left")
     return joined.select("page_id", "host", "path", "rule", F.coalesce("action", "judged", F.lit("allow")).alias("verdict"), "template", "purity")
