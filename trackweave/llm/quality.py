@@ -5,13 +5,15 @@ text; nothing else about the document enters a score. Training bins every statis
 grows depth-limited trees level by level from gradient histograms; the forest is then flattened into
 arrays of split feature, threshold and children, and scoring walks all rows through all trees at once.
 
-Training rows are a bounded sample (``SAMPLE`` rows, least hash of the id first); scoring covers every
-row in one pass without a shuffle.
-
-Defined results: null text scores as the empty text; a null id is never held out and never trained on;
-labels that are null are ignored and repeated ones count each; without labels of both kinds the score
-is the share of label 1, and about 1 without any label, as nothing speaks against a text; other columns
-pass by.
+Training rows are a bounded sample (``SAMPLE`` rows, least hash of the id first, of the labels and again
+of the documents that have them); scoring covers every row in one pass without a shuffle.
+
+Defined results: null text scores as the empty text; a very long text is counted through as a whole; a
+null id is never held out and never trained on; labels that are null are ignored and repeated ones count
+each, as do documents of one id; ties of the sample's order are in the order of id, label and statistics,
+and of equally good splits the first statistic's least one counts; without labels of both kinds the score
+is the share of label 1, and about 1 without any label, as nothing speaks against a text; an empty table
+gives no rows; other columns pass by.
 """
 
 from __future__ import annotations
@@ -221,7 +223,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
     """A forest from labelled documents that aren't held out.
 
     The sample's ids (8 bytes each, at most ``sample``) are broadcast; statistics are taken where the
-    texts are, and only they reach the driver.
+    texts are, and only they reach the driver, of ``sample`` rows at most, however often an id stands
+    in either table.
     """
     usable = labels.select("doc_id", F.col("quality").cast("double").alias("quality")).filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     some = usable.orderBy(F.xxhash64(F.lit(5), F.col("doc_id")), "doc_id").limit(sample)
@@ -232,7 +235,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
             x = features(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("quality"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
-    found = rows.mapInArrow(tx.tidy(run), "doc_id bigint, quality double, x array<double>").toPandas()
+    found = rows.mapInArrow(tx.tidy(run), "doc_id bigint, quality double, x array<double>")
+    found = found.orderBy(F.xxhash64(F.lit(5), F.col("doc_id")), "doc_id", "quality", "x").limit(sample).toPandas()
     found = found.sort_values(["doc_id", "quality"], kind="stable")
     x = np.stack(found["x"].to_numpy()) if len(found) else np.zeros((0, len(FEATURES)))
     order = np.lexsort(x.T[::-1]) if len(x) else []
