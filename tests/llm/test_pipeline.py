@@ -37,6 +37,51 @@ def _walk(forest, row):
     return 1 / (1 + np.exp(-total))
 
 
+def plain_train(x, y, trees, depth, bins, rate):
+    """Scores of the training rows by trees grown one node at a time, every split tried by its definition."""
+    share = (y.sum() + 0.5) / (len(y) + 1)
+    total = np.full(len(y), np.log(share / (1 - share)))
+    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-total))
+        g, h = y - p, p * (1 - p)
+        worth = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + 1)  # noqa: B023, E731
+
+        def grow(rows, left):
+            best = (1e-6, None, None)
+            for f in range(x.shape[1]) if left else ():
+                for e in edges[f]:
+                    a, b = rows[x[rows, f] <= e], rows[x[rows, f] > e]
+                    if h[a].sum() >= 1 and h[b].sum() >= 1 and worth(a) + worth(b) - worth(rows) > best[0] + 1e-9:  # noqa: B023
+                        best = (worth(a) + worth(b) - worth(rows), a, b)  # noqa: B023
+            if best[1] is None:
+                total[rows] += g[rows].sum() / (h[rows].sum() + 1) * rate  # noqa: B023
+                return
+            grow(best[1], left - 1)
+            grow(best[2], left - 1)
+
+        grow(np.arange(len(y)), depth)
+    return 1 / (1 + np.exp(-total))
+
+
+def test_trees_against_plain_ones():
+    rng = np.random.default_rng(4)
+    x = np.column_stack((rng.random((300, 3)), rng.integers(0, 4, 300), np.ones(300)))
+    y = ((x[:, 0] + x[:, 3] / 4 + rng.random(300) * 0.3) > 0.9).astype(float)
+    forest = quality.train(x, y, trees=6, depth=3, bins=8)
+    assert np.allclose(forest.score(x), plain_train(x, y, 6, 3, 8, quality.RATE))
+    assert np.allclose(forest.score(x), [_walk(forest, row) for row in x])
+
+
+def test_sample_bounds_what_the_driver_gets(spark, monkeypatch):
+    docs = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
+    got = []
+    monkeypatch.setattr(quality, "train", lambda x, y: got.append((len(x), len(y))))
+    quality.fit(docs, labels, sample=100)
+    assert got == [(100, 100)]
+
+
 def test_features_are_of_each_text_alone():
     texts = [r[1] for r in cases.odd_rows()]
     together = quality.features(pa.array(texts, pa.string()))
@@ -130,6 +175,38 @@ def test_variable_segments_keep_bad_branches(spark, copies):
         assert found[i] == ((f"/s{k}x/{{n}}", "block") if k < 10 else ("/*/{n}", "allow"))
 
 
+def by_sql(spark, pages, labels):
+    import duckdb
+
+    con = duckdb.connect()
+    for name, df in (("pages", pages), ("labels", labels)):
+        own = df.toPandas()  # noqa: F841
+        con.execute(f"create table {name} as select * from own")
+    found = con.execute(queries.ORACLES["op3_url_filters"])
+    names = [c[0] for c in found.description]
+    return {r[names.index("page_id")]: tuple(r[names.index(c)] for c in ("host", "path", "rule", "verdict", "template", "purity")) for r in found.fetchall()}
+
+
+def test_trees_against_sql(spark):
+    import random
+
+    rnd = random.Random(8)
+    hosts = ["a.test", "b.example.com", "net", "www.Example.NET", "c.org"]
+    pages = []
+    for i in range(3000):
+        parts = rnd.choices(["en", "de", "7up", "81", "news", "spam", f"s{rnd.randrange(200)}", f"{rnd.randrange(16**9):09x}", f"{rnd.randrange(9999)}.html", "x-y"], k=rnd.randrange(0, 7))
+        pages.append((i, rnd.choice(["http://", "HTTPS://", ""]) + "/".join([rnd.choice(hosts), *parts, str(rnd.randrange(3000))]) + rnd.choice(["", "?q=/de/", "#f"])))
+    pages += [(4000, None), (4001, ""), (4002, "http://" + "/".join(["deep.test", *(f"l{k}" for k in range(30))])), (4003, "http://a.test/" + "x" * 50_000), (4004, pages[0][1]), (4005, "http://a.test//")]
+    # topics without labels in a host that has both kinds
+    pages += [(5000 + i, f"http://mixed.test/{'good' if i < 200 else 'bad' if i < 500 else f't{i % 10}'}/{5000 + i}") for i in range(800)]
+    labels = [(i, int("spam" not in (pages[i][1] or "")), 0) for i in range(0, 3000, 2)] + [(5000 + i, int(i < 200), 0) for i in range(500)] + [(None, 1, 0), (7, None, 0)]
+    p, n = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = {r.page_id: (r.host, r.path, r.rule, r.verdict, r.template, r.purity) for r in url_filter.judge(p, n).withColumn("purity", F.round("purity", 6)).collect()}
+    assert len(found) == len(pages) and found == by_sql(spark, p, n)
+    assert {found[5000 + i][3] for i in range(500, 800)} == {"block"} and found[5600][4] == "/*new/{n}"
+    assert found[5000][3] == "allow" and found[4002][4].count("/") == 30
+
+
 def test_op3_takes_every_page(spark):
     rows = queries.op3_url_filters(spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count()
