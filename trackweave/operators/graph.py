@@ -1,8 +1,8 @@
 """The rail graph: edges and vertices of tracks, nearest vertices, shortest paths, routes.
 
 ``graph_id`` keeps several graphs (cities) apart in one table. Rail graphs are long chains, so paths are
-found by Dijkstra's method with one graph a task by default; for large dense graphs there is a distance
-fixpoint over joins.
+found by Dijkstra's method with one graph a task by default; for graphs that no task holds there is a
+fixpoint over joins, of distances and paths, which takes chains out first.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import heapq
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trackweave.functions import geo
 from trackweave.operators import filters
@@ -43,7 +44,7 @@ def vertices(tracks: DataFrame, railway: str | None = None, route: str | None =
     sound = filters.sound_ways(filters.tagged(tracks, railway, route))
     points = sound.select("graph_id", "way_pos", F.posexplode(F.arrays_zip("nodes", "geometry")).alias("pt_pos", "p"))
     first = keep_first(points.withColumn("node", F.col("p.nodes")), ["graph_id", "node"], ["way_pos", "pt_pos"])
-    return first.select("graph_id", "node", F.col("p.geometry.lng").alias("lng"), F.col("p.geometry.lat").alias("lat"), (F.col("way_pos").cast("long") * F.lit(1 << 20) + F.col("pt_pos")).alias("first_pos"))
+    return first.select("graph_id", "node", F.col("p.geometry.lng").alias("lng"), F.col("p.geometry.lat").alias("lat"), (F.col("way_pos").cast("long") * F.lit(1 << 32) + F.col("pt_pos")).alias("first_pos"))
 
 
 def counters(tracks: DataFrame, railway: str | None = None, route: str | None = None) -> DataFrame:
@@ -122,17 +123,24 @@ def shortest_paths(edge_table: DataFrame, pairs: DataFrame) -> DataFrame:
     return light.groupBy("graph_id").cogroup(wanted.groupBy("pair_graph")).applyInPandas(solve, "graph_id string, pair_pos long, pt_pos int, node long")
 
 
-def distances(edge_table: DataFrame, seeds: DataFrame, most_hops: int | None = None) -> DataFrame:
+def distances(edge_table: DataFrame, seeds: DataFrame, most_hops: int | None = None, contract: bool | None = None) -> DataFrame:
     """seed, node, d for all nodes that the seeds (seed) reach, by relaxing all frontiers together.
 
     A round is one join and one aggregation, checkpointed; only whether anything improved reaches the
     driver, and the rounds are the longest path's hops. With ``most_hops``, paths of more raise an error,
-    as negative distances do.
+    as negative distances do. ``contract`` first takes out what has two neighbours or fewer
+    (:func:`_contracted`), so that long chains cost the logarithm of their length; by default that is done
+    where distances are whole numbers, whose sums don't depend on the order.
     """
     light = cut_lineage(edge_table.groupBy("src", "dst").agg(F.min("distance").alias("w")))
+    kind = light.schema["w"].dataType
     if not light.filter("w < 0").isEmpty():
         raise ValueError("negative distances")
-    known = cut_lineage(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).cast(dict(light.dtypes)["w"]).alias("d"), F.lit(True).alias("fresh")))
+    seeds = cut_lineage(seeds.select("seed").distinct())
+    taken: list[DataFrame] = []
+    if most_hops is None and (isinstance(kind, (T.IntegralType, T.DecimalType)) if contract is None else contract):
+        light, taken = _contracted(light, seeds)
+    known = cut_lineage(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).cast(kind).alias("d"), F.lit(True).alias("fresh")))
     hops = 0
     while not known.filter("fresh").isEmpty():
         if most_hops is not None and hops >= most_hops:
@@ -143,7 +151,61 @@ def distances(edge_table: DataFrame, seeds: DataFrame, most_hops: int | None = N
         best = both.groupBy("seed", "node").agg(F.min("d").alias("d"), F.min(F.when(~F.col("fresh"), F.col("d"))).alias("old"), F.min("fresh").alias("new"))
         better = F.coalesce(F.col("d") < F.col("old"), F.col("d").isNotNull() & F.col("old").isNull())
         known = cut_lineage(best.select("seed", "node", "d", (F.col("new") | better).alias("fresh")))
-    return known.select("seed", "node", "d")
+    known = known.select("seed", "node", "d")
+    for entries in reversed(taken):
+        back = entries.join(known, F.col("src") == F.col("node")).groupBy("seed", "dst").agg(F.min(F.col("d") + F.col("w")).alias("d"))
+        known = cut_lineage(known.unionByName(back.withColumnRenamed("dst", "node")))
+    return known
+
+
+def _contracted(light: DataFrame, seeds: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The edges (src, dst, w) without nodes of two neighbours or fewer, and round by round the edges into
+    the nodes that were taken out, by which they get their distances in the end.
+
+    A round takes out nodes no two of which touch, a share of each chain, and lays an edge over each; it
+    goes on while a tenth of the nodes goes. Seeds stay.
+    """
+    taken: list[DataFrame] = []
+    while True:
+        pairs = light.filter("src <> dst").select(F.col("src").alias("u"), F.col("dst").alias("v"))
+        pairs = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+        degrees = pairs.groupBy("u").agg(F.count("*").alias("n"))
+        thin = cut_lineage(degrees.join(seeds, F.col("u") == F.col("seed"), "left_anti").filter("n <= 2").select("u", F.xxhash64(F.lit(len(taken)), "u").alias("h")))
+        beside = pairs.join(thin, "u").join(thin.select(F.col("u").alias("v"), F.col("h").alias("g")), "v")
+        held_back = beside.filter((F.col("g") < F.col("h")) | ((F.col("g") == F.col("h")) & (F.col("v") < F.col("u")))).select("u").distinct()
+        chosen = cut_lineage(thin.join(held_back, "u", "left_anti").select(F.col("u").alias("node")))
+        if 10 * chosen.count() < degrees.count() or chosen.isEmpty():
+            return light, taken
+        into = light.filter("src <> dst").join(chosen, F.col("dst") == F.col("node"), "left_semi")
+        out = light.filter("src <> dst").join(chosen, F.col("src") == F.col("node"), "left_semi")
+        rest = light.join(chosen, F.col("src") == F.col("node"), "left_anti").join(chosen, F.col("dst") == F.col("node"), "left_anti")
+        over = into.alias("i").join(out.alias("o"), F.col("i.dst") == F.col("o.src")).filter("i.src <> o.dst").select("i.src", "o.dst", (F.col("i.w") + F.col("o.w")).alias("w"))
+        taken.append(cut_lineage(into))
+        light = cut_lineage(rest.unionByName(over).groupBy("src", "dst").agg(F.min("w").alias("w")))
+
+
+def fixpoint_paths(edge_table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pair_pos, pt_pos, node of the path of each pair (pair_pos, start, end), by :func:`distances`.
+
+    For graphs that no task holds: of the predecessors on a shortest path the nearest counts, of equally
+    near ones the first, as in :func:`dijkstra` where distances are above 0. The walk back doubles its
+    stride, so its rounds are the logarithm of the longest path. Pairs without a path give no rows.
+    """
+    wanted = cut_lineage(pairs.filter("start IS NOT NULL AND end IS NOT NULL").select("pair_pos", "start", "end"))
+    light = cut_lineage(edge_table.filter("src <> dst").groupBy("src", "dst").agg(F.min("distance").alias("w")))
+    known = cut_lineage(distances(light.withColumnRenamed("w", "distance"), wanted.select(F.col("start").alias("seed")).distinct()))
+    tight = known.alias("p").join(light.alias("l"), F.col("p.node") == F.col("l.src")).join(known.alias("n"), (F.col("n.seed") == F.col("p.seed")) & (F.col("n.node") == F.col("l.dst")) & (F.col("n.d") == F.col("p.d") + F.col("l.w")))
+    jump = cut_lineage(tight.filter("n.node <> n.seed").groupBy(F.col("n.seed").alias("seed"), F.col("n.node").alias("node")).agg(F.min(F.struct("p.d", "p.node"))["node"].alias("prior")))
+    walked = cut_lineage(wanted.join(known, (F.col("start") == F.col("seed")) & (F.col("end") == F.col("node"))).select("pair_pos", "seed", "node", F.lit(0).cast("long").alias("back")))
+    stride = 1
+    while True:
+        more = cut_lineage(walked.join(jump, ["seed", "node"]).select("pair_pos", "seed", F.col("prior").alias("node"), (F.col("back") + stride).alias("back")))
+        if more.isEmpty():
+            break
+        walked, stride = cut_lineage(walked.unionByName(more)), 2 * stride
+        jump = cut_lineage(jump.join(jump.select("seed", F.col("node").alias("prior"), F.col("prior").alias("next")), ["seed", "prior"]).select("seed", "node", F.col("next").alias("prior")))
+    place = F.row_number().over(Window.partitionBy("pair_pos").orderBy(F.col("back").desc())) - 1
+    return walked.select("pair_pos", place.alias("pt_pos"), "node")
 
 
 def path_points(paths: DataFrame, verts: DataFrame) -> DataFrame:

@@ -47,8 +47,11 @@ def first_seen(df: DataFrame, keys: list[str], columns: list[str], order: str, *
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows in the checkpoint folder of the session, or in a temporary one where none is set."""
+    """The rows in the checkpoint folder of the session; a local session without one gets a temporary one."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="trackweave-"))
+        found = context.getConf().get("spark.checkpoint.dir")
+        if not found and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="trackweave-"))
     return df.checkpoint()
