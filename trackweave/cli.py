@@ -91,7 +91,10 @@ def main(argv: list[str] | None = None) -> int:
         print(f"{document['name']}: {target}")
     elif args.command == "list":
         elems = _elements(spark, args, lambda c: el.listing_query(el.listing_box(c["lat"], c["lng"])))
-        build.city_listing(elems).show(1000, truncate=False)
+        listed = build.city_listing(elems).select("line_id", "ref", "name", "network", "route", "from", "to", "directions")
+        print(*listed.columns, sep="\t")
+        for row in listed.toLocalIterator():
+            print(*row, sep="\t")
     else:
         feats = geojson.features(spark, args.track or geojson.file_name(args.city, args.line))
         rows = geojson.labelled(build.exported(feats, args.start, args.end, args.step), args.line)

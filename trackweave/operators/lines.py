@@ -88,8 +88,9 @@ def grouped_lines(elems: DataFrame, bbox=None, line_one_rule: bool = True) -> tu
     return lines.join(attached.select("doc_id", "line_key").distinct(), ["doc_id", "line_key"], "left_semi"), attached
 
 
-def listed_lines(relations: DataFrame) -> DataFrame:
-    """Lines of relations (pos, name, ref, network, route, from, to), as a listing shows them.
+def listed_lines(relations: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """Lines of relations (pos, name, ref, network, route, from, to), as a listing shows them, one listing
+    for each value of ``scope``.
 
     Relations are one line by network and ref, or network and normalised name; the first relation's
     values count; directions are the distinct ends that aren't both empty, one at least.
@@ -97,7 +98,7 @@ def listed_lines(relations: DataFrame) -> DataFrame:
     filled = relations.filter(~text.falsy(F.col("name"))).withColumns({c: F.coalesce(c, F.lit("")) for c in ("ref", "network", "route", "from", "to")})
     keyed = filled.withColumn("key", text.line_key(F.col("network"), F.col("ref"), F.col("name"))).withColumn("name", text.list_name(F.col("name")))
     ends = F.count_distinct(F.when((F.col("from") != "") | (F.col("to") != ""), F.struct("from", "to")))
-    lines = first_seen(keyed, ["key"], ["ref", "name", "network", "route", "from", "to"], "pos", directions=F.greatest(ends, F.lit(1)))
+    lines = first_seen(keyed, [*(scope or []), "key"], ["ref", "name", "network", "route", "from", "to"], "pos", directions=F.greatest(ends, F.lit(1)))
     return lines.withColumn("line_id", F.concat("network", F.lit("_"), F.when(F.col("ref") != "", F.col("ref")).otherwise(F.col("name")))).drop("key")
 
 
@@ -108,9 +109,14 @@ def listing_order() -> list[Column]:
 
 
 def relation_tags(elems: DataFrame) -> DataFrame:
-    """Relations of the listed kinds as :func:`listed_lines` takes them."""
+    """Relations of the listed kinds as :func:`listed_lines` takes them, and their ``doc_id``."""
     rows = elems.filter((F.col("type") == "relation") & filters.tag("route").isin(*filters.ROUTES_LISTED))
-    return rows.select(F.col("elem_pos").alias("pos"), *(filters.tag(t).alias(t) for t in ("name", "ref", "network", "route", "from", "to")))
+    return rows.select("doc_id", F.col("elem_pos").alias("pos"), *(filters.tag(t).alias(t) for t in ("name", "ref", "network", "route", "from", "to")))
+
+
+def station_names(stations: DataFrame, line: str = "doc_id", pos: str = "pos") -> DataFrame:
+    """line and names: its stations' names in order."""
+    return stations.groupBy(line).agg(F.transform(F.array_sort(F.collect_list(F.struct(pos, "name"))), lambda s: s["name"]).alias("names"))
 
 
 def interchanges(line_stations: DataFrame, station: str = "station_id", line: str = "line_id") -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from trackweave.functions import geo
 
 STEP = 50.0
+#: Digits of a metre to which distances from a line are compared, so that sums don't decide between equals.
+DIGITS = 6
 
 
 def apply_stages(df: DataFrame, stages: list[dict[str, str]]) -> DataFrame:
@@ -36,11 +38,11 @@ def legs(points: DataFrame, line: str = "line_id", pos: str = "pt_pos") -> DataF
 
 def referenced(spots: DataFrame, line_legs: DataFrame, keys: list[str], line: str = "line_id", pos: str = "pt_pos") -> DataFrame:
     """keys, off, along: how far each spot (line, keys, px, py) is from its line, and how far along it; the
-    first of equally near segments."""
+    first of equally near segments (to a micrometre)."""
     share = geo.share_along("px", "py", "x", "y", "x2", "y2")
     pairs = spots.join(line_legs, line).withColumn("_t", F.expr(share))
     off = F.expr(geo.planar("px", "py", geo.between("x", "x2", "_t"), geo.between("y", "y2", "_t")))
-    best = pairs.groupBy(line, *keys).agg(F.min(F.struct(off.alias("off"), F.col(pos).alias("pos"), (F.col("cum") + F.col("_t") * F.col("length")).alias("along"))).alias("b"))
+    best = pairs.groupBy(line, *keys).agg(F.min(F.struct(F.round(off, DIGITS).alias("near"), F.col(pos).alias("pos"), off.alias("off"), (F.col("cum") + F.col("_t") * F.col("length")).alias("along"))).alias("b"))
     return best.select(line, *keys, "b.off", "b.along")
 
 

@@ -19,8 +19,8 @@ def line_documents(elems: DataFrame, pick: str = "last") -> DataFrame:
 
 
 def city_listing(elems: DataFrame) -> DataFrame:
-    """The city's lines in listing order."""
-    return lines.listed_lines(lines.relation_tags(elems)).orderBy(*lines.listing_order())
+    """Each document's lines in listing order."""
+    return lines.listed_lines(lines.relation_tags(elems), ["doc_id"]).orderBy("doc_id", *lines.listing_order())
 
 
 def routes(elems: DataFrame, roster: DataFrame, overrides: DataFrame, bbox=None, strict: bool = False, gap_aware: bool = False, close_loops: bool = False) -> tuple[DataFrame, DataFrame]:

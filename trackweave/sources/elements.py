@@ -16,9 +16,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from trackweave import schema
 from trackweave.operators import filters
+from trackweave.operators.rows import keep_last
 
 # Service addresses, attempts, pauses and time limits.
-MIRRORS = ("https://overpass-api.de/api/interpreter", "https://overpass.kumi.systems/api/interpreter", "https://lz4.overpass-api.de/api/interpreter")
+MIRRORS = ("https://overpass-api.de/api/interpreter", "https://overpass.kumi.systems/api/interpreter", "https://overpass.private.coffee/api/interpreter")
 ATTEMPTS, PAUSE, TIMEOUT = 3, 3.0, 180
 USER_AGENT = "trackweave/0.1.1"
 
@@ -41,14 +42,10 @@ def read_elements(spark: SparkSession, path: str) -> DataFrame:
 
 def nodes(elems: DataFrame) -> DataFrame:
     """Nodes by id; of repeated ids the last counts, and those without id go."""
-    from trackweave.operators.rows import keep_last
-
     return keep_last(elems.filter("type = 'node' AND id IS NOT NULL"), ["doc_id", "id"], ["elem_pos"])
 
 
 def ways(elems: DataFrame) -> DataFrame:
-    from trackweave.operators.rows import keep_last
-
     return keep_last(elems.filter("type = 'way' AND id IS NOT NULL"), ["doc_id", "id"], ["elem_pos"])
 
 
@@ -65,6 +62,11 @@ def way_geometries(elems: DataFrame) -> DataFrame:
     return tracks(elems).filter(F.size("geometry") > 0).select("doc_id", "way_pos", "id", "geometry")
 
 
+def track_count(elems: DataFrame) -> DataFrame:
+    """doc_id and tracks: how many tracks of a document have a geometry."""
+    return way_geometries(elems).groupBy("doc_id").agg(F.count("*").alias("tracks"))
+
+
 def stations(elems: DataFrame) -> DataFrame:
     """name, lat, lng of named nodes, in element order."""
     name = filters.tag("name")

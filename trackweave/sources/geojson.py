@@ -15,8 +15,12 @@ FEATURES = "features array<struct<type:string,geometry:string,properties:map<str
 
 def features(spark: SparkSession, path: str) -> DataFrame:
     """file, pos, kind, name, line, coordinates (text) of every feature of the files."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.from_json("value", FEATURES).alias("doc"))
-    rows = files.select("file", F.posexplode("doc.features").alias("pos", "f"))
+    return parsed_features(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value"))
+
+
+def parsed_features(texts: DataFrame) -> DataFrame:
+    """As :func:`features`, of texts (file, value)."""
+    rows = texts.select("file", F.from_json("value", FEATURES).alias("doc")).select("file", F.posexplode("doc.features").alias("pos", "f"))
     return rows.select("file", "pos", F.get_json_object("f.geometry", "$.type").alias("kind"), F.try_element_at("f.properties", F.lit("name")).alias("name"), F.try_element_at("f.properties", F.lit("line")).alias("line"), F.get_json_object("f.geometry", "$.coordinates").alias("coordinates"))
 
 
