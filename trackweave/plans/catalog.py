@@ -1,67 +1,23 @@
 """The registered rail-network queries over the test tables, and their SQL counterparts.
 
-The tables hold no map data, so ids become pseudo-coordinates and ``events`` become tracks: a user is a
-way, its events in time are the way's nodes.
+Those over map responses are in :mod:`trackweave.plans.mapped`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackweave.functions import geo, text
 from trackweave.operators import filters, graph, lines, matching, track
 from trackweave.operators.rows import drop_consecutive, keep_first, keep_last
+from trackweave.plans import mapped
+from trackweave.plans.tables import BOX, EVENTS, STEP, lat, lng, sampled_line, sql_lat, sql_lng, staged, table, track_events, tracks
 from trackweave.sources import geojson
 
-BOX = (38.9, 116.9, 39.2, 117.3)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _lng(i: str) -> Column:
-    return F.lit(116.8) + F.pmod(F.col(i) * 7919, F.lit(1000)).cast("double") / F.lit(1000.0)
-
-
-def _lat(i: str) -> Column:
-    return F.lit(38.8) + F.pmod(F.col(i) * 104729, F.lit(600)).cast("double") / F.lit(1000.0)
-
-
-def _sql_lng(i: str) -> str:
-    return f"(116.8e0 + cast(({i} * 7919) % 1000 as double) / 1000e0)"
-
-
-def _sql_lat(i: str) -> str:
-    return f"(38.8e0 + cast(({i} * 104729) % 600 as double) / 1000e0)"
-
-
-def track_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """line_id, ts, event_id, k, lng, lat, event_type of every event."""
-    rows = table(spark, sf_dir, "events").withColumn("k", F.from_json("props", "k bigint")["k"])
-    return rows.select(F.col("user_id").alias("line_id"), "ts", "event_id", "k", "event_type", _lng("k").alias("lng"), _lat("k").alias("lat"))
-
-
-_EVENTS = f"""events_k as (
-    select user_id as line_id, ts, event_id, event_type, cast(json_extract(props, '$.k') as bigint) as k from events),
-  track_events as (select *, {_sql_lng("k")} as lng, {_sql_lat("k")} as lat from events_k)"""
-
-
-def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as tracks: one way a user."""
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "k", "lng", "lat")))
-    ways = track_events(spark, sf_dir).groupBy("line_id").agg(ordered.alias("p"), F.min("event_type").alias("kind"))
-    shaped = ways.select(
-        F.lit("map").alias("graph_id"), F.col("line_id").alias("way_pos"), F.col("line_id").alias("id"),
-        F.transform("p", lambda x: x["k"]).alias("nodes"), F.transform("p", lambda x: F.struct(x["lng"].alias("lng"), x["lat"].alias("lat"))).alias("geometry"),
-        F.create_map(F.lit("railway"), F.col("kind"), F.lit("name"), F.concat(F.lit("way "), F.col("line_id").cast("string"))).alias("tags"),
-    )
-    return filters.with_track_tags(shaped)
-
 
 def q_bbox_filter(spark, sf_dir):
-    spots = table(spark, sf_dir, "part").select("p_partkey", _lat("p_partkey").alias("lat"), _lng("p_partkey").alias("lng"))
+    spots = table(spark, sf_dir, "part").select("p_partkey", lat("p_partkey").alias("lat"), lng("p_partkey").alias("lng"))
     return filters.stations_in_bbox(spots, BOX).select("p_partkey", F.round("lat", 3).alias("lat"), F.round("lng", 3).alias("lng"))
 
 
@@ -110,8 +66,6 @@ _RELATIONS = """relations as (
 
 
 def q_line_listing(spark, sf_dir):
-    from pyspark.sql import Window
-
     listed = lines.listed_lines(_relations(spark, sf_dir))
     return listed.select("line_id", "ref", "name", "network", "directions", "first_pos", F.row_number().over(Window.partitionBy("network").orderBy(*lines.listing_order())).alias("place"))
 
@@ -142,34 +96,24 @@ def q_member_join(spark, sf_dir):
 
 
 def _official(spark, sf_dir) -> DataFrame:
+    """Brands as a roster: some with a prefix, some with an ending, those of one digit under names that no candidate has."""
     names = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("sequence"))
-    odd = F.when(F.col("sequence") % 3 == 0, F.concat(F.lit("No"), F.col("p_brand"))).otherwise(F.concat(F.col("p_brand"), F.lit("站")))
+    odd = F.when(F.length("p_brand") == 7, F.concat(F.lit("Halt "), F.substring("p_brand", 7, 1))).when(F.col("sequence") % 3 == 0, F.concat(F.lit("No"), F.col("p_brand"))).otherwise(F.concat(F.col("p_brand"), F.lit("站")))
     return names.select(F.lit("c").alias("city"), F.lit("l").alias("line"), F.col("sequence").cast("int").alias("sequence"), odd.alias("station"))
 
 
-def _all_candidates(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cand_pos"), F.concat(F.lit("地铁"), F.substring("p_brand", 1, 7)).alias("name"), _lat("p_partkey").alias("lat"), _lng("p_partkey").alias("lng"))
-
-
 def _candidates(spark, sf_dir) -> DataFrame:
-    """The candidates that the SQL has."""
-    return _all_candidates(spark, sf_dir).filter("cand_pos % 5 <> 0")
-
-
-def _all_official(spark, sf_dir) -> DataFrame:
-    """The roster, brands of one digit under names that no candidate has."""
-    other = F.when(F.length("station") <= 9, F.regexp_replace("station", "^(No)?Brand#([0-9])站?$", "Halt $2")).otherwise(F.col("station"))
-    return _official(spark, sf_dir).withColumn("station", other)
+    """All parts as stations, under their brands' first seven characters."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cand_pos"), F.concat(F.lit("地铁"), F.substring("p_brand", 1, 7)).alias("name"), lat("p_partkey").alias("lat"), lng("p_partkey").alias("lng"))
 
 
 _MATCH = f"""names as (
     select p_brand, min(p_partkey) as sequence from part group by p_brand),
   official as (
-    select sequence, case when sequence % 3 = 0 then 'No' || p_brand else p_brand || '站' end as station from names),
+    select sequence, case when length(p_brand) = 7 then 'Halt ' || substr(p_brand, 7, 1) when sequence % 3 = 0 then 'No' || p_brand else p_brand || '站' end as station from names),
   normal as (select *, regexp_replace(station, '站$', '') as a from official),
   cands as (
-    select p_partkey as cand_pos, substr(p_brand, 1, 7) as b, {_sql_lat("p_partkey")} as lat, {_sql_lng("p_partkey")} as lng
-    from part where p_partkey % 5 <> 0),
+    select p_partkey as cand_pos, substr(p_brand, 1, 7) as b, {sql_lat("p_partkey")} as lat, {sql_lng("p_partkey")} as lng from part),
   scored as (
     select n.sequence, n.station, c.cand_pos, c.b, c.lat, c.lng, case when a = b then 100 else 80 end as score
     from normal n join cands c on a = b or contains(a, b) or contains(b, a)),
@@ -181,39 +125,17 @@ def q_fuzzy_match(spark, sf_dir):
     return found.select("sequence", "official_name", "osm_name", "score", F.round("lat", 3).alias("lat"))
 
 
-def _overrides(spark, sf_dir) -> DataFrame:
-    rows = _official(spark, sf_dir).filter("sequence % 2 = 0")
-    return rows.select("city", "line", "station", F.lit(1.5).alias("lat"), F.lit(2.5).alias("lng"))
-
-
 def q_match_override(spark, sf_dir):
-    rows = matching.route_stations(_official(spark, sf_dir), _candidates(spark, sf_dir), _overrides(spark, sf_dir))
-    return rows.select("sequence", "name", F.round("lat", 3).alias("lat"), F.round("lng", 3).alias("lng"), "origin")
-
-
-def q_unmatched(spark, sf_dir):
-    roster = _official(spark, sf_dir)
-    few = _candidates(spark, sf_dir).filter("cand_pos % 7 = 1 AND name LIKE '%1'")
-    return matching.unmatched(roster, matching.line_stations(roster, few)).select("sequence", "station")
-
-
-def q_fuzzy_match_all(spark, sf_dir):
-    """All rows of part as candidates, as in the next two; without SQL, tested by brute force."""
-    found = matching.line_stations(_official(spark, sf_dir), _all_candidates(spark, sf_dir))
-    return found.select("sequence", "official_name", "osm_name", "score", F.round("lat", 3).alias("lat"))
-
-
-def q_match_override_all(spark, sf_dir):
     """Overrides for the stations whose names end in an odd digit; the other unmatched ones leave gaps."""
-    roster = _all_official(spark, sf_dir)
+    roster = _official(spark, sf_dir)
     named = roster.filter("station RLIKE '[13579]$'").select("city", "line", "station", F.lit(1.5).alias("lat"), F.lit(2.5).alias("lng"))
-    rows = matching.route_stations(roster, _all_candidates(spark, sf_dir), named)
+    rows = matching.route_stations(roster, _candidates(spark, sf_dir), named)
     return rows.select("sequence", "name", F.round("lat", 3).alias("lat"), F.round("lng", 3).alias("lng"), "origin")
 
 
-def q_unmatched_all(spark, sf_dir):
-    roster = _all_official(spark, sf_dir)
-    return matching.unmatched(roster, matching.line_stations(roster, _all_candidates(spark, sf_dir))).select("sequence", "station")
+def q_unmatched(spark, sf_dir):
+    roster = _official(spark, sf_dir)
+    return matching.unmatched(roster, matching.line_stations(roster, _candidates(spark, sf_dir))).select("sequence", "station")
 
 
 def q_edges(spark, sf_dir):
@@ -221,26 +143,22 @@ def q_edges(spark, sf_dir):
 
 
 def q_nearest_node(spark, sf_dir):
-    spots = table(spark, sf_dir, "supplier").select(F.lit("map").alias("graph_id"), "s_suppkey", (_lng("s_suppkey") + 0.0004).alias("lng"), (_lat("s_suppkey") + 0.0003).alias("lat"))
+    spots = table(spark, sf_dir, "supplier").select(F.lit("map").alias("graph_id"), "s_suppkey", (lng("s_suppkey") + 0.0004).alias("lng"), (lat("s_suppkey") + 0.0003).alias("lat"))
     return graph.nearest_vertices(spots, graph.vertices(tracks(spark, sf_dir)), ["s_suppkey"]).select("s_suppkey", "node")
 
 
-def _sampled_line(spark, sf_dir) -> DataFrame:
-    return track_events(spark, sf_dir).withColumn("pt_pos", F.col("event_id"))
-
-
 def q_station_order(spark, sf_dir):
-    points = _sampled_line(spark, sf_dir)
-    stations = table(spark, sf_dir, "nation").select((F.col("n_nationkey") % 20).cast("long").alias("line_id"), F.col("n_nationkey").alias("pos"), "n_name", (_lng("n_nationkey") + 0.0004).alias("lng"), (_lat("n_nationkey") + 0.0003).alias("lat"))
+    points = sampled_line(spark, sf_dir)
+    stations = table(spark, sf_dir, "nation").select((F.col("n_nationkey") % 20).cast("long").alias("line_id"), F.col("n_nationkey").alias("pos"), "n_name", (lng("n_nationkey") + 0.0004).alias("lng"), (lat("n_nationkey") + 0.0003).alias("lat"))
     return lines.station_order(stations, points).select("line_id", "n_name", "idx", "place")
 
 
 def q_length(spark, sf_dir):
-    return lines.lengths(_sampled_line(spark, sf_dir), pos="ts").select("line_id", F.round("length", 2).alias("length"))
+    return lines.lengths(sampled_line(spark, sf_dir), pos="ts").select("line_id", F.round("length", 2).alias("length"))
 
 
 def q_cum_distance(spark, sf_dir):
-    return lines.stamped(_sampled_line(spark, sf_dir), pos="ts").select("line_id", "event_id", F.round("distance", 1).alias("distance"))
+    return lines.stamped(sampled_line(spark, sf_dir), pos="ts").select("line_id", "event_id", F.round("distance", 1).alias("distance"))
 
 
 def q_interchange(spark, sf_dir):
@@ -254,21 +172,28 @@ def _whole_edges(spark, sf_dir) -> DataFrame:
 
 
 def q_shortest_path(spark, sf_dir):
-    seeds = spark.range(0, 5).select(F.col("id").alias("seed"))
-    return graph.distances(_whole_edges(spark, sf_dir), seeds).select("seed", "node", "d")
+    """From every vertex that has an edge, itself included."""
+    whole = _whole_edges(spark, sf_dir)
+    return graph.distances(whole, whole.select(F.col("src").alias("seed")).distinct()).select("seed", "node", "d")
 
 
-def q_shortest_path_all(spark, sf_dir):
-    """From every vertex that has an edge, itself included; without SQL, tested by brute force."""
+def q_paths(spark, sf_dir):
+    """From every vertex to the one after it, by the distances' fixpoint."""
     whole = _whole_edges(spark, sf_dir)
-    return graph.distances(whole, whole.select(F.col("src").alias("seed")).distinct()).select("seed", "node", "d")
+    nodes = whole.select(F.col("src").alias("start")).distinct()
+    pairs = nodes.select(F.col("start").alias("pair_pos"), "start", F.lead("start").over(Window.orderBy("start")).alias("end"))
+    return graph.fixpoint_paths(whole, pairs).select("pair_pos", "pt_pos", "node")
+
+
+def _route_stops(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "nation").select(F.lit("map").alias("graph_id"), F.col("n_regionkey").alias("line_id"), F.col("n_nationkey").alias("sequence"), lng("n_nationkey").alias("lng"), lat("n_nationkey").alias("lat"))
 
 
 def q_route(spark, sf_dir):
     own = tracks(spark, sf_dir)
-    stops = table(spark, sf_dir, "nation").select(F.lit("map").alias("graph_id"), F.col("n_regionkey").alias("line_id"), F.col("n_nationkey").alias("sequence"), _lng("n_nationkey").alias("lng"), _lat("n_nationkey").alias("lat"))
-    walked = graph.route(stops, graph.vertices(own), graph.edges(own))
-    return lines.stamped(walked).select("line_id", "pt_pos", "node", "distance")
+    whole = graph.edges(own).withColumn("distance", F.round("distance").cast("long"))
+    walked = graph.route(_route_stops(spark, sf_dir), graph.vertices(own), whole)
+    return lines.stamped(walked).select("line_id", "pt_pos", "node", F.round("distance", 1).alias("distance"))
 
 
 def _planar(spark, sf_dir) -> DataFrame:
@@ -287,22 +212,12 @@ _LEGS = """pts as (
     from sized)"""
 
 
-def _off_lines(spark, sf_dir, legs: DataFrame, ids: DataFrame) -> DataFrame:
-    """How far each nation is from each of the lines."""
-    spots = ids.crossJoin(F.broadcast(table(spark, sf_dir, "nation"))).select("line_id", "n_nationkey", (F.col("n_nationkey") * 4 + 0.25).cast("double").alias("px"), (F.col("n_nationkey") * 3 + 0.5).cast("double").alias("py"))
-    return track.referenced(spots, legs, ["n_nationkey"]).select("line_id", "n_nationkey", F.round("off", 3).alias("off_line"))
-
-
 def q_project(spark, sf_dir):
-    """The ten lines that the SQL has; every line is :func:`q_project_all`."""
+    """Each nation on every line: how far off it is, and how far along."""
     legs = track.legs(_planar(spark, sf_dir))
-    return _off_lines(spark, sf_dir, legs, legs.select("line_id").distinct().filter("line_id < 10"))
-
-
-def q_project_all(spark, sf_dir):
-    """Each nation on every line; without SQL, tested by brute force."""
-    legs = track.legs(_planar(spark, sf_dir))
-    return _off_lines(spark, sf_dir, legs, legs.select("line_id").distinct())
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_nationkey") * 4 + 0.25).cast("double").alias("px"), (F.col("n_nationkey") * 3 + 0.5).cast("double").alias("py"))
+    spots = legs.select("line_id").distinct().join(F.broadcast(nations))  # 25 rows
+    return track.referenced(spots, legs, ["n_nationkey"]).select("line_id", "n_nationkey", F.round("off", 3).alias("off_line"), F.round("along", 2).alias("along"))
 
 
 def q_resample(spark, sf_dir):
@@ -313,55 +228,63 @@ def q_resample(spark, sf_dir):
 
 
 def q_utm(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select("p_partkey", (_lng("p_partkey") + 4).alias("lng"), _lat("p_partkey").alias("lat"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", (lng("p_partkey") + 4).alias("lng"), lat("p_partkey").alias("lat"))
     back = track.from_utm(track.to_utm(rows).drop("lng", "lat"))
     return back.select("p_partkey", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), F.round("lng", 6).alias("lng"), F.round("lat", 6).alias("lat"))
 
 
 def q_geojson(spark, sf_dir):
-    stops = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("line_id"), F.concat(F.lit("Region "), F.col("n_regionkey").cast("string")).alias("line"), F.col("n_nationkey").alias("pos"), F.col("n_name").alias("name"), F.round(_lng("n_nationkey"), 3).alias("lng"), F.round(_lat("n_nationkey"), 3).alias("lat"))
-    made = geojson.collections(stops)
-    parsed = made.select("line_id", F.posexplode(F.from_json("geojson", geojson.FEATURES)["features"]).alias("i", "f"))
-    return parsed.select("line_id", "i", F.get_json_object("f.geometry", "$.type").alias("kind"), F.col("f.properties")["name"].alias("name"), F.col("f.properties")["line"].alias("line"), F.get(F.from_json(F.get_json_object("f.geometry", "$.coordinates"), "array<double>"), F.lit(0)).alias("lng"))
+    """Regions with their nations as stations, users' tracks as lines; users beyond the regions have a line only."""
+    stops = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("line_id"), F.concat(F.lit("Region "), F.col("n_regionkey").cast("string")).alias("line"), F.col("n_nationkey").alias("pos"), F.col("n_name").alias("name"), F.round(lng("n_nationkey"), 3).alias("lng"), F.round(lat("n_nationkey"), 3).alias("lat"))
+    made = geojson.collections(stops, sampled_line(spark, sf_dir))
+    parsed = geojson.parsed_features(made.select(F.col("line_id").cast("string").alias("file"), F.col("geojson").alias("value")))
+    kept = parsed.withColumn("flat", F.when(F.col("kind") == "Point", F.array(F.from_json("coordinates", "array<double>"))).otherwise(F.from_json("coordinates", "array<array<double>>")))
+    return kept.select(F.col("file").alias("line_id"), F.col("pos").alias("i"), "kind", "name", "line", F.size("flat").alias("n_points"), F.round(F.get(F.get("flat", F.size("flat") - 1), F.lit(0)), 3).alias("lng"))
 
 
-QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q_")}
+QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q_")} | mapped.QUERIES
 
 
 # -- the same in SQL
 
 _STRIP = lambda x: f"regexp_replace({x}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
-_STEP = f"sqrt(pow({geo.RADIUS} * radians(lng) - {geo.RADIUS} * radians(l_lng), 2) + pow({geo.RADIUS} * ln(tan(pi() / 4 + radians(lat) / 2)) - {geo.RADIUS} * ln(tan(pi() / 4 + radians(l_lat) / 2)), 2))"
 _STEPS = f"""moved as (
     select *, lag(lng) over w as l_lng, lag(lat) over w as l_lat from track_events window w as (partition by line_id order by ts)),
-  steps as (select *, coalesce({_STEP}, 0e0) as step from moved)"""
+  steps as (select *, coalesce({STEP}, 0e0) as step from moved)"""
 _EDGES = f"""paired as (
     select line_id, ts, event_id, k as a, lng, lat, lead(k) over w as b, lead(lng) over w as l_lng, lead(lat) over w as l_lat
     from track_events window w as (partition by line_id order by ts, event_id)),
-  steps as (select *, {_STEP} as metres from paired where b is not null),
+  steps as (select *, {STEP} as metres from paired where b is not null),
   both_ways as (
     select a as src, b as dst, line_id as way, metres as distance, ts, 0 as back from steps
     union all select b, a, line_id, metres, ts, 1 from steps),
   edges as (select * from both_ways qualify row_number() over (partition by src, dst, way order by ts, back) = 1)"""
 
 
-def _staged(stages: list[dict[str, str]], source: str, name: str) -> str:
-    parts, last = [], source
-    for i, stage in enumerate(stages):
-        columns = ", ".join(f"{e} as {c}" for c, e in stage.items())
-        parts.append(f"{name}{i} as (select *, {columns} from {last})")
-        last = f"{name}{i}"
-    return ",\n  ".join(parts)
-
+#: Distances from every seed over edges of whole metres, and the paths back over the first of equal predecessors.
+_WALK = """light as (select src, dst, min(cast(round(distance) as bigint)) as w from edges where src <> dst group by src, dst),
+  dist(seed, node, d) using key (seed, node) as (
+    select distinct src, src, cast(0 as bigint) from edges
+    union
+    select n.seed, n.dst, n.d from (
+      select x.seed, l.dst, min(x.d + l.w) as d from dist x join light l on x.node = l.src group by x.seed, l.dst) n
+    left join recurring.dist b on b.seed = n.seed and b.node = n.dst where b.d is null or n.d < b.d)"""
+_BACK = """before as (
+    select n.seed, n.node, arg_min(p.node, (p.d, p.node)) as prior from dist n join light l on l.dst = n.node join dist p on p.seed = n.seed and p.node = l.src and p.d + l.w = n.d
+    where n.node <> n.seed group by n.seed, n.node),
+  traced as (
+    select pair_pos, start, "end" as node, 0 as back from pairs join dist on seed = start and node = "end"
+    union all
+    select t.pair_pos, t.start, b.prior, t.back + 1 from traced t join before b on b.seed = t.start and b.node = t.node where t.node <> t.start)"""
 
 ORACLES = {
-    "q_bbox_filter": f"""with spots as (select p_partkey, {_sql_lat("p_partkey")} as lat, {_sql_lng("p_partkey")} as lng from part)
+    "q_bbox_filter": f"""with spots as (select p_partkey, {sql_lat("p_partkey")} as lat, {sql_lng("p_partkey")} as lng from part)
 select p_partkey, round(lat, 3) as lat, round(lng, 3) as lng from spots where lat between 38.9e0 and 39.2e0 and lng between 116.9e0 and 117.3e0""",
     "q_keep_first": "select p_partkey, p_name, p_brand from part qualify row_number() over (partition by p_name order by p_partkey) = 1",
-    "q_drop_consecutive": f"""with {_EVENTS},
+    "q_drop_consecutive": f"""with {EVENTS},
   marked as (select *, row_number() over w as r, lag(lng) over w as l_lng, lag(lat) over w as l_lat from track_events window w as (partition by line_id order by ts))
 select line_id, event_id, k from marked where r = 1 or l_lng is distinct from lng or l_lat is distinct from lat""",
-    "q_track_tags": f"""with {_EVENTS}
+    "q_track_tags": f"""with {EVENTS}
 select line_id as id, 'way ' || line_id as name, min(event_type) as railway, 'none' as service, cast(count(*) as integer) as n_nodes
 from track_events group by line_id having count(*) >= 2""",
     "q_normalize_names": f"""with rows_ as (
@@ -399,61 +322,82 @@ from lineitem join part on l_partkey = p_partkey where l_returnflag in ('N', 'R'
     select n.sequence, n.station, s.lat, s.lng, case when n.a = s.b then 100 else 80 end as score, s.sequence as pos
     from normal n join best s on n.a = s.b or contains(n.a, s.b) or contains(s.b, n.a)
     qualify row_number() over (partition by n.sequence order by score desc, pos) = 1)
-select cast(o.sequence as integer) as sequence, o.station as name, round(coalesce(g.lat, case when o.sequence % 2 = 0 then 1.5e0 end), 3) as lat,
-  round(coalesce(g.lng, case when o.sequence % 2 = 0 then 2.5e0 end), 3) as lng, case when g.lat is not null then 'map' else 'override' end as origin
-from official o left join again g on o.sequence = g.sequence where g.lat is not null or o.sequence % 2 = 0""",
+select cast(o.sequence as integer) as sequence, o.station as name, round(case when g.lat is not null then g.lat else 1.5e0 end, 3) as lat,
+  round(case when g.lat is not null then g.lng else 2.5e0 end, 3) as lng, case when g.lat is not null then 'map' else 'override' end as origin
+from official o left join again g on o.sequence = g.sequence where g.lat is not null or regexp_matches(o.station, '[13579]$')""",
     "q_unmatched": f"""with {_MATCH}
-select cast(sequence as integer) as sequence, station from normal n
-where not exists (select 1 from cands where cand_pos % 7 = 1 and b like '%1' and (contains(a, b) or contains(b, a)))""",
-    "q_edges": f"with {_EVENTS}, {_EDGES} select src, dst, way, round(distance, 2) as distance from edges",
-    "q_nearest_node": f"""with {_EVENTS},
+select cast(sequence as integer) as sequence, station from normal n where not exists (select 1 from cands where contains(a, b) or contains(b, a))""",
+    "q_edges": f"with {EVENTS}, {_EDGES} select src, dst, way, round(distance, 2) as distance from edges",
+    "q_nearest_node": f"""with {EVENTS},
   verts as (select k as node, lng, lat, line_id, ts from track_events qualify row_number() over (partition by k order by line_id, ts) = 1),
-  spots as (select s_suppkey, {_sql_lng("s_suppkey")} + 0.0004e0 as x, {_sql_lat("s_suppkey")} + 0.0003e0 as y from supplier)
+  spots as (select s_suppkey, {sql_lng("s_suppkey")} + 0.0004e0 as x, {sql_lat("s_suppkey")} + 0.0003e0 as y from supplier)
 select s_suppkey, node from spots cross join verts
 qualify row_number() over (partition by s_suppkey order by sqrt((x - lng) * (x - lng) + (y - lat) * (y - lat)), line_id, ts) = 1""",
-    "q_station_order": f"""with {_EVENTS},
+    "q_station_order": f"""with {EVENTS},
   stations as (
-    select n_nationkey % 20 as line_id, n_nationkey as pos, n_name, {_sql_lng("cast(n_nationkey as bigint)")} + 0.0004e0 as x, {_sql_lat("cast(n_nationkey as bigint)")} + 0.0003e0 as y from nation),
+    select n_nationkey % 20 as line_id, n_nationkey as pos, n_name, {sql_lng("cast(n_nationkey as bigint)")} + 0.0004e0 as x, {sql_lat("cast(n_nationkey as bigint)")} + 0.0003e0 as y from nation),
   best as (
     select s.line_id, s.pos, s.n_name, e.event_id as idx from stations s left join track_events e on e.line_id = s.line_id
     qualify row_number() over (partition by s.pos order by sqrt((x - lng) * (x - lng) + (y - lat) * (y - lat)), event_id) = 1)
 select cast(line_id as bigint) as line_id, n_name, coalesce(idx, 0) as idx, row_number() over (partition by line_id order by coalesce(idx, 0), pos) as place from best""",
-    "q_length": f"with {_EVENTS}, {_STEPS} select line_id, round(sum(step), 2) as length from steps group by line_id",
-    "q_cum_distance": f"""with {_EVENTS}, {_STEPS}
+    "q_length": f"with {EVENTS}, {_STEPS} select line_id, round(sum(step), 2) as length from steps group by line_id",
+    "q_cum_distance": f"""with {EVENTS}, {_STEPS}
 select line_id, event_id, round(round(sum(step) over (partition by line_id order by ts rows unbounded preceding), 2), 1) as distance from steps""",
     "q_interchange": "select l_partkey as station_id, count(distinct l_suppkey) > 1 as interchange from lineitem group by l_partkey",
-    "q_shortest_path": f"""with recursive {_EVENTS}, {_EDGES},
-  light as (select src, dst, min(cast(round(distance) as bigint)) as w from edges group by src, dst),
-  walk as (
-    select s as seed, s as node, cast(0 as bigint) as d, 0 as hops from range(5) t(s)
-    union
-    select walk.seed, dst, min(walk.d + w), walk.hops + 1 from walk join light on walk.node = src where hops < 12 group by walk.seed, dst, walk.hops)
-select seed, node, min(d) as d from walk group by seed, node""",
-    "q_project": f"""with {_EVENTS}, {_LEGS},
-  spots as (select l as line_id, n_nationkey, n_nationkey * 4 + 0.25e0 as px, n_nationkey * 3 + 0.5e0 as py from nation, (select distinct line_id as l from legs where line_id < 10)),
+    "q_shortest_path": f"""with recursive {EVENTS}, {_EDGES}, {_WALK}
+select seed, node, d from dist""",
+    "q_paths": f"""with recursive {EVENTS}, {_EDGES}, {_WALK},
+  pairs as (select s as pair_pos, s as start, lead(s) over (order by s) as "end" from (select distinct src as s from light)), {_BACK}
+select pair_pos, cast(row_number() over (partition by pair_pos order by back desc) - 1 as integer) as pt_pos, node from traced""",
+    "q_route": f"""with recursive {EVENTS}, {_EDGES}, {_WALK},
+  verts as (select k as node, lng, lat, line_id as way, ts from track_events qualify row_number() over (partition by k order by line_id, ts) = 1),
+  stops as (
+    select n_regionkey as line_id, n_nationkey as sequence, node from nation cross join verts
+    qualify row_number() over (partition by n_nationkey order by sqrt(power({sql_lng("cast(n_nationkey as bigint)")} - lng, 2) + power({sql_lat("cast(n_nationkey as bigint)")} - lat, 2)), way, ts) = 1),
+  pairs as (
+    select sequence as pair_pos, line_id, node as start, lead(node) over (partition by line_id order by sequence) as "end" from stops), {_BACK},
+  walked as (
+    select p.line_id, t.pair_pos, t.node, row_number() over (partition by t.pair_pos order by back desc) - 1 as spot, min(t.pair_pos) over (partition by p.line_id) as first_pos
+    from traced t join pairs p on p.pair_pos = t.pair_pos),
+  placed as (
+    select line_id, row_number() over (partition by line_id order by pair_pos, spot) - 1 as pt_pos, node from walked where spot > 0 or pair_pos = first_pos),
+  moved as (
+    select p.*, lng, lat, lag(lng) over w as l_lng, lag(lat) over w as l_lat from placed p join verts v on v.node = p.node window w as (partition by p.line_id order by pt_pos)),
+  stamped as (select *, coalesce({STEP}, 0e0) as step from moved)
+select line_id, cast(pt_pos as integer) as pt_pos, node, round(round(sum(step) over (partition by line_id order by pt_pos rows unbounded preceding), 2), 1) as distance from stamped""",
+    "q_project": f"""with {EVENTS}, {_LEGS},
+  spots as (select l as line_id, n_nationkey, n_nationkey * 4 + 0.25e0 as px, n_nationkey * 3 + 0.5e0 as py from nation, (select distinct line_id as l from legs)),
   shares as (
-    select s.line_id, n_nationkey, px, py, x, y, x2, y2,
+    select s.line_id, n_nationkey, px, py, x, y, x2, y2, pt_pos, cum, length,
       case when (x2 - x) * (x2 - x) + (y2 - y) * (y2 - y) = 0 then 0e0
         else greatest(0e0, least(1e0, ((px - x) * (x2 - x) + (py - y) * (y2 - y)) / ((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)))) end as t
-    from spots s join legs on s.line_id = legs.line_id)
-select line_id, n_nationkey, round(min(sqrt(pow(px - (x + (x2 - x) * t), 2) + pow(py - (y + (y2 - y) * t), 2))), 3) as off_line
-from shares group by line_id, n_nationkey""",
-    "q_resample": f"""with {_EVENTS}, {_LEGS},
+    from spots s join legs on s.line_id = legs.line_id),
+  far as (
+    select *, sqrt((px - (x + (x2 - x) * t)) * (px - (x + (x2 - x) * t)) + (py - (y + (y2 - y) * t)) * (py - (y + (y2 - y) * t))) as off from shares)
+select line_id, n_nationkey, round(off, 3) as off_line, round(cum + t * length, 2) as along from far
+qualify row_number() over (partition by line_id, n_nationkey order by round(off, 6), pt_pos) = 1""",
+    "q_resample": f"""with {EVENTS}, {_LEGS},
   ranges as (
     select line_id, 10.5e0 as low, floor(max(cum + length)) as high, line_id % 2 = 1 as turned, max(pt_pos) as last_pos from legs group by line_id),
   counted as (select *, cast(floor((high - low) / 400) as bigint) as steps from ranges where high >= low),
   grid as (
-    select line_id, turned, steps + 2 as n, k, low + k * 400e0 as along, last_pos from counted, range(0, 1000) r(k) where k <= steps
+    select line_id, turned, steps + 2 as n, k, low + k * 400e0 as along, last_pos from counted, unnest(range(0, steps + 1)) r(k)
     union all select line_id, turned, steps + 2, steps + 1, high, last_pos from counted),
   met as (
     select g.*, x, y, x2, y2, case when length > 0 then least(1e0, (along - cum) / length) else 0e0 end as t
     from grid g join legs l on l.line_id = g.line_id and along >= cum and (along < cum + length or pt_pos = last_pos))
 select line_id, cast(case when turned then n - k else k + 1 end as bigint) as i, round(x + (x2 - x) * t, 2) as x, round(y + (y2 - y) * t, 2) as y from met""",
-    "q_utm": f"""with spots as (select p_partkey, {_sql_lng("p_partkey")} + 4 as lng, {_sql_lat("p_partkey")} as lat from part),
-  {_staged(geo.utm_stages(), "spots", "u_")},
+    "q_utm": f"""with spots as (select p_partkey, {sql_lng("p_partkey")} + 4 as lng, {sql_lat("p_partkey")} as lat from part),
+  {staged(geo.utm_stages(), "spots", "u_")},
   flat as (select p_partkey, x, y from u_2),
-  {_staged(geo.inverse_utm_stages(), "flat", "v_")}
+  {staged(geo.inverse_utm_stages(), "flat", "v_")}
 select p_partkey, round(x, 2) as x, round(y, 2) as y, round(lng, 6) as lng, round(lat, 6) as lat from v_3""",
-    "q_geojson": f"""select n_regionkey as line_id, cast(row_number() over (partition by n_regionkey order by n_nationkey) - 1 as integer) as i, 'Point' as kind,
-  n_name as name, 'Region ' || n_regionkey as line, round({_sql_lng("cast(n_nationkey as bigint)")}, 3) as lng from nation""",
-}
+    "q_geojson": f"""with {EVENTS},
+  numbered as (
+    select n_regionkey as line_id, n_nationkey as pos, n_name as name, 'Region ' || n_regionkey as line, round({sql_lng("cast(n_nationkey as bigint)")}, 3) as lng from nation),
+  feats as (
+    select line_id, -1 as pos, 'LineString' as kind, (select any_value(line) from numbered n where n.line_id = e.line_id) as name, null as line, count(*) as n, round(arg_max(lng, event_id), 3) as lng
+    from track_events e group by line_id
+    union all select line_id, pos, 'Point', name, line, 1, lng from numbered)
+select cast(line_id as varchar) as line_id, cast(row_number() over (partition by line_id order by pos) - 1 as integer) as i, kind, name, line, cast(n as integer) as n_points, lng from feats""",
+} | mapped.ORACLES
