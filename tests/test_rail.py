@@ -447,7 +447,8 @@ def test_query_against_sql(spark, name):
     folder = "/root/testdata/sf0.001"
     df = catalog.QUERIES[name](spark, folder)
     columns = sorted(df.columns)
-    rows = sorted(tuple(r[c] for c in columns) for r in df.collect())
+    nulls_first = lambda row: [(x is not None, x) for x in row]
+    rows = sorted((tuple(r[c] for c in columns) for r in df.collect()), key=nulls_first)
     assert rows
     if name in catalog.ORACLES:
         con = duckdb.connect()
@@ -456,7 +457,7 @@ def test_query_against_sql(spark, name):
         cursor = con.execute(catalog.ORACLES[name])
         names = [d[0] for d in cursor.description]
         assert sorted(names) == columns
-        assert sorted(tuple(r[names.index(c)] for c in columns) for r in cursor.fetchall()) == rows
+        assert sorted((tuple(r[names.index(c)] for c in columns) for r in cursor.fetchall()), key=nulls_first) == rows
 
 
 # -- whole-table queries without SQL, by brute force
@@ -475,7 +476,7 @@ def test_every_line_is_referenced(spark):
         return math.dist(p, (a[0] + dx * t, a[1] + dy * t))
 
     wanted = {(line, n): min(off((n * 4 + 0.25, n * 3 + 0.5), a, b) for a, b in zip(pts, pts[1:], strict=False)) for line, pts in tracks.items() if len(pts) > 1 for n in range(25)}
-    found = {(r.line_id, r.n_nationkey): r.off_line for r in catalog.QUERIES["q_project_all"](spark, SMALL).collect()}
+    found = {(r.line_id, r.n_nationkey): r.off_line for r in catalog.QUERIES["q_project"](spark, SMALL).collect()}
     assert found.keys() == wanted.keys() and max(line for line, _ in found) >= 10
     assert all(abs(found[k] - wanted[k]) <= 0.00051 for k in wanted)
 
@@ -485,7 +486,7 @@ def test_matches_see_every_part(spark):
     sequence = {}
     for key, brand in parts:
         sequence[brand] = min(key, sequence.get(brand, key))
-    official = {n: f"No{b}" if n % 3 == 0 else f"{b}站" for b, n in sequence.items()}
+    official = {n: f"Halt {b[6:]}" if len(b) == 7 else f"No{b}" if n % 3 == 0 else f"{b}站" for b, n in sequence.items()}
     bare = {n: s.removesuffix("站") for n, s in official.items()}
     first = {}
     for key, brand in sorted(parts):
@@ -498,12 +499,12 @@ def test_matches_see_every_part(spark):
     lat = lambda key: round(38.8 + key * 104729 % 600 / 1000, 3)
     wanted = {n: (official[n], f"地铁{m[2]}", -m[0], lat(m[1])) for n in official if (m := best(bare[n]))}
     assert any(best(bare[n])[1] % 5 == 0 for n in wanted)
-    found = {r.sequence: (r.official_name, r.osm_name, r.score, r.lat) for r in catalog.QUERIES["q_fuzzy_match_all"](spark, SMALL).collect()}
+    found = {r.sequence: (r.official_name, r.osm_name, r.score, r.lat) for r in catalog.QUERIES["q_fuzzy_match"](spark, SMALL).collect()}
     assert found == wanted
 
     halts = {n: f"Halt {b[6:]}" for b, n in sequence.items() if len(b) == 7}
-    assert {(r.sequence, r.station) for r in catalog.QUERIES["q_unmatched_all"](spark, SMALL).collect()} == set(halts.items())
-    rows = {r.sequence: (r.name, r.lat, r.origin) for r in catalog.QUERIES["q_match_override_all"](spark, SMALL).collect()}
+    assert {(r.sequence, r.station) for r in catalog.QUERIES["q_unmatched"](spark, SMALL).collect()} == set(halts.items())
+    rows = {r.sequence: (r.name, r.lat, r.origin) for r in catalog.QUERIES["q_match_override"](spark, SMALL).collect()}
     taken = {n: best(bare[n]) for n in official if n not in halts}
     firsts = [(m[2], n, m[1]) for n, m in taken.items()]
     again = {n: min((-100 if bare[n] == b else -80, pos, key) for b, pos, key in firsts if b in bare[n] or bare[n] in b)[2] for n in taken}
@@ -525,6 +526,61 @@ def test_distances_reach_the_end_or_say_so(spark):
     assert inspect.signature(graph.distances).parameters["most_hops"].default is None
 
 
+def test_chains_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    cut = graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: (rounds.append(1), cut(df))[1])
+    rows = [(i, i + 1, 1 + i % 3) for i in range(3000)] + [(i + 1, i, 2) for i in range(3000)]
+    chain = spark.createDataFrame(rows, "src long, dst long, distance long")
+    wanted = {0: 0}
+    for i in range(3000):
+        wanted[i + 1] = wanted[i] + 1 + i % 3
+    found = graph.distances(chain, spark.createDataFrame([(0,)], "seed long")).collect()
+    assert {r.node: r.d for r in found} == wanted and len(found) == 3001
+    pairs = spark.createDataFrame([(7, 0, 3000), (8, 3000, 0), (9, 5, 5), (10, 0, 9999)], "pair_pos long, start long, end long")
+    paths = {}
+    for r in sorted(graph.fixpoint_paths(chain, pairs).collect(), key=lambda r: (r.pair_pos, r.pt_pos)):
+        paths.setdefault(r.pair_pos, []).append(r.node)
+    assert paths == {7: list(range(3001)), 8: list(range(3000, -1, -1)), 9: [5]}
+    assert len(rounds) < 400
+
+
+def test_fixpoint_paths_are_dijkstras(spark):
+    rnd = random.Random(6)
+    edges, near = [], {}
+    for _ in range(14):  # some chains between a few junctions, with ties
+        a, b, n = rnd.randrange(6), rnd.randrange(6), rnd.randrange(0, 9)
+        walk = [a, *(100 * len(edges) + 1000 + k for k in range(n)), b]
+        for x, y in zip(walk, walk[1:], strict=False):
+            w = rnd.randrange(1, 4)
+            edges += [(x, y, w), (y, x, rnd.choice([w, w + 1]))]
+    for x, y, w in edges:
+        near.setdefault(x, {})[y] = min(w, near.get(x, {}).get(y, w))
+    graph_ = {x: list(own.items()) for x, own in near.items()}
+    nodes = sorted(near)
+    pairs = [(k, rnd.choice(nodes), rnd.choice(nodes)) for k in range(40)]
+    found = {}
+    table = spark.createDataFrame(edges, "src long, dst long, distance long")
+    for r in sorted(graph.fixpoint_paths(table, spark.createDataFrame(pairs, "pair_pos long, start long, end long")).collect(), key=lambda r: (r.pair_pos, r.pt_pos)):
+        found.setdefault(r.pair_pos, []).append(r.node)
+    assert found == {k: p for k, s, e in pairs if (p := graph.dijkstra(graph_, s, e))}
+
+
+def test_checkpoints_need_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from trackweave.operators.rows import cut_lineage
+
+    away = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: {}, master="spark://elsewhere:7077")
+    with pytest.raises(RuntimeError, match="share"):
+        cut_lineage(SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=away)))
+
+
+def test_station_names_and_track_counts(spark):
+    stations = spark.createDataFrame([("d", 2, "b"), ("d", 1, "a"), ("e", 5, None)], "doc_id string, pos int, name string")
+    assert {r.doc_id: r.names for r in lines.station_names(stations).collect()} == {"d": ["a", "b"], "e": [None]}
+
+
 def test_distances_of_all_vertices(spark):
     near = {}
     for r in catalog._whole_edges(spark, SMALL).collect():
@@ -540,7 +596,7 @@ def test_distances_of_all_vertices(spark):
                 for other, w in near.get(node, {}).items():
                     heapq.heappush(heap, (d + w, other))
         wanted |= {(seed, node, d) for node, d in least.items()}
-    found = [(r.seed, r.node, r.d) for r in catalog.QUERIES["q_shortest_path_all"](spark, SMALL).collect()]
+    found = [(r.seed, r.node, r.d) for r in catalog.QUERIES["q_shortest_path"](spark, SMALL).collect()]
     assert len(found) == len(set(found)) and set(found) == wanted and len(near) > 5
 
 
