@@ -86,6 +86,8 @@ def edits(rnd, words, share):
 def test_links_at_the_threshold(spark, monkeypatch, words, num, den):
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
     monkeypatch.setattr(ngram_join, "SCAN_ROWS", 40)
+    monkeypatch.setattr(ngram_join, "TOGETHER", 2)
+    monkeypatch.setattr(ngram_join, "HELD_PAIRS", 30)
     rnd = random.Random(words)
     texts = []
     passage = [f"p{i}" for i in range(60)]
@@ -101,8 +103,10 @@ def test_links_at_the_threshold(spark, monkeypatch, words, num, den):
     rnd.shuffle(docs)
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n", F.lit("clash")).withColumn("key", F.lit("clash")).repartition(3)
     wanted = brute_components(docs, words, num, den)
-    for show_some in (False, True):
-        assert got(ngram_join.jaccard_components(df, words, num, den, show_some)) == wanted
+    for shows, small in ((0, 48), (1, 3)):
+        monkeypatch.setattr(ngram_join, "SHOWS", shows)
+        monkeypatch.setattr(ngram_join, "SMALL", small)
+        assert got(ngram_join.jaccard_components(df, words, num, den)) == wanted
 
 
 @pytest.mark.parametrize("n", [1024, 4096])

@@ -9,10 +9,11 @@ overlap by it for certain, and in a subset's group a link to its smallest member
 *Heavy* sets: inverted lists over prefixes. In a common order of shingles (rare ones first) a linked
 pair shares one of either's first ``n - ceil(num/den * n) + 1``. The lists are scanned as sorted
 streams; each member is checked against the list's first member of fitting size and against ``DRAWN``
-members drawn by hash, and where a list then
-still spans several components, its members of different components are compared by parity bitmaps
-(which bound the symmetric difference from below, so they never lose a link) in blocks. What passes is
-checked on the whole texts. No list is ever expanded into all pairs.
+members drawn by hash. Where a list then still spans several components, its members are shown to a few of
+the others, each in that of its lists which has the largest component, which joins loose groups; and what still lies in
+different components of a list is compared by parity bitmaps (which bound the symmetric difference from
+below, so they never lose a link) in blocks, the largest component's members with the others only. What
+passes is checked on the whole texts. No list is ever expanded into all pairs.
 
 The boundary is the set size that makes the cost of enumerated subsets and scanned list entries least
 over the sizes the table has; sets near it are indexed both ways.
@@ -24,9 +25,10 @@ Equal sets are one node with the smallest doc_id. Node numbers and the shingles
 64-bit hashes (of words by :mod:`trackweave.llm.text`, so no words can be built to agree); a candidate pair
 links by its shingles' words themselves.
 
-Defined results: a text without words is an empty set and links with nothing; null text is empty; a
-null doc_id never names a component unless it has no other (then null); rows with equal doc_id but
-different texts are separate nodes; an empty table gives no rows; other columns pass by.
+Defined results: a text without words is an empty set and links with nothing; null text is empty; a very
+long text is one set of all its shingles; a similarity at the threshold links; a null doc_id never names a
+component unless it has no other (then null); rows with equal doc_id but different texts are separate
+nodes; an empty table gives no rows; other columns pass by.
 """
 
 from __future__ import annotations
@@ -45,18 +47,23 @@ from trackweave.llm import text as tx
 from trackweave.llm.embedding_dedup import groups
 
 WORDS, NUM, DEN = 4, 85, 100
-#: Buckets of the shingle counts, and bits of the set of documents whose texts a check needs.
-COUNT_BUCKETS, NEEDED_BITS = 1 << 22, 1 << 23
+#: Buckets of the shingle counts; bits, least and most, of the set of texts that a check needs (16 a text;
+#: beyond some ten million such texts it lets others through too).
+COUNT_BUCKETS, LEAST_BITS, MOST_BITS = 1 << 22, 1 << 20, 1 << 27
 #: Cost of a list entry in enumerated subsets, for the boundary between light and heavy.
 ENTRY_COST = 16.0
-#: Rows of a list compared as one block.
-BLOCK = 512
+#: Rows of a list compared as one block; lists up to SMALL are compared many at a time.
+BLOCK, SMALL = 512, 48
 #: Members drawn from a list of three or more, that all others are checked against.
 DRAWN = 3
-#: Members of an open list's block that the block's members of other components are shown to.
-SHOWN = 12
+#: Members of an open list's block that the block's members of other components are shown to, and rounds of it.
+SHOWN, SHOWS = 12, 1
+#: Members of an open list's largest component from which all lists of that component are compared together.
+TOGETHER = 32
 #: Rows of one list that a scan holds before it hands on what it has.
 SCAN_ROWS = 50_000
+#: Pairs that a task holds to hand each on once.
+HELD_PAIRS = 200_000
 BITMAP, MOST_BITMAP = 1_024, 1 << 16
 
 
@@ -318,61 +325,81 @@ def _fit(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     return rows.mapInArrow(tx.tidy(run), "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The pairs whose texts' sets link. Only texts that the pairs may need are shuffled."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = np.packbits(tally.members(nodes, "key", NEEDED_BITS))
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, num: int, den: int, parts: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs whose texts' sets link, and a table to drop afterwards. Only texts that the pairs may need
+    are shuffled.
+
+    The end of a pair that is in more pairs is its centre. Members go to their centres' blocks, of BLOCK
+    members each, and each block gets the centre's text once; so a centre of a large group is many tasks.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("many"))
+    wanted = store.written(ends.join(classes.select("key", "text_hash"), "key"), "wanted", few=True)
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * max(1, wanted.count()) - 1).bit_length()))
+    asked = tally.members(wanted, "text_hash", size)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ask = np.unpackbits(wanted).astype(bool)
         seen: set[int] = set()
         for b in batches:
-            keys = [set_key(u) if len(u) else None for u in sets_of(b.column("text"), words)]
-            mask = []
-            for k in keys:
-                mask.append(k is not None and bool(ask[k & (NEEDED_BITS - 1)]) and k not in seen)
-                if mask[-1]:
-                    seen.add(k)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), b.column("text")], ["key", "text"]).filter(pa.array(mask, pa.bool_()))
-
-    found = docs.select("text").mapInArrow(tx.tidy(fetch), "key bigint, text string").groupBy("key").agg(F.first("text").alias("text"))
-    texts = store.written(found.join(nodes, "key", "left_semi"), "texts", few=True)
+            h = b.column("text_hash").to_numpy()
+            at = np.flatnonzero((asked[(h & (size - 1)) >> 3] >> (7 - (h & 7)).astype(np.uint8)) & 1)
+            rows = []
+            for i in at.tolist():
+                if h[i] not in seen:
+                    seen.add(h[i])
+                    rows.append(i)
+            yield b.take(pa.array(rows, pa.int64()))
+
+    found = docs.select(F.xxhash64("text").alias("text_hash"), "text").mapInArrow(tx.tidy(fetch), "text_hash bigint, text string")
+    texts = store.written(found.join(wanted.select("key", "text_hash"), "text_hash").groupBy("key").agg(F.first("text").alias("text")), "texts", few=True)
+
+    side = lambda s: wanted.select(F.col("key").alias(s), F.col("many").alias(f"many_{s}"))
+    turned = pairs.join(side("a"), "a").join(side("b"), "b")
+    turn = F.col("many_a") >= F.col("many_b")
+    turned = turned.select(F.when(turn, F.col("a")).otherwise(F.col("b")).alias("centre"), F.when(turn, F.col("b")).otherwise(F.col("a")).alias("member"), F.ceil(F.greatest("many_a", "many_b") / BLOCK).cast("int").alias("blocks"))
+    turned = turned.withColumn("block", F.pmod(F.hash("member"), F.col("blocks")))
+    heads = turned.select("centre", "block").distinct().join(texts, F.col("centre") == F.col("key")).select("centre", "block", F.lit(0).alias("kind"), F.col("centre").alias("member"), "text")
+    others = turned.join(texts, F.col("member") == F.col("key")).select("centre", "block", F.lit(1).alias("kind"), "member", "text")
+    dealt = heads.unionByName(others).repartition(parts, "centre", "block").sortWithinPartitions("centre", "block", "kind", "member")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = None  # the centre's text that goes on
         for b in batches:
-            own = b.column("a").to_pylist()
-            columns = [b.column(c).cast(pa.large_string()) for c in ("text_a", "text_b")]
-            keep = []
-            for i, j in tx.pieces(sum(tx.flat(c)[1] for c in columns)):
-                one: dict[int, int] = {}
-                firsts = []
-                for k in range(i, j):
-                    if own[k] not in one:
-                        one[own[k]] = len(firsts)
-                        firsts.append(k)
-                sets = tx.exact_shingles(pa.concat_arrays([columns[0].take(pa.array(firsts, pa.int64())), columns[1].slice(i, j - i)]), words)
-                for k in range(i, j):
-                    x, y = sets[one[own[k]]], sets[len(firsts) + k - i]
+            kind, centre, member = (b.column(c).to_numpy() for c in ("kind", "centre", "member"))
+            column = b.column("text").cast(pa.large_string())
+            keep = np.zeros(b.num_rows, bool)
+            for i, j in tx.pieces(tx.flat(column)[1]):
+                sets = tx.exact_shingles(pa.concat_arrays([pa.array([head], pa.large_string()), column.slice(i, j - i)]), words)
+                own = np.maximum.accumulate(np.where(kind[i:j] == 0, np.arange(1, j - i + 1), 0))
+                for k in np.flatnonzero(kind[i:j] == 1).tolist():
+                    x, y = sets[own[k]], sets[k + 1]
                     both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(den * both >= num * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                    keep[i + k] = den * both >= num * (len(x) + len(y) - both)
+                if own[-1]:
+                    head = column[i + int(own[-1]) - 1].as_py()
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(centre, member)[keep]), pa.array(np.maximum(centre, member)[keep])], ["a", "b"])
+
+    return dealt.mapInArrow(tx.tidy(compare), "a bigint, b bigint"), texts
 
-    side = lambda s: texts.select(F.col("key").alias(s), F.col("text").alias(f"text_{s}"))
-    rows = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
-    return rows.mapInArrow(tx.tidy(compare), "a bigint, b bigint"), texts
 
+def _open_members(lists: DataFrame, found: DataFrame, classes: DataFrame, once: bool = False) -> DataFrame:
+    """The members of lists that span several components: token, a, n, component, map; and of each list
+    ``members``, ``giant``, its largest component, and how many members that has (``inside``).
 
-def _open_members(lists: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
-    """token, a, n, component, blocks, map: the members of lists that span several components."""
+    With ``once`` each member comes in one of its lists only, the one with the largest component.
+    """
     known = lists.join(found.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    spans = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
-    open_ = spans.filter("low <> high").select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    return known.join(open_, "token").join(classes.select(F.col("key").alias("a"), "map"), "a")
+    counts = known.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("members"), F.count("*").alias("spans"), F.max(F.struct("k", "component")).alias("top"))
+    open_ = counts.filter("spans > 1").select("token", "members", F.col("top.component").alias("giant"), F.col("top.k").alias("inside"))
+    rows = known.join(open_, "token")
+    if once:
+        rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.col("inside").desc(), F.col("members").desc(), "token"))).filter("r = 1").drop("r")
+    return rows.join(classes.select(F.col("key").alias("a"), "map"), "a")
 
 
-def _to_some(members: DataFrame, parts: int, num: int, den: int) -> DataFrame:
+def _to_some(members: DataFrame, parts: int, num: int, den: int, draw: int) -> DataFrame:
     """Pairs of each member with SHOWN members of its list's block, drawn by hash, of other components."""
-    rows = members.withColumn("own", F.pmod(F.hash("a"), F.col("blocks"))).select("token", "own", "a", "n", "component", "map")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    rows = members.withColumn("own", F.pmod(F.hash("a"), blocks)).select("token", "own", "a", "n", "component", "map")
     dealt = rows.repartition(parts, "token", "own").sortWithinPartitions("token", "own", "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,7 +409,7 @@ def _to_some(members: DataFrame, parts: int, num: int, den: int) -> DataFrame:
             node, n, comp = (g.column(c).to_numpy() for c in ("a", "n", "component"))
             maps = g.column("map").to_pylist()
             sizes = np.array([8 * len(m) for m in maps])
-            h = tx.mix64(node.view(np.uint64) ^ tx.U64(0xD6E8FEB86659FD93))
+            h = tx.mix64(node.view(np.uint64) ^ tx.U64(0xD6E8FEB86659FD93 + draw))
             for i in np.argsort(h)[:SHOWN]:
                 near = (sizes == sizes[i]) | (sizes == 2 * sizes[i]) | (2 * sizes == sizes[i])
                 other = np.flatnonzero(near & (comp != comp[i]) & (num * np.maximum(n, n[i]) <= den * np.minimum(n, n[i])))
@@ -407,72 +434,154 @@ def _to_some(members: DataFrame, parts: int, num: int, den: int) -> DataFrame:
 def _across(members: DataFrame, parts: int, num: int, den: int) -> DataFrame:
     """Pairs of members of one list and different components that their bitmaps leave open.
 
-    A list above BLOCK members is dealt out as pairs of blocks, by the hash of the member.
+    Lists with the same largest component, if it is large, have mostly the same members; they are dealt
+    out alike, list after list in one task, which hands on a pair once. A list above BLOCK members is dealt
+    out as pairs of blocks, by the hash of the member. Its largest component has blocks of its own, which
+    only meet those of the other members.
     """
-    rows = members.withColumn("own", F.pmod(F.hash("a"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).select("token", "low", "high", "own", "a", "n", "component", "map")
-    dealt = rows.repartition(parts, "token", "low", "high").sortWithinPartitions("token", "low", "high", "a")
+    group = F.when(F.col("inside") >= TOGETHER, F.xxhash64(F.col("giant"))).otherwise(F.col("token"))
+    widest = members.groupBy(group.alias("group")).agg(F.max("members").alias("most"), F.max(F.col("members") - F.col("inside")).alias("others"), F.max("inside").alias("giants"))
+    widest = widest.filter(F.col("most") > BLOCK).select("group", F.ceil(F.col("others") / BLOCK).cast("int").alias("apart"), F.ceil(F.col("giants") / BLOCK).cast("int").alias("of_giant"))
+    rows = members.withColumn("group", group).join(widest, "group", "left").withColumns({"in_giant": F.col("apart").isNotNull() & (F.col("component") == F.col("giant")), "apart": F.coalesce("apart", F.lit(1)), "of_giant": F.coalesce("of_giant", F.lit(0))})
+    own = F.when(F.col("in_giant"), F.col("apart") + F.pmod(F.hash("a"), F.col("of_giant"))).otherwise(F.pmod(F.hash("a"), F.col("apart")))
+    last = F.when(F.col("in_giant"), F.col("apart") - 1).otherwise(F.col("apart") + F.col("of_giant") - 1)
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    rows = rows.select("group", "token", (F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other")).alias("pair"), "own", "a", "n", "component", "map")
+    dealt = rows.repartition(parts, "group", "pair").sortWithinPartitions("group", "pair", "token", "a").drop("group")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         count = 0
-        for g in groups(batches, ["token", "low", "high"]):
-            node, n, comp, own = (g.column(c).to_numpy() for c in ("a", "n", "component", "own"))
-            maps = g.column("map").to_pylist()
-            sizes = np.array([8 * len(m) for m in maps])
-            cross = g.column("low")[0].as_py() != g.column("high")[0].as_py()
-            for s in np.unique(sizes):
-                rows_ = np.flatnonzero((sizes == s) | (sizes == 2 * s))
-                m = np.stack([folded(maps[i], int(s)) for i in rows_])
-                small = sizes[rows_] == s
-                for i in range(len(rows_)):
-                    r = rows_[i]
-                    j = np.flatnonzero((small | small[i]) & (np.arange(len(rows_)) > i) & (comp[rows_] != comp[r]))
-                    if cross:
-                        j = j[own[rows_[j]] != own[r]]
-                    other = rows_[j]
-                    total = n[other] + n[r]
-                    fits = num * np.maximum(n[other], n[r]) <= den * np.minimum(n[other], n[r])
-                    fits[fits] &= ~surely_apart(np.bitwise_count(m[j[fits]] ^ m[i]).sum(axis=1).astype(np.int64), total[fits], num, den)
-                    other = other[fits]
-                    if len(other):
-                        held.append(np.column_stack((np.minimum(node[other], node[r]), np.maximum(node[other], node[r]))))
-                        count += len(other)
-            if count > 20_000:
-                yield _pair_batch(held)
-                held, count = [], 0
-        if held:
+        for small, g in _runs(batches):
+            pairs = _small_lists(g, num, den) if small else _large_list(g, num, den)
+            held.append(pairs)
+            count += len(pairs)
+            if count > HELD_PAIRS:
+                held = [np.unique(np.concatenate(held), axis=0)]
+                count = len(held[0])
+                if 2 * count > HELD_PAIRS:
+                    yield _pair_batch(held)
+                    held, count = [], 0
+        if count:
             yield _pair_batch(held)
 
     return dealt.mapInArrow(tx.tidy(run), "a bigint, b bigint")
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.Table]]:
+    """Whole lists (or pairs of blocks) from sorted batches: many of at most SMALL members, or a larger one."""
+    rest: pa.Table | None = None
+    for b in batches:
+        t = pa.Table.from_batches([b] if rest is None else [*rest.to_batches(), b])
+        token, pair = (t.column(c).to_numpy() for c in ("token", "pair"))
+        cuts = np.flatnonzero((token[1:] != token[:-1]) | (pair[1:] != pair[:-1])) + 1
+        last = int(cuts[-1]) if len(cuts) else 0
+        yield from _by_size(t.slice(0, last), np.concatenate(([0], cuts)))
+        rest = t.slice(last)
+    if rest is not None and rest.num_rows:
+        yield rest.num_rows <= SMALL, rest
+
+
+def _by_size(t: pa.Table, cuts: np.ndarray) -> Iterator[tuple[bool, pa.Table]]:
+    sizes = np.diff(cuts)
+    small = np.repeat(sizes <= SMALL, sizes)
+    if small.any():
+        yield True, t.filter(pa.array(small))
+    for k in np.flatnonzero(sizes > SMALL).tolist():
+        yield False, t.slice(int(cuts[k]), int(sizes[k]))
+
+
+NO_PAIRS = np.zeros((0, 2), np.int64)
+
+
+def _ordered(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.column_stack((np.minimum(x, y), np.maximum(x, y)))
+
+
+def _small_lists(t: pa.Table, num: int, den: int) -> np.ndarray:
+    """The open pairs of many whole lists, each row with the row k after it, for every k that lists reach."""
+    token, pair, node, n, comp, own = (t.column(c).to_numpy() for c in ("token", "pair", "a", "n", "component", "own"))
+    data, offsets = tx.flat(t.column("map"))
+    size = np.diff(offsets)
+    least = np.zeros((len(node), BITMAP // 64), np.uint64)
+    for s in np.unique(size):
+        rows = np.flatnonzero(size == s)
+        m = np.ascontiguousarray(data[offsets[rows][:, None] + np.arange(s)]).view(np.uint64)
+        while m.shape[1] > BITMAP // 64:
+            m = m[:, : m.shape[1] // 2] ^ m[:, m.shape[1] // 2 :]
+        least[rows] = m
+    # blocks of different numbers stand for a pair of blocks, whose members meet across only
+    cross = (pair >> 31) != (pair & (1 << 31) - 1)
+    out = []
+    for k in range(1, SMALL):
+        i = np.flatnonzero((token[k:] == token[:-k]) & (pair[k:] == pair[:-k]))
+        if not len(i):
+            break
+        j = i + k
+        fits = (comp[i] != comp[j]) & (num * np.maximum(n[i], n[j]) <= den * np.minimum(n[i], n[j])) & (~cross[i] | (own[i] != own[j]))
+        i, j = i[fits], j[fits]
+        fits = ~surely_apart(np.bitwise_count(least[i] ^ least[j]).sum(axis=1).astype(np.int64), n[i] + n[j], num, den)
+        i, j = i[fits], j[fits]
+        wide = np.flatnonzero(np.minimum(size[i], size[j]) * 8 > BITMAP)
+        if len(wide):
+            keep = np.ones(len(i), bool)
+            for q in wide.tolist():
+                x, y = (data[offsets[r] : offsets[r + 1]].tobytes() for r in (i[q], j[q]))
+                bits = 8 * min(len(x), len(y))
+                keep[q] = not surely_apart(int(np.bitwise_count(folded(x, bits) ^ folded(y, bits)).sum()), int(n[i[q]] + n[j[q]]), num, den)
+            i, j = i[keep], j[keep]
+        out.append(_ordered(node[i], node[j]))
+    return np.concatenate(out) if out else NO_PAIRS
+
+
+def _large_list(t: pa.Table, num: int, den: int) -> np.ndarray:
+    """The open pairs of one list, or of one pair of its blocks."""
+    node, n, comp, own = (t.column(c).to_numpy() for c in ("a", "n", "component", "own"))
+    pair = t.column("pair")[0].as_py()
+    cross = pair >> 31 != pair & (1 << 31) - 1
+    maps = t.column("map").to_pylist()
+    sizes = np.array([8 * len(m) for m in maps])
+    out = []
+    for s in np.unique(sizes):
+        rows = np.flatnonzero((sizes == s) | (sizes == 2 * s))
+        m = np.stack([folded(maps[i], int(s)) for i in rows])
+        small = sizes[rows] == s
+        for i in range(len(rows)):
+            r = rows[i]
+            j = np.flatnonzero((small | small[i]) & (np.arange(len(rows)) > i) & (comp[rows] != comp[r]))
+            if cross:
+                j = j[own[rows[j]] != own[r]]
+            other = rows[j]
+            fits = num * np.maximum(n[other], n[r]) <= den * np.minimum(n[other], n[r])
+            fits[fits] &= ~surely_apart(np.bitwise_count(m[j[fits]] ^ m[i]).sum(axis=1).astype(np.int64), (n[other] + n[r])[fits], num, den)
+            out.append(_ordered(node[other[fits]], np.full(int(fits.sum()), node[r])))
+    return np.concatenate(out) if out else NO_PAIRS
+
+
 def _pair_batch(held: list[np.ndarray]) -> pa.RecordBatch:
     ab = np.unique(np.concatenate(held), axis=0)
     return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, show_some: bool = False) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles, component_id of every row (see the module's text).
 
     Also ``component``, a number of the component that exists without any doc_id (null for empty sets),
-    and ``text_hash``, which tells apart texts of equal doc_id. ``show_some`` adds a round that settles
-    most open members before all are compared: one more pass over the texts, fewer pairs where groups
-    are loose. The result is the same.
+    and ``text_hash``, which tells apart texts of equal doc_id.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = store.partitions_for(docs)
-    profiles = store.written(_profiles(docs, words), "profiles", few=True)
+    profiles = store.written(_profiles(docs, words), "profiles")
     rows = profiles.filter("slice is null")
     common = tally.bits(profiles.filter("slice is not null"), COUNT_BUCKETS, lambda mean: mean + 8 * math.sqrt(mean) + 24)
-    classes = store.written(rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("payload").alias("map")), "classes", few=True)
+    classes = store.written(rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("payload").alias("map"), F.min("text_hash").alias("text_hash")), "classes", few=True)
     sizes = {r["n"]: r["count"] for r in classes.filter("n < 200").groupBy("n").count().collect()}
     light = boundary(sizes, num, den)
 
     entries = _entries(docs, words, num, den, common, light)
-    scan = store.written(entries.repartition(parts, "token").sortWithinPartitions("token", "overlap", "n", "node").mapInArrow(tx.tidy(_scan(num, den)), "kind int, token bigint, a bigint, b bigint"), "scan", few=True)
+    scan = store.written(entries.repartition(parts, "token").sortWithinPartitions("token", "overlap", "n", "node").mapInArrow(tx.tidy(_scan(num, den)), "kind int, token bigint, a bigint, b bigint"), "scan")
     checked = store.written(_fit(scan.filter("kind = 0").select("a", "b").distinct(), classes, num, den), "checked", few=True)
-    links, texts = _verified(checked, docs, words, num, den)
+    links, texts = _verified(checked, classes, docs, words, num, den, parts)
     links = store.written(links.unionByName(scan.filter("kind = 1").select("a", "b").distinct()), "links", few=True)
     store.drop(texts)
     found = components.components(links)
@@ -480,14 +589,16 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     lists = store.written(scan.filter("kind = 2").select("token", "a", F.col("b").alias("n")), "lists", few=True)
     store.drop(scan)
     tried = checked
-    # members that no centre took are shown to some of the other components if asked, and what is left to all
-    for pairs_of in (_to_some, _across) if show_some else (_across,):
-        pairs = pairs_of(_open_members(lists, found, classes), parts, num, den).distinct().join(tried, ["a", "b"], "left_anti")
+    # members that no centre took are shown to some of the other components, and what is left to all
+    for turn in range(SHOWS + 1):
+        members = _open_members(lists, found, classes, turn < SHOWS)
+        pairs = _to_some(members, parts, num, den, turn) if turn < SHOWS else _across(members, parts, num, den)
+        pairs = pairs.distinct().join(tried, ["a", "b"], "left_anti")
         more = store.written(_fit(pairs, classes, num, den), "more", few=True)
         if more.isEmpty():
             continue
         tried = tried.unionByName(more)
-        late, texts = _verified(more, docs, words, num, den)
+        late, texts = _verified(more, classes, docs, words, num, den, parts)
         late = store.written(late, "links", few=True)
         store.drop(texts)
         if not late.isEmpty():
@@ -502,7 +613,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
 
 def one_of_each(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """``docs`` with one document of each component: the one of least doc_id (nulls last). Empty sets stay."""
-    found = store.written(jaccard_components(docs, words, num, den, show_some=True).select("doc_id", "component", "text_hash"), "components", few=True)
+    found = store.written(jaccard_components(docs, words, num, den).select("doc_id", "component", "text_hash"), "components", few=True)
     place = F.row_number().over(Window.partitionBy("component").orderBy(F.col("doc_id").asc_nulls_last(), "text_hash"))
     firsts = found.filter(F.col("component").isNotNull()).withColumn("place", place).filter("place = 1").drop("place")
     kept = firsts.unionByName(found.filter(F.col("component").isNull()).distinct()).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("component").isNotNull().alias("_single"))

@@ -1,8 +1,8 @@
 """Intermediate tables in the folder that driver and executors share.
 
 A table written here cuts lineage: what was computed is read again instead of recomputed when an
-executor is lost. The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-(tests, a laptop) a temporary folder is chosen.
+executor is lost. The folder is the session's ``spark.checkpoint.dir``; only a local session without one
+(tests, a laptop) gets a temporary folder, elsewhere its absence is an error.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder; sets one of its own only for local sessions that have none."""
     found = spark.sparkContext.getConf().get(SETTING) or spark.conf.get(SETTING, "")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{SETTING} has to name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='trackweave-')}"
         spark.conf.set(SETTING, found)
     return found

@@ -55,13 +55,30 @@ def _summing(width: int):
 
 
 def members(keys: DataFrame, column: str, size: int) -> np.ndarray:
-    """A bit set of the low bits of all values of a bigint column: those that may be members."""
+    """A bit set, eight to a byte, of the low bits of all values of a bigint column: those that may be members."""
+    width = size // 8 // SLICES
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(size, np.uint32)
+    def packed(own: np.ndarray) -> Iterator[pa.RecordBatch]:
+        parts = [(i, p.tobytes()) for i, p in enumerate(np.split(own, SLICES)) if p.any()]
+        press = zstandard.ZstdCompressor(level=1)
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([press.compress(p) for _, p in parts], pa.binary())], ["slice", "payload"])
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(size, bool)
         for b in batches:
-            own[b.column(0).to_numpy() & (size - 1)] = 1
-        for i, payload in slices(own):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([payload], pa.binary())], ["slice", "payload"])
+            own[b.column(0).to_numpy() & (size - 1)] = True
+        yield from packed(np.packbits(own))
 
-    return bits(keys.select(column).mapInArrow(run, SCHEMA), size, lambda mean: 0.0)
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, press = np.zeros((SLICES, width), np.uint8), zstandard.ZstdDecompressor()
+        for b in batches:
+            for i, payload in zip(b.column("slice").to_pylist(), b.column("payload").to_pylist(), strict=True):
+                own[i] |= np.frombuffer(press.decompress(payload, max_output_size=width), np.uint8)
+        yield from packed(own.ravel())
+
+    rows = keys.select(column).mapInArrow(marked, SCHEMA).repartitionById(SLICES, F.col("slice")).mapInArrow(merged, SCHEMA)
+    out, press = np.zeros((SLICES, width), np.uint8), zstandard.ZstdDecompressor()
+    for r in rows.collect():  # SLICES rows at most
+        out[r["slice"]] = np.frombuffer(press.decompress(r["payload"], max_output_size=width), np.uint8)
+    return out.ravel()
