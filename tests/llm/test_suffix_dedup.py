@@ -60,6 +60,25 @@ def test_removes_what_brute_force_removes(spark, monkeypatch, hot, chunk):
     assert got(suffix_dedup.digests(df)) == sorted((str(i), *digest(r, g)) for i, (r, g) in enumerate(zip(raw, brute(raw), strict=True)))
 
 
+def test_long_texts_in_stretches_give_the_same_rows(monkeypatch):
+    import pyarrow as pa
+
+    from trackweave.llm import text as tx
+
+    texts = [*random_texts(3, 20), "é" * 333 + "".join(random_texts(4, 12)) * 2, "q" * 1500]
+    n = len(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([0] * n, pa.int64()), pa.array(texts)], ["id", "tie", "text"])
+    rows = lambda found: sorted(tuple(r.values()) for b in found for r in b.to_pylist())
+    spots = [[2 * p + h for p in range(0, max(0, len(t.encode()) - 24), 37) for h in (0, 1)] for t in texts]
+    spans = pa.array([[] for _ in texts], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))
+    asked = pa.RecordBatch.from_arrays([*batch.columns, pa.array(spots, pa.list_(pa.int64())), spans], ["id", "tie", "text", "spots", "spans"])
+    whole = rows(suffix_dedup._anchor_rows(iter([batch]))), rows(suffix_dedup._around(iter([asked])))
+    for size in (100, 333, 2000):
+        monkeypatch.setattr(tx, "BATCH_BYTES", size)
+        assert rows(suffix_dedup._anchor_rows(iter([batch]))) == whole[0]
+        assert rows(suffix_dedup._around(iter([asked]))) == whole[1]
+
+
 def test_maximal_repeats_remove_the_same(spark):
     raw = [t.encode() for t in random_texts(7, 25)]
     repeats = suffix_dedup.maximal_repeats(raw)

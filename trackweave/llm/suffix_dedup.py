@@ -20,7 +20,8 @@ key of its own, so no task gathers it. The texts are shuffled once, by document.
 
 Defined results: null text is empty; "earlier" is a smaller doc_id (null first; equal ids by a hash of
 the text), then an earlier start; rows equal in doc_id and text are one document and get one result
-each; matches never cross documents; an empty table gives no rows; other columns pass by.
+each; a very long text is looked at stretch by stretch, each with the bytes around it, which gives the same
+anchors; matches never cross documents; an empty table gives no rows; other columns pass by.
 """
 
 from __future__ import annotations
@@ -173,15 +174,28 @@ ANCHORS = "way bigint, anchor bigint, ctx bigint, id bigint, tie bigint, spot bi
 MARK, SPAN = -1, -(1 << 62)
 
 
+def _stretches(offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Runs [i, j) of texts and their bytes [first, last): whole texts, or a stretch of one longer text."""
+    for i, j in tx.pieces(offsets):
+        first, last = int(offsets[i]), int(offsets[j])
+        step = tx.BATCH_BYTES if j == i + 1 else last - first
+        for at in range(first, last, max(1, step)):
+            yield i, j, at, min(last, at + step)
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     size = docs = 0
     for b in batches:
         data, offsets = tx.flat(b.column("text"))
         ids, ties = b.column("id").to_numpy(), b.column("tie").to_numpy()
-        for i, j in tx.pieces(offsets):
-            at, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            place, h, prefix = anchors(at, own)
+        for i, j, first, last in _stretches(offsets):
+            # all strings of LEAST bytes that an anchor in the stretch can be in, and its surroundings
+            low, high = max(int(offsets[i]), first - _WIDE), min(int(offsets[j]), last + _WIDE)
+            own = offsets[i : j + 1] - low
+            place, h, prefix = anchors(data[low:high], np.clip(own, 0, high - low))
+            inside = (place >= first - low) & (place < last - low)
+            place, h = place[inside], h[inside]
             text = np.searchsorted(own, place, side="right") - 1
             ctx, _, right = _surroundings(prefix, place, own[text], own[text + 1])
             held.append((h.view(np.int64), ctx, ids[i + text], ties[i + text], place - own[text], right, docs + i + text))
@@ -327,7 +341,12 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 fits = (begin >= s) & (begin + LEAST <= e)
                 begin, one = np.unique(begin[fits], return_index=True)
                 t, s = t[fits][one], s[fits][one]
-                strings.append((tx.span_hashes(tx.prefix_hashes(at), begin, begin + LEAST), ids[t], ties[t], begin - s))
+                for first_byte in range(0, len(at), tx.BATCH_BYTES):
+                    k = slice(*np.searchsorted(begin, (first_byte, first_byte + tx.BATCH_BYTES)))
+                    if k.stop > k.start:
+                        prefix = tx.prefix_hashes(at[first_byte : first_byte + tx.BATCH_BYTES + LEAST])
+                        h = tx.span_hashes(prefix, begin[k] - first_byte, begin[k] - first_byte + LEAST)
+                        strings.append((h, ids[t[k]], ties[t[k]], begin[k] - s[k]))
                 size += len(begin) // 8
         if size > 2 * CHUNK_ROWS:
             yield from _merged(spots, strings)
@@ -515,10 +534,11 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     ``docs`` are shuffled once; Spark reuses that exchange for both joins.
     """
     parts = store.partitions_for(docs)
-    single = docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    single = docs.groupBy(number.alias("id")).count().filter("count > 1").isEmpty()
     # always 0 where ids are single; not a literal, which the optimizer would take out of one join only
-    tie = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(1).cast("long")), F.lit(0).cast("long")) if single else F.xxhash64(F.lit(4), F.col(text))
-    own = docs.drop("spans", "_id", "_tie").withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_tie": tie})
+    tie = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(1).cast("long")), F.lit(0).cast("long")) if single else F.xxhash64(F.lit(4), F.col("doc_id").isNull(), F.col(text))
+    own = docs.drop("spans", "_id", "_tie").withColumns({"_id": number, "_tie": tie})
     dealt = own.repartition(parts, "_id", "_tie")
     rows = own.select(F.col("_id").alias("id"), F.col("_tie").alias("tie"), F.col(text).alias("text")).filter(F.octet_length("text") >= LEAST).mapInArrow(tx.tidy(_anchor_rows), ANCHORS)
     found = rows.repartition(parts, "way").sortWithinPartitions("anchor", "ctx", "id", "tie", "spot").mapInArrow(tx.tidy(_repeated), FOUND)

@@ -148,8 +148,9 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def pieces(offsets: np.ndarray, most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
-    """Runs [i, j) of texts with at most ``most`` bytes together, or one longer text."""
+def pieces(offsets: np.ndarray, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Runs [i, j) of texts with at most ``most`` (BATCH_BYTES) bytes together, or one longer text."""
+    most = most or BATCH_BYTES
     i, n = 0, len(offsets) - 1
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1
