@@ -6,8 +6,9 @@ the empty sketch). Because it keeps the smallest hashes, the sketch of a whole i
 sketches of its parts. As a string it is the unpadded base-64 text of the hashes as little-endian
 unsigned 64-bit integers in ascending order; the empty sketch is ``''``.
 
-Defined results: null text is the empty text; equal texts have equal sketches; two empty sketches
-resemble each other by 1, an empty and a non-empty one by 0. Rows may repeat, ids may be null or tie
+Defined results: null text is the empty text; a very long text has one sketch, of all its shingles; equal
+texts have equal sketches; an empty table gives no rows; two empty sketches resemble each other by 1, an
+empty and a non-empty one by 0. Rows may repeat, ids may be null or tie
 (order: id, nulls first, then text), other columns pass through or are ignored, whatever their names.
 """
 

@@ -8,7 +8,8 @@ index (byte offset of every plane of every block in ``planes``, and the end), ``
 frames. Block b holds ids [b * BLOCK, (b + 1) * BLOCK); its planes are byte 0 (the low byte) of all its
 ids, then byte 1, 2, 3; a plane of zeros takes no bytes.
 
-Defined results: null text is empty and has just the end id; documents lie in ascending doc_id (nulls
+Defined results: null text is empty and has just the end id; a very long text is one document in a segment
+of its own size; documents lie in ascending doc_id (nulls
 first, ties by text); repeated rows are written again; an empty table makes no rows; other columns of
 the input are ignored.
 """
