@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import trackweave
 from trackweave import cli, config
-from trackweave.functions import geo, text
+from trackweave.functions import geo, rounding, text
 from trackweave.operators import filters, graph, lines, matching, track
 from trackweave.plans import build, catalog
 from trackweave.sources import elements as el
@@ -576,6 +576,18 @@ def test_checkpoints_need_a_shared_folder(spark):
         cut_lineage(SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=away)))
 
 
+def test_exact_rounding_is_pythons(spark):
+    rnd = random.Random(1)
+    values = [2.675, 0.125, 0.375, -2.675, -0.125, 1.005, 0.0, 117.123456785, 1e300, -3.5, 2.5, *(rnd.uniform(-200, 200) for _ in range(3000)), *(rnd.randrange(-(10**6), 10**6) / 1000 + 0.005 for _ in range(3000)), *(rnd.randrange(10**5) / 2**k for k in range(1, 12) for _ in range(50))]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (0, 2, 8):
+        rows = df.select("x", rounding.half_even(F.col("x"), digits).alias("r")).collect()
+        assert [r.r for r in rows] == [float(round(v, digits)) for v in values]
+    points = spark.createDataFrame([("l", i, 117.0 + i / 977, 39.0) for i in range(40)], "line_id string, pt_pos int, lng double, lat double")
+    exact, plain = ({r.pt_pos: r.distance for r in lines.stamped(points, exact_rounding=e).collect()} for e in (True, False))
+    assert all(abs(exact[k] - plain[k]) <= 0.0100001 for k in plain)
+
+
 def test_station_names_and_track_counts(spark):
     stations = spark.createDataFrame([("d", 2, "b"), ("d", 1, "a"), ("e", 5, None)], "doc_id string, pos int, name string")
     assert {r.doc_id: r.names for r in lines.station_names(stations).collect()} == {"d": ["a", "b"], "e": [None]}

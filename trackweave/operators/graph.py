@@ -20,6 +20,8 @@ from trackweave.operators.rows import cut_lineage, keep_first
 
 #: Stations up to which every vertex is compared with all of them (40 bytes each, broadcast).
 BROADCAST_STATIONS = 10_000
+#: How much wider a grid's cells are than those of the grid before.
+WIDER = 8
 
 
 def _steps(tracks: DataFrame) -> DataFrame:
@@ -58,19 +60,27 @@ def nearest_vertices(stations: DataFrame, verts: DataFrame, station: list[str])
 
     Few stations go to every vertex and each task keeps one candidate a station; many are met through
     a grid: a vertex in the cells around the station is the nearest if it is no farther than a cell is
-    wide, and the stations left over are looked at in the plain way.
+    wide, and the stations left over go on to a grid of cells ``WIDER`` times as wide, until none is left
+    or a cell is as wide as all there is; only stations beyond that are looked at in the plain way.
     """
     spots = stations.select("graph_id", *station, F.col("lng").alias("s_lng"), F.col("lat").alias("s_lat"))
     if spots.count() <= BROADCAST_STATIONS:
         return _nearest(verts.join(F.broadcast(spots), "graph_id"), station).drop("d")
     extent = verts.agg(F.min("lng"), F.max("lng"), F.min("lat"), F.max("lat"), F.count("*")).first()
-    width = max(extent[1] - extent[0], extent[3] - extent[2], 1e-9) / max(1.0, extent[4] ** 0.5)
-    cell = lambda c: F.floor(F.col(c) / width)
+    if not extent[4]:
+        return _nearest(verts.join(spots, "graph_id"), station).drop("d")
+    whole = max(extent[1] - extent[0], extent[3] - extent[2], 1e-9)
+    width, done, rest = whole / max(1.0, extent[4] ** 0.5), None, spots
     around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    near = spots.withColumn("o", around).withColumns({"cx": cell("s_lng") + F.col("o.i"), "cy": cell("s_lat") + F.col("o.j")}).drop("o")
-    found = _nearest(verts.withColumns({"cx": cell("lng"), "cy": cell("lat")}).join(near, ["graph_id", "cx", "cy"]), station).filter(F.col("d") <= width)
-    rest = spots.join(found, ["graph_id", *station], "left_anti")
-    return found.unionByName(_nearest(verts.join(rest, "graph_id"), station)).drop("d")
+    while width <= whole and not rest.isEmpty():
+        cell = lambda c: F.floor(F.col(c) / width)  # noqa: B023, E731
+        near = rest.withColumn("o", around).withColumns({"cx": cell("s_lng") + F.col("o.i"), "cy": cell("s_lat") + F.col("o.j")}).drop("o")
+        found = cut_lineage(_nearest(verts.withColumns({"cx": cell("lng"), "cy": cell("lat")}).join(near, ["graph_id", "cx", "cy"]), station).filter(F.col("d") <= width))
+        done = found if done is None else done.unionByName(found)
+        rest = cut_lineage(rest.join(found, ["graph_id", *station], "left_anti"))
+        width *= WIDER
+    last = _nearest(verts.join(rest, "graph_id"), station)
+    return (last if done is None else done.unionByName(last)).drop("d")
 
 
 def _nearest(pairs: DataFrame, station: list[str]) -> DataFrame:

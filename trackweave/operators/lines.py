@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackweave.functions import geo, text
+from trackweave.functions import geo, rounding, text
 from trackweave.operators import filters
 from trackweave.operators.rows import drop_consecutive, first_seen, keep_first, keep_last, running_sum, with_next
 from trackweave.sources import elements as el
@@ -138,13 +138,17 @@ def lengths(points: DataFrame, line: str = "line_id", pos: str = "pt_pos") -> Da
     return segments(points, line, pos).groupBy(line).agg(F.coalesce(F.sum("metres"), F.lit(0.0)).alias("length"))
 
 
-def stamped(points: DataFrame, line: str = "line_id", pos: str = "pt_pos", metric: str = "mercator") -> DataFrame:
-    """Points with their distance from the line's start, summed unrounded, given to two digits."""
+def stamped(points: DataFrame, line: str = "line_id", pos: str = "pt_pos", metric: str = "mercator", exact_rounding: bool = False) -> DataFrame:
+    """Points with their distance from the line's start, summed unrounded, given to two digits.
+
+    Rounded as SQL does, or by its exact value with ``exact_rounding``.
+    """
+    cut = rounding.half_even if exact_rounding else F.round
     step = (geo.degree_distance if metric == "degree" else geo.mercator_distance)("_lng", "_lat", "lng", "lat")
     w = Window.partitionBy(line).orderBy(pos)
     moved = points.withColumns({"_lng": F.lag("lng").over(w), "_lat": F.lag("lat").over(w)})
     steps = moved.withColumn("_step", F.coalesce(F.expr(step), F.lit(0.0)))
-    return steps.withColumn("distance", F.round(running_sum(F.col("_step"), [line], [pos]), METRE_DIGITS)).drop("_lng", "_lat", "_step")
+    return steps.withColumn("distance", cut(running_sum(F.col("_step"), [line], [pos]), METRE_DIGITS)).drop("_lng", "_lat", "_step")
 
 
 def station_order(stations: DataFrame, points: DataFrame, line: str = "line_id", pos: str = "pos") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackweave.functions import geo
+from trackweave.functions import geo, rounding
 
 STEP = 50.0
 #: Digits of a metre to which distances from a line are compared, so that sums don't decide between equals.
@@ -50,23 +50,27 @@ def samples(ranges: DataFrame, line_legs: DataFrame, step: float = STEP, line: s
     """Points every ``step`` metres from ``low`` to ``high`` of each range (line, low, high, reversed).
 
     line, i (from 1), along, x, y. The far end is always added, even where it falls on the grid; a
-    reversed range comes out from its far end.
+    reversed range comes out from its far end. Samples and legs of a line stand in one order, by distance,
+    and each sample takes the last leg that begins before it or where it is.
     """
     steps = F.floor((F.col("high") - F.col("low")) / step)
     spread = F.flatten(F.array(F.transform(F.sequence(F.lit(0), steps), lambda k: F.col("low") + k * F.lit(float(step))), F.array("high")))
     grid = ranges.filter("high >= low").select(line, "reversed", F.size(spread).alias("n"), F.posexplode(spread).alias("k", "along"))
-    ends = line_legs.withColumn("end", F.col("cum") + F.col("length"))
-    last = Window.partitionBy(line).orderBy("cum").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = ends.withColumn("is_last", F.max("pt_pos").over(last) == F.col("pt_pos"))
-    hit = (F.col("g.along") >= F.col("e.cum")) & ((F.col("g.along") < F.col("e.end")) | F.col("e.is_last"))
-    met = grid.alias("g").join(ends.alias("e"), (F.col(f"g.{line}") == F.col(f"e.{line}")) & hit)
-    share = F.when(F.col("e.length") > 0, F.least(F.lit(1.0), (F.col("g.along") - F.col("e.cum")) / F.nullif(F.col("e.length"), F.lit(0.0)))).otherwise(0.0)
-    placed = met.select(F.col(f"g.{line}").alias(line), F.when(F.col("g.reversed"), F.col("g.n") - F.col("g.k")).otherwise(F.col("g.k") + 1).alias("i"), F.col("g.along").alias("along"), "e.x", "e.y", "e.x2", "e.y2", share.alias("_t"))
+    leg = F.struct("cum", "length", "x", "y", "x2", "y2")
+    begun = line_legs.select(line, F.lit(None).cast("boolean").alias("reversed"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("int").alias("k"), F.col("cum").alias("along"), F.lit(0).alias("kind"), F.col("pt_pos").cast("long").alias("pos"), leg.alias("leg"))
+    asked = grid.select("*", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("pos"), F.lit(None).cast(begun.schema["leg"].dataType).alias("leg"))
+    w = Window.partitionBy(line).orderBy("along", "kind", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    met = begun.unionByName(asked).withColumn("e", F.last("leg", ignorenulls=True).over(w)).filter("kind = 1 AND e IS NOT NULL")
+    share = F.when(F.col("e.length") > 0, F.least(F.lit(1.0), (F.col("along") - F.col("e.cum")) / F.nullif(F.col("e.length"), F.lit(0.0)))).otherwise(0.0)
+    placed = met.select(line, F.when(F.col("reversed"), F.col("n") - F.col("k")).otherwise(F.col("k") + 1).alias("i"), "along", "e.x", "e.y", "e.x2", "e.y2", share.alias("_t"))
     return placed.select(line, "i", "along", F.expr(geo.between("x", "x2", "_t")).alias("x"), F.expr(geo.between("y", "y2", "_t")).alias("y"))
 
 
-def export_track(points: DataFrame, stations: DataFrame, start: str, end: str, step: float = STEP, zone: int = 51) -> DataFrame:
-    """line_id, i, lng, lat: the track (line_id, pt_pos, lng, lat) from one named station to another, resampled."""
+def export_track(points: DataFrame, stations: DataFrame, start: str, end: str, step: float = STEP, zone: int = 51, exact_rounding: bool = False) -> DataFrame:
+    """line_id, i, lng, lat: the track (line_id, pt_pos, lng, lat) from one named station to another, resampled.
+
+    Coordinates have eight digits, rounded as SQL does or, with ``exact_rounding``, by their exact value.
+    """
     line_legs = legs(to_utm(points, zone).select("line_id", "pt_pos", "x", "y"))
     ends = to_utm(stations.filter(F.col("name").isin(start, end)).select("line_id", "name", "lng", "lat"), zone).select("line_id", "name", F.col("x").alias("px"), F.col("y").alias("py"))
     along = referenced(ends, line_legs, ["name"])
@@ -74,4 +78,5 @@ def export_track(points: DataFrame, stations: DataFrame, start: str, end: str, s
     ranges = along.groupBy("line_id").agg(at(start).alias("a"), at(end).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
     ranges = ranges.select("line_id", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"), (F.col("a") > F.col("b")).alias("reversed"))
     found = from_utm(samples(ranges, line_legs, step), zone)
-    return found.select("line_id", "i", F.round("lng", 8).alias("lng"), F.round("lat", 8).alias("lat"))
+    cut = rounding.half_even if exact_rounding else F.round
+    return found.select("line_id", "i", cut(F.col("lng"), 8).alias("lng"), cut(F.col("lat"), 8).alias("lat"))

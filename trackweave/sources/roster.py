@@ -16,15 +16,15 @@ CITIES = {
 LINES = {
     ("天津", "3号线"): {
         "id": "TJ_LINE_3", "name": "天津地铁3号线", "ref": "3", "type": "subway", "loop": False,
-        "stations": "南站 杨伍庄 学府工业区 高新区 大学城 华苑 王顶堤 红旗南路 周邓纪念馆 天塔 吴家窑 西康路 营口道 和平路 津湾广场 天津站 金狮桥 中山路 北站 铁东路 张兴庄 小淀".split(),
+        "stations": ["南站", "杨伍庄", "学府工业区", "高新区", "大学城", "华苑", "王顶堤", "红旗南路", "周邓纪念馆", "天塔", "吴家窑", "西康路", "营口道", "和平路", "津湾广场", "天津站", "金狮桥", "中山路", "北站", "铁东路", "张兴庄", "小淀"],
     },
     ("大连", "13号线"): {
         "id": "DL_LINE_13", "name": "大连地铁13号线", "ref": "13", "type": "subway", "loop": False,
-        "stations": "九里 十三里 二十里堡 三十里堡 石河黄旗 普湾体育场 石河北海 长店堡 大医三院 海湾高中 普兰店开发区 普兰店振兴街".split(),
+        "stations": ["九里", "十三里", "二十里堡", "三十里堡", "石河黄旗", "普湾体育场", "石河北海", "长店堡", "大医三院", "海湾高中", "普兰店开发区", "普兰店振兴街"],
     },
     ("北京", "2号线"): {
         "id": "BJ_LINE_2", "name": "北京地铁2号线", "ref": "2", "type": "subway", "loop": True,
-        "stations": "西直门 车公庄 阜成门 复兴门 长椿街 宣武门 和平门 前门 崇文门 北京站 建国门 朝阳门 东四十条 东直门 雍和宫 安定门 鼓楼大街 积水潭".split(),
+        "stations": ["西直门", "车公庄", "阜成门", "复兴门", "长椿街", "宣武门", "和平门", "前门", "崇文门", "北京站", "建国门", "朝阳门", "东四十条", "东直门", "雍和宫", "安定门", "鼓楼大街", "积水潭"],
     },
 }
 OVERRIDES = [("天津", "3号线", "张兴庄", 39.1675, 117.1989)]
