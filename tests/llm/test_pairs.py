@@ -87,6 +87,7 @@ def test_links_at_the_threshold(spark, monkeypatch, words, num, den):
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
     monkeypatch.setattr(ngram_join, "SCAN_ROWS", 40)
     monkeypatch.setattr(ngram_join, "TOGETHER", 2)
+    monkeypatch.setattr(ngram_join, "LOOSE", 1)
     monkeypatch.setattr(ngram_join, "HELD_PAIRS", 30)
     rnd = random.Random(words)
     texts = []
@@ -104,6 +105,9 @@ def test_links_at_the_threshold(spark, monkeypatch, words, num, den):
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n", F.lit("clash")).withColumn("key", F.lit("clash")).repartition(3)
     wanted = brute_components(docs, words, num, den)
     for shows, small in ((0, 48), (1, 3)):
+        # half the lists are dealt in parts in the second round
+        monkeypatch.setattr(ngram_join, "HOT_LIST", 4 if shows else 50_000)
+        monkeypatch.setattr(ngram_join, "SALTS", 3)
         monkeypatch.setattr(ngram_join, "SHOWS", shows)
         monkeypatch.setattr(ngram_join, "SMALL", small)
         assert got(ngram_join.jaccard_components(df, words, num, den)) == wanted

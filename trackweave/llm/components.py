@@ -33,7 +33,9 @@ def components(links: DataFrame) -> DataFrame:
         before = now
     nodes = links.select(F.explode(F.array(F.col("a").cast("long"), F.col("b").cast("long"))).alias("node")).dropna().distinct()
     found = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return nodes.join(found, "node", "left").select("node", F.least("node", F.coalesce("component", "node")).alias("component"))
+    named = store.written(nodes.join(found, "node", "left").select("node", F.least("node", F.coalesce("component", "node")).alias("component")), "found", few=True)
+    store.drop(edges)
+    return named
 
 
 def _turned(pairs: DataFrame) -> DataFrame:

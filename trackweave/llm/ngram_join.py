@@ -8,8 +8,9 @@ overlap by it for certain, and in a subset's group a link to its smallest member
 
 *Heavy* sets: inverted lists over prefixes. In a common order of shingles (rare ones first) a linked
 pair shares one of either's first ``n - ceil(num/den * n) + 1``. The lists are scanned as sorted
-streams; each member is checked against the list's first member of fitting size and against ``DRAWN``
-members drawn by hash. Where a list then still spans several components, its members are shown to a few of
+streams, those of frequent shingles in parts; each member is checked against the list's (or part's) first
+member of fitting size and against ``DRAWN`` members drawn by hash, and the parts' first members are one
+more list. Where a list then still spans several components, its members are shown to a few of
 the others, each in that of its lists which has the largest component, which joins loose groups; and what still lies in
 different components of a list is compared by parity bitmaps (which bound the symmetric difference from
 below, so they never lose a link) in blocks, the largest component's members with the others only. What
@@ -56,15 +57,21 @@ ENTRY_COST = 16.0
 BLOCK, SMALL = 512, 48
 #: Members drawn from a list of three or more, that all others are checked against.
 DRAWN = 3
-#: Members of an open list's block that the block's members of other components are shown to, and rounds of it.
-SHOWN, SHOWS = 12, 1
+#: Members of an open list's block that the block's members of other components are shown to, rounds of it,
+#: and members that a list's largest component has to have for it.
+SHOWN, SHOWS, LOOSE = 12, 1, 4
 #: Members of an open list's largest component from which all lists of that component are compared together.
 TOGETHER = 32
+#: Occurrences of a shingle's bucket from which its lists are dealt in SALTS parts by the hash of the member.
+HOT_LIST, SALTS = 50_000, 64
 #: Rows of one list that a scan holds before it hands on what it has.
 SCAN_ROWS = 50_000
 #: Pairs that a task holds to hand each on once.
 HELD_PAIRS = 200_000
-BITMAP, MOST_BITMAP = 1_024, 1 << 16
+#: Bits of a set's parity bitmap, least and most.
+BITMAP, MOST_BITMAP = 256, 1 << 16
+#: Broadcast bounds: groups of lists that are dealt in blocks (three numbers each).
+BROADCAST_GROUPS = 1_000_000
 
 
 def as_long(x: np.ndarray) -> np.ndarray:
@@ -159,18 +166,24 @@ def _row_batch(rows: int, **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([cols.get(c, pa.nulls(rows, t)) for c, t in kinds.items()], list(kinds))
 
 
+#: A list's entries; of a list that is dealt in parts the part's number, from 1, else 0.
+ENTRY = "token bigint, salt int, overlap int, n int, node bigint"
+FOUND = "kind int, token bigint, a bigint, b bigint"
+
+
 # -- pass 2: subsets of light sets, prefixes of heavy ones
 
 
-def _entries(docs: DataFrame, words: int, num: int, den: int, common: np.ndarray, light: int) -> DataFrame:
-    packed = np.packbits(common)
+def _entries(docs: DataFrame, words: int, num: int, den: int, common: np.ndarray, hot: np.ndarray, light: int) -> DataFrame:
+    packed, packed_hot, salts = np.packbits(common), np.packbits(hot) if hot.any() else None, tx.U64(SALTS)
     both_from = need(light + 1, num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_common = np.unpackbits(packed).astype(bool)
+        is_hot = None if packed_hot is None else np.unpackbits(packed_hot).astype(bool)
         shift = tx.U64(64 - (COUNT_BUCKETS - 1).bit_length())
         for b in batches:
-            tokens, overlap, sizes, keys, seen = [], [], [], [], set()
+            tokens, overlap, salt, sizes, keys, seen = [], [], [], [], [], set()
             for u in sets_of(b.column("text"), words):
                 n = len(u)
                 key = set_key(u) if n else None
@@ -181,6 +194,7 @@ def _entries(docs: DataFrame, words: int, num: int, den: int, common: np.ndarray
                     got = list(_subset_keys(u, need(n, num, den)))
                     tokens.append(np.array([t for t, _ in got], np.uint64))
                     overlap.append(np.array([c for _, c in got], np.int64))
+                    salt.append(np.zeros(len(got), np.int64))
                     sizes.append((n, len(got)))
                     keys.append(key)
                 if n > light or n >= both_from:
@@ -188,16 +202,18 @@ def _entries(docs: DataFrame, words: int, num: int, den: int, common: np.ndarray
                     prefix = np.concatenate((u[~late], u[late]))[: n - need(n, num, den) + 1]
                     tokens.append(prefix)
                     overlap.append(np.zeros(len(prefix), np.int64))
+                    part = 1 + int(tx.mix64(np.array([key], np.int64).view(np.uint64))[0] % salts)
+                    salt.append(np.zeros(len(prefix), np.int64) if is_hot is None else np.where(is_hot[(prefix >> shift).astype(np.int64)], part, 0))
                     sizes.append((n, len(prefix)))
                     keys.append(key)
             if tokens:
                 many = [m for _, m in sizes]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(as_long(np.concatenate(tokens))), pa.array(np.concatenate(overlap).astype(np.int32)), pa.array(np.repeat([n for n, _ in sizes], many).astype(np.int32)), pa.array(np.repeat(np.array(keys, np.int64), many))],
-                    ["token", "overlap", "n", "node"],
+                    [pa.array(as_long(np.concatenate(tokens))), pa.array(np.concatenate(salt).astype(np.int32)), pa.array(np.concatenate(overlap).astype(np.int32)), pa.array(np.repeat([n for n, _ in sizes], many).astype(np.int32)), pa.array(np.repeat(np.array(keys, np.int64), many))],
+                    ["token", "salt", "overlap", "n", "node"],
                 )
 
-    return docs.mapInArrow(tx.tidy(run), "token bigint, overlap int, n int, node bigint")
+    return docs.mapInArrow(tx.tidy(run), ENTRY)
 
 
 def _subset_keys(u: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
@@ -213,22 +229,23 @@ def _subset_keys(u: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
 
 
 def _scan(num: int, den: int):
-    """Over rows sorted by token, overlap, n, node: what links, what has to be checked, what stays open.
+    """Over rows sorted by token, salt, overlap, n, node: what links, what has to be checked, what stays open.
 
-    kind 0: nodes a, b are to be checked. 1: a and b link. 2: node a is in the list of token, which has
-    three members or more (two are settled by the check of kind 0).
+    kind 0: nodes a, b are to be checked. 1: a and b link. 2: node a, of b elements, is in the list of
+    token, which has three members or more (two are settled by the check of kind 0) or is one of several
+    parts. 3: node a, of b elements, is a first member of a part.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
         carry = None  # the first member of a list of which a part was handed on
         for b in batches:
-            cols = [b.column(c).to_numpy() for c in ("token", "overlap", "n", "node")]
+            cols = [b.column(c).to_numpy() for c in ("token", "salt", "overlap", "n", "node")]
             if rest is not None:
                 cols = [np.concatenate((r, c)) for r, c in zip(rest, cols, strict=True)]
             if not len(cols[0]):
                 continue
-            new = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
+            new = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])) + 1
             last = int(new[-1]) if len(new) else 0
             if len(cols[0]) - last > SCAN_ROWS:
                 out, carry = _lists(cols, carry, num, den, True)
@@ -245,24 +262,24 @@ def _scan(num: int, den: int):
 
 
 def _lists(cols: list[np.ndarray], carry, num: int, den: int, goes_on: bool):
-    token, overlap, n, node = (c.astype(np.int64) for c in cols)
+    token, salt, overlap, n, node = (c.astype(np.int64) for c in cols)
     if not len(token):
         return [], carry
     rows = np.arange(len(token))
     starts = np.ones(len(token), bool)
-    starts[1:] = (token[1:] != token[:-1]) | (overlap[1:] != overlap[:-1])
+    starts[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]) | (overlap[1:] != overlap[:-1])
     head = np.maximum.accumulate(np.where(starts, rows, 0))
     fresh = np.ones(len(token), bool)
     fresh[1:] = starts[1:] | (node[1:] != node[:-1])
-    continued = carry is not None and carry[0] == token[0] and carry[1] == overlap[0]
+    continued = carry is not None and carry[:3] == (token[0], salt[0], overlap[0])
     if continued:
-        fresh[0] &= node[0] != carry[3]
+        fresh[0] &= node[0] != carry[4]
     run_no = np.cumsum(starts) - 1
     distinct = np.bincount(run_no, weights=fresh).astype(np.int64)
     first_n, first_node = n[head], node[head]
     if continued:
         own = run_no == 0
-        first_n[own], first_node[own] = carry[2], carry[4]
+        first_n[own], first_node[own] = carry[3], carry[5]
         distinct[0] += 3
     members = distinct[run_no]
     # a heavy list's first member hands over where sizes no longer fit
@@ -282,11 +299,11 @@ def _lists(cols: list[np.ndarray], carry, num: int, den: int, goes_on: bool):
         of_run = order[np.searchsorted(run_no[order], np.arange(run_no[-1] + 1))]
         d_node, d_n = node[of_run], n[of_run]
         if continued:
-            d_node[0], d_n[0] = carry[5][k]
+            d_node[0], d_n[0] = carry[6][k]
         drawn.append((d_node, d_n))
     pair = fresh & (node != first_node)
     linked = pair & (overlap > 0) & (den * overlap >= num * (n + first_n - overlap))
-    listed = fresh & (overlap == 0) & (members > 2)
+    listed = fresh & (overlap == 0) & ((members > 2) | (salt > 0))
     out, stars = [], []
     for c_node, c_n, some in [(first_node, first_n, pair & (overlap == 0)), *((d_node[run_no], d_n[run_no], listed) for d_node, d_n in drawn)]:
         check = some & (node != c_node) & (num * np.maximum(n, c_n) <= den * np.minimum(n, c_n))
@@ -297,7 +314,11 @@ def _lists(cols: list[np.ndarray], carry, num: int, den: int, goes_on: bool):
             out.append(_scan_batch(kind, None, ab[:, 0], ab[:, 1]))
     if listed.any():
         out.append(_scan_batch(2, token[listed], node[listed], n[listed]))
-    after = (token[-1], overlap[-1], first_n[-1], node[-1], first_node[-1], [(a[-1], b[-1]) for a, b in drawn]) if goes_on else None
+    dealt = (overlap == 0) & (salt > 0)
+    if dealt.any():
+        heads = np.unique(np.column_stack((token[dealt], first_node[dealt], first_n[dealt])), axis=0)
+        out.append(_scan_batch(3, *np.ascontiguousarray(heads.T)))
+    after = (token[-1], salt[-1], overlap[-1], first_n[-1], node[-1], first_node[-1], [(a[-1], b[-1]) for a, b in drawn]) if goes_on else None
     return out, after
 
 
@@ -325,8 +346,8 @@ def _fit(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     return rows.mapInArrow(tx.tidy(run), "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, num: int, den: int, parts: int) -> tuple[DataFrame, DataFrame]:
-    """The pairs whose texts' sets link, and a table to drop afterwards. Only texts that the pairs may need
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, num: int, den: int, parts: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The pairs whose texts' sets link, and tables to drop afterwards. Only texts that the pairs may need
     are shuffled.
 
     The end of a pair that is in more pairs is its centre. Members go to their centres' blocks, of BLOCK
@@ -378,28 +399,33 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
                     head = column[i + int(own[-1]) - 1].as_py()
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(centre, member)[keep]), pa.array(np.maximum(centre, member)[keep])], ["a", "b"])
 
-    return dealt.mapInArrow(tx.tidy(compare), "a bigint, b bigint"), texts
+    return dealt.mapInArrow(tx.tidy(compare), "a bigint, b bigint"), [wanted, texts]
 
 
 def _open_members(lists: DataFrame, found: DataFrame, classes: DataFrame, once: bool = False) -> DataFrame:
-    """The members of lists that span several components: token, a, n, component, map; and of each list
+    """The members of lists that span several components: token, a, n, component; and of each list
     ``members``, ``giant``, its largest component, and how many members that has (``inside``).
 
-    With ``once`` each member comes in one of its lists only, the one with the largest component.
+    With ``once`` each member comes in one of its lists only, the one with the largest component, and
+    only if that has LOOSE members or more.
     """
     known = lists.join(found.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
     counts = known.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("members"), F.count("*").alias("spans"), F.max(F.struct("k", "component")).alias("top"))
-    open_ = counts.filter("spans > 1").select("token", "members", F.col("top.component").alias("giant"), F.col("top.k").alias("inside"))
+    open_ = counts.filter((F.col("spans") > 1) & (F.col("top.k") >= (LOOSE if once else 0))).select("token", "members", F.col("top.component").alias("giant"), F.col("top.k").alias("inside"))
     rows = known.join(open_, "token")
     if once:
         rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.col("inside").desc(), F.col("members").desc(), "token"))).filter("r = 1").drop("r")
+    return rows.select("token", "a", "n", "component", "members", "giant", "inside")
+
+
+def _with_maps(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.join(classes.select(F.col("key").alias("a"), "map"), "a")
 
 
-def _to_some(members: DataFrame, parts: int, num: int, den: int, draw: int) -> DataFrame:
-    """Pairs of each member with SHOWN members of its list's block, drawn by hash, of other components."""
+def _to_some(members: DataFrame, classes: DataFrame, parts: int, num: int, den: int, draw: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs of each member with SHOWN members of its list's block, drawn by hash, of other components, and tables to drop afterwards."""
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = members.withColumn("own", F.pmod(F.hash("a"), blocks)).select("token", "own", "a", "n", "component", "map")
+    rows = _with_maps(members.withColumn("own", F.pmod(F.hash("a"), blocks)), classes).select("token", "own", "a", "n", "component", "map")
     dealt = rows.repartition(parts, "token", "own").sortWithinPartitions("token", "own", "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,24 +454,28 @@ def _to_some(members: DataFrame, parts: int, num: int, den: int, draw: int) -> D
         if held:
             yield _pair_batch(held)
 
-    return dealt.mapInArrow(tx.tidy(run), "a bigint, b bigint")
+    return dealt.mapInArrow(tx.tidy(run), "a bigint, b bigint"), []
 
 
-def _across(members: DataFrame, parts: int, num: int, den: int) -> DataFrame:
-    """Pairs of members of one list and different components that their bitmaps leave open.
+def _across(members: DataFrame, classes: DataFrame, parts: int, num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs of members of one list and different components that their bitmaps leave open, and tables to
+    drop afterwards.
 
     Lists with the same largest component, if it is large, have mostly the same members; they are dealt
     out alike, list after list in one task, which hands on a pair once. A list above BLOCK members is dealt
     out as pairs of blocks, by the hash of the member. Its largest component has blocks of its own, which
     only meet those of the other members.
     """
-    group = F.when(F.col("inside") >= TOGETHER, F.xxhash64(F.col("giant"))).otherwise(F.col("token"))
-    widest = members.groupBy(group.alias("group")).agg(F.max("members").alias("most"), F.max(F.col("members") - F.col("inside")).alias("others"), F.max("inside").alias("giants"))
-    widest = widest.filter(F.col("most") > BLOCK).select("group", F.ceil(F.col("others") / BLOCK).cast("int").alias("apart"), F.ceil(F.col("giants") / BLOCK).cast("int").alias("of_giant"))
-    rows = members.withColumn("group", group).join(widest, "group", "left").withColumns({"in_giant": F.col("apart").isNotNull() & (F.col("component") == F.col("giant")), "apart": F.coalesce("apart", F.lit(1)), "of_giant": F.coalesce("of_giant", F.lit(0))})
+    members = store.written(members.withColumn("group", F.when(F.col("inside") >= TOGETHER, F.xxhash64(F.col("giant"))).otherwise(F.col("token"))), "members")
+    widest = members.groupBy("group").agg(F.max("members").alias("most"), F.max(F.col("members") - F.col("inside")).alias("others"), F.max("inside").alias("giants")).filter(F.col("most") > BLOCK)
+    widest = store.written(widest.select("group", F.ceil(F.col("others") / BLOCK).cast("int").alias("apart"), F.ceil(F.col("giants") / BLOCK).cast("int").alias("of_giant")), "widest", few=True)
+    few = widest.count() <= BROADCAST_GROUPS
+    rows = members.join(F.broadcast(widest) if few else widest, "group", "left")
+    rows = rows.withColumns({"in_giant": F.col("apart").isNotNull() & (F.col("component") == F.col("giant")), "apart": F.coalesce("apart", F.lit(1)), "of_giant": F.coalesce("of_giant", F.lit(0))})
     own = F.when(F.col("in_giant"), F.col("apart") + F.pmod(F.hash("a"), F.col("of_giant"))).otherwise(F.pmod(F.hash("a"), F.col("apart")))
     last = F.when(F.col("in_giant"), F.col("apart") - 1).otherwise(F.col("apart") + F.col("of_giant") - 1)
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    rows = _with_maps(rows.withColumn("own", own).withColumn("last", last).select("group", "token", "own", "last", "a", "n", "component"), classes)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
     rows = rows.select("group", "token", (F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other")).alias("pair"), "own", "a", "n", "component", "map")
     dealt = rows.repartition(parts, "group", "pair").sortWithinPartitions("group", "pair", "token", "a").drop("group")
 
@@ -465,7 +495,7 @@ def _across(members: DataFrame, parts: int, num: int, den: int) -> DataFrame:
         if count:
             yield _pair_batch(held)
 
-    return dealt.mapInArrow(tx.tidy(run), "a bigint, b bigint")
+    return dealt.mapInArrow(tx.tidy(run), "a bigint, b bigint"), [members, widest]
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.Table]]:
@@ -573,37 +603,48 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     parts = store.partitions_for(docs)
     profiles = store.written(_profiles(docs, words), "profiles")
     rows = profiles.filter("slice is null")
-    common = tally.bits(profiles.filter("slice is not null"), COUNT_BUCKETS, lambda mean: mean + 8 * math.sqrt(mean) + 24)
+    counts = tally.counts(profiles.filter("slice is not null"), COUNT_BUCKETS)
+    mean = float(counts.mean())
+    common, hot = counts > mean + 8 * math.sqrt(mean) + 24, counts > HOT_LIST
     classes = store.written(rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("payload").alias("map"), F.min("text_hash").alias("text_hash")), "classes", few=True)
     sizes = {r["n"]: r["count"] for r in classes.filter("n < 200").groupBy("n").count().collect()}
     light = boundary(sizes, num, den)
 
-    entries = _entries(docs, words, num, den, common, light)
-    scan = store.written(entries.repartition(parts, "token").sortWithinPartitions("token", "overlap", "n", "node").mapInArrow(tx.tidy(_scan(num, den)), "kind int, token bigint, a bigint, b bigint"), "scan")
-    checked = store.written(_fit(scan.filter("kind = 0").select("a", "b").distinct(), classes, num, den), "checked", few=True)
-    links, texts = _verified(checked, classes, docs, words, num, den, parts)
+    scanned = lambda rows: rows.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "overlap", "n", "node").mapInArrow(tx.tidy(_scan(num, den)), FOUND)
+    scan = store.written(scanned(_entries(docs, words, num, den, common, hot, light)), "scan")
+    pairs = scan.filter("kind = 0").select("a", "b")
+    if hot.any():
+        heads = scan.filter("kind = 3").select("token", F.lit(0).alias("salt"), F.lit(0).alias("overlap"), F.col("b").cast("int").alias("n"), F.col("a").alias("node")).distinct()
+        pairs = pairs.unionByName(scanned(heads).filter("kind = 0").select("a", "b"))
+    checked = store.written(_fit(pairs.distinct(), classes, num, den), "checked", few=True)
+    links, used = _verified(checked, classes, docs, words, num, den, parts)
     links = store.written(links.unionByName(scan.filter("kind = 1").select("a", "b").distinct()), "links", few=True)
-    store.drop(texts)
     found = components.components(links)
+    spent = [*used, links]
 
     lists = store.written(scan.filter("kind = 2").select("token", "a", F.col("b").alias("n")), "lists", few=True)
     store.drop(scan)
-    tried = checked
+    tried, done = checked, [checked, lists]
     # members that no centre took are shown to some of the other components, and what is left to all
     for turn in range(SHOWS + 1):
         members = _open_members(lists, found, classes, turn < SHOWS)
-        pairs = _to_some(members, parts, num, den, turn) if turn < SHOWS else _across(members, parts, num, den)
+        pairs, used = _to_some(members, classes, parts, num, den, turn) if turn < SHOWS else _across(members, classes, parts, num, den)
         pairs = pairs.distinct().join(tried, ["a", "b"], "left_anti")
         more = store.written(_fit(pairs, classes, num, den), "more", few=True)
+        spent += used
         if more.isEmpty():
             continue
         tried = tried.unionByName(more)
-        late, texts = _verified(more, classes, docs, words, num, den, parts)
+        late, used = _verified(more, classes, docs, words, num, den, parts)
         late = store.written(late, "links", few=True)
-        store.drop(texts)
-        if not late.isEmpty():
-            found = components.components(late.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    store.drop(lists)
+        spent += [*used, late, found]
+        done.append(more)
+        found = components.components(late.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        for table in spent:
+            store.drop(table)
+        spent = []
+    for table in [*done, *spent]:
+        store.drop(table)
     nodes = classes.select("key", "least").join(found.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     names = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = nodes.join(names, "component").select("key", "component", "component_id")

@@ -6,7 +6,7 @@ in one task. So the traffic is bounded by tasks times array size, and the driver
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,19 +25,16 @@ def slices(counts: np.ndarray) -> list[tuple[int, bytes]]:
     return [(i, press.compress(p.tobytes())) for i, p in enumerate(parts) if p.any()]
 
 
-def bits(rows: DataFrame, size: int, above: Callable[[float], float]) -> np.ndarray:
-    """Bucket by bucket, whether the summed count exceeds ``above(mean count)``. rows: :data:`SCHEMA`.
-
-    The mean takes a pass of its own over the slices' sums, one number a slice.
-    """
+def counts(rows: DataFrame, size: int) -> np.ndarray:
+    """The summed counts, bucket by bucket, of the slices of all tasks (:data:`SCHEMA`)."""
     width = size // SLICES
     summed = rows.select("slice", "payload").repartitionById(SLICES, F.col("slice")).mapInArrow(_summing(width), "slice int, payload binary, total bigint")
     got = summed.collect()  # SLICES rows of compressed counts
     press = zstandard.ZstdDecompressor()
-    counts = np.zeros(size, np.uint64)
+    out = np.zeros(size, np.uint64)
     for r in got:
-        counts[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(press.decompress(r["payload"], max_output_size=8 * width), "<u8")
-    return counts > above(float(counts.mean()))
+        out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(press.decompress(r["payload"], max_output_size=8 * width), "<u8")
+    return out
 
 
 def _summing(width: int):
