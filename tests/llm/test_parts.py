@@ -69,3 +69,48 @@ def test_spans_are_told_apart_by_their_bytes():
     assert tx.same_spans(lanes, start, size, lanes, other, other_size).tolist() == wanted
     h = tx.word_numbers(data, start, start + size)
     assert (h[[0, 3]] == tx.word_numbers(data, other, other + other_size)[[0, 3]]).all()
+
+
+def long_texts() -> list[str]:
+    """Two near copies above a batch's bytes, and a passage of them."""
+    words = [f"w{i * 7919 % 100_003}" for i in range(230_000)]
+    one = " ".join(words)
+    other = " ".join([*words[:100_000], "put", "in", *words[100_000:]])
+    assert min(len(one), len(other)) > tx.BATCH_BYTES
+    return [one, "short words here", other, "z" * 60 + " " + " ".join(words[500:560]), ""]
+
+
+def test_texts_above_a_batch_as_a_whole():
+    from trackweave.llm import fingerprints, ngram_join, quality, tokens
+
+    texts = long_texts()
+    column = pa.array(texts)
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e = tokens.Encoder(tokens.path(name))
+        ids, at = e.encode(column)
+        assert [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:], strict=True)] == e.whole(texts)
+    plain = [cases.shingle_set(t, 5) for t in texts]
+    numbers = tx.exact_shingles(column, 5)
+    assert [len(x) for x in numbers] == [len(p) for p in plain] == [len(x) for x in ngram_join.sets_of(column, 5)]
+    assert len(np.intersect1d(numbers[0], numbers[2])) == len(plain[0] & plain[2])
+    a, b = fingerprints.sketches(column)[0], fingerprints.sketches(column)[2]
+    assert len(a) == 128 and abs(fingerprints.resemblance(a, b) - len(plain[0] & plain[2]) / len(plain[0] | plain[2])) < 0.1
+    assert np.isfinite(quality.features(column)).all()
+    assert np.allclose(quality.features(column), np.concatenate([quality.features(pa.array([t])) for t in texts]))
+
+
+def test_long_texts_through_the_tables(spark):
+    from tests.llm.test_suffix_dedup import brute, digest
+    from trackweave.llm import mixing, ngram_join, packing, suffix_dedup, tokens
+
+    texts = long_texts()
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    links = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs).collect()}
+    assert links == {i: (len(cases.shingle_set(t, 4)), 0 if i == 2 else i) for i, t in enumerate(texts)}
+    raw = [t.encode() for t in texts]
+    found = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digests(docs).collect())
+    assert found == [(i, *digest(r, g)) for i, (r, g) in enumerate(zip(raw, brute(raw), strict=True))]
+    pieces = packing.pack(packing.pieces(docs, tokens.path("byte_bpe_50k.json"))).groupBy("doc_id").agg({"length": "sum"}).collect()
+    whole = tokens.Encoder(tokens.path("byte_bpe_50k.json")).whole(texts)
+    assert {r[0]: r[1] for r in pieces} == {i: len(w) + 1 for i, w in enumerate(whole)}
+    assert {r.doc_id: r["size"] for r in mixing.planned(docs).collect()} == {i: len(cases.words(t)) for i, t in enumerate(texts)}

@@ -40,7 +40,7 @@ BROADCAST_ROWS = 100_000
 BUCKETS = 1_024
 #: Copies that the driver looks at one by one (three numbers each).
 FEW = 4_096
-OWN = ("source_size", "target", "copies", "_key", "_source", "_m", "_n", "_rank", "_full", "_edge", "_some", "_all", "_i")
+OWN = ("source_size", "target", "copies", "_key", "_source", "_m", "_n", "_rank", "_full", "_edge", "_some", "_all", "_i", "_s", "_p")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
