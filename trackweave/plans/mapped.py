@@ -134,6 +134,13 @@ def q_line_summary(spark, sf_dir):
     return lines.summary(*lines.parsed_lines(elements(spark, sf_dir)))
 
 
+def q_station_names(spark, sf_dir):
+    """Each line's station names in order, every name once."""
+    _, stations, _ = lines.parsed_lines(elements(spark, sf_dir))
+    named = lines.station_names(lines.unique_stations(stations))
+    return named.select("doc_id", F.size("names").alias("n"), F.array_join("names", "|").alias("names"))
+
+
 def q_tracks(spark, sf_dir):
     found = el.tracks(elements(spark, sf_dir))
     return found.select("doc_id", "way_pos", "id", "name", "railway", F.coalesce("service", F.lit("none")).alias("service"), F.size("nodes").alias("n_nodes"), F.size("geometry").alias("n_points"), F.round(F.get("geometry", F.size("geometry") - 1)["lng"], 3).alias("last_lng"))
@@ -226,6 +233,22 @@ def q_export_track(spark, sf_dir):
     return found.select("line_id", "i", "lng", "lat")
 
 
+def q_export_table(spark, sf_dir):
+    """The same as the export's rows: label, longitude, latitude."""
+    found = build.exported(geojson.parsed_features(_track_files(spark, sf_dir)), "start", "end", 20_000.0)
+    return geojson.labelled(found, "13号线").toDF("label", "lng", "lat")
+
+
+def q_station_scores(spark, sf_dir):
+    """Every nation's name, written three ways, against every region's nations' names by score."""
+    nation = table(spark, sf_dir, "nation")
+    k = F.col("n_nationkey") % 3
+    asked = nation.select(F.col("n_nationkey").alias("key"), F.when(k == 0, F.concat("n_name", F.lit("车站"))).when(k == 1, F.concat(F.lit("地铁"), "n_name", F.lit("站"))).otherwise(F.concat(F.lit(" 轨道交通"), "n_name")).alias("asked"))
+    known = nation.select(F.col("n_nationkey").alias("other"), F.concat("n_name", F.lit("站点")).alias("known"))
+    score = text.station_score(F.col("asked"), F.col("known"))
+    return asked.join(F.broadcast(known)).select("key", "other", score.alias("score"))  # 25 rows each
+
+
 def q_places(spark, sf_dir):
     """Nations' names looked up as places (with an ending that goes) and as cities."""
     nation = table(spark, sf_dir, "nation")
@@ -259,6 +282,32 @@ _FILES = f"""{EVENTS},
     union all
     select line_id, 'end', 117e0 + (0.61e0 - cast(line_id % 90 as double) / 300), 38.9e0 + (0.33e0 - cast(line_id % 90 as double) / 600), count(*) + 3 from track_events group by line_id)"""
 
+_EXPORT = f"""with {_FILES},
+  {staged(geo.utm_stages(), "track_events", "p_")},
+  nexts as (select line_id, event_id as pt_pos, x, y, lead(x) over w as x2, lead(y) over w as y2 from p_2 window w as (partition by line_id order by event_id)),
+  sized as (select *, sqrt((x - x2) * (x - x2) + (y - y2) * (y - y2)) as length from nexts where x2 is not null),
+  legs as (select *, coalesce(sum(length) over (partition by line_id order by pt_pos rows between unbounded preceding and 1 preceding), 0e0) as cum from sized),
+  {staged(geo.utm_stages(), "spots", "s_")},
+  shares as (
+    select s.line_id, name, s.x as px, s.y as py, legs.x, legs.y, x2, y2, length, cum, pt_pos,
+      case when length = 0 then 0e0 else greatest(0e0, least(1e0, ((s.x - legs.x) * (x2 - legs.x) + (s.y - legs.y) * (y2 - legs.y)) / ((x2 - legs.x) * (x2 - legs.x) + (y2 - legs.y) * (y2 - legs.y)))) end as t
+    from s_2 s join legs on s.line_id = legs.line_id),
+  best as (
+    select line_id, name, cum + t * length as along from shares
+    qualify row_number() over (partition by line_id, name order by round(sqrt(power(px - (x + (x2 - x) * t), 2) + power(py - (y + (y2 - y) * t), 2)), 6), pt_pos) = 1),
+  ranges as (
+    select line_id, min(along) as low, max(along) as high, max(case when name = 'start' then along end) > max(case when name = 'end' then along end) as turned,
+      cast(floor((max(along) - min(along)) / 20000) as bigint) as steps from best group by line_id),
+  grid as (
+    select line_id, turned, steps + 2 as n, k, low + k * 20000e0 as along from ranges, unnest(range(0, steps + 1)) r(k)
+    union all select line_id, turned, steps + 2, steps + 1, high from ranges),
+  met as (
+    select g.*, x, y, x2, y2, case when length > 0 then least(1e0, (along - cum) / length) else 0e0 end as t
+    from grid g join legs l on l.line_id = g.line_id and along >= cum
+    qualify row_number() over (partition by g.line_id, k order by pt_pos desc) = 1),
+  flat as (select line_id, case when turned then n - k else k + 1 end as i, x + (x2 - x) * t as x, y + (y2 - y) * t as y from met),
+  {staged(geo.inverse_utm_stages(), "flat", "v_")}"""
+
 ORACLES = {
     "q_parse_line": f"""with {_PARSED}
 select 'd' || doc as doc_id, 'line' as what, 0 as pos, name, cast(null as double) as lat, cast(null as double) as lng from named
@@ -267,6 +316,9 @@ union all select 'd' || doc, 'point', cast(pt_pos as integer), null, round(lat,
     "q_line_summary": f"""with {_PARSED}
 select 'd' || n.doc as doc_id, name, coalesce(s.n, 0) as n_stations, coalesce(p.n, 0) as n_points from named n
 left join (select doc, count(*) as n from stops group by doc) s on s.doc = n.doc left join (select doc, count(*) as n from points group by doc) p on p.doc = n.doc""",
+    "q_station_names": f"""with {_PARSED},
+  firsts as (select * from stops qualify row_number() over (partition by doc, name order by pos) = 1)
+select 'd' || doc as doc_id, cast(count(*) as integer) as n, string_agg(name, '|' order by pos) as names from firsts group by doc""",
     "q_tracks": f"""with {_MAPPED}
 select 'd' || doc as doc_id, cast(elem_pos as integer) as way_pos, id, 'way ' || id as name, railway, 'none' as service, cast(n as integer) as n_nodes,
   cast(case when id % 3 <> 0 then n else 0 end as integer) as n_points,
@@ -334,32 +386,13 @@ select cast(line_id as varchar) as line_id, 'line' as what, cast(i as integer) a
 union all
 select cast(line_id as varchar), event_type, cast(max(i) + 2 as integer), round(arg_max(lng, i), 6), round(arg_max(lat, i), 6) from numbered group by line_id, event_type
 union all select cast(line_id as varchar), name, cast(pos as integer), round(lng, 6), round(lat, 6) from spots""",
-    "q_export_track": f"""with {_FILES},
-  {staged(geo.utm_stages(), "track_events", "p_")},
-  nexts as (select line_id, event_id as pt_pos, x, y, lead(x) over w as x2, lead(y) over w as y2 from p_2 window w as (partition by line_id order by event_id)),
-  sized as (select *, sqrt((x - x2) * (x - x2) + (y - y2) * (y - y2)) as length from nexts where x2 is not null),
-  legs as (select *, coalesce(sum(length) over (partition by line_id order by pt_pos rows between unbounded preceding and 1 preceding), 0e0) as cum from sized),
-  {staged(geo.utm_stages(), "spots", "s_")},
-  shares as (
-    select s.line_id, name, s.x as px, s.y as py, legs.x, legs.y, x2, y2, length, cum, pt_pos,
-      case when length = 0 then 0e0 else greatest(0e0, least(1e0, ((s.x - legs.x) * (x2 - legs.x) + (s.y - legs.y) * (y2 - legs.y)) / ((x2 - legs.x) * (x2 - legs.x) + (y2 - legs.y) * (y2 - legs.y)))) end as t
-    from s_2 s join legs on s.line_id = legs.line_id),
-  best as (
-    select line_id, name, cum + t * length as along from shares
-    qualify row_number() over (partition by line_id, name order by round(sqrt(power(px - (x + (x2 - x) * t), 2) + power(py - (y + (y2 - y) * t), 2)), 6), pt_pos) = 1),
-  ranges as (
-    select line_id, min(along) as low, max(along) as high, max(case when name = 'start' then along end) > max(case when name = 'end' then along end) as turned,
-      cast(floor((max(along) - min(along)) / 20000) as bigint) as steps from best group by line_id),
-  grid as (
-    select line_id, turned, steps + 2 as n, k, low + k * 20000e0 as along from ranges, unnest(range(0, steps + 1)) r(k)
-    union all select line_id, turned, steps + 2, steps + 1, high from ranges),
-  met as (
-    select g.*, x, y, x2, y2, case when length > 0 then least(1e0, (along - cum) / length) else 0e0 end as t
-    from grid g join legs l on l.line_id = g.line_id and along >= cum
-    qualify row_number() over (partition by g.line_id, k order by pt_pos desc) = 1),
-  flat as (select line_id, case when turned then n - k else k + 1 end as i, x + (x2 - x) * t as x, y + (y2 - y) * t as y from met),
-  {staged(geo.inverse_utm_stages(), "flat", "v_")}
+    "q_export_track": f"""{_EXPORT}
 select cast(line_id as varchar) as line_id, i, round(lng, 8) as lng, round(lat, 8) as lat from v_3""",
+    "q_export_table": f"""{_EXPORT}
+select '13号线#' || i as label, round(lng, 8) as lng, round(lat, 8) as lat from v_3""",
+    "q_station_scores": """with asked as (
+    select n_nationkey as key, n_name as a from nation), known as (select n_nationkey as other, n_name as b from nation)
+select key, other, case when a = b then 100 when contains(a, b) or contains(b, a) then 80 else 0 end as score from asked cross join known""",
     "q_places": """with known as (
     select case n_nationkey % 3 when 0 then n_name when 1 then n_name || '市' else n_name || ' 中国' end as asked, n_nationkey / 2e0 as lat, (n_nationkey + 100) / 2e0 as lng,
       (n_nationkey + 1) / 2e0 as north, case when n_nationkey % 5 <> 4 then (n_nationkey + 2) / 2e0 end as west
