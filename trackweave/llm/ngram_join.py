@@ -51,6 +51,8 @@ WORDS, NUM, DEN = 4, 85, 100
 #: Buckets of the shingle counts; bits, least and most, of the set of texts that a check needs (16 a text;
 #: beyond some ten million such texts it lets others through too).
 COUNT_BUCKETS, LEAST_BITS, MOST_BITS = 1 << 22, 1 << 20, 1 << 27
+#: Shingles that a task counts in one go.
+COUNT_ROWS = 1 << 20
 #: Cost of a list entry in enumerated subsets, for the boundary between light and heavy.
 ENTRY_COST = 16.0
 #: Rows of a list compared as one block; lists up to SMALL are compared many at a time.
@@ -107,15 +109,25 @@ def sets_of(column: pa.Array, words: int) -> Iterator[np.ndarray]:
     for i, j in tx.pieces(offsets):
         h, at = tx.shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            yield np.unique(h[a:b])
+            own = np.sort(h[a:b])
+            new = np.empty(b - a, bool)
+            new[:1] = True
+            np.not_equal(own[1:], own[:-1], out=new[1:])
+            yield own[new]
 
 
 def set_key(u: np.ndarray) -> int:
-    """A number for the set, whatever the order."""
-    with np.errstate(over="ignore"):
-        mixed = tx.mix64(u ^ tx.U64(0x5851F42D4C957F2D))
-        x = np.array([mixed.sum(dtype=np.uint64) ^ (np.bitwise_xor.reduce(mixed) << tx.U64(1) if len(u) else tx.U64(0))]) + tx.U64(len(u))
-    return int(tx.mix64(x).view(np.int64)[0])
+    """A number for the set, whatever the order: its hashes' sum and parity, scrambled."""
+    both = int(u.sum(dtype=np.uint64)) ^ (int(np.bitwise_xor.reduce(u)) << 1 if len(u) else 0)
+    return _scrambled((both + 0x5851F42D4C957F2D * len(u)) & (1 << 64) - 1)
+
+
+def _scrambled(x: int) -> int:
+    """As ``mix64``, of one number, as a signed one."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> shift) * factor & (1 << 64) - 1
+    x ^= x >> 31
+    return x - (1 << 64) if x >> 63 else x
 
 
 def bitmap(u: np.ndarray) -> bytes:
@@ -145,14 +157,21 @@ def _profiles(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNT_BUCKETS, np.uint32)
         shift = tx.U64(64 - (COUNT_BUCKETS - 1).bit_length())
+        held, waiting = [], 0
         for b in batches:
             keys, sizes, maps = [], [], []
             for u in sets_of(b.column("text"), words):
-                np.add.at(counts, (u >> shift).astype(np.int64), 1)
+                held.append((u >> shift).astype(np.int32))
+                waiting += len(u)
+                if waiting > COUNT_ROWS:
+                    counts += np.bincount(np.concatenate(held), minlength=COUNT_BUCKETS).astype(np.uint32)
+                    held, waiting = [], 0
                 keys.append(set_key(u) if len(u) else None)
                 sizes.append(len(u))
                 maps.append(bitmap(u) if len(u) else None)
             yield _row_batch(b.num_rows, doc_id=b.column("doc_id"), text_hash=b.column("text_hash"), n=pa.array(sizes, pa.int64()), key=pa.array(keys, pa.int64()), payload=pa.array(maps, pa.binary()))
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=COUNT_BUCKETS).astype(np.uint32)
         parts = tally.slices(counts)
         if parts:
             yield _row_batch(len(parts), slice=pa.array([i for i, _ in parts], pa.int32()), payload=pa.array([p for _, p in parts], pa.binary()))
@@ -175,7 +194,7 @@ FOUND = "kind int, token bigint, a bigint, b bigint"
 
 
 def _entries(docs: DataFrame, words: int, num: int, den: int, common: np.ndarray, hot: np.ndarray, light: int) -> DataFrame:
-    packed, packed_hot, salts = np.packbits(common), np.packbits(hot) if hot.any() else None, tx.U64(SALTS)
+    packed, packed_hot, salts = np.packbits(common), np.packbits(hot) if hot.any() else None, SALTS
     both_from = need(light + 1, num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,8 +221,7 @@ def _entries(docs: DataFrame, words: int, num: int, den: int, common: np.ndarray
                     prefix = np.concatenate((u[~late], u[late]))[: n - need(n, num, den) + 1]
                     tokens.append(prefix)
                     overlap.append(np.zeros(len(prefix), np.int64))
-                    part = 1 + int(tx.mix64(np.array([key], np.int64).view(np.uint64))[0] % salts)
-                    salt.append(np.zeros(len(prefix), np.int64) if is_hot is None else np.where(is_hot[(prefix >> shift).astype(np.int64)], part, 0))
+                    salt.append(np.zeros(len(prefix), np.int64) if is_hot is None else np.where(is_hot[(prefix >> shift).astype(np.int64)], 1 + key % salts, 0))
                     sizes.append((n, len(prefix)))
                     keys.append(key)
             if tokens:

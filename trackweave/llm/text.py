@@ -17,7 +17,6 @@ from collections.abc import Callable, Iterator
 from functools import wraps
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 
 U64 = np.uint64
@@ -224,11 +223,11 @@ def exact_shingles(column: pa.Array, n: int) -> list[np.ndarray]:
     """
     data, offsets = flat(column)
     start, end, counts = words(data, offsets)
-    codes, _ = pd.factorize(word_numbers(data, start, end, fold=True))
-    first = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1))
+    _, first, codes = np.unique(word_numbers(data, start, end, fold=True), return_index=True, return_inverse=True)
     lanes, size = eights(data, fold=True), end - start
     if not same_spans(lanes, start, size, lanes, start[first[codes]], size[first[codes]]).all():
-        codes = pd.factorize(np.array([data[i:j].tobytes().lower() for i, j in zip(start.tolist(), end.tolist(), strict=True)], object))[0]
+        numbers: dict[bytes, int] = {}
+        codes = np.array([numbers.setdefault(data[i:j].tobytes().lower(), len(numbers)) for i, j in zip(start.tolist(), end.tolist(), strict=True)], np.int64)
     # rows of n words, one row a shingle; a short text's missing words are a number of their own
     base = int(codes.max(initial=-1)) + 2
     before = np.concatenate(([0], np.cumsum(counts)))
@@ -239,7 +238,7 @@ def exact_shingles(column: pa.Array, n: int) -> list[np.ndarray]:
     padded = np.append(codes.astype(np.int64), np.full(n, base - 1))
     out = padded[place]
     for k in range(1, n):
-        out = pd.factorize(out)[0].astype(np.int64) * base + np.where(place + k < stop, padded[place + k], base - 1)
+        out = np.unique(out, return_inverse=True)[1] * base + np.where(place + k < stop, padded[place + k], base - 1)
     return [np.unique(out[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
