@@ -138,6 +138,32 @@ def test_pairs_are_compared_by_their_words(monkeypatch, blind):
             assert all(len(np.intersect1d(x, y)) == len(p & q) for y, q in zip(numbers, plain, strict=True))
 
 
+def test_tables_too_large_to_broadcast_give_the_same(spark, monkeypatch):
+    from trackweave.llm import packing, sharding, url_filter
+
+    rnd = random.Random(9)
+    passage = [f"p{i}" for i in range(40)]
+    docs = [(k, " ".join(edits(rnd, passage, 0.03))) for k in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    near = spark.createDataFrame(vectors()[:200], "vec_id long, embedding array<float>")
+    pages = spark.createDataFrame([(i, f"http://h{i % 3}.test/{'a' if i % 2 else 'b'}/{i}") for i in range(60)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    items = spark.range(0, 3000, 1, 8).select("id", F.when(F.col("id") % 300 == 0, 300).otherwise(600).alias("length"))
+    answers = [
+        lambda: got(ngram_join.jaccard_components(df)),
+        lambda: sorted(embedding_dedup.near_duplicates(near).collect(), key=str),
+        lambda: sorted(url_filter.judge(pages, labels).collect(), key=str),
+        lambda: sorted(sharding.two_pass_shuffle(df, "doc_id", F.octet_length("text"), shards=3, bucket_bytes=500).select("doc_id", "shard", "slot").collect()),
+        lambda: packing.pack(items).select("sequence_id").distinct().count(),
+    ]
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 7)
+    before = [f() for f in answers]
+    for module, name in ((ngram_join, "BROADCAST_GROUPS"), (embedding_dedup, "BROADCAST_BUCKETS"), (url_filter, "BROADCAST_TEMPLATES"), (sharding, "BROADCAST_BUCKETS"), (packing, "BROADCAST_BINS")):
+        monkeypatch.setattr(module, name, 0)
+    assert [f() for f in answers] == before
+
+
 def test_empty_join(spark):
     assert ngram_join.jaccard_components(cases.tables(spark)["empty"]).count() == 0
 
