@@ -588,6 +588,14 @@ def test_exact_rounding_is_pythons(spark):
     assert all(abs(exact[k] - plain[k]) <= 0.0100001 for k in plain)
 
 
+def test_names_too_many_to_broadcast_match_the_same(spark, monkeypatch):
+    for name in ("q_fuzzy_match", "q_match_override"):
+        before = sorted(catalog.QUERIES[name](spark, SMALL).collect())
+        monkeypatch.setattr(matching, "BROADCAST_NAMES", 0)
+        assert sorted(catalog.QUERIES[name](spark, SMALL).collect()) == before
+        monkeypatch.undo()
+
+
 def test_station_names_and_track_counts(spark):
     stations = spark.createDataFrame([("d", 2, "b"), ("d", 1, "a"), ("e", 5, None)], "doc_id string, pos int, name string")
     assert {r.doc_id: r.names for r in lines.station_names(stations).collect()} == {"d": ["a", "b"], "e": [None]}
