@@ -53,12 +53,24 @@ def features(column: pa.Array) -> np.ndarray:
 
 
 def _distinct(h: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """How many distinct values each text has, and how often its commonest stands."""
-    keys = h ^ tx.mix64(of.astype(np.uint64) + np.uint64(1))
-    _, first, count = np.unique(keys, return_index=True, return_counts=True)
-    top = np.zeros(n)
-    np.maximum.at(top, of[first], count)
-    return np.bincount(of[first], minlength=n), top
+    """How many distinct values each text has, and how often its commonest stands.
+
+    Values are sorted behind their text's number, with as many leading bits as then fit.
+    """
+    bits = tx.U64(max(1, n - 1).bit_length())
+    keys = np.sort((of.astype(np.uint64) << (tx.U64(64) - bits)) | (h >> bits))
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+    text = (keys[first] >> (tx.U64(64) - bits)).astype(np.int64)
+    return np.bincount(text, minlength=n), _most(np.diff(np.append(first, len(keys))), text, n)
+
+
+def _most(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Each text's greatest value, 0 for none; ``of`` ascends."""
+    out = np.zeros(n)
+    if len(of):
+        first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        out[of[first]] = np.maximum.reduceat(values, first)
+    return out
 
 
 def _features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -74,8 +86,7 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     word_of = np.repeat(np.arange(n), words)
     per_text = lambda x: np.bincount(word_of, weights=x, minlength=n)
     length = end - start
-    longest = np.zeros(n)
-    np.maximum.at(longest, word_of, length)
+    longest = _most(length, word_of, n)
     hashes = tx.word_numbers(data, start, end, fold=True)
     first_byte, last_byte = data[start], data[end - 1]
     uppers = np.concatenate(([0], np.cumsum(_UPPER[data], dtype=np.int32)))
