@@ -40,13 +40,21 @@ def sketches(column: pa.Array, k: int = K, words: int = WORDS) -> list[np.ndarra
     return out
 
 
+def _ascending(hashes: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending."""
+    own = np.sort(hashes)
+    new = np.ones(len(own), bool)
+    np.not_equal(own[1:], own[:-1], out=new[1:])
+    return own[new]
+
+
 def bottom(hashes: np.ndarray, k: int = K) -> np.ndarray:
     """The k smallest distinct values, ascending."""
     if len(hashes) > 4 * k:
-        few = np.unique(np.partition(hashes, 2 * k)[: 2 * k])
+        few = _ascending(np.partition(hashes, 2 * k)[: 2 * k])
         if len(few) >= k:
             return few[:k]
-    return np.unique(hashes)[:k]
+    return _ascending(hashes)[:k]
 
 
 def merge(parts: Iterable[np.ndarray], k: int = K) -> np.ndarray:
@@ -59,8 +67,10 @@ def resemblance(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
     """Estimated Jaccard similarity: the share of the union's bottom k that both have."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    union = merge((a, b), k)
-    return float(np.isin(union, np.intersect1d(a, b, assume_unique=True), assume_unique=True).sum() / len(union))
+    both = np.sort(np.concatenate((a, b)))
+    twice = both[1:] == both[:-1]
+    union = both[np.append(True, ~twice)][:k]
+    return float((both[1:][twice] <= union[-1]).sum() / len(union))
 
 
 def distinct(a: np.ndarray, k: int = K) -> float:
