@@ -542,7 +542,7 @@ def test_chains_take_few_rounds(spark, monkeypatch):
     for r in sorted(graph.fixpoint_paths(chain, pairs).collect(), key=lambda r: (r.pair_pos, r.pt_pos)):
         paths.setdefault(r.pair_pos, []).append(r.node)
     assert paths == {7: list(range(3001)), 8: list(range(3000, -1, -1)), 9: [5]}
-    assert len(rounds) < 400
+    assert len(rounds) < 300
 
 
 def test_fixpoint_paths_are_dijkstras(spark):
