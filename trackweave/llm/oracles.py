@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackweave.llm import embedding_dedup, ngram_join, suffix_dedup
+from trackweave.llm import chat, embedding_dedup, ngram_join, resampling, spelling, suffix_dedup
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -146,4 +146,74 @@ select n.page_id, n.host, n.path, rule, coalesce(act, case when purity < 0.5e0 t
 from named n join done d on d.host = n.host and d.raw = n.raw join pure v on v.host = d.host and v.template = d.template left join ruled on ruled.page_id = n.page_id"""
 
 
-ORACLES = {"op2_ngram_join": OP2, "op3_url_filters": OP3, "op4_embedding_dedup": OP4, "op6_suffix_dedup": OP6, "op7_mixing": OP7}
+def _crc_step(c: int) -> int:
+    for _ in range(4):
+        c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+    return c
+
+
+def _crc32(text: str) -> str:
+    """The CRC-32 of a text's UTF-8 bytes, a hexadecimal digit at a time, the lower one of a byte first."""
+    steps = "[" + ", ".join(str(_crc_step(i)) for i in range(16)) + "]"
+    digit = f"(instr('0123456789ABCDEF', substr(hex({text}), 2 * (i // 2) + 2 - i % 2, 1)) - 1)"
+    digits = f"list_transform(range(length(hex({text}))), lambda i: cast({digit} as bigint))"
+    return f"xor(list_reduce({digits}, lambda c, d: xor(c // 16, list_extract({steps}, cast(xor(c, d) & 15 as integer) + 1)), cast(4294967295 as bigint)), 4294967295)"
+
+
+OP11 = f"""with texts as (
+    select row_number() over () as item, 0 as goal, doc_id, text from documents union all select 0, 1, null, text from benchmark),
+  spoken as (
+    select item, goal, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from texts),
+  said as (select item, goal, unnest(w) as word from spoken),
+  hashed as (select word, {_crc32("word")} % {resampling.BUCKETS} as bucket from (select distinct word from said)),
+  met as (select item, goal, bucket from said join hashed on hashed.word = said.word),
+  counted as (select bucket, count(case when goal = 0 then 1 end) as s, count(case when goal = 1 then 1 end) as t from met group by bucket),
+  sums as (select sum(s) as all_s, sum(t) as all_t from counted),
+  gained as (
+    select bucket, cast(floor(1000 * ln(cast((t + 1) * (all_s + {resampling.BUCKETS}) as double) / cast((s + 1) * (all_t + {resampling.BUCKETS}) as double))) as bigint) as gain from counted, sums),
+  weighed as (select item, sum(gain) as gain from met join gained on gained.bucket = met.bucket where goal = 0 group by item),
+  scored as (
+    select s.item, doc_id, cast(len(w) as bigint) as n_features, coalesce(cast(floor(gain::double / nullif(len(w), 0)) as bigint), 0) as weight,
+      cast('0x' || substr(sha256('{resampling.SEED}:' || coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) as h
+    from spoken s left join weighed on weighed.item = s.item where goal = 0),
+  rated as (select *, weight + cast(floor(-1000e0 * ln(-ln((h + 0.5e0) / 4294967296e0))) as bigint) as score from scored),
+  able as (select item, row_number() over (order by score desc, doc_id nulls last, n_features, item) as place, count(*) over () as n from rated where n_features >= {resampling.LEAST_WORDS})
+select doc_id, n_features, weight, score, case when place <= n * 10 // 100 then place end as rank from rated left join able on able.item = rated.item"""
+
+#: Words one edit apart share what is left of them without one letter, at one place, or one is the other without a letter.
+OP12 = f"""with recursive runs as (
+    select coalesce(cast(doc_id as varchar), '') as d, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{_UPPER}', '{_LOWER}') as w from documents),
+  each_ as (select d, w, count(*) as n from runs group by d, w),
+  hashed as (select w, n, {_crc32("d || ':' || w")} as h from each_),
+  typed as (select n, case when h % {spelling.TYPO} = 0 then substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) else w end as w from hashed),
+  words as (select w as word, cast(sum(n) as bigint) as n from typed where length(w) >= {spelling.LEAST_LENGTH} group by w having sum(n) >= {spelling.LEAST_COUNT}),
+  less as (select word, n, i, substr(word, 1, i) || substr(word, i + 2) as rest from (select word, n, unnest(range(length(word))) as i from words)),
+  near as (
+    select x.word, y.word as other, y.n as other_n from less x join less y on x.i = y.i and x.rest = y.rest and x.word <> y.word
+    union select x.word, y.word, y.n from less x join words y on y.word = x.rest
+    union select y.word, x.word, x.n from less x join words y on y.word = x.rest),
+  best as (select word, count(*) as n_near, arg_min(other, (-other_n, other)) as other, max(other_n) as other_n from near group by word),
+  formed as (
+    select w.word, n, coalesce(n_near, 0) as n_near, case when other_n >= {spelling.RATIO} * n then other end as form, case when other_n >= {spelling.RATIO} * n then other_n end as form_n
+    from words w left join best on best.word = w.word),
+  walk as (
+    select word, word as spot, 0 as step from formed union all select walk.word, form, step + 1 from walk join formed on formed.word = walk.spot where form is not null),
+  ends as (select word, arg_max(spot, step) as root from walk group by word)
+select f.word, form, root, n, n_near, form_n from formed f join ends on ends.word = f.word"""
+
+_ESC = lambda x: f"regexp_replace({x}, '([[<])(\\\\*)(/?(?:INST\\]|s>))', '\\1\\2\\\\\\3', 'g')"
+
+OP13 = f"""with rows_ as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+  placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as place from rows_),
+  beside as (select *, lag(role) over w as before, lead(role) over w as after from placed window w as (partition by conv_id order by place)),
+  pieces as (
+    select *, case when before = role then '{chat.MORE}' else '{chat.OPEN}' || {_ESC("role")} || '{chat.CLOSE}' end || {_ESC("text")} || case when after = role then '' else '{chat.END}' end as piece from beside)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by place)) as turns_sha256,
+  cast(coalesce(sum(case when role = '{chat.LOSS}' then length(text) end), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(case when role = '{chat.LOSS}' then text end, '' order by place), '')) as loss_sha256, cast(sum(length(piece)) as bigint) as formatted_chars
+from pieces group by conv_id"""
+
+
+ORACLES = {"op2_ngram_join": OP2, "op3_url_filters": OP3, "op4_embedding_dedup": OP4, "op6_suffix_dedup": OP6, "op7_mixing": OP7, "op11_resampling": OP11, "op12_spelling": OP12, "op13_chat": OP13}
