@@ -20,6 +20,8 @@ to fit into one text (2 GB); texts of many conversations never meet in a task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,44 +45,61 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, _ESCAPED, "$1$2$3")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, wherever the body refers to it, inside lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _total(lengths: Column) -> Column:
+    return F.aggregate(lengths, F.lit(0), lambda a, x: a + x)
+
+
 def _before(lengths: Column) -> Column:
     """For each element the sum of those before it, by sums of blocks."""
-    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(lengths) / BLOCK).cast("int")), lambda b: total(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))))
-    bases = F.transform(blocks, lambda _, b: total(F.slice(blocks, F.lit(1), b)))
     block = lambda i: F.floor(i / BLOCK).cast("int")
-    return F.transform(lengths, lambda _, i: F.get(bases, block(i)) + total(F.slice(lengths, block(i) * BLOCK + 1, F.pmod(i, F.lit(BLOCK)))))
+    sums = F.transform(F.sequence(F.lit(0), block(F.size(lengths))), lambda b: _total(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))))
+    bases = lambda blocks: F.transform(blocks, lambda _, b: _total(F.slice(blocks, F.lit(1), b)))
+    each = lambda base: F.transform(lengths, lambda _, i: F.get(base, block(i)) + _total(F.slice(lengths, block(i) * BLOCK + 1, F.pmod(i, F.lit(BLOCK)))))
+    return _let(sums, lambda blocks: _let(bases(blocks), each))
+
+
+def _blocks(turns: Column) -> Column:
+    """Sorted turns (role, text) as blocks (head, texts, loss): neighbours of one role are one."""
+    role = lambda i: F.get(turns, i)["role"]
+    starts = F.filter(F.sequence(F.lit(0), F.size(turns) - 1), lambda i: (i == 0) | (role(i) != role(i - 1)))
+    head = lambda r: F.concat(F.lit(OPEN), escaped(r), F.lit(CLOSE))
+    texts = lambda begin, end: F.transform(F.slice(turns, begin + 1, end - begin), lambda r: escaped(r["text"]))
+    block = lambda begin, end: F.struct(head(role(begin)).alias("head"), texts(begin, end).alias("texts"), (role(begin) == LOSS).alias("loss"))
+    return _let(starts, lambda s: F.transform(s, lambda begin, k: block(begin, F.coalesce(F.get(s, k + 1), F.size(turns)))))
+
+
+def _mask(blocks: Column) -> Column:
+    """start and length of each text that counts for the loss."""
+    lead = lambda b, j: F.when(j == 0, F.length(b["head"])).otherwise(len(MORE))
+    tail = lambda b, j: F.when(j == F.size(b["texts"]) - 1, len(END)).otherwise(0)
+    place = lambda b: F.transform(b["texts"], lambda t, j: F.struct(b["loss"].alias("loss"), lead(b, j).alias("lead"), F.length(t).alias("length"), tail(b, j).alias("tail")))
+    start = lambda places, sums: F.transform(places, lambda p, i: F.struct((F.get(sums, i) + p["lead"]).alias("start"), p["length"].alias("length"), p["loss"].alias("loss")))
+    spans = lambda places: _let(_before(F.transform(places, lambda p: p["lead"] + p["length"] + p["tail"])), lambda sums: start(places, sums))
+    every = _let(F.flatten(F.transform(blocks, place)), spans)
+    return F.transform(F.filter(every, lambda s: s["loss"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
 
 
 def formatted(conversations: DataFrame) -> DataFrame:
     """conv_id, formatted, mask (array of start, length in code points) of every conversation."""
     filled = conversations.select("conv_id", F.struct("turn", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text"))).alias("row"))
-    rows = filled.groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("rows"))
-    role = lambda i: F.get("rows", i)["role"]
-    # places (from 0) where another role begins than before, and the end
-    starts = F.filter(F.sequence(F.lit(0), F.size("rows") - 1), lambda i: (i == 0) | (role(i) != role(i - 1)))
-    rows = rows.withColumn("starts", F.concat(starts, F.array(F.size("rows"))))
-    block = lambda i, k: F.struct(role(i).alias("role"), F.transform(F.slice("rows", i + 1, F.get("starts", k + 1) - i), lambda r: escaped(r["text"])).alias("texts"))
-    rows = rows.withColumn("blocks", F.transform(F.slice("starts", F.lit(1), F.size("starts") - 1), block))
-    head = lambda b: F.concat(F.lit(OPEN), escaped(b["role"]), F.lit(CLOSE))
-    body = F.array_join(F.transform("blocks", lambda b: F.concat(head(b), F.array_join(b["texts"], MORE), F.lit(END))), "")
-    # each text's place: what stands before it, then itself
-    lead = lambda b, j: F.when(j == 0, F.length(head(b))).otherwise(len(MORE))
-    tail = lambda b, j: F.when(j == F.size(b["texts"]) - 1, len(END)).otherwise(0)
-    place = lambda b: F.transform(b["texts"], lambda t, j: F.struct((b["role"] == LOSS).alias("loss"), lead(b, j).alias("lead"), F.length(t).alias("length"), tail(b, j).alias("tail")))
-    rows = rows.select("conv_id", body.alias("formatted"), F.flatten(F.transform("blocks", place)).alias("places"))
-    rows = rows.withColumn("before", _before(F.transform("places", lambda p: p["lead"] + p["length"] + p["tail"])))
-    spans = F.transform("places", lambda p, i: F.struct(p["loss"].alias("loss"), (F.get("before", i) + p["lead"]).alias("start"), p["length"].alias("length")))
-    mask = F.transform(F.filter(spans, lambda s: s["loss"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
-    return rows.select("conv_id", "formatted", mask.alias("mask"))
+    rows = filled.groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("turns"))
+    body = lambda blocks: F.array_join(F.transform(blocks, lambda b: F.concat(b["head"], F.array_join(b["texts"], MORE), F.lit(END))), "")
+    made = _let(_blocks(F.col("turns")), lambda blocks: F.struct(body(blocks).alias("formatted"), _mask(blocks).alias("mask")))
+    return rows.select("conv_id", made.alias("made")).select("conv_id", "made.formatted", "made.mask")
 
 
 def turns_of(text: Column) -> Column:
     """The turns (array of role, text) that a formatted text holds."""
     blocks = F.filter(F.split(text, END, -1), lambda b: b != "")
     parts = F.transform(blocks, lambda b: F.split(F.substr(b, F.lit(len(OPEN) + 1)), r"\[/INST\]", 2))
-    turns = F.transform(parts, lambda p: F.transform(F.split(F.get(p, F.lit(1)), MORE, -1), lambda t: F.struct(unescaped(F.get(p, F.lit(0))).alias("role"), unescaped(t).alias("text"))))
-    return F.flatten(turns)
+    turn = lambda role, t: F.struct(role.alias("role"), unescaped(t).alias("text"))
+    turns = lambda p: _let(unescaped(F.get(p, F.lit(0))), lambda role: F.transform(F.split(F.get(p, F.lit(1)), MORE, -1), lambda t: turn(role, t)))
+    return F.flatten(F.transform(parts, turns))
 
 
 def loss_text(text: Column, mask: Column) -> Column:
@@ -90,6 +109,8 @@ def loss_text(text: Column, mask: Column) -> Column:
 
 def digests(rows: DataFrame) -> DataFrame:
     """conv_id and what is read back of formatted rows: turns and text under the mask, by number and digest."""
-    read = rows.select("conv_id", turns_of(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("mask")).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
-    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+    said = lambda turns: F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    turns = _let(turns_of(F.col("formatted")), lambda t: F.struct(F.size(t).cast("long").alias("n"), F.sha2(said(t), 256).alias("sha")))
+    loss = _let(loss_text(F.col("formatted"), F.col("mask")), lambda t: F.struct(F.length(t).cast("long").alias("n"), F.sha2(t, 256).alias("sha")))
+    read = rows.select("conv_id", turns.alias("turns"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return read.select("conv_id", F.col("turns.n").alias("n_turns"), F.col("turns.sha").alias("turns_sha256"), F.col("loss.n").alias("loss_chars"), F.col("loss.sha").alias("loss_sha256"), "formatted_chars")
