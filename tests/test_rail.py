@@ -375,7 +375,7 @@ def test_paths_and_fixpoint_agree(spark):
     assert graph.dijkstra({}, 1, 1) == [1]
 
 
-def test_nearest_by_grid_and_by_all(spark, monkeypatch):
+def test_nearest_by_tree_and_by_all(spark, monkeypatch):
     rnd = random.Random(2)
     verts = spark.createDataFrame([("g", i, rnd.random(), rnd.random(), i) for i in range(400)] + [("g", 999, 9.0, 9.0, 999)], "graph_id string, node long, lng double, lat double, first_pos long")
     spots = spark.createDataFrame([("g", i, rnd.random() * 1.5, rnd.random() * 1.5) for i in range(60)], "graph_id string, s long, lng double, lat double")
@@ -415,8 +415,9 @@ def test_interchanges(spark):
 
 
 def test_collection_of_stations(spark, tmp_path):
-    stops = spark.createDataFrame([("l", "大连地铁13号线", 0, "九里", 121.0, None)], "line_id string, line string, pos int, name string, lng double, lat double")
-    body = geojson.collections(stops).first()["geojson"]
+    named = spark.createDataFrame([("l", "大连地铁13号线")], "line_id string, name string")
+    stops = spark.createDataFrame([("l", 0, "九里", 121.0, None)], "line_id string, pos int, name string, lng double, lat double")
+    body = geojson.collections(named, stops).first()["geojson"]
     made = json.loads(body)
     assert made["type"] == "FeatureCollection" and len(made["features"]) == 1
     assert made["features"][0] == {"type": "Feature", "geometry": {"type": "Point", "coordinates": [121.0, None]}, "properties": {"name": "九里", "line": "大连地铁13号线"}}
@@ -489,12 +490,12 @@ def test_matches_see_every_part(spark):
     official = {n: f"Halt {b[6:]}" if len(b) == 7 else f"No{b}" if n % 3 == 0 else f"{b}站" for b, n in sequence.items()}
     bare = {n: s.removesuffix("站") for n, s in official.items()}
     first = {}
-    for key, brand in sorted(parts):
+    for key, brand in sorted(parts, key=lambda p: (p[0] % 3, p[0] // 3)):
         first.setdefault(brand[:7], key)
 
     def best(name):
-        hits = [(-100 if name == b else -80, key, b) for b, key in first.items() if name in b or b in name]
-        return min(hits) if hits else None
+        hits = [(-100 if name == b else -80, (key % 3, key // 3), key, b) for b, key in first.items() if name in b or b in name]
+        return (m := min(hits))[:1] + m[2:] if hits else None
 
     lat = lambda key: round(38.8 + key * 104729 % 600 / 1000, 3)
     wanted = {n: (official[n], f"地铁{m[2]}", -m[0], lat(m[1])) for n in official if (m := best(bare[n]))}
@@ -588,14 +589,6 @@ def test_exact_rounding_is_pythons(spark):
     assert all(abs(exact[k] - plain[k]) <= 0.0100001 for k in plain)
 
 
-def test_names_too_many_to_broadcast_match_the_same(spark, monkeypatch):
-    for name in ("q_fuzzy_match", "q_match_override"):
-        before = sorted(catalog.QUERIES[name](spark, SMALL).collect())
-        monkeypatch.setattr(matching, "BROADCAST_NAMES", 0)
-        assert sorted(catalog.QUERIES[name](spark, SMALL).collect()) == before
-        monkeypatch.undo()
-
-
 def test_station_names_and_track_counts(spark):
     stations = spark.createDataFrame([("d", 2, "b"), ("d", 1, "a"), ("e", 5, None)], "doc_id string, pos int, name string")
     assert {r.doc_id: r.names for r in lines.station_names(stations).collect()} == {"d": ["a", "b"], "e": [None]}

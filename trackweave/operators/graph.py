@@ -1,13 +1,14 @@
 """The rail graph: edges and vertices of tracks, nearest vertices, shortest paths, routes.
 
 ``graph_id`` keeps several graphs (cities) apart in one table. Rail graphs are long chains, so paths are
-found by Dijkstra's method with one graph a task by default; for graphs that no task holds there is a
-fixpoint over joins, of distances and paths, which takes chains out first.
+found by Dijkstra's method with one graph a task by default. Graphs that no task holds are cut into cells
+(:mod:`trackweave.operators.cutgraph`), or relaxed over joins, which takes chains out first.
 """
 
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,13 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackweave.functions import geo
-from trackweave.operators import filters
-from trackweave.operators.rows import cut_lineage, keep_first
+from trackweave.operators import boxtree, filters
+from trackweave.operators.rows import cut_lineage, free, keep_first
 
 #: Stations up to which every vertex is compared with all of them (40 bytes each, broadcast).
 BROADCAST_STATIONS = 10_000
-#: How much wider a grid's cells are than those of the grid before.
-WIDER = 8
+#: Tables of known distances before they are merged.
+PARTS = 8
 
 
 def _steps(tracks: DataFrame) -> DataFrame:
@@ -58,29 +59,21 @@ def counters(tracks: DataFrame, railway: str | None = None, route: str | None =
 def nearest_vertices(stations: DataFrame, verts: DataFrame, station: list[str]) -> DataFrame:
     """station keys, node: the vertex of the station's graph that is nearest in degrees, the first of equals.
 
-    Few stations go to every vertex and each task keeps one candidate a station; many are met through
-    a grid: a vertex in the cells around the station is the nearest if it is no farther than a cell is
-    wide, and the stations left over go on to a grid of cells ``WIDER`` times as wide, until none is left
-    or a cell is as wide as all there is; only stations beyond that are looked at in the plain way.
+    Few stations go to every vertex and each task keeps one candidate a station; many walk down a packed
+    tree of boxes over the vertices (:mod:`trackweave.operators.boxtree`), so that density doesn't matter.
     """
     spots = stations.select("graph_id", *station, F.col("lng").alias("s_lng"), F.col("lat").alias("s_lat"))
     if spots.count() <= BROADCAST_STATIONS:
         return _nearest(verts.join(F.broadcast(spots), "graph_id"), station).drop("d")
-    extent = verts.agg(F.min("lng"), F.max("lng"), F.min("lat"), F.max("lat"), F.count("*")).first()
-    if not extent[4]:
-        return _nearest(verts.join(spots, "graph_id"), station).drop("d")
-    whole = max(extent[1] - extent[0], extent[3] - extent[2], 1e-9)
-    width, done, rest = whole / max(1.0, extent[4] ** 0.5), None, spots
-    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    while width <= whole and not rest.isEmpty():
-        cell = lambda c: F.floor(F.col(c) / width)  # noqa: B023, E731
-        near = rest.withColumn("o", around).withColumns({"cx": cell("s_lng") + F.col("o.i"), "cy": cell("s_lat") + F.col("o.j")}).drop("o")
-        found = cut_lineage(_nearest(verts.withColumns({"cx": cell("lng"), "cy": cell("lat")}).join(near, ["graph_id", "cx", "cy"]), station).filter(F.col("d") <= width))
-        done = found if done is None else done.unionByName(found)
-        rest = cut_lineage(rest.join(found, ["graph_id", *station], "left_anti"))
-        width *= WIDER
-    last = _nearest(verts.join(rest, "graph_id"), station)
-    return (last if done is None else done.unionByName(last)).drop("d")
+    return _nearest(near_vertices(spots, verts, station), station).drop("d")
+
+
+def near_vertices(spots: DataFrame, verts: DataFrame, station: list[str]) -> DataFrame:
+    """Spots (graph_id, station keys, s_lng, s_lat) with the vertices that may be nearest to them."""
+    placed = boxtree.with_z_order(verts.select("graph_id", "node", "lng", "lat", "first_pos"), "lng", "lat")
+    items = cut_lineage(boxtree.ranked(placed, ["graph_id"], ["_z", "node"]).drop("_z"))
+    boxed = items.withColumns({"x0": F.col("lng"), "x1": F.col("lng"), "y0": F.col("lat"), "y1": F.col("lat")})
+    return boxtree.may_be_nearest(spots, boxed, ["graph_id"], station, "s_lng", "s_lat")
 
 
 def _nearest(pairs: DataFrame, station: list[str]) -> DataFrame:
@@ -133,12 +126,14 @@ def shortest_paths(edge_table: DataFrame, pairs: DataFrame) -> DataFrame:
     return light.groupBy("graph_id").cogroup(wanted.groupBy("pair_graph")).applyInPandas(solve, "graph_id string, pair_pos long, pt_pos int, node long")
 
 
-def distances(edge_table: DataFrame, seeds: DataFrame, most_hops: int | None = None, contract: bool | None = None) -> DataFrame:
+def distances(edge_table: DataFrame, seeds: DataFrame, most_hops: int | None = None, contract: bool | None = None, targets: DataFrame | None = None) -> DataFrame:
     """seed, node, d for all nodes that the seeds (seed) reach, by relaxing all frontiers together.
 
-    A round is one join and one aggregation, checkpointed; only whether anything improved reaches the
-    driver, and the rounds are the longest path's hops. With ``most_hops``, paths of more raise an error,
-    as negative distances do. ``contract`` first takes out what has two neighbours or fewer
+    A round is one join and one aggregation, written; what reaches the driver is the nearest open distance
+    and whether there is any. With ``targets`` (seed, node) only what lies no farther from a seed than its
+    farthest target comes out, and what lies beyond the targets' distances so far isn't looked at: seeds without a
+    target that can be reached have themselves only. With ``most_hops``, paths of more raise an
+    error, as negative distances do. ``contract`` first takes out what has two neighbours or fewer
     (:func:`_contracted`), so that long chains cost the logarithm of their length; by default that is done
     where distances are whole numbers, whose sums don't depend on the order.
     """
@@ -147,24 +142,73 @@ def distances(edge_table: DataFrame, seeds: DataFrame, most_hops: int | None = N
     if not light.filter("w < 0").isEmpty():
         raise ValueError("negative distances")
     seeds = cut_lineage(seeds.select("seed").distinct())
+    if targets is not None:
+        targets = cut_lineage(targets.select("seed", "node").distinct())
+    stay = seeds if targets is None else cut_lineage(seeds.union(targets.select("node")).distinct())
     taken: list[DataFrame] = []
     if most_hops is None and (isinstance(kind, (T.IntegralType, T.DecimalType)) if contract is None else contract):
-        light, taken = _contracted(light, seeds)
-    known = cut_lineage(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).cast(kind).alias("d"), F.lit(True).alias("fresh")))
+        light, taken = _contracted(light, stay)
+    known = _relaxed(light, seeds.select("seed", F.col("seed").alias("node"), F.lit(0).cast(kind).alias("d")), targets, most_hops)
+    bounds = None
+    if targets is not None:
+        far = targets.join(known, ["seed", "node"]).groupBy("seed").agg(F.max("d").alias("bound"))
+        bounds = cut_lineage(seeds.join(far, "seed", "left").select("seed", F.coalesce("bound", F.lit(0).cast(kind)).alias("bound")))
+        known = cut_lineage(_within(known, bounds))
+    for entries in reversed(taken):
+        back = entries.join(known, F.col("src") == F.col("node")).groupBy("seed", "dst").agg(F.min(F.col("d") + F.col("w")).alias("d"))
+        back = back.select("seed", F.col("dst").alias("node"), "d")
+        grown = cut_lineage(known.unionByName(back if bounds is None else _within(back, bounds)))
+        free(known)
+        free(entries)
+        known = grown
+    return known
+
+
+def _within(labels: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Labels (seed, node, d) up to their seed's bound; a null bound is none."""
+    return labels.join(bounds, "seed").filter("bound IS NULL OR d <= bound").drop("bound")
+
+
+def _relaxed(light: DataFrame, labels: DataFrame, targets: DataFrame | None, most_hops: int | None) -> DataFrame:
+    """seed, node, d from the first labels on, bucket by bucket of distance.
+
+    What is known is a list of tables, one a round, merged now and then; open labels are a table of
+    their own, of which a round takes those that are at most one longest edge farther than the nearest.
+    What is farther than all of a seed's targets are known to be goes.
+    """
+    opened = cut_lineage(labels)
+    parts = [cut_lineage(labels)]
+    width = None if most_hops is not None else light.agg(F.max("w")).first()[0]
+    least = lambda tables: reduce(DataFrame.unionByName, tables).groupBy("seed", "node").agg(F.min("d").alias("d"))
     hops = 0
-    while not known.filter("fresh").isEmpty():
+    while True:
+        rows, low = opened.agg(F.count("*"), F.min("d")).first()
+        if not rows:
+            break
         if most_hops is not None and hops >= most_hops:
             raise ValueError(f"distances still improve after {most_hops} hops")
         hops += 1
-        reached = known.filter("fresh").join(light, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"), (F.col("d") + F.col("w")).alias("d"), F.lit(True).alias("fresh"))
-        both = known.withColumn("fresh", F.lit(False)).unionByName(reached)
-        best = both.groupBy("seed", "node").agg(F.min("d").alias("d"), F.min(F.when(~F.col("fresh"), F.col("d"))).alias("old"), F.min("fresh").alias("new"))
-        better = F.coalesce(F.col("d") < F.col("old"), F.col("d").isNotNull() & F.col("old").isNull())
-        known = cut_lineage(best.select("seed", "node", "d", (F.col("new") | better).alias("fresh")))
-    known = known.select("seed", "node", "d")
-    for entries in reversed(taken):
-        back = entries.join(known, F.col("src") == F.col("node")).groupBy("seed", "dst").agg(F.min(F.col("d") + F.col("w")).alias("d"))
-        known = cut_lineage(known.unionByName(back.withColumnRenamed("dst", "node")))
+        soon = F.lit(True) if low is None or width is None else F.coalesce(F.col("d") <= F.lit(low) + F.lit(width), F.lit(False))
+        reached = opened.filter(soon).join(light, F.col("node") == F.col("src")).groupBy("seed", "dst").agg(F.min(F.col("d") + F.col("w")).alias("d"))
+        seen = least(parts).select("seed", F.col("node").alias("dst"), F.col("d").alias("old"), F.lit(True).alias("seen"))
+        better = F.col("seen").isNull() | (F.col("d") < F.col("old")) | (F.col("old").isNull() & F.col("d").isNotNull())
+        new = cut_lineage(reached.join(seen, ["seed", "dst"], "left").filter(better).select("seed", F.col("dst").alias("node"), "d"))
+        parts.append(new)
+        rest = opened.filter(~soon).unionByName(new).groupBy("seed", "node").agg(F.min("d").alias("d"))
+        if len(parts) > PARTS:
+            merged = cut_lineage(least(parts))
+            for part in parts[:-1]:
+                free(part)
+            parts = [merged, new]
+        if targets is not None:
+            found = targets.join(least(parts), ["seed", "node"], "left").groupBy("seed").agg(F.max("d").alias("far"), F.count("d").alias("n"), F.count("*").alias("all"))
+            rest = _within(rest, found.select("seed", F.when(F.col("n") == F.col("all"), F.col("far")).alias("bound")))
+        after = cut_lineage(rest)
+        free(opened)
+        opened = after
+    known = cut_lineage(least(parts))
+    for part in (*parts, opened):
+        free(part)
     return known
 
 
@@ -203,7 +247,8 @@ def fixpoint_paths(edge_table: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     wanted = cut_lineage(pairs.filter("start IS NOT NULL AND end IS NOT NULL").select("pair_pos", "start", "end"))
     light = cut_lineage(edge_table.filter("src <> dst").groupBy("src", "dst").agg(F.min("distance").alias("w")))
-    known = cut_lineage(distances(light.withColumnRenamed("w", "distance"), wanted.select(F.col("start").alias("seed")).distinct()))
+    ends = wanted.select(F.col("start").alias("seed"), F.col("end").alias("node"))
+    known = distances(light.withColumnRenamed("w", "distance"), ends.select("seed"), targets=ends)
     tight = known.alias("p").join(light.alias("l"), F.col("p.node") == F.col("l.src")).join(known.alias("n"), (F.col("n.seed") == F.col("p.seed")) & (F.col("n.node") == F.col("l.dst")) & (F.col("n.d") == F.col("p.d") + F.col("l.w")))
     jump = cut_lineage(tight.filter("n.node <> n.seed").groupBy(F.col("n.seed").alias("seed"), F.col("n.node").alias("node")).agg(F.min(F.struct("p.d", "p.node"))["node"].alias("prior")))
     walked = cut_lineage(wanted.join(known, (F.col("start") == F.col("seed")) & (F.col("end") == F.col("node"))).select("pair_pos", "seed", "node", F.lit(0).cast("long").alias("back")))
@@ -223,13 +268,19 @@ def path_points(paths: DataFrame, verts: DataFrame) -> DataFrame:
     return paths.join(verts.select("graph_id", "node", "lng", "lat"), ["graph_id", "node"])
 
 
-def route(stations: DataFrame, verts: DataFrame, edge_table: DataFrame, gap_aware: bool = False, close_loops: bool = False) -> DataFrame:
+def route(stations: DataFrame, verts: DataFrame, edge_table: DataFrame, gap_aware: bool = False, close_loops: bool = False, cell: int | None = None) -> DataFrame:
     """graph_id, line_id, pt_pos, node, lng, lat along each line's stations (graph_id, line_id, sequence, lng, lat).
 
     Each station goes to its nearest vertex, each hop to the next takes the shortest path, hops without
     one are left out. A later hop drops its first point, even after a gap unless ``gap_aware``;
-    ``close_loops`` adds the hop from the last station to the first.
+    ``close_loops`` adds the hop from the last station to the first. A graph of more than
+    ``cutgraph.MOST_EDGES`` edges is cut into cells, and any is with ``cell``, the vertices of one.
     """
+    from trackweave.operators import cutgraph
+
+    largest = 0 if cell else edge_table.groupBy("graph_id").count().agg(F.max("count")).first()[0] or 0
+    cut = bool(cell) or largest > cutgraph.MOST_EDGES
+    solve = (lambda pairs: cutgraph.cut_paths(edge_table, verts, pairs, cell or cutgraph.CELL)) if cut else (lambda pairs: shortest_paths(edge_table, pairs))
     at = nearest_vertices(stations, verts, ["line_id", "sequence"])
     w = Window.partitionBy("graph_id", "line_id").orderBy("sequence")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -238,7 +289,7 @@ def route(stations: DataFrame, verts: DataFrame, edge_table: DataFrame, gap_awar
         target = F.coalesce(target, F.when(F.count("*").over(whole) > 2, F.first("node").over(whole)))
     hops = at.select("graph_id", "line_id", "sequence", F.col("node").alias("start"), target.alias("end")).filter("end IS NOT NULL")
     numbered = hops.withColumn("pair_pos", F.xxhash64("line_id", "sequence"))
-    paths = path_points(shortest_paths(edge_table, numbered.select("graph_id", "pair_pos", "start", "end").distinct()), verts)
+    paths = path_points(solve(numbered.select("graph_id", "pair_pos", "start", "end").distinct()), verts)
     walked = numbered.select("graph_id", "line_id", "sequence", "pair_pos").join(paths, ["graph_id", "pair_pos"])
     by_hop = Window.partitionBy("graph_id", "line_id").orderBy("sequence", "pt_pos")
     first_hop = F.min("sequence").over(Window.partitionBy("graph_id", "line_id"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trackweave.functions import geo, rounding, text
 from trackweave.operators import filters
-from trackweave.operators.rows import drop_consecutive, first_seen, keep_first, keep_last, running_sum, with_next
+from trackweave.operators.rows import before, cut_lineage, drop_consecutive, first_seen, keep_first, keep_last, running, running_sum, spread, with_next
 from trackweave.sources import elements as el
 
 DEGREE_DIGITS, METRE_DIGITS = 8, 2
@@ -30,6 +30,7 @@ def parsed_lines(elems: DataFrame, pick: str = "last") -> tuple[DataFrame, DataF
     the relation has no members. points: doc_id, pt_pos, lng, lat along the relation's ways, without
     immediate repeats; a way's own geometry counts first, else its nodes.
     """
+    elems = cut_lineage(elems)  # read by every branch below, parsed once
     relation = chosen_relation(elems, pick)
     named = relation.select("doc_id", F.coalesce(filters.tag("name"), F.lit("Unknown")).alias("name"))
     lines = elems.select("doc_id").distinct().join(named, "doc_id", "left").withColumn("name", F.coalesce("name", F.lit("Unknown")))
@@ -69,8 +70,25 @@ def simple_lines(elems: DataFrame, line_one_rule: bool = True) -> tuple[DataFram
 
 
 def attach_stations(lines: DataFrame, stations: DataFrame, keys: list[str]) -> DataFrame:
-    """Each station with every line that began before it in the document."""
-    return lines.alias("l").join(stations.alias("s"), (F.col("l.doc_id") == F.col("s.doc_id")) & (F.col("s.elem_pos") > F.col("l.first_pos"))).select(*(f"l.{k}" for k in keys), "s.elem_pos", "s.name", "s.lat", "s.lng")
+    """Each line (keys, doc_id, first_pos) with the stations that come after its start in the document, each
+    name and place once, the first.
+
+    Lines and stations of a document stand in one sequence, where a running count tells how many lines have
+    begun before a station. Of one name and place, a station is the first for those lines that began
+    since the one before it: a stretch of the lines' numbers, by which they are joined. So no pair is made
+    that isn't in the result.
+    """
+    place = ["doc_id", "name", "lat", "lng"]
+    begun = lines.select("doc_id", F.col("first_pos").cast("long").alias("_pos"), F.lit(1).alias("_line"), F.struct(*(c for c in keys if c != "doc_id")).alias("_keys"))
+    seen = stations.select("doc_id", F.col("elem_pos").cast("long").alias("_pos"), F.lit(0).alias("_line"), F.struct("elem_pos", "name", "lat", "lng").alias("_stop"))
+    sequence = begun.unionByName(seen, allowMissingColumns=True)
+    numbered = sequence.withColumn("_n", F.sum("_line").over(Window.partitionBy("doc_id").orderBy("_pos", "_line").rowsBetween(Window.unboundedPreceding, 0)))
+    stops = numbered.filter("_line = 0").select("doc_id", "_pos", "_n", "_stop.*")
+    since = F.coalesce(F.lag("_n").over(Window.partitionBy(*place).orderBy("_pos")), F.lit(0))
+    first = stops.withColumn("_since", since).filter("_n > _since").select("doc_id", "elem_pos", "name", "lat", "lng", F.explode(F.sequence(F.col("_since") + 1, F.col("_n"))).alias("_n"))
+    own = numbered.filter("_line = 1").select("doc_id", "_n", "_keys")
+    joined = own.join(first, ["doc_id", "_n"])
+    return joined.select(*("doc_id" if k == "doc_id" else F.col(f"_keys.{k}").alias(k) for k in keys), "elem_pos", "name", "lat", "lng")
 
 
 def grouped_lines(elems: DataFrame, bbox=None, line_one_rule: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -84,7 +102,7 @@ def grouped_lines(elems: DataFrame, bbox=None, line_one_rule: bool = True) -> tu
     lines = keyed.groupBy("doc_id", "line_key").agg(F.max_by(F.struct("name", "ref"), "elem_pos").alias("last"), F.count("*").alias("relations"), F.min("elem_pos").alias("first_pos"))
     lines = lines.select("doc_id", "line_key", "last.name", "last.ref", "relations", "first_pos", F.lit(2).alias("directions"))
     stops = elems.filter(filters.is_station()).select("doc_id", "elem_pos", filters.tag("name").alias("name"), "lat", F.col("lon").alias("lng"))
-    attached = keep_first(filters.stations_in_bbox(attach_stations(lines, stops, ["doc_id", "line_key"]), bbox), ["doc_id", "line_key", "name", "lat", "lng"], ["elem_pos"])
+    attached = attach_stations(lines, filters.stations_in_bbox(stops, bbox), ["doc_id", "line_key"])
     return lines.join(attached.select("doc_id", "line_key").distinct(), ["doc_id", "line_key"], "left_semi"), attached
 
 
@@ -138,17 +156,22 @@ def lengths(points: DataFrame, line: str = "line_id", pos: str = "pt_pos") -> Da
     return segments(points, line, pos).groupBy(line).agg(F.coalesce(F.sum("metres"), F.lit(0.0)).alias("length"))
 
 
-def stamped(points: DataFrame, line: str = "line_id", pos: str = "pt_pos", metric: str = "mercator", exact_rounding: bool = False) -> DataFrame:
+def stamped(points: DataFrame, line: str = "line_id", pos: str = "pt_pos", metric: str = "mercator", exact_rounding: bool = False, long: bool = False) -> DataFrame:
     """Points with their distance from the line's start, summed unrounded, given to two digits.
 
-    Rounded as SQL does, or by its exact value with ``exact_rounding``.
+    Rounded as SQL does, or by its exact value with ``exact_rounding``. With ``long``, lines may be longer
+    than a task holds: sums of blocks first, then inside the blocks.
     """
     cut = rounding.half_even if exact_rounding else F.round
-    step = (geo.degree_distance if metric == "degree" else geo.mercator_distance)("_lng", "_lat", "lng", "lat")
-    w = Window.partitionBy(line).orderBy(pos)
-    moved = points.withColumns({"_lng": F.lag("lng").over(w), "_lat": F.lag("lat").over(w)})
-    steps = moved.withColumn("_step", F.coalesce(F.expr(step), F.lit(0.0)))
-    return steps.withColumn("distance", cut(running_sum(F.col("_step"), [line], [pos]), METRE_DIGITS)).drop("_lng", "_lat", "_step")
+    step = F.expr((geo.degree_distance if metric == "degree" else geo.mercator_distance)("_lng", "_lat", "lng", "lat"))
+    if long:
+        moved = before(spread(points, [line], [pos]), [line], [pos], {"_lng": "lng", "_lat": "lat"})
+        summed = running(moved, F.coalesce(step, F.lit(0.0)), [line], [pos], "_sum")
+    else:
+        w = Window.partitionBy(line).orderBy(pos)
+        moved = points.withColumns({"_lng": F.lag("lng").over(w), "_lat": F.lag("lat").over(w)})
+        summed = moved.withColumn("_step", F.coalesce(step, F.lit(0.0))).withColumn("_sum", running_sum(F.col("_step"), [line], [pos]))
+    return summed.withColumn("distance", cut(F.col("_sum"), METRE_DIGITS)).select(*points.columns, "distance")
 
 
 def station_order(stations: DataFrame, points: DataFrame, line: str = "line_id", pos: str = "pos") -> DataFrame:

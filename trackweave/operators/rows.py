@@ -22,11 +22,16 @@ def _ranked(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rank = 1").drop("_rank")
 
 
-def drop_consecutive(df: DataFrame, line: list[str], order: list[str], values: list[str]) -> DataFrame:
-    """Without rows that repeat the row before them on their line (null equals null)."""
+def drop_consecutive(df: DataFrame, line: list[str], order: list[str], values: list[str], long: bool = False) -> DataFrame:
+    """Without rows that repeat the row before them on their line (null equals null). ``long``: lines may be
+    longer than a task holds."""
+    if long:
+        marked = before(spread(df, line, order), line, order, {f"_l_{v}": v for v in values})
+        again = ~F.col("_first") & F.struct(*(F.col(f"_l_{v}").alias(v) for v in values)).eqNullSafe(F.struct(*values))
+        return marked.filter(~again).select(*df.columns)
     w = Window.partitionBy(*line).orderBy(*order)
-    before, now = F.struct(*(F.lag(v).over(w).alias(v) for v in values)), F.struct(*values)
-    marked = df.withColumn("_again", (F.row_number().over(w) > 1) & before.eqNullSafe(now))
+    last, now = F.struct(*(F.lag(v).over(w).alias(v) for v in values)), F.struct(*values)
+    marked = df.withColumn("_again", (F.row_number().over(w) > 1) & last.eqNullSafe(now))
     return marked.filter(~F.col("_again")).drop("_again")
 
 
@@ -47,6 +52,48 @@ def first_seen(df: DataFrame, keys: list[str], columns: list[str], order: str, *
     return rows.select(*keys, *(F.col(f"_first.{c}").alias(c) for c in columns), "first_pos", *more)
 
 
+# -- lines longer than a task
+
+
+def spread(df: DataFrame, line: list[str], order: list[str], parts: int | None = None) -> DataFrame:
+    """``df`` with ``_block``: ranges of (line, order) of about equal size, numbered in that order; written.
+
+    A line then lies in one block or in several after one another, so windows over (line, block) are bounded
+    whatever a line's length. :func:`before` and :func:`running` carry one row a border. ``order`` tells
+    the rows of a line apart; keys of lines aren't null.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(df.repartitionByRange(parts, *line, *order).withColumn("_block", F.spark_partition_id()))
+
+
+def _in_block(line: list[str], order: list[str]):
+    return Window.partitionBy(*line, "_block").orderBy(*order)
+
+
+def before(blocks: DataFrame, line: list[str], order: list[str], columns: dict[str, str]) -> DataFrame:
+    """Spread rows with the named columns of the row before them on their line; ``_first`` where there is none."""
+    w = _in_block(line, order)
+    last = blocks.groupBy(*line, "_block").agg(F.max_by(F.struct(*columns.values()), F.struct(*order)).alias("_last"))
+    over = last.select(*line, "_block", F.lag("_last").over(Window.partitionBy(*line).orderBy("_block")).alias("_carried"))
+    rows = blocks.join(over, [*line, "_block"]).withColumn("_place", F.row_number().over(w))
+    values = {new: F.when(F.col("_place") == 1, F.col(f"_carried.{old}")).otherwise(F.lag(old).over(w)) for new, old in columns.items()}
+    first = (F.col("_place") == 1) & F.col("_carried").isNull()
+    return rows.withColumns(values | {"_first": first}).drop("_carried", "_place")
+
+
+def running(blocks: DataFrame, value: Column, line: list[str], order: list[str], name: str) -> DataFrame:
+    """Spread rows with ``name``, the sum of ``value`` (not null) from the line's start to the row."""
+    rows = blocks.withColumn("_value", value)
+    sums = rows.groupBy(*line, "_block").agg(F.sum("_value").alias("_sum"))
+    earlier = F.sum("_sum").over(Window.partitionBy(*line).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    based = sums.select(*line, "_block", earlier.alias("_base"))
+    inside = F.sum("_value").over(_in_block(line, order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(based, [*line, "_block"]).withColumn(name, F.coalesce("_base", F.lit(0)) + inside).drop("_base", "_value")
+
+
+# -- tables
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The rows as a table in the checkpoint folder of the session; a local session without one gets a
     temporary one.
@@ -63,3 +110,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{context.getCheckpointDir()}/rows-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def free(df: DataFrame) -> None:
+    """Deletes the files of a table made by :func:`cut_lineage` once nothing reads it any more."""
+    context = df.sparkSession.sparkContext
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if "/rows-" in folder:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackweave.functions import geo, rounding
+from trackweave.operators import boxtree, rows
+from trackweave.operators.rows import cut_lineage
 
 STEP = 50.0
 #: Digits of a metre to which distances from a line are compared, so that sums don't decide between equals.
@@ -27,20 +29,36 @@ def from_utm(df: DataFrame, zone: int = 51) -> DataFrame:
     return apply_stages(df, geo.inverse_utm_stages(zone=zone)).drop("v_xi", "v_eta", "w_xi", "w_eta", "v_chi", "v_d")
 
 
-def legs(points: DataFrame, line: str = "line_id", pos: str = "pt_pos") -> DataFrame:
-    """Segments of planar lines (x, y): x2, y2, their length, and cum, the length before them."""
+def legs(points: DataFrame, line: str = "line_id", pos: str = "pt_pos", long: bool = False) -> DataFrame:
+    """Segments of planar lines (x, y): x2, y2, their length, cum, the length before them, and rank, their
+    number. ``long``: lines may be longer than a task holds."""
+    columns = [line, pos, "x", "y", "x2", "y2", "length", "cum", "rank"]
+    if long:
+        joined = rows.before(rows.spread(points.select(line, pos, "x", "y"), [line], [pos]), [line], [pos], {"_x": "x", "_y": "y", "_pos": pos})
+        size = F.when(~F.col("_first"), F.expr(geo.planar("_x", "_y", "x", "y"))).otherwise(0.0)
+        summed = rows.running(joined.withColumn("length", size), F.col("length"), [line], [pos], "_end")
+        summed = rows.running(summed, F.when(F.col("_first"), 0).otherwise(1).cast("long"), [line], [pos], "_n")
+        own = summed.filter("NOT _first").select(line, "_pos", F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("_x").alias("x"), F.col("_y").alias("y"), "length", (F.col("_end") - F.col("length")).alias("cum"), (F.col("_n") - 1).alias("rank"))
+        return own.withColumnRenamed("_pos", pos).select(*columns)
     w = Window.partitionBy(line).orderBy(pos)
-    paired = points.withColumns({"x2": F.lead("x").over(w), "y2": F.lead("y").over(w)}).filter("x2 IS NOT NULL")
+    paired = points.withColumns({"x2": F.lead("x").over(w), "y2": F.lead("y").over(w), "rank": F.row_number().over(w).cast("long") - 1}).filter("x2 IS NOT NULL")
     sized = paired.withColumn("length", F.expr(geo.planar("x", "y", "x2", "y2")))
     before = F.coalesce(F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return sized.withColumn("cum", before).select(line, pos, "x", "y", "x2", "y2", "length", "cum")
+    return sized.withColumn("cum", before).select(*columns)
+
+
+def near_legs(spots: DataFrame, line_legs: DataFrame, keys: list[str], line: str = "line_id") -> DataFrame:
+    """Spots (line, keys, px, py) with the legs of their line that may be nearest to them."""
+    least, most = (lambda a: F.least(F.col(a), F.col(f"{a}2"))), (lambda a: F.greatest(F.col(a), F.col(f"{a}2")))
+    boxed = line_legs.withColumns({"x0": least("x"), "x1": most("x"), "y0": least("y"), "y1": most("y")})
+    return boxtree.may_be_nearest(spots, boxed, [line], keys, "px", "py", slack=10.0**-DIGITS)
 
 
 def referenced(spots: DataFrame, line_legs: DataFrame, keys: list[str], line: str = "line_id", pos: str = "pt_pos") -> DataFrame:
     """keys, off, along: how far each spot (line, keys, px, py) is from its line, and how far along it; the
     first of equally near segments (to a micrometre)."""
     share = geo.share_along("px", "py", "x", "y", "x2", "y2")
-    pairs = spots.join(line_legs, line).withColumn("_t", F.expr(share))
+    pairs = near_legs(spots, line_legs, keys, line).withColumn("_t", F.expr(share))
     off = F.expr(geo.planar("px", "py", geo.between("x", "x2", "_t"), geo.between("y", "y2", "_t")))
     best = pairs.groupBy(line, *keys).agg(F.min(F.struct(F.round(off, DIGITS).alias("near"), F.col(pos).alias("pos"), off.alias("off"), (F.col("cum") + F.col("_t") * F.col("length")).alias("along"))).alias("b"))
     return best.select(line, *keys, "b.off", "b.along")
@@ -71,7 +89,7 @@ def export_track(points: DataFrame, stations: DataFrame, start: str, end: str, s
 
     Coordinates have eight digits, rounded as SQL does or, with ``exact_rounding``, by their exact value.
     """
-    line_legs = legs(to_utm(points, zone).select("line_id", "pt_pos", "x", "y"))
+    line_legs = cut_lineage(legs(to_utm(points, zone).select("line_id", "pt_pos", "x", "y")))
     ends = to_utm(stations.filter(F.col("name").isin(start, end)).select("line_id", "name", "lng", "lat"), zone).select("line_id", "name", F.col("x").alias("px"), F.col("y").alias("py"))
     along = referenced(ends, line_legs, ["name"])
     at = lambda name: F.max(F.when(F.col("name") == name, F.col("along")))

@@ -11,11 +11,11 @@ from trackweave.sources import geojson
 
 
 def line_documents(elems: DataFrame, pick: str = "last") -> DataFrame:
-    """line_id, name, geojson of every document: parse, drop repeated stations, export."""
+    """line_id, name, geojson of every document: parse, drop repeated stations, export. Each has its line's
+    name, with or without stations and track."""
     found, stations, points = lines.parsed_lines(elems, pick)
-    named = lines.unique_stations(stations).join(found.withColumnRenamed("name", "line"), "doc_id")
-    shape = points.withColumnRenamed("doc_id", "line_id")
-    return geojson.collections(named.withColumnRenamed("doc_id", "line_id"), shape)
+    by_line = lambda rows: rows.withColumnRenamed("doc_id", "line_id")
+    return geojson.collections(by_line(found), by_line(lines.unique_stations(stations)), by_line(points))
 
 
 def city_listing(elems: DataFrame) -> DataFrame:
@@ -32,6 +32,14 @@ def routes(elems: DataFrame, roster: DataFrame, overrides: DataFrame, bbox=None,
     return stations, lines.stamped(walked.drop("graph_id"))
 
 
+def found_paths(edge_table: DataFrame, verts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """graph_id, pair_pos, pt_pos, node, lng, lat, distance (in degrees, from the start) along the shortest
+    path of each pair (graph_id, pair_pos, start, end)."""
+    points = graph.path_points(graph.shortest_paths(edge_table, pairs), verts)
+    line = F.concat_ws(" ", "graph_id", "pair_pos")
+    return lines.stamped(points.withColumn("line_id", line), metric="degree").drop("line_id")
+
+
 def exported(feats: DataFrame, start: str, end: str, step: float = track.STEP, zone: int = 51) -> DataFrame:
     """The samples of each file's track between two stations."""
     return track.export_track(geojson.line_points(feats), geojson.station_points(feats), start, end, step, zone)

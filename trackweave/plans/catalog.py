@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from trackweave.functions import geo, text
 from trackweave.operators import filters, graph, lines, matching, track
-from trackweave.operators.rows import drop_consecutive, keep_first, keep_last
-from trackweave.plans import mapped
+from trackweave.operators.rows import cut_lineage, drop_consecutive, keep_first, keep_last
+from trackweave.plans import build, mapped
 from trackweave.plans.tables import BOX, EVENTS, STEP, lat, lng, sampled_line, sql_lat, sql_lng, staged, table, track_events, tracks
 from trackweave.sources import geojson
 
@@ -76,16 +76,16 @@ def q_last_relation(spark, sf_dir):
 
 
 def _stops(spark, sf_dir) -> DataFrame:
-    """Suppliers as stations among the orders' relations."""
+    """Suppliers as stations among the orders' relations, 27 of them in a document of 4000 relations."""
     key = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").select(F.lit("d").alias("doc_id"), (key * 7).alias("elem_pos"), F.concat(F.lit("Stop "), F.pmod(key, F.lit(30)).cast("string")).alias("name"), (F.lit(38.8) + F.pmod(key, F.lit(30)).cast("double") / 100).alias("lat"), (F.lit(116.8) + F.pmod(key, F.lit(2)).cast("double") / 10).alias("lng"))
+    return table(spark, sf_dir, "supplier").select(F.floor(key / 27).alias("doc_id"), (key * 148).alias("elem_pos"), F.concat(F.lit("Stop "), F.pmod(key, F.lit(7)).cast("string")).alias("name"), (F.lit(38.8) + F.pmod(key, F.lit(7)).cast("double") / 100).alias("lat"), (F.lit(116.8) + F.pmod(key, F.lit(2)).cast("double") / 10).alias("lng"))
 
 
 def q_station_attach(spark, sf_dir):
-    rows = _relations(spark, sf_dir)
-    seen = rows.groupBy("network", "ref").agg(F.min("pos").alias("first_pos"), F.count("*").alias("relations")).withColumn("doc_id", F.lit("d"))
-    attached = keep_first(lines.attach_stations(seen, _stops(spark, sf_dir), ["network", "ref"]), ["network", "ref", "name", "lat", "lng"], ["elem_pos"])
-    return attached.groupBy("network", "ref").agg(F.count("*").alias("n_stations"), F.sum("elem_pos").alias("pos_sum"), F.min("name").alias("first_name"))
+    rows = _relations(spark, sf_dir).withColumn("doc_id", F.floor(F.col("pos") / 4000))
+    seen = rows.groupBy("doc_id", "network", "ref").agg(F.min("pos").alias("first_pos"), F.count("*").alias("relations"))
+    attached = lines.attach_stations(seen, _stops(spark, sf_dir), ["doc_id", "network", "ref"])
+    return attached.groupBy("doc_id", "network", "ref").agg(F.count("*").alias("n_stations"), F.sum("elem_pos").alias("pos_sum"), F.min("name").alias("first_name"))
 
 
 def q_member_join(spark, sf_dir):
@@ -103,8 +103,9 @@ def _official(spark, sf_dir) -> DataFrame:
 
 
 def _candidates(spark, sf_dir) -> DataFrame:
-    """All parts as stations, under their brands' first seven characters."""
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cand_pos"), F.concat(F.lit("地铁"), F.substring("p_brand", 1, 7)).alias("name"), lat("p_partkey").alias("lat"), lng("p_partkey").alias("lng"))
+    """All parts as stations, under their brands' first seven characters; three documents share each place."""
+    key = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("d"), (key % 3).cast("string")).alias("doc_id"), F.floor(key / 3).alias("cand_pos"), F.concat(F.lit("地铁"), F.substring("p_brand", 1, 7)).alias("name"), lat("p_partkey").alias("lat"), lng("p_partkey").alias("lng"))
 
 
 _MATCH = f"""names as (
@@ -113,11 +114,11 @@ _MATCH = f"""names as (
     select sequence, case when length(p_brand) = 7 then 'Halt ' || substr(p_brand, 7, 1) when sequence % 3 = 0 then 'No' || p_brand else p_brand || '站' end as station from names),
   normal as (select *, regexp_replace(station, '站$', '') as a from official),
   cands as (
-    select p_partkey as cand_pos, substr(p_brand, 1, 7) as b, {sql_lat("p_partkey")} as lat, {sql_lng("p_partkey")} as lng from part),
+    select p_partkey % 3 as doc_id, p_partkey // 3 as cand_pos, substr(p_brand, 1, 7) as b, {sql_lat("p_partkey")} as lat, {sql_lng("p_partkey")} as lng from part),
   scored as (
-    select n.sequence, n.station, c.cand_pos, c.b, c.lat, c.lng, case when a = b then 100 else 80 end as score
+    select n.sequence, n.station, c.doc_id, c.cand_pos, c.b, c.lat, c.lng, case when a = b then 100 else 80 end as score
     from normal n join cands c on a = b or contains(a, b) or contains(b, a)),
-  best as (select * from scored qualify row_number() over (partition by sequence order by score desc, cand_pos) = 1)"""
+  best as (select * from scored qualify row_number() over (partition by sequence order by score desc, doc_id, cand_pos) = 1)"""
 
 
 def q_fuzzy_match(spark, sf_dir):
@@ -161,6 +162,17 @@ def q_cum_distance(spark, sf_dir):
     return lines.stamped(sampled_line(spark, sf_dir), pos="ts").select("line_id", "event_id", F.round("distance", 1).alias("distance"))
 
 
+def _long_lines(spark, sf_dir) -> DataFrame:
+    """All events of a type as one line, in time."""
+    return track_events(spark, sf_dir).select(F.col("event_type").alias("line_id"), "ts", "event_id", "lng", "lat")
+
+
+def q_long_lines(spark, sf_dir):
+    """Five lines as long as the table, stamped in whole metres without the points that repeat the one before."""
+    kept = drop_consecutive(_long_lines(spark, sf_dir), ["line_id"], ["ts"], ["lng", "lat"], long=True)
+    return lines.stamped(kept, pos="ts", long=True).select("line_id", "event_id", F.round("distance").alias("distance"))
+
+
 def q_interchange(spark, sf_dir):
     uses = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("station_id"), F.col("l_suppkey").alias("line_id"))
     return lines.interchanges(uses)
@@ -171,28 +183,44 @@ def _whole_edges(spark, sf_dir) -> DataFrame:
     return graph.edges(tracks(spark, sf_dir)).select("src", "dst", F.round("distance").cast("long").alias("distance"))
 
 
+def _way_ends(spark, sf_dir) -> DataFrame:
+    """way, and its first and last node."""
+    return filters.sound_ways(tracks(spark, sf_dir)).select(F.col("id").alias("way"), F.get("nodes", F.lit(0)).alias("start"), F.get("nodes", F.size("nodes") - 1).alias("end"))
+
+
 def q_shortest_path(spark, sf_dir):
-    """From every vertex that has an edge, itself included."""
-    whole = _whole_edges(spark, sf_dir)
-    return graph.distances(whole, whole.select(F.col("src").alias("seed")).distinct()).select("seed", "node", "d")
+    """From every node that a way begins at."""
+    seeds = _way_ends(spark, sf_dir).select(F.col("start").alias("seed"))
+    return graph.distances(_whole_edges(spark, sf_dir), seeds).select("seed", "node", "d")
 
 
 def q_paths(spark, sf_dir):
-    """From every vertex to the one after it, by the distances' fixpoint."""
-    whole = _whole_edges(spark, sf_dir)
-    nodes = whole.select(F.col("src").alias("start")).distinct()
-    pairs = nodes.select(F.col("start").alias("pair_pos"), "start", F.lead("start").over(Window.orderBy("start")).alias("end"))
-    return graph.fixpoint_paths(whole, pairs).select("pair_pos", "pt_pos", "node")
+    """From every way's first node to its last, by relaxation up to the last node's distance."""
+    pairs = _way_ends(spark, sf_dir).select(F.col("way").alias("pair_pos"), "start", "end")
+    return graph.fixpoint_paths(_whole_edges(spark, sf_dir), pairs).select("pair_pos", "pt_pos", "node")
+
+
+def q_find_path(spark, sf_dir):
+    """The shortest way from every way's first node to its last, stamped in degrees."""
+    own = tracks(spark, sf_dir)
+    pairs = _way_ends(spark, sf_dir).select(F.lit("map").alias("graph_id"), F.col("way").alias("pair_pos"), "start", "end")
+    found = build.found_paths(_fine_edges(own), graph.vertices(own), pairs)
+    return found.select("pair_pos", "pt_pos", "node", "distance")
 
 
 def _route_stops(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.lit("map").alias("graph_id"), F.col("n_regionkey").alias("line_id"), F.col("n_nationkey").alias("sequence"), lng("n_nationkey").alias("lng"), lat("n_nationkey").alias("lat"))
 
 
+def _fine_edges(own: DataFrame) -> DataFrame:
+    """Edges with whole micrometres: exact sums, and next to no two ways of one length."""
+    return graph.edges(own).withColumn("distance", F.round(F.col("distance") * 1_000_000).cast("long"))
+
+
 def q_route(spark, sf_dir):
+    """The regions' nations in order, over a graph that is cut into cells of 16 vertices."""
     own = tracks(spark, sf_dir)
-    whole = graph.edges(own).withColumn("distance", F.round("distance").cast("long"))
-    walked = graph.route(_route_stops(spark, sf_dir), graph.vertices(own), whole)
+    walked = graph.route(_route_stops(spark, sf_dir), graph.vertices(own), _fine_edges(own), cell=16)
     return lines.stamped(walked).select("line_id", "pt_pos", "node", F.round("distance", 1).alias("distance"))
 
 
@@ -214,7 +242,7 @@ _LEGS = """pts as (
 
 def q_project(spark, sf_dir):
     """Each nation on every line: how far off it is, and how far along."""
-    legs = track.legs(_planar(spark, sf_dir))
+    legs = cut_lineage(track.legs(_planar(spark, sf_dir)))
     nations = table(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_nationkey") * 4 + 0.25).cast("double").alias("px"), (F.col("n_nationkey") * 3 + 0.5).cast("double").alias("py"))
     spots = legs.select("line_id").distinct().join(F.broadcast(nations))  # 25 rows
     return track.referenced(spots, legs, ["n_nationkey"]).select("line_id", "n_nationkey", F.round("off", 3).alias("off_line"), F.round("along", 2).alias("along"))
@@ -234,9 +262,11 @@ def q_utm(spark, sf_dir):
 
 
 def q_geojson(spark, sf_dir):
-    """Regions with their nations as stations, users' tracks as lines; users beyond the regions have a line only."""
-    stops = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("line_id"), F.concat(F.lit("Region "), F.col("n_regionkey").cast("string")).alias("line"), F.col("n_nationkey").alias("pos"), F.col("n_name").alias("name"), F.round(lng("n_nationkey"), 3).alias("lng"), F.round(lat("n_nationkey"), 3).alias("lat"))
-    made = geojson.collections(stops, sampled_line(spark, sf_dir))
+    """Users as lines with their tracks, the first ones with a region's nations as stations."""
+    users = table(spark, sf_dir, "events").select(F.col("user_id").alias("line_id")).distinct()
+    stops = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("line_id"), F.col("n_nationkey").alias("pos"), F.col("n_name").alias("name"), F.round(lng("n_nationkey"), 3).alias("lng"), F.round(lat("n_nationkey"), 3).alias("lat"))
+    named = users.union(stops.select("line_id")).distinct().withColumn("name", F.concat(F.lit("Line "), F.col("line_id").cast("string")))
+    made = geojson.collections(named, stops, sampled_line(spark, sf_dir))
     parsed = geojson.parsed_features(made.select(F.col("line_id").cast("string").alias("file"), F.col("geojson").alias("value")))
     kept = parsed.withColumn("flat", F.when(F.col("kind") == "Point", F.array(F.from_json("coordinates", "array<double>"))).otherwise(F.from_json("coordinates", "array<array<double>>")))
     return kept.select(F.col("file").alias("line_id"), F.col("pos").alias("i"), "kind", "name", "line", F.size("flat").alias("n_points"), F.round(F.get(F.get("flat", F.size("flat") - 1), F.lit(0)), 3).alias("lng"))
@@ -261,14 +291,20 @@ _EDGES = f"""paired as (
   edges as (select * from both_ways qualify row_number() over (partition by src, dst, way order by ts, back) = 1)"""
 
 
-#: Distances from every seed over edges of whole metres, and the paths back over the first of equal predecessors.
-_WALK = """light as (select src, dst, min(cast(round(distance) as bigint)) as w from edges where src <> dst group by src, dst),
+#: Distances over edges of whole units from the seeds, and the paths back over the first of equal predecessors.
+def _walk(seeds: str, scale: str = "1") -> str:
+    return f"""light as (select src, dst, min(cast(round(distance * {scale}) as bigint)) as w from edges where src <> dst group by src, dst),
   dist(seed, node, d) using key (seed, node) as (
-    select distinct src, src, cast(0 as bigint) from edges
+    select distinct seed, seed, cast(0 as bigint) from ({seeds}) starts
     union
     select n.seed, n.dst, n.d from (
       select x.seed, l.dst, min(x.d + l.w) as d from dist x join light l on x.node = l.src group by x.seed, l.dst) n
     left join recurring.dist b on b.seed = n.seed and b.node = n.dst where b.d is null or n.d < b.d)"""
+
+
+_ENDS = """ends as (
+    select line_id as way, arg_min(k, (ts, event_id)) as start, arg_max(k, (ts, event_id)) as "end" from track_events group by line_id having count(*) >= 2)"""
+_SEEDS, _ALL = "select start as seed from ends", "select src as seed from edges"
 _BACK = """before as (
     select n.seed, n.node, arg_min(p.node, (p.d, p.node)) as prior from dist n join light l on l.dst = n.node join dist p on p.seed = n.seed and p.node = l.src and p.d + l.w = n.d
     where n.node <> n.seed group by n.seed, n.node),
@@ -307,13 +343,13 @@ from found""",
 select network, pos, case when ref in ('1', '1E') then '{text.LINE_ONE}' else name end as name from relations
 qualify row_number() over (partition by network order by pos desc) = 1""",
     "q_station_attach": f"""with {_RELATIONS},
-  seen as (select network, ref, min(pos) as first_pos from relations group by network, ref),
+  seen as (select pos // 4000 as doc_id, network, ref, min(pos) as first_pos from relations group by doc_id, network, ref),
   stops as (
-    select s_suppkey * 7 as elem_pos, 'Stop ' || (s_suppkey % 30) as name, s_suppkey % 30 as y, s_suppkey % 2 as x from supplier),
+    select s_suppkey // 27 as doc_id, s_suppkey * 148 as elem_pos, 'Stop ' || (s_suppkey % 7) as name, s_suppkey % 7 as y, s_suppkey % 2 as x from supplier),
   attached as (
-    select network, ref, elem_pos, name from seen join stops on elem_pos > first_pos
-    qualify row_number() over (partition by network, ref, name, y, x order by elem_pos) = 1)
-select network, ref, count(*) as n_stations, cast(sum(elem_pos) as bigint) as pos_sum, min(name) as first_name from attached group by network, ref""",
+    select seen.doc_id, network, ref, elem_pos, name from seen join stops on seen.doc_id = stops.doc_id and elem_pos > first_pos
+    qualify row_number() over (partition by seen.doc_id, network, ref, name, y, x order by elem_pos) = 1)
+select doc_id, network, ref, count(*) as n_stations, cast(sum(elem_pos) as bigint) as pos_sum, min(name) as first_name from attached group by doc_id, network, ref""",
     "q_member_join": """select l_orderkey as relation, count(*) as n_stops, cast(sum(p_size) as bigint) as size_sum, min(p_name) as first_name
 from lineitem join part on l_partkey = p_partkey where l_returnflag in ('N', 'R') group by l_orderkey""",
     "q_fuzzy_match": f"with {_MATCH} select cast(sequence as integer) as sequence, station as official_name, '地铁' || b as osm_name, score, round(lat, 3) as lat from best",
@@ -343,13 +379,26 @@ select cast(line_id as bigint) as line_id, n_name, coalesce(idx, 0) as idx, row_
     "q_length": f"with {EVENTS}, {_STEPS} select line_id, round(sum(step), 2) as length from steps group by line_id",
     "q_cum_distance": f"""with {EVENTS}, {_STEPS}
 select line_id, event_id, round(round(sum(step) over (partition by line_id order by ts rows unbounded preceding), 2), 1) as distance from steps""",
+    "q_long_lines": f"""with {EVENTS},
+  moved as (
+    select event_type as line_id, ts, event_id, lng, lat, lag(lng) over w as l_lng, lag(lat) over w as l_lat from track_events window w as (partition by event_type order by ts)),
+  steps as (select *, coalesce({STEP}, 0e0) as step from moved where l_lng is null or l_lng <> lng or l_lat <> lat)
+select line_id, event_id, round(round(sum(step) over (partition by line_id order by ts rows unbounded preceding), 2)) as distance from steps""",
     "q_interchange": "select l_partkey as station_id, count(distinct l_suppkey) > 1 as interchange from lineitem group by l_partkey",
-    "q_shortest_path": f"""with recursive {EVENTS}, {_EDGES}, {_WALK}
+    "q_shortest_path": f"""with recursive {EVENTS}, {_EDGES}, {_ENDS}, {_walk(_SEEDS)}
 select seed, node, d from dist""",
-    "q_paths": f"""with recursive {EVENTS}, {_EDGES}, {_WALK},
-  pairs as (select s as pair_pos, s as start, lead(s) over (order by s) as "end" from (select distinct src as s from light)), {_BACK}
+    "q_paths": f"""with recursive {EVENTS}, {_EDGES}, {_ENDS}, {_walk(_SEEDS)},
+  pairs as (select way as pair_pos, start, "end" from ends), {_BACK}
 select pair_pos, cast(row_number() over (partition by pair_pos order by back desc) - 1 as integer) as pt_pos, node from traced""",
-    "q_route": f"""with recursive {EVENTS}, {_EDGES}, {_WALK},
+    "q_find_path": f"""with recursive {EVENTS}, {_EDGES}, {_ENDS}, {_walk(_SEEDS, "1000000")},
+  verts as (select k as node, lng, lat from track_events qualify row_number() over (partition by k order by line_id, ts) = 1),
+  pairs as (select way as pair_pos, start, "end" from ends), {_BACK},
+  placed as (select pair_pos, row_number() over (partition by pair_pos order by back desc) - 1 as pt_pos, node from traced),
+  moved as (
+    select p.*, lng, lat, lag(lng) over w as l_lng, lag(lat) over w as l_lat from placed p join verts v on v.node = p.node window w as (partition by pair_pos order by pt_pos)),
+  stamps as (select *, coalesce(sqrt((l_lng - lng) * (l_lng - lng) + (l_lat - lat) * (l_lat - lat)), 0e0) as step from moved)
+select pair_pos, cast(pt_pos as integer) as pt_pos, node, round(sum(step) over (partition by pair_pos order by pt_pos rows unbounded preceding), 2) as distance from stamps""",
+    "q_route": f"""with recursive {EVENTS}, {_EDGES}, {_walk(_ALL, "1000000")},
   verts as (select k as node, lng, lat, line_id as way, ts from track_events qualify row_number() over (partition by k order by line_id, ts) = 1),
   stops as (
     select n_regionkey as line_id, n_nationkey as sequence, node from nation cross join verts
@@ -394,10 +443,10 @@ select line_id, cast(case when turned then n - k else k + 1 end as bigint) as i,
 select p_partkey, round(x, 2) as x, round(y, 2) as y, round(lng, 6) as lng, round(lat, 6) as lat from v_3""",
     "q_geojson": f"""with {EVENTS},
   numbered as (
-    select n_regionkey as line_id, n_nationkey as pos, n_name as name, 'Region ' || n_regionkey as line, round({sql_lng("cast(n_nationkey as bigint)")}, 3) as lng from nation),
+    select n_regionkey as line_id, n_nationkey as pos, n_name as name, round({sql_lng("cast(n_nationkey as bigint)")}, 3) as lng from nation),
   feats as (
-    select line_id, -1 as pos, 'LineString' as kind, (select any_value(line) from numbered n where n.line_id = e.line_id) as name, null as line, count(*) as n, round(arg_max(lng, event_id), 3) as lng
+    select line_id, -1 as pos, 'LineString' as kind, 'Line ' || line_id as name, null as line, count(*) as n, round(arg_max(lng, event_id), 3) as lng
     from track_events e group by line_id
-    union all select line_id, pos, 'Point', name, line, 1, lng from numbered)
+    union all select line_id, pos, 'Point', name, 'Line ' || line_id, 1, lng from numbered)
 select cast(line_id as varchar) as line_id, cast(row_number() over (partition by line_id order by pos) - 1 as integer) as i, kind, name, line, cast(n as integer) as n_points, lng from feats""",
 } | mapped.ORACLES

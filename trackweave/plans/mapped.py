@@ -1,12 +1,15 @@
 """Registered queries over map responses: the test tables told as element JSON, read back by the sources.
 
-Parts become nodes, users' events ways, orders relations with their line items as members, dealt to
-``DOCS`` documents. Every query goes through the library's own readers and operators; the SQL
-counterparts take the tables as they are.
+Parts become nodes, users' events ways, orders relations with their line items as members. Documents hold
+so many keys each (``PARTS``, ``USERS``, ``ORDERS``), so larger tables make more documents and not larger
+ones. A query's responses have the kinds of elements that it asks for. Every query goes through the
+library's own readers and operators; the SQL counterparts take the tables as they are.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +20,10 @@ from trackweave.plans.tables import BOX, EVENTS, STEP, lat, lng, sampled_line, s
 from trackweave.sources import elements as el
 from trackweave.sources import geojson, places, roster
 
-DOCS = 25
+#: Keys a document: of parts, users and orders.
+PARTS, USERS, ORDERS = 53, 4, 400
+#: Kinds of elements; members come with relations.
+ALL = ("node", "way", "relation", "members")
 
 
 def _tags(**values: Column) -> Column:
@@ -30,56 +36,76 @@ def _flag(size: str, every: int, value: str) -> Column:
     return F.when(F.col(size) % every == 0, F.lit(value))
 
 
-def responses(spark, sf_dir) -> DataFrame:
-    """doc_id and value: one response text a document."""
+def _doc(key: str, each: int) -> Column:
+    return F.floor(F.col(key) / each)
+
+
+def _nodes(spark, sf_dir) -> DataFrame:
     part = table(spark, sf_dir, "part")
     name = F.when(F.col("p_size") % 13 == 0, F.lit("")).when(F.col("p_size") % 11 != 0, F.col("p_name"))
     tags = _tags(name=name, railway=_flag("p_size", 3, "station"), station=_flag("p_size", 4, "subway"), subway=_flag("p_size", 5, "yes"))
     there = F.col("p_size") % 17 != 0
     node = F.struct(F.lit("node").alias("type"), F.col("p_partkey").alias("id"), F.when(there, lat("p_partkey")).alias("lat"), F.when(there, lng("p_partkey")).alias("lon"), tags.alias("tags"))
-    nodes = part.select((F.col("p_partkey") % DOCS).alias("doc"), (F.col("p_partkey") * 7).alias("pos"), F.lit(0).alias("kind"), F.to_json(node).alias("e"))
+    return part.select(_doc("p_partkey", PARTS).alias("doc"), (F.col("p_partkey") * 7).alias("pos"), F.lit(0).alias("kind"), F.to_json(node).alias("e"))
 
+
+def _ways(spark, sf_dir) -> DataFrame:
     events = track_events(spark, sf_dir).groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("ts", "k", "lng", "lat"))).alias("p"), F.min("event_type").alias("railway"))
     shape = F.when(F.col("line_id") % 3 != 0, F.transform("p", lambda x: F.struct(x["lat"].alias("lat"), x["lng"].alias("lon"))))
     way = F.struct(F.lit("way").alias("type"), F.col("line_id").alias("id"), F.transform("p", lambda x: x["k"]).alias("nodes"), shape.alias("geometry"), _tags(railway=F.col("railway"), name=F.concat(F.lit("way "), F.col("line_id").cast("string"))).alias("tags"))
-    ways = events.select((F.col("line_id") % DOCS).alias("doc"), (F.col("line_id") * 13 + 1).alias("pos"), F.lit(1).alias("kind"), F.to_json(way).alias("e"))
-
-    doc = F.col("l_orderkey") % DOCS
-    is_way = (F.col("l_linestatus") == "F") & (F.col("l_linenumber") % 2 == 0)
-    role = F.when(F.col("l_returnflag") == "N", "stop").when(F.col("l_returnflag") == "R", "").otherwise("guide")
-    ref = F.when(is_way, doc + DOCS * (F.col("l_suppkey") % 6)).otherwise(F.col("l_partkey") - F.col("l_partkey") % DOCS + doc)
-    member = F.struct("l_linenumber", F.when(is_way, "way").otherwise("node").alias("type"), ref.alias("ref"), role.alias("role"))
-    members = table(spark, sf_dir, "lineitem").filter(doc % 5 != 4).groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(member)), lambda m: F.struct(m["type"].alias("type"), m["ref"].alias("ref"), m["role"].alias("role"))).alias("members"))
+    return events.select(_doc("line_id", USERS).alias("doc"), (F.col("line_id") * 13 + 1).alias("pos"), F.lit(1).alias("kind"), F.to_json(way).alias("e"))
+
+
+def _relations(spark, sf_dir, with_members: bool) -> DataFrame:
+    """Orders, those without line items as relations without members."""
+    orders = table(spark, sf_dir, "orders")
+    fields = []
+    if with_members:
+        doc = _doc("l_orderkey", ORDERS)
+        is_way = (F.col("l_linestatus") == "F") & (F.col("l_linenumber") % 2 == 0)
+        role = F.when(F.col("l_returnflag") == "N", "stop").when(F.col("l_returnflag") == "R", "").otherwise("guide")
+        ref = F.when(is_way, doc * USERS + F.col("l_suppkey") % (USERS + 2)).otherwise(doc * PARTS + F.col("l_partkey") % PARTS)
+        member = F.struct("l_linenumber", F.when(is_way, "way").otherwise("node").alias("type"), ref.alias("ref"), role.alias("role"))
+        members = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(member)), lambda m: F.struct(m["type"].alias("type"), m["ref"].alias("ref"), m["role"].alias("role"))).alias("members"))
+        orders = orders.join(members, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        fields = ["members"]
     n = F.col("o_custkey") % 40
     silent = F.col("o_orderstatus") == "P"
     route = F.element_at(F.array(*map(F.lit, ("subway", "light_rail", "tram", "railway", "bus"))), (F.col("o_custkey") % 5 + 1).cast("int"))
     title = F.concat(F.when(F.col("o_custkey") % 9 == 8, "地铁 ").otherwise(""), F.lit("Line "), n.cast("string"), F.lit(":"), F.col("o_orderstatus"))
     tags = _tags(route=route, name=F.when(F.col("o_custkey") % 23 != 0, title), ref=F.when(n == 0, "").when(n == 7, "7E").otherwise(n.cast("string")), network=F.col("o_orderpriority"), from_=F.when(~silent, F.col("o_orderstatus")), to=F.when(~silent, F.year("o_orderdate").cast("string")))
-    orders = table(spark, sf_dir, "orders").join(members, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    relation = F.struct(F.lit("relation").alias("type"), F.col("o_orderkey").alias("id"), "members", tags.alias("tags"))
-    relations = orders.select((F.col("o_orderkey") % DOCS).alias("doc"), F.col("o_orderkey").alias("pos"), F.lit(2).alias("kind"), F.to_json(relation).alias("e"))
+    relation = F.struct(F.lit("relation").alias("type"), F.col("o_orderkey").alias("id"), *fields, tags.alias("tags"))
+    return orders.select(_doc("o_orderkey", ORDERS).alias("doc"), F.col("o_orderkey").alias("pos"), F.lit(2).alias("kind"), F.to_json(relation).alias("e"))
+
 
-    every = nodes.unionByName(ways).unionByName(relations)
-    listed = every.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "e"))).alias("all"))
+def responses(spark, sf_dir, kinds: tuple[str, ...] = ALL) -> DataFrame:
+    """doc_id and value: one response text a document, with elements of the given kinds."""
+    made = [rows for kind, rows in (("node", _nodes), ("way", _ways)) if kind in kinds]
+    every = [rows(spark, sf_dir) for rows in made] + ([_relations(spark, sf_dir, "members" in kinds)] if "relation" in kinds else [])
+    listed = reduce(DataFrame.unionByName, every).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "e"))).alias("all"))
     body = F.concat(F.lit('{"elements":['), F.array_join(F.transform("all", lambda x: x["e"]), ","), F.lit("]}"))
     return listed.select(F.concat(F.lit("d"), F.col("doc").cast("string")).alias("doc_id"), body.alias("value"))
 
 
-def elements(spark, sf_dir) -> DataFrame:
-    return el.elements(responses(spark, sf_dir), key="doc_id")
+def elements(spark, sf_dir, *kinds: str) -> DataFrame:
+    return el.elements(responses(spark, sf_dir, kinds or ALL), key="doc_id")
 
 
-_MAPPED = f"""{EVENTS},
+def _mapped(*kinds: str) -> str:
+    """The elements of the given kinds in SQL."""
+    placed = {
+        "node": f"select p_partkey // {PARTS} as doc, p_partkey * 7 as pos, 0 as kind, p_partkey as id from part",
+        "way": f"select distinct user_id // {USERS} as doc, user_id * 13 + 1 as pos, 1 as kind, user_id as id from events",
+        "relation": f"select o_orderkey // {ORDERS} as doc, o_orderkey as pos, 2 as kind, o_orderkey as id from orders",
+    }
+    return f"""{EVENTS},
   members as (
-    select l_orderkey as id, l_orderkey % {DOCS} as doc, l_linenumber, case when l_linestatus = 'F' and l_linenumber % 2 = 0 then 'way' else 'node' end as type,
-      case when l_linestatus = 'F' and l_linenumber % 2 = 0 then l_orderkey % {DOCS} + {DOCS} * (l_suppkey % 6) else l_partkey - l_partkey % {DOCS} + l_orderkey % {DOCS} end as ref,
+    select l_orderkey as id, l_orderkey // {ORDERS} as doc, l_linenumber, case when l_linestatus = 'F' and l_linenumber % 2 = 0 then 'way' else 'node' end as type,
+      case when l_linestatus = 'F' and l_linenumber % 2 = 0 then l_orderkey // {ORDERS} * {USERS} + l_suppkey % {USERS + 2} else l_orderkey // {ORDERS} * {PARTS} + l_partkey % {PARTS} end as ref,
       case l_returnflag when 'N' then 'stop' when 'R' then '' else 'guide' end as role
-    from lineitem where l_orderkey % {DOCS} % 5 <> 4),
+    from lineitem),
   placed as (
-    select *, row_number() over (partition by doc order by pos, kind) - 1 as elem_pos from (
-      select p_partkey % {DOCS} as doc, p_partkey * 7 as pos, 0 as kind, p_partkey as id from part
-      union all select distinct user_id % {DOCS}, user_id * 13 + 1, 1, user_id from events
-      union all select o_orderkey % {DOCS}, o_orderkey, 2, o_orderkey from orders)),
+    select *, row_number() over (partition by doc order by pos, kind) - 1 as elem_pos from ({" union all ".join(placed[k] for k in kinds or placed if k in placed)})),
   nodes as (
     select doc, elem_pos, p_partkey as id, case when p_size % 13 = 0 then '' when p_size % 11 <> 0 then p_name end as name,
       case when p_size % 17 <> 0 then {sql_lat("p_partkey")} end as lat, case when p_size % 17 <> 0 then {sql_lng("p_partkey")} end as lng,
@@ -96,7 +122,8 @@ _MAPPED = f"""{EVENTS},
   titled as (
     select *, case when ref in ('1', '1E') and name <> '' then '{text.LINE_ONE}' else replace(name, '地铁 ', '地铁') end as title from relations)"""
 
-_PARSED = f"""{_MAPPED},
+
+_PARSED = f"""{_mapped()},
   chosen as (
     select * from relations where route in ('subway', 'light_rail', 'railway') qualify row_number() over (partition by doc order by elem_pos desc) = 1),
   own as (
@@ -106,7 +133,7 @@ _PARSED = f"""{_MAPPED},
     select own.doc, member_pos as pos, name, lat, lng from own join nodes n on n.doc = own.doc and n.id = ref
     where type = 'node' and role in ('stop', '') and name is not null
     union all
-    select n.doc, n.elem_pos, n.name, lat, lng from nodes n join chosen c on c.doc = n.doc where n.doc % 5 = 4 and n.name is not null),
+    select n.doc, n.elem_pos, n.name, lat, lng from nodes n join chosen c on c.doc = n.doc where n.name is not null and not exists (select 1 from members m where m.id = c.id)),
   drawn as (
     select own.doc, member_pos, e.ts, case when ref % 3 <> 0 then e.lng else n.lng end as lng, case when ref % 3 <> 0 then e.lat else n.lat end as lat
     from own join ways w on w.doc = own.doc and w.id = ref and type = 'way' join track_events e on e.line_id = ref
@@ -142,50 +169,51 @@ def q_station_names(spark, sf_dir):
 
 
 def q_tracks(spark, sf_dir):
-    found = el.tracks(elements(spark, sf_dir))
+    found = el.tracks(elements(spark, sf_dir, "way"))
     return found.select("doc_id", "way_pos", "id", "name", "railway", F.coalesce("service", F.lit("none")).alias("service"), F.size("nodes").alias("n_nodes"), F.size("geometry").alias("n_points"), F.round(F.get("geometry", F.size("geometry") - 1)["lng"], 3).alias("last_lng"))
 
 
 def q_track_count(spark, sf_dir):
-    return el.track_count(elements(spark, sf_dir))
+    return el.track_count(elements(spark, sf_dir, "way"))
 
 
 def q_metro_stations(spark, sf_dir):
-    found = el.stations(elements(spark, sf_dir).filter(filters.is_metro_station_node()))
+    found = el.stations(elements(spark, sf_dir, "node").filter(filters.is_metro_station_node()))
     return found.select("doc_id", "cand_pos", "name", F.round("lat", 3).alias("lat"), F.round("lng", 3).alias("lng"))
 
 
 def q_relations_named(spark, sf_dir):
     """Metro relations with "line 1" in their names, and those of the parsed kinds of line 3."""
-    elems = elements(spark, sf_dir)
+    elems = elements(spark, sf_dir, "relation")
     some = el.relations_named(elems, "line 1").select("doc_id", "elem_pos", "id", "name")
     return some.withColumn("asked", F.lit("1")).unionByName(el.line_relations(elems, "Line 3").select("doc_id", "elem_pos", "id", filters.tag("name").alias("name"), F.lit("3").alias("asked")))
 
 
 def q_simple_line(spark, sf_dir):
-    found, stations = lines.simple_lines(elements(spark, sf_dir))
+    found, stations = lines.simple_lines(elements(spark, sf_dir, "node", "relation"))
     counted = stations.groupBy("doc_id").agg(F.count("*").alias("n_stations"), F.count("name").alias("n_named"), F.sum("pos").alias("pos_sum"))
     return found.join(counted, "doc_id")
 
 
 def q_grouped_lines(spark, sf_dir):
-    found, stations = lines.grouped_lines(elements(spark, sf_dir), BOX)
+    found, stations = lines.grouped_lines(elements(spark, sf_dir, "node", "relation"), BOX)
     counted = stations.groupBy("doc_id", "line_key").agg(F.count("*").alias("n_stations"), F.sum("elem_pos").alias("pos_sum"))
     return found.join(counted, ["doc_id", "line_key"])
 
 
 def q_city_listing(spark, sf_dir):
-    listed = build.city_listing(elements(spark, sf_dir))
+    listed = build.city_listing(elements(spark, sf_dir, "relation"))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(*lines.listing_order()))
     return listed.select("doc_id", "line_id", "ref", "name", "network", "route", "from", "to", "directions", "first_pos", place.alias("place"))
 
 
 def q_line_documents(spark, sf_dir):
-    """What a download writes: each document's GeoJSON, read again feature by feature."""
+    """What a download writes: each document's GeoJSON, read again feature by feature; one row without any."""
     made = build.line_documents(elements(spark, sf_dir))
     feats = geojson.parsed_features(made.select(F.col("line_id").alias("file"), F.col("geojson").alias("value")))
-    size = F.when(F.col("kind") == "LineString", F.size(F.from_json("coordinates", "array<array<double>>"))).otherwise(1)
-    return feats.select(F.col("file").alias("doc_id"), "pos", "kind", "name", "line", size.alias("n_points"))
+    size = F.when(F.col("kind") == "LineString", F.size(F.from_json("coordinates", "array<array<double>>"))).when(F.col("kind") == "Point", 1)
+    rows = made.select(F.col("line_id").alias("doc_id"), F.col("name").alias("title")).join(feats.withColumnRenamed("file", "doc_id"), "doc_id", "left")
+    return rows.select("doc_id", "title", "pos", "kind", "name", "line", size.alias("n_points"))
 
 
 # -- tracks, GeoJSON, places
@@ -319,22 +347,22 @@ left join (select doc, count(*) as n from stops group by doc) s on s.doc = n.doc
     "q_station_names": f"""with {_PARSED},
   firsts as (select * from stops qualify row_number() over (partition by doc, name order by pos) = 1)
 select 'd' || doc as doc_id, cast(count(*) as integer) as n, string_agg(name, '|' order by pos) as names from firsts group by doc""",
-    "q_tracks": f"""with {_MAPPED}
+    "q_tracks": f"""with {_mapped('way')}
 select 'd' || doc as doc_id, cast(elem_pos as integer) as way_pos, id, 'way ' || id as name, railway, 'none' as service, cast(n as integer) as n_nodes,
   cast(case when id % 3 <> 0 then n else 0 end as integer) as n_points,
   case when id % 3 <> 0 then round((select arg_max(lng, ts) from track_events e where e.line_id = ways.id), 3) end as last_lng
 from ways where n >= 2""",
-    "q_track_count": f"with {_MAPPED} select 'd' || doc as doc_id, count(*) as tracks from ways where n >= 2 and id % 3 <> 0 group by doc",
-    "q_metro_stations": f"""with {_MAPPED}
+    "q_track_count": f"with {_mapped('way')} select 'd' || doc as doc_id, count(*) as tracks from ways where n >= 2 and id % 3 <> 0 group by doc",
+    "q_metro_stations": f"""with {_mapped('node')}
 select 'd' || doc as doc_id, cast(elem_pos as integer) as cand_pos, name, round(lat, 3) as lat, round(lng, 3) as lng from nodes where name <> '' and rail and (metro or yes)""",
-    "q_relations_named": f"""with {_MAPPED}
+    "q_relations_named": f"""with {_mapped('relation')}
 select 'd' || doc as doc_id, cast(elem_pos as integer) as elem_pos, id, name, '1' as asked from relations where route = 'subway' and name ilike '%line 1%'
 union all select 'd' || doc, cast(elem_pos as integer), id, name, '3' from relations where route in ('subway', 'light_rail', 'railway') and contains(name, 'Line 3')""",
-    "q_simple_line": f"""with {_MAPPED},
+    "q_simple_line": f"""with {_mapped('node', 'relation')},
   last_ as (select doc, title from titled where route = 'subway' qualify row_number() over (partition by doc order by elem_pos desc) = 1),
   counted as (select doc, count(*) as n_stations, count(name) as n_named, cast(sum(elem_pos) as bigint) as pos_sum from nodes where rail or metro group by doc)
 select 'd' || l.doc as doc_id, title as name, n_stations, n_named, pos_sum from last_ l join counted c on c.doc = l.doc""",
-    "q_grouped_lines": f"""with {_MAPPED},
+    "q_grouped_lines": f"""with {_mapped('node', 'relation')},
   keyed as (select *, case when ref <> '' then ref else title end as line_key from titled where route = 'subway'),
   grouped as (
     select doc, line_key, arg_max(struct_pack(title := title, ref := ref), elem_pos) as last_, count(*) as relations, min(elem_pos) as first_pos
@@ -346,7 +374,7 @@ select 'd' || l.doc as doc_id, title as name, n_stations, n_named, pos_sum from
   counted as (select doc, line_key, count(*) as n_stations, cast(sum(elem_pos) as bigint) as pos_sum from attached group by doc, line_key)
 select 'd' || g.doc as doc_id, g.line_key, last_.title as name, last_.ref as ref, relations, cast(first_pos as integer) as first_pos, 2 as directions, n_stations, pos_sum
 from grouped g join counted c on c.doc = g.doc and c.line_key = g.line_key""",
-    "q_city_listing": f"""with {_MAPPED},
+    "q_city_listing": f"""with {_mapped('relation')},
   filled as (
     select doc, elem_pos, route, replace(split_part(name, ':', 1), ' ', '') as listed, ref, network, coalesce("from", '') as "from", coalesce("to", '') as "to"
     from relations where route in ('subway', 'light_rail', 'tram') and name <> ''),
@@ -363,9 +391,9 @@ from found""",
   feats as (
     select doc, -1 as pos, 'LineString' as kind, null as name, count(*) as n from points group by doc
     union all select doc, pos, 'Point', name, 1 from firsts)
-select 'd' || f.doc as doc_id, cast(row_number() over (partition by f.doc order by f.pos) - 1 as integer) as pos, kind,
-  case when kind = 'Point' then f.name when exists (select 1 from firsts x where x.doc = f.doc) then n.name end as name, case when kind = 'Point' then n.name end as line, cast(n as integer) as n_points
-from feats f join named n on n.doc = f.doc""",
+select 'd' || n.doc as doc_id, n.name as title, case when kind is not null then cast(row_number() over (partition by n.doc order by f.pos) - 1 as integer) end as pos, kind,
+  case kind when 'Point' then f.name when 'LineString' then n.name end as name, case when kind = 'Point' then n.name end as line, cast(n as integer) as n_points
+from named n left join feats f on f.doc = n.doc""",
     "q_track_counters": f"""with {EVENTS}, sizes as (select line_id, count(*) as n from track_events group by line_id)
 select count(*) as tracks, count(case when n >= 2 then 1 end) as ways, cast(sum(case when n >= 2 then n else 0 end) as bigint) as raw_nodes,
   (select count(distinct k) from track_events e join sizes s on s.line_id = e.line_id and s.n >= 2) as nodes from sizes""",

@@ -42,23 +42,24 @@ def _feature(kind: str, coordinates: Column, properties: Column) -> Column:
     return F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")).alias("geometry"), properties.alias("properties")), {"ignoreNullFields": "false"})
 
 
-def collections(stations: DataFrame, points: DataFrame | None = None) -> DataFrame:
-    """line_id, name, geojson: for each line one LineString feature if it has points, then its stations.
+def collections(lines: DataFrame, stations: DataFrame, points: DataFrame | None = None) -> DataFrame:
+    """line_id, name, geojson of every line: one LineString feature if it has points, then its stations.
 
-    stations: line_id, line, pos, name, lng, lat; points: line_id, pt_pos, lng, lat.
+    lines: line_id, name; stations: line_id, pos, name, lng, lat; points: line_id, pt_pos, lng, lat. A line
+    has its document, whatever it has of the others.
     """
     ordered = lambda pos, *cols: F.array_sort(F.collect_list(F.struct(pos, *cols)))
-    by_line = stations.groupBy("line_id").agg(F.first("line").alias("name"), ordered("pos", "name", "lng", "lat").alias("stations"))
+    own = lines.select("line_id", "name").join(stations.groupBy("line_id").agg(ordered("pos", "name", "lng", "lat").alias("stations")), "line_id", "left")
     if points is not None:
-        shape = points.groupBy("line_id").agg(ordered("pt_pos", "lng", "lat").alias("points"))
-        by_line = by_line.join(shape, "line_id", "full")
+        own = own.join(points.groupBy("line_id").agg(ordered("pt_pos", "lng", "lat").alias("points")), "line_id", "left")
     else:
-        by_line = by_line.withColumn("points", F.lit(None).cast("array<struct<pt_pos:int,lng:double,lat:double>>"))
-    stops = F.transform(F.coalesce("stations", F.array().cast("array<struct<pos:int,name:string,lng:double,lat:double>>")), lambda s: _feature("Point", F.array(s["lng"], s["lat"]), F.struct(s["name"].alias("name"), F.col("name").alias("line"))))
+        own = own.withColumn("points", F.lit(None).cast("array<struct<pt_pos:int,lng:double,lat:double>>"))
+    stops = F.transform("stations", lambda s: _feature("Point", F.array(s["lng"], s["lat"]), F.struct(s["name"].alias("name"), F.col("name").alias("line"))))
     track = _feature("LineString", F.transform("points", lambda p: F.array(p["lng"], p["lat"])), F.struct(F.col("name").alias("name")))
-    shapes = F.when(F.size("points") > 0, F.array(track)).otherwise(F.array().cast("array<string>"))
-    body = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.concat(shapes, stops), ","), F.lit("]}"))
-    return by_line.select("line_id", "name", body.alias("geojson"))
+    shapes = F.when(F.size("points") > 0, F.array(track))
+    none = F.array().cast("array<string>")
+    body = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.concat(F.coalesce(shapes, none), F.coalesce(stops, none)), ","), F.lit("]}"))
+    return own.select("line_id", "name", body.alias("geojson"))
 
 
 def save(text: str, path: str) -> str:
