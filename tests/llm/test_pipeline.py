@@ -175,6 +175,29 @@ def test_variable_segments_keep_bad_branches(spark, copies):
         assert found[i] == ((f"/s{k}x/{{n}}", "block") if k < 10 else ("/*/{n}", "allow"))
 
 
+def test_more_urls_of_every_child_change_no_verdict(spark):
+    labels = spark.createDataFrame([(i, int(i % 60 >= 10), 0) for i in range(1140)], "doc_id long, quality int, toxic int")
+    found = []
+    for more in (1, 30):
+        # 60 children of 19 urls that carry labels, and so many times as many distinct ones in all
+        pages = [(i, f"http://many.test/s{i % 60}x/{'a' * k}{i}") for i in range(1140) for k in range(1 if more == 1 else 2)]
+        pages += [(i, f"http://many.test/s{i % 60}x/{'b' * k}-{i}-") for i in range(1140) for k in range(1, more)]
+        rows = url_filter.judge(spark.createDataFrame([(n, u) for n, (_, u) in enumerate(pages)], "page_id long, url string"), labels, rules=()).collect()
+        found.append({pages[r.page_id][0] % 60: r.verdict for r in rows if pages[r.page_id][1].endswith(f"/{pages[r.page_id][0]}")})
+    assert found[0] == found[1] == {k: "block" if k < 10 else "allow" for k in range(60)}
+
+
+def test_deep_paths_cost_few_rounds(spark, monkeypatch):
+    rounds = []
+    branched = url_filter._branched
+    monkeypatch.setattr(url_filter, "_branched", lambda rows: (rounds.append(1), branched(rows))[1])
+    deep = "/".join(f"l{k}" for k in range(2000))
+    pages = [(0, f"http://deep.test/{deep}"), (1, f"http://two.test/{deep}/x"), (2, f"http://two.test/{deep}/y/z"), (3, f"http://two.test/{deep}")]
+    rows = {r.page_id: r.template for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), None, rules=()).collect()}
+    assert rows[0] == f"/{deep}" and rows[1] == f"/{deep}/*new" and rows[2] == f"/{deep}/*new/z" and rows[3] == f"/{deep}"
+    assert len(rounds) < 5
+
+
 def by_sql(spark, pages, labels):
     import duckdb
 

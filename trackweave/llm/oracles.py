@@ -121,17 +121,17 @@ OP3 = """with recursive parts as (
     from (
       select *, case when variable then (n_good + 1)::double / (n_seen + 2) else (p_good + 1)::double / (p_seen + 2) end as share
       from (
-        select *, children > 50 and n_urls < children * 20 as variable, count(distinct here) over pool as alike,
+        select *, children > 50 and max(case when here is not null then k_urls end) over node * 10 < n_urls as variable, count(distinct here) over pool as alike,
           sum(case when here is not null then seen end) over pool as p_seen, sum(case when here is not null then good end) over pool as p_good
         from (
           select *, case when k_seen = 0 then '*new' when k_good / k_seen::double < 0.5e0 then '*low' else '*' end as kind
           from (
-            select *, sum(seen) over child as k_seen, sum(good) over child as k_good, count(distinct here) over node as children,
+            select *, sum(seen) over child as k_seen, sum(urls) over child as k_urls, sum(good) over child as k_good, count(distinct here) over node as children,
               sum(case when here is not null then urls end) over node as n_urls, sum(case when here is not null then seen end) over node as n_seen,
               sum(case when here is not null then good end) over node as n_good
             from (select *, segments[level + 1] as here from tree where level < (select max(len(segments)) from leaves)) t
             window child as (partition by host, template, here), node as (partition by host, template)) k) p
-        window pool as (partition by host, template, kind)) q) r),
+        window pool as (partition by host, template, kind), node as (partition by host, template)) q) r),
   done as (select * from tree where level = (select max(len(segments)) from leaves)),
   whole as (select coalesce(sum(good) / nullif(sum(seen), 0)::double, 1e0) as base from done),
   hosts as (select host, (sum(good) + 4 * base) / (sum(seen) + 4) as at_host from done, whole group by host, base),

@@ -2,12 +2,13 @@
 
 DataFrame operations only. A URL's path is first generalised by form (numbers become ``{n}``, long hex
 names ``{h}``), which turns a host's pages into few raw templates with counts. The tree over those is
-then generalised level by level: where a node has many children of few distinct URLs each, the segment
-is variable and all of them are one pool, ``*``; else the children with a share of good labels under
+then generalised level by level: where a node has many children and none of them has more than a small
+share of its distinct URLs, the segment is variable and all of them are one pool, ``*``; else the children with a share of good labels under
 ``REJECT`` are one pool, ``*low``, those with a higher one another, ``*``, and those without any label a
 third, ``*new``, of which nothing is known but its host. A child whose share doesn't differ from its
 pool's by more than ``Z`` standard errors is merged with its like, and one that does stays on its own, in
-a variable segment too. URLs that repeat don't make a segment less variable. A template is rejected when
+a variable segment too. Whether a segment is variable doesn't change when URLs repeat, or when all
+children get more URLs alike. A template is rejected when
 its share of good labels, smoothed towards the host's and that towards the whole table's, is under
 ``REJECT``.
 
@@ -15,7 +16,7 @@ Fixed rules come first: the longest rule that fits decides (equally long ones: t
 
 Defined results: a null URL or one without ``://`` has empty host and path; a page without labels on
 its template, host or anywhere is judged by the next wider share (without any labels: allowed); a very
-long URL has as many levels as segments; of tied rules the first given counts, a share at ``REJECT`` is
+long URL has as many levels as segments, but what a branch has in common is passed in one round; of tied rules the first given counts, a share at ``REJECT`` is
 allowed, and of labels that contradict each other the good one; rows may repeat; an empty table gives no
 rows; other columns pass by.
 """
@@ -31,11 +32,11 @@ from trackweave.llm import store
 
 #: (action, host, start of path)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-#: A node with more children than this, of fewer than PAGES distinct URLs on average, has a variable segment.
-CHILDREN, PAGES = 50, 20
+#: A node with more children than this, none of which has one in SHARE of its distinct URLs, has a variable segment.
+CHILDREN, SHARE = 50, 10
 Z, SMOOTH, REJECT = 3.0, 4.0, 0.5
-#: Templates up to which their verdicts are broadcast (a few hundred bytes each); beyond, joined.
-BROADCAST_TEMPLATES = 50_000
+#: Bytes of templates up to which their verdicts are broadcast; beyond, joined.
+BROADCAST_BYTES = 8 << 20
 
 HOST = r"://([^/?#]*)"
 PATH = r"://[^/?#]*([^?#]*)"
@@ -84,32 +85,52 @@ def templates(pages: DataFrame, labels: DataFrame | None) -> DataFrame:
 def generalise(raw: DataFrame) -> DataFrame:
     """``raw`` with the column ``template``: the branch of the host's tree that each raw template is in.
 
-    Each level is a table of its own in the shared folder, which keeps the plans short; there are as
-    many as the deepest path has segments.
+    A round first takes every branch to where its rows part, by what the least and the greatest of them have
+    in common, then through one segment in which they differ; rows that end leave. So there are as many
+    rounds as a path has segments in which others differ or end, whatever its length. Each is a table of
+    its own in the shared folder, which keeps the plans short.
     """
     segments = F.split(F.expr("substr(raw, 2)"), "/")
-    rows = raw.withColumn("segments", F.when(F.col("raw") == "", F.array().cast("array<string>")).otherwise(segments)).withColumn("template", F.lit(""))
-    depth = rows.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(depth):
-        rows = rows.withColumn("here", F.get("segments", F.lit(level)))
-        kids = rows.filter(F.col("here").isNotNull()).groupBy("host", "template", "here").agg(*(F.sum(c).alias(c) for c in ("urls", "seen", "good")))
-        kids = kids.withColumn("kind", F.when(F.col("seen") == 0, "*new").when(F.col("good") / F.col("seen") < REJECT, "*low").otherwise("*"))
-        node = kids.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("urls").alias("all_urls"), F.sum("seen").alias("node_seen"), F.sum("good").alias("node_good"))
-        side = kids.groupBy("host", "template", "kind").agg(F.count("*").alias("alike"), F.sum("seen").alias("all_seen"), F.sum("good").alias("all_good"))
-        variable = (F.col("children") > CHILDREN) & (F.col("all_urls") < F.col("children") * PAGES)
-        pool = lambda c: F.when(variable, F.col(f"node_{c}")).otherwise(F.col(f"all_{c}"))  # noqa: B023, E731
-        share = (pool("good") + 1) / (pool("seen") + 2)
-        off = F.abs(F.col("good") / F.nullif(F.col("seen"), F.lit(0)) - share)
-        similar = (F.col("seen") == 0) | (off * off * F.col("seen") <= Z * Z * share * (1 - share))
-        merged = (variable | (F.col("alike") > 1)) & similar
-        name = F.when(merged & variable, F.lit("*")).when(merged, F.col("kind")).otherwise(F.col("here"))
-        step = kids.join(node, ["host", "template"]).join(side, ["host", "template", "kind"]).select("host", "template", "here", name.alias("step"))
-        rows = rows.join(step, ["host", "template", "here"], "left").withColumn("template", F.when(F.col("step").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "step"))).drop("here", "step")
-        rows = store.written(rows, "level", few=True)
-        if level:
-            store.drop(before)
-        before = rows
-    return rows.drop("segments")
+    rows = raw.withColumns({"rest": F.when(F.col("raw") == "", F.array().cast("array<string>")).otherwise(segments), "template": F.lit("")})
+    kept, done = [*raw.columns, "template"], []
+    while True:
+        ended = F.size("rest") == 0
+        done.append(rows.filter(ended).select(*kept))
+        live = rows.filter(~ended)
+        if live.isEmpty():
+            break
+        stem = live.groupBy("host", "template").agg(F.min("rest").alias("low"), F.max("rest").alias("high"))
+        parts = F.array_position(F.zip_with("low", "high", lambda x, y: x.eqNullSafe(y)), False)
+        stem = stem.select("host", "template", F.when(parts == 0, F.size("low")).otherwise(parts - 1).cast("int").alias("_same"))
+        same = F.col("_same") > 0
+        stemmed = live.join(stem, ["host", "template"]).withColumn("template", F.when(same, F.concat("template", F.lit("/"), F.array_join(F.slice("rest", F.lit(1), F.col("_same")), "/"))).otherwise(F.col("template")))
+        stemmed = store.written(stemmed.withColumn("rest", F.slice("rest", F.col("_same") + 1, F.size("rest"))).drop("_same"), "stem", few=True)
+        rows = store.written(_branched(stemmed).select(*kept, "rest"), "level", few=True)
+        store.drop(stemmed)
+    out = done[0]
+    for table in done[1:]:
+        out = out.unionByName(table)
+    return out
+
+
+def _branched(rows: DataFrame) -> DataFrame:
+    """Rows (host, template, rest) with the first of the rest's segments as a step of their templates."""
+    rows = rows.withColumn("here", F.get("rest", F.lit(0)))
+    kids = rows.filter(F.col("here").isNotNull()).groupBy("host", "template", "here").agg(*(F.sum(c).alias(c) for c in ("urls", "seen", "good")))
+    kids = kids.withColumn("kind", F.when(F.col("seen") == 0, "*new").when(F.col("good") / F.col("seen") < REJECT, "*low").otherwise("*"))
+    node = kids.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("urls").alias("all_urls"), F.max("urls").alias("most_urls"), F.sum("seen").alias("node_seen"), F.sum("good").alias("node_good"))
+    side = kids.groupBy("host", "template", "kind").agg(F.count("*").alias("alike"), F.sum("seen").alias("all_seen"), F.sum("good").alias("all_good"))
+    variable = (F.col("children") > CHILDREN) & (F.col("most_urls") * SHARE < F.col("all_urls"))
+    pool = lambda c: F.when(variable, F.col(f"node_{c}")).otherwise(F.col(f"all_{c}"))
+    share = (pool("good") + 1) / (pool("seen") + 2)
+    off = F.abs(F.col("good") / F.nullif(F.col("seen"), F.lit(0)) - share)
+    similar = (F.col("seen") == 0) | (off * off * F.col("seen") <= Z * Z * share * (1 - share))
+    merged = (variable | (F.col("alike") > 1)) & similar
+    name = F.when(merged & variable, F.lit("*")).when(merged, F.col("kind")).otherwise(F.col("here"))
+    step = kids.join(node, ["host", "template"]).join(side, ["host", "template", "kind"]).select("host", "template", "here", name.alias("step"))
+    moved = rows.join(step, ["host", "template", "here"], "left")
+    moved = moved.withColumn("template", F.when(F.col("step").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "step")))
+    return moved.withColumn("rest", F.slice("rest", 2, F.greatest(F.size("rest"), F.lit(1)))).drop("here", "step")
 
 
 def verdicts(tree: DataFrame) -> DataFrame:
@@ -129,7 +150,8 @@ def judge(pages: DataFrame, labels: DataFrame | None, rules=RULES) -> DataFrame:
     raw = store.written(templates(pages, labels), "templates", few=True)
     found = store.written(verdicts(generalise(raw)), "verdicts", few=True)
     store.drop(raw)
-    few = found.count() <= BROADCAST_TEMPLATES  # rows of a written table
+    size = found.agg(F.sum(64 + F.octet_length("host") + F.octet_length("raw") + F.octet_length("template"))).first()[0] or 0
+    few = size <= BROADCAST_BYTES
     host, path = host_of(), path_of()
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
     rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumns({"raw": raw_template(F.col("path")), "rule": rule, "action": action})
