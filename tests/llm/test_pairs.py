@@ -159,7 +159,7 @@ def test_tables_too_large_to_broadcast_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
     monkeypatch.setattr(embedding_dedup, "BLOCK", 7)
     before = [f() for f in answers]
-    for module, name in ((ngram_join, "BROADCAST_GROUPS"), (embedding_dedup, "BROADCAST_BUCKETS"), (url_filter, "BROADCAST_TEMPLATES"), (sharding, "BROADCAST_BUCKETS"), (packing, "BROADCAST_BINS")):
+    for module, name in ((ngram_join, "BROADCAST_GROUPS"), (embedding_dedup, "BROADCAST_BUCKETS"), (url_filter, "BROADCAST_BYTES"), (sharding, "BROADCAST_BUCKETS"), (packing, "BROADCAST_BINS")):
         monkeypatch.setattr(module, name, 0)
     assert [f() for f in answers] == before
 
@@ -185,6 +185,20 @@ def test_bitmaps_never_lose_a_link():
         assert differing <= len(np.setxor1d(x, y))
 
 
+def test_subsets_of_equal_numbers_stay_apart(spark):
+    """With six bits most subsets share their numbers; what links is decided by the words."""
+    rnd = random.Random(11)
+    docs = [(i, " ".join(f"w{rnd.randrange(10**6)}" for _ in range(11))) for i in range(200)]
+    near = [(1000 + i, docs[i][1] + f" w{i}") for i in range(30)] + [(2000 + i, f"v{i} " + docs[i][1]) for i in range(10)]
+    both = docs + near
+    frame = spark.createDataFrame(both, "doc_id long, text string").repartition(5)
+    for words, num, den in ((4, 80, 100),):
+        wanted = brute_components(both, words, num, den)
+        assert 200 <= len({c for _, _, c in wanted}) < len(both)
+        assert got(ngram_join.jaccard_components(frame, words, num, den)) == wanted
+        assert got(ngram_join.jaccard_components(frame, words, num, den, subset_bits=6)) == wanted
+
+
 # -- embeddings
 
 

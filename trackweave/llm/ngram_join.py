@@ -3,8 +3,9 @@
 A document is the set of its distinct word shingles; two link when ``den * |x & y| >= num * |x | y|``.
 
 *Light* sets (few shingles): every linked pair shares a subset of at least ``ceil(num/den * n)`` of
-either's elements, so all subsets of those sizes are enumerated and hashed; sets that meet in a subset
-overlap by it for certain, and in a subset's group a link to its smallest member connects all.
+either's elements, so all subsets of those sizes are enumerated and hashed; in a subset's group a link to
+its smallest member connects all, if the words agree with the number; else the group stays open, as below.
+Groups of subsets all of whose shingles are frequent are scanned in parts, as long lists are.
 
 *Heavy* sets: inverted lists over prefixes. In a common order of shingles (rare ones first) a linked
 pair shares one of either's first ``n - ceil(num/den * n) + 1``. The lists are scanned as sorted
@@ -193,10 +194,12 @@ FOUND = "kind int, token bigint, a bigint, b bigint"
 # -- pass 2: subsets of light sets, prefixes of heavy ones
 
 
-def _entries(docs: DataFrame, words: int, num: int, den: int, common: np.ndarray, hot: np.ndarray, light: int) -> DataFrame:
+def _entries(docs: DataFrame, words: int, num: int, den: int, common: np.ndarray, hot: np.ndarray, light: int, subset_bits: int) -> DataFrame:
     packed, packed_hot, salts = np.packbits(common), np.packbits(hot) if hot.any() else None, SALTS
     both_from = need(light + 1, num, den)
 
+    mask = (1 << subset_bits) - 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_common = np.unpackbits(packed).astype(bool)
         is_hot = None if packed_hot is None else np.unpackbits(packed_hot).astype(bool)
@@ -210,10 +213,12 @@ def _entries(docs: DataFrame, words: int, num: int, den: int, common: np.ndarray
                     continue
                 seen.add(key)
                 if n <= light:
-                    got = list(_subset_keys(u, need(n, num, den)))
-                    tokens.append(np.array([t for t, _ in got], np.uint64))
-                    overlap.append(np.array([c for _, c in got], np.int64))
-                    salt.append(np.zeros(len(got), np.int64))
+                    # a list can't be longer than those of all its shingles
+                    cold = u[:0] if is_hot is None else u[~is_hot[(u >> shift).astype(np.int64)]]
+                    got = list(_subset_keys(u, need(n, num, den), cold))
+                    tokens.append(np.array([t & mask for t, _, _ in got], np.uint64))
+                    overlap.append(np.array([c for _, c, _ in got], np.int64))
+                    salt.append(np.zeros(len(got), np.int64) if is_hot is None else np.where([w for _, _, w in got], 1 + key % salts, 0))
                     sizes.append((n, len(got)))
                     keys.append(key)
                 if n > light or n >= both_from:
@@ -234,13 +239,15 @@ def _entries(docs: DataFrame, words: int, num: int, den: int, common: np.ndarray
     return docs.mapInArrow(tx.tidy(run), ENTRY)
 
 
-def _subset_keys(u: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
-    """A number and the size of every subset of at least ``least`` elements."""
-    values = [int(x) for x in tx.mix64(u ^ tx.U64(0xA0761D6478BD642F))]
+def _subset_keys(u: np.ndarray, least: int, cold: np.ndarray) -> Iterator[tuple[int, int, bool]]:
+    """A number and the size of every subset of at least ``least`` elements, and whether it has none that is cold."""
+    scrambled = lambda x: [int(v) for v in tx.mix64(x ^ tx.U64(0xA0761D6478BD642F))]
+    values, colds = scrambled(u), scrambled(cold)
     whole, n = sum(values), len(values)
     for left_out in range(n - least + 1):
         for out in combinations(values, left_out):
-            yield (whole - sum(out) + 0x9E3779B97F4A7C15 * (n - left_out)) % (1 << 64), n - left_out
+            warm = len(colds) <= left_out and all(c in out for c in colds)
+            yield (whole - sum(out) + 0x9E3779B97F4A7C15 * (n - left_out)) % (1 << 64), n - left_out, warm
 
 
 # -- the scan of the lists
@@ -249,9 +256,9 @@ def _subset_keys(u: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
 def _scan(num: int, den: int):
     """Over rows sorted by token, salt, overlap, n, node: what links, what has to be checked, what stays open.
 
-    kind 0: nodes a, b are to be checked. 1: a and b link. 2: node a, of b elements, is in the list of
-    token, which has three members or more (two are settled by the check of kind 0) or is one of several
-    parts. 3: node a, of b elements, is a first member of a part.
+    kind 0: nodes a, b are to be checked. 2: node a, of b elements, is in the list of token, which has three
+    members or more (two are settled by the check of kind 0) or is one of several parts. 3: node a, of b
+    elements, is a first member of a part.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,18 +328,19 @@ def _lists(cols: list[np.ndarray], carry, num: int, den: int, goes_on: bool):
         drawn.append((d_node, d_n))
     pair = fresh & (node != first_node)
     linked = pair & (overlap > 0) & (den * overlap >= num * (n + first_n - overlap))
-    listed = fresh & (overlap == 0) & ((members > 2) | (salt > 0))
+    listed = fresh & ((members > 2) | (salt > 0))
     out, stars = [], []
-    for c_node, c_n, some in [(first_node, first_n, pair & (overlap == 0)), *((d_node[run_no], d_n[run_no], listed) for d_node, d_n in drawn)]:
+    for c_node, c_n, some in [(first_node, first_n, pair & (overlap == 0)), *((d_node[run_no], d_n[run_no], listed & (overlap == 0)) for d_node, d_n in drawn)]:
         check = some & (node != c_node) & (num * np.maximum(n, c_n) <= den * np.minimum(n, c_n))
         stars.append(np.column_stack((np.minimum(node[check], c_node[check]), np.maximum(node[check], c_node[check]))))
-    for kind, ab in ((0, np.concatenate(stars)), (1, np.column_stack((np.minimum(node[linked], first_node[linked]), np.maximum(node[linked], first_node[linked]))))):
-        if len(ab):
-            ab = np.unique(ab, axis=0)
-            out.append(_scan_batch(kind, None, ab[:, 0], ab[:, 1]))
+    # of light sets those that a subset links, unless its number is another subset's too
+    stars.append(np.column_stack((np.minimum(node[linked], first_node[linked]), np.maximum(node[linked], first_node[linked]))))
+    ab = np.unique(np.concatenate(stars), axis=0)
+    if len(ab):
+        out.append(_scan_batch(0, None, ab[:, 0], ab[:, 1]))
     if listed.any():
         out.append(_scan_batch(2, token[listed], node[listed], n[listed]))
-    dealt = (overlap == 0) & (salt > 0)
+    dealt = salt > 0
     if dealt.any():
         heads = np.unique(np.column_stack((token[dealt], first_node[dealt], first_n[dealt])), axis=0)
         out.append(_scan_batch(3, *np.ascontiguousarray(heads.T)))
@@ -611,11 +619,12 @@ def _pair_batch(held: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, subset_bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id of every row (see the module's text).
 
     Also ``component``, a number of the component that exists without any doc_id (null for empty sets),
-    and ``text_hash``, which tells apart texts of equal doc_id.
+    and ``text_hash``, which tells apart texts of equal doc_id. Subsets are numbered by ``subset_bits``
+    bits; fewer make more candidates and no other links.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = store.partitions_for(docs)
@@ -629,14 +638,14 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     light = boundary(sizes, num, den)
 
     scanned = lambda rows: rows.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "overlap", "n", "node").mapInArrow(tx.tidy(_scan(num, den)), FOUND)
-    scan = store.written(scanned(_entries(docs, words, num, den, common, hot, light)), "scan")
+    scan = store.written(scanned(_entries(docs, words, num, den, common, hot, light, subset_bits)), "scan")
     pairs = scan.filter("kind = 0").select("a", "b")
     if hot.any():
         heads = scan.filter("kind = 3").select("token", F.lit(0).alias("salt"), F.lit(0).alias("overlap"), F.col("b").cast("int").alias("n"), F.col("a").alias("node")).distinct()
         pairs = pairs.unionByName(scanned(heads).filter("kind = 0").select("a", "b"))
     checked = store.written(_fit(pairs.distinct(), classes, num, den), "checked", few=True)
     links, used = _verified(checked, classes, docs, words, num, den, parts)
-    links = store.written(links.unionByName(scan.filter("kind = 1").select("a", "b").distinct()), "links", few=True)
+    links = store.written(links, "links", few=True)
     found = components.components(links)
     spent = [*used, links]
 
