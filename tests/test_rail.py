@@ -397,13 +397,22 @@ def test_routes_skip_gaps(spark):
 
 
 def test_whole_routes(spark):
-    nodes = [{"type": "node", "id": i, "lat": 39.0 + i / 100, "lon": 117.0, "tags": {"name": n} if n else {}} for i, n in enumerate(["甲站", "", "乙"])]
-    way = {"type": "way", "id": 9, "nodes": [0, 1, 2], "geometry": [{"lat": n["lat"], "lon": n["lon"]} for n in nodes], "tags": {"railway": "subway"}}
+    metro = {"railway": "station", "station": "subway"}
+    nodes = [{"type": "node", "id": i, "lat": 39.0 + i / 100, "lon": 117.0, "tags": {"name": n, **metro} if n else {}} for i, n in enumerate(["甲站", "", "乙"])]
+    stop = {"type": "node", "id": 50, "lat": 39.02, "lon": 117.0, "tags": {"name": "甲", "highway": "bus_stop"}}
+    line = lambda i, *ids, **tags: {"type": "way", "id": i, "nodes": list(ids), "geometry": [{"lat": 39.0 + k / 100, "lon": 117.0} for k in ids], "tags": tags}
+    # the same places in two documents, and a road that is shorter
+    documents = [(response(stop, line(8, 0, 1, railway="subway"), line(7, 0, 2, highway="road")),), (response(nodes[0], line(9, 1, 2, railway="rail"), *nodes[1:]),)]
+    elems = el.elements(spark.createDataFrame(documents, "value string"))
     official = roster.roster(spark, {("c", "l"): {"stations": ["甲", "乙", "丙"]}})
-    stations, points = build.routes(parse(spark, *nodes, way), official, roster.overrides(spark))
-    assert [r.name for r in stations.orderBy("sequence").collect()] == ["甲", "乙"]
+    stations, points = build.routes(elems, official, roster.overrides(spark))
+    assert [(r.name, r.lat) for r in stations.orderBy("sequence").collect()] == [("甲", 39.0), ("乙", 39.02)]
     rows = points.orderBy("pt_pos").collect()
     assert [r.node for r in rows] == [0, 1, 2] and rows[0].distance == 0 and rows[2].distance > 2200
+    boxed = build.routes(elems, official, roster.overrides(spark), bbox=(38.9, 116.9, 39.005, 117.1))
+    assert [r.name for r in boxed[0].orderBy("sequence").collect()] == ["甲"]
+    anything, points = build.routes(elems, official, roster.overrides(spark), any_node=True)
+    assert anything.count() == 2 and {r.node for r in points.collect()} <= {0, 1, 2}
 
 
 def test_interchanges(spark):
@@ -594,13 +603,14 @@ def test_station_names_and_track_counts(spark):
     assert {r.doc_id: r.names for r in lines.station_names(stations).collect()} == {"d": ["a", "b"], "e": [None]}
 
 
-def test_distances_of_all_vertices(spark):
+def test_distances_of_all_seeds(spark):
     near = {}
     for r in catalog._whole_edges(spark, SMALL).collect():
         own = near.setdefault(r.src, {})
         own[r.dst] = min(r.distance, own.get(r.dst, r.distance))
     wanted = set()
-    for seed in near:
+    seeds = {r.start for r in catalog._way_ends(spark, SMALL).collect()}
+    for seed in seeds:
         least, heap = {}, [(0, seed)]
         while heap:
             d, node = heapq.heappop(heap)
@@ -610,7 +620,7 @@ def test_distances_of_all_vertices(spark):
                     heapq.heappush(heap, (d + w, other))
         wanted |= {(seed, node, d) for node, d in least.items()}
     found = [(r.seed, r.node, r.d) for r in catalog.QUERIES["q_shortest_path"](spark, SMALL).collect()]
-    assert len(found) == len(set(found)) and set(found) == wanted and len(near) > 5
+    assert len(found) == len(set(found)) and set(found) == wanted and len(seeds) > 5
 
 
 def test_station_order_takes_points_of_every_line(spark, monkeypatch):

@@ -46,6 +46,10 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--track", help="GeoJSON of the line; data/{city}_{line}.geojson if not given")
         else:
             p.add_argument("--elements", help="a saved response; asked for over HTTP if not given")
+            p.add_argument("--geocoder", help="another service to look the city up with")
+            p.add_argument("--mirrors", help="other services to ask for elements, comma-separated")
+        if name == "download":
+            p.add_argument("--pick", choices=("last", "first"), default="last", help="which of several relations stands for the line")
         p.add_argument("--output")
     return top
 
@@ -56,13 +60,14 @@ def _elements(spark, args, query_of):
 
     if args.elements:
         return el.read_elements(spark, args.elements)
-    answer = places.request(args.city)
-    rows = spark.createDataFrame([(args.city, answer)], "asked string, body string")
-    city = places.find_cities(spark.createDataFrame([(args.city,)], "wanted string"), places.places(rows)).first()
+    wanted = spark.createDataFrame([(args.city,)], "wanted string")
+    answers = places.asked_places(wanted, cities=True, service=args.geocoder or places.SERVICE)
+    city = places.find_cities(wanted, places.places(answers)).first()
     if city is None:
         raise SystemExit(f"no place named {args.city}")
     spark.dataSource.register(el.OverpassSource)
-    return el.elements(spark.read.format("overpass").option("query", query_of(city)).load())
+    source = spark.read.format("overpass").option("query", query_of(city))
+    return el.elements((source.option("mirrors", args.mirrors) if args.mirrors else source).load())
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -86,7 +91,11 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "download":
         box = lambda c: (c["south"], c["west"], c["north"], c["east"])
         elems = _elements(spark, args, lambda c: el.line_query(args.line, box(c)))
-        document = build.line_documents(elems).first()
+        if args.elements:
+            elems = el.of_line(elems, args.line)
+        document = build.line_documents(elems, args.pick).first()
+        if document is None:
+            raise SystemExit("the response has no elements")
         target = geojson.save(document["geojson"], args.output or geojson.file_name(args.city, args.line))
         print(f"{document['name']}: {target}")
     elif args.command == "list":

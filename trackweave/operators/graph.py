@@ -1,6 +1,7 @@
 """The rail graph: edges and vertices of tracks, nearest vertices, shortest paths, routes.
 
-``graph_id`` keeps several graphs (cities) apart in one table. Rail graphs are long chains, so paths are
+``graph_id`` keeps several graphs (cities) apart in one table, ``way_pos`` the ways, in order: a number, or a
+struct of document and number. Rail graphs are long chains, so paths are
 found by Dijkstra's method with one graph a task by default. Graphs that no task holds are cut into cells
 (:mod:`trackweave.operators.cutgraph`), or relaxed over joins, which takes chains out first.
 """
@@ -47,7 +48,7 @@ def vertices(tracks: DataFrame, railway: str | None = None, route: str | None =
     sound = filters.sound_ways(filters.tagged(tracks, railway, route))
     points = sound.select("graph_id", "way_pos", F.posexplode(F.arrays_zip("nodes", "geometry")).alias("pt_pos", "p"))
     first = keep_first(points.withColumn("node", F.col("p.nodes")), ["graph_id", "node"], ["way_pos", "pt_pos"])
-    return first.select("graph_id", "node", F.col("p.geometry.lng").alias("lng"), F.col("p.geometry.lat").alias("lat"), (F.col("way_pos").cast("long") * F.lit(1 << 32) + F.col("pt_pos")).alias("first_pos"))
+    return first.select("graph_id", "node", F.col("p.geometry.lng").alias("lng"), F.col("p.geometry.lat").alias("lat"), F.struct("way_pos", "pt_pos").alias("first_pos"))
 
 
 def counters(tracks: DataFrame, railway: str | None = None, route: str | None = None) -> DataFrame:

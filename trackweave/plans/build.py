@@ -23,10 +23,18 @@ def city_listing(elems: DataFrame) -> DataFrame:
     return lines.listed_lines(lines.relation_tags(elems), ["doc_id"]).orderBy("doc_id", *lines.listing_order())
 
 
-def routes(elems: DataFrame, roster: DataFrame, overrides: DataFrame, bbox=None, strict: bool = False, gap_aware: bool = False, close_loops: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Stations of the roster's lines, and the distance-stamped track points along them."""
-    stations = matching.route_stations(roster, filters.stations_in_bbox(el.stations(elems), bbox), overrides, strict)
-    tracks = el.tracks(elems).withColumn("graph_id", F.lit("map"))
+def routes(elems: DataFrame, roster: DataFrame, overrides: DataFrame, bbox=None, strict: bool = False, gap_aware: bool = False, close_loops: bool = False, any_node: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Stations of the roster's lines, and the distance-stamped track points along them.
+
+    Elements count as the queries for stations and tracks ask for them: metro stations, and ways of the track
+    kinds, in the box. With ``any_node`` every named node may be a station and every way a track.
+    """
+    if any_node:
+        found, tracks = filters.stations_in_bbox(el.stations(elems), bbox), el.tracks(elems)
+    else:
+        found, tracks = el.metro_stations(elems, bbox), el.rail_tracks(elems, bbox)
+    stations = matching.route_stations(roster, found, overrides, strict)
+    tracks = tracks.withColumns({"graph_id": F.lit("map"), "way_pos": F.struct("doc_id", "way_pos")})
     spots = stations.select(F.lit("map").alias("graph_id"), F.concat_ws(" ", "city", "line").alias("line_id"), "sequence", "lng", "lat")
     walked = graph.route(spots, graph.vertices(tracks), graph.edges(tracks), gap_aware, close_loops)
     return stations, lines.stamped(walked.drop("graph_id"))

@@ -85,6 +85,28 @@ def line_relations(elems: DataFrame, line: str, exact: bool = False) -> DataFram
     return elems.filter((F.col("type") == "relation") & filters.tag("route").isin(*filters.ROUTES_PARSED) & (name == line if exact else name.rlike(line)))
 
 
+def of_line(elems: DataFrame, line: str) -> DataFrame:
+    """Elements of a saved response without the relations of other lines, where any relation is the asked line's
+    (as :func:`line_relations` says); all of them where none is."""
+    asked = line_relations(elems, line).select("doc_id", "elem_pos").withColumn("_asked", F.lit(True))
+    some = asked.select("doc_id").distinct().withColumn("_some", F.lit(True))
+    rows = elems.join(asked, ["doc_id", "elem_pos"], "left").join(some, "doc_id", "left")
+    kept = (F.col("type") != "relation") | F.col("_asked").isNotNull() | F.col("_some").isNull()
+    return rows.filter(F.coalesce(kept, F.lit(True))).drop("_asked", "_some")
+
+
+def metro_stations(elems: DataFrame, bbox: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """As :func:`stations`, of the nodes that a station query asks for, in the box."""
+    return filters.stations_in_bbox(stations(elems.filter(filters.is_metro_station_node())), bbox)
+
+
+def rail_tracks(elems: DataFrame, bbox: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """As :func:`tracks`, of the ways that a track query asks for: of the track kinds, with a point in the box."""
+    rows = tracks(elems.filter(filters.tag("railway").isin(*filters.TRACK_KINDS)))
+    inside = F.exists("geometry", lambda p: filters.in_bbox(p["lat"], p["lng"], bbox)) if bbox else F.lit(True)
+    return rows.filter(inside)
+
+
 # -- query texts
 
 
