@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, unquote_plus, urlparse
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tests.test_rail import response
 from trackweave import cli
 from trackweave.sources import elements as el
-from trackweave.sources import geojson, geowrite, mapread, places
+from trackweave.sources import geojson, geowrite, jsonitems, mapread, places
 
 BOX = (38.0, 116.0, 39.0, 118.0)
 
@@ -180,3 +181,51 @@ def test_failed_jobs_leave_no_file(spark, tmp_path):
     spark.dataSource.register(geowrite.GeoJsonSink)
     with pytest.raises(Exception, match="columns are missing"):
         lines.write.format("geojson").mode("append").save(str(tmp_path / "out"))
+
+
+# -- large documents
+
+
+def odd_element(rnd, i):
+    words = ['"', "\\", "\\\\", "{", "}", "[", "]", "x", "é", "站", '"elements": [', "\n"]
+    name = "".join(rnd.choice(words) for _ in range(rnd.randrange(9)))
+    return {"type": "node", "id": i, "lat": i / 7, "lon": 1.0, "tags": {"name": name, "elements": "[{"}}
+
+
+def test_large_documents_are_read_in_ranges(spark, tmp_path):
+    rnd = random.Random(4)
+    for k in range(3):
+        head = {"osm3s": {"a": [{"b": 1}], "c": "elements"}, "other": [{"elements": [{"type": "node"}]}]}
+        document = head | {"elements": [odd_element(rnd, i) for i in range(60 * k)]} | {"last": [{"x": "}"}]}
+        (tmp_path / f"{k}.json").write_text(json.dumps(document, ensure_ascii=bool(k % 2), indent=(None, 1)[k // 2]), encoding="utf-8")
+    key = lambda df: sorted((r.doc_id.rsplit("/", 1)[1], r.elem_pos, r.id, r.lat, r.tags["name"]) for r in df.collect())
+    plain = key(el.read_elements(spark, str(tmp_path)))
+    assert len(plain) == 180
+    for size in (97, 1_000, 1 << 20):
+        assert key(el.read_large(spark, str(tmp_path), size)) == plain
+
+
+def test_ranges_begin_anywhere(tmp_path):
+    rnd = random.Random(5)
+    path = tmp_path / "one.json"
+    document = {"features": [odd_element(rnd, i) for i in range(12)] + [{"deep": [[{"a": "\\" * 600}]]}], "end": "\\"}
+    path.write_text(json.dumps(document), encoding="utf-8")
+    total = path.stat().st_size
+    for size in (1, 7, 64, 300, total):
+        cuts = [(a, min(total, a + size)) for a in range(0, total, size)]
+        parts = [jsonitems._Range(str(path), a, b, "features") for a, b in cuts]
+        states = jsonitems.begun([jsonitems.summary(p.tokens(p.start, p.end)) for p in parts])
+        found = []
+        for part, (inside, stack, before) in zip(parts, states, strict=True):
+            assert before == len(found)
+            found += [json.loads(x) for x in jsonitems.items(part, inside, stack)]
+        assert found == document["features"]
+
+
+def test_features_of_large_documents(spark, tmp_path):
+    point = lambda i: {"type": "Feature", "geometry": {"type": "Point", "coordinates": [i, 2.5]}, "properties": {"name": f"n{i}", "line": "L"}}
+    line = {"type": "Feature", "geometry": {"type": "LineString", "coordinates": [[i, i / 3] for i in range(500)]}, "properties": {"name": "L"}}
+    (tmp_path / "l.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [line, *map(point, range(40))]}), encoding="utf-8")
+    rows = lambda df: sorted(tuple(r)[1:] for r in df.collect())
+    large = geojson.large_features(spark, str(tmp_path), 512)
+    assert rows(large) == rows(geojson.features(spark, str(tmp_path))) and geojson.line_points(large).count() == 500

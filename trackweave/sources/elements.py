@@ -17,6 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from trackweave import schema
 from trackweave.operators import filters
 from trackweave.operators.rows import keep_last
+from trackweave.sources import jsonitems
 
 # Service addresses, attempts, pauses and time limits.
 MIRRORS = ("https://overpass-api.de/api/interpreter", "https://overpass.kumi.systems/api/interpreter", "https://overpass.private.coffee/api/interpreter")
@@ -40,6 +41,12 @@ def read_elements(spark: SparkSession, path: str) -> DataFrame:
     return elements(files, key="file")
 
 
+def read_large(spark: SparkSession, path: str, size: int = jsonitems.RANGE) -> DataFrame:
+    """As :func:`read_elements`, of files that may be larger than a text: element by element, in byte ranges."""
+    items = jsonitems.read_items(spark, path, "elements", size).withColumn("e", F.from_json("value", schema.ELEMENT))
+    return items.select(F.col("file").alias("doc_id"), F.col("pos").alias("elem_pos"), "e.*")
+
+
 def nodes(elems: DataFrame) -> DataFrame:
     """Nodes by id; of repeated ids the last counts, and those without id go."""
     return keep_last(elems.filter("type = 'node' AND id IS NOT NULL"), ["doc_id", "id"], ["elem_pos"])

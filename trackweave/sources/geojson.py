@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackweave.operators.rows import keep_last
+from trackweave.sources import jsonitems
 
-FEATURES = "features array<struct<type:string,geometry:string,properties:map<string,string>>>"
+FEATURE = "type string, geometry string, properties map<string,string>"
+FEATURE_TYPE = "struct<type:string,geometry:string,properties:map<string,string>>"
 
 
 def features(spark: SparkSession, path: str) -> DataFrame:
@@ -18,9 +20,18 @@ def features(spark: SparkSession, path: str) -> DataFrame:
     return parsed_features(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value"))
 
 
+def large_features(spark: SparkSession, path: str, size: int = jsonitems.RANGE) -> DataFrame:
+    """As :func:`features`, of files that may be larger than a text: feature by feature, in byte ranges."""
+    return _fields(jsonitems.read_items(spark, path, "features", size).select("file", "pos", F.from_json("value", FEATURE).alias("f")))
+
+
 def parsed_features(texts: DataFrame) -> DataFrame:
     """As :func:`features`, of texts (file, value)."""
-    rows = texts.select("file", F.from_json("value", FEATURES).alias("doc")).select("file", F.posexplode("doc.features").alias("pos", "f"))
+    rows = texts.select("file", F.from_json("value", f"features array<{FEATURE_TYPE}>").alias("doc")).select("file", F.posexplode("doc.features").alias("pos", "f"))
+    return _fields(rows)
+
+
+def _fields(rows: DataFrame) -> DataFrame:
     return rows.select("file", "pos", F.get_json_object("f.geometry", "$.type").alias("kind"), F.try_element_at("f.properties", F.lit("name")).alias("name"), F.try_element_at("f.properties", F.lit("line")).alias("line"), F.get_json_object("f.geometry", "$.coordinates").alias("coordinates"))
 
 
