@@ -69,6 +69,8 @@ def test_rosters(spark):
     assert counts == {("天津", "3号线"): 22, ("大连", "13号线"): 12, ("北京", "2号线"): 18}
     assert [r.station for r in roster.station_list(spark, "大连", "13号线").collect()][:2] == ["九里", "十三里"]
     assert roster.station_list(spark, "大连", "1号线").count() == 0
+    held = roster.located(roster.roster(spark), roster.overrides(spark)).filter("lat IS NOT NULL").collect()
+    assert [(r.station, r.lat, r.lng) for r in held] == [("张兴庄", 39.1675, 117.1989)]
     assert roster.line("北京", "2号线")["loop"] and roster.city("天津")["id"] == "CN_TJ" and roster.city("x") is None
 
 
@@ -485,8 +487,12 @@ def test_every_line_is_referenced(spark):
         t = max(0.0, min(1.0, ((p[0] - a[0]) * dx + (p[1] - a[1]) * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
         return math.dist(p, (a[0] + dx * t, a[1] + dy * t))
 
-    wanted = {(line, n): min(off((n * 4 + 0.25, n * 3 + 0.5), a, b) for a, b in zip(pts, pts[1:], strict=False)) for line, pts in tracks.items() if len(pts) > 1 for n in range(25)}
-    found = {(r.line_id, r.n_nationkey): r.off_line for r in catalog.QUERIES["q_project"](spark, SMALL).collect()}
+    wanted = {}
+    for r in catalog.track_events(spark, SMALL).select("line_id", "event_id", "k").collect():
+        pts, spot = tracks[r.line_id], (r.k * 37 % 100 + 3.25, r.k * 59 % 100 - 1.5)
+        if len(pts) > 1:
+            wanted[r.line_id, r.event_id] = min(off(spot, a, b) for a, b in zip(pts, pts[1:], strict=False))
+    found = {(r.line_id, r.event_id): r.off_line for r in catalog.QUERIES["q_project"](spark, SMALL).collect()}
     assert found.keys() == wanted.keys() and max(line for line, _ in found) >= 10
     assert all(abs(found[k] - wanted[k]) <= 0.00051 for k in wanted)
 

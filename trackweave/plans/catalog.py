@@ -241,11 +241,11 @@ _LEGS = """pts as (
 
 
 def q_project(spark, sf_dir):
-    """Each nation on every line: how far off it is, and how far along."""
-    legs = cut_lineage(track.legs(_planar(spark, sf_dir)))
-    nations = table(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_nationkey") * 4 + 0.25).cast("double").alias("px"), (F.col("n_nationkey") * 3 + 0.5).cast("double").alias("py"))
-    spots = legs.select("line_id").distinct().join(F.broadcast(nations))  # 25 rows
-    return track.referenced(spots, legs, ["n_nationkey"]).select("line_id", "n_nationkey", F.round("off", 3).alias("off_line"), F.round("along", 2).alias("along"))
+    """Each event's place, moved a little, on the line of its user: how far off it is, and how far along."""
+    planar = _planar(spark, sf_dir)
+    legs = cut_lineage(track.legs(planar))
+    spots = planar.select("line_id", F.col("pt_pos").alias("event_id"), (F.col("x") + 3.25).alias("px"), (F.col("y") - 1.5).alias("py"))
+    return track.referenced(spots, legs, ["event_id"]).select("line_id", "event_id", F.round("off", 3).alias("off_line"), F.round("along", 2).alias("along"))
 
 
 def q_resample(spark, sf_dir):
@@ -415,16 +415,16 @@ select pair_pos, cast(pt_pos as integer) as pt_pos, node, round(sum(step) over (
   stamped as (select *, coalesce({STEP}, 0e0) as step from moved)
 select line_id, cast(pt_pos as integer) as pt_pos, node, round(round(sum(step) over (partition by line_id order by pt_pos rows unbounded preceding), 2), 1) as distance from stamped""",
     "q_project": f"""with {EVENTS}, {_LEGS},
-  spots as (select l as line_id, n_nationkey, n_nationkey * 4 + 0.25e0 as px, n_nationkey * 3 + 0.5e0 as py from nation, (select distinct line_id as l from legs)),
+  spots as (select line_id, pt_pos as event_id, x + 3.25e0 as px, y - 1.5e0 as py from pts),
   shares as (
-    select s.line_id, n_nationkey, px, py, x, y, x2, y2, pt_pos, cum, length,
+    select s.line_id, event_id, px, py, x, y, x2, y2, pt_pos, cum, length,
       case when (x2 - x) * (x2 - x) + (y2 - y) * (y2 - y) = 0 then 0e0
         else greatest(0e0, least(1e0, ((px - x) * (x2 - x) + (py - y) * (y2 - y)) / ((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)))) end as t
     from spots s join legs on s.line_id = legs.line_id),
   far as (
     select *, sqrt((px - (x + (x2 - x) * t)) * (px - (x + (x2 - x) * t)) + (py - (y + (y2 - y) * t)) * (py - (y + (y2 - y) * t))) as off from shares)
-select line_id, n_nationkey, round(off, 3) as off_line, round(cum + t * length, 2) as along from far
-qualify row_number() over (partition by line_id, n_nationkey order by round(off, 6), pt_pos) = 1""",
+select line_id, event_id, round(off, 3) as off_line, round(cum + t * length, 2) as along from far
+qualify row_number() over (partition by line_id, event_id order by round(off, 6), pt_pos) = 1""",
     "q_resample": f"""with {EVENTS}, {_LEGS},
   ranges as (
     select line_id, 10.5e0 as low, floor(max(cum + length)) as high, line_id % 2 = 1 as turned, max(pt_pos) as last_pos from legs group by line_id),

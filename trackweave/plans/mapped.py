@@ -268,13 +268,13 @@ def q_export_table(spark, sf_dir):
 
 
 def q_station_scores(spark, sf_dir):
-    """Every nation's name, written three ways, against every region's nations' names by score."""
-    nation = table(spark, sf_dir, "nation")
-    k = F.col("n_nationkey") % 3
-    asked = nation.select(F.col("n_nationkey").alias("key"), F.when(k == 0, F.concat("n_name", F.lit("车站"))).when(k == 1, F.concat(F.lit("地铁"), "n_name", F.lit("站"))).otherwise(F.concat(F.lit(" 轨道交通"), "n_name")).alias("asked"))
-    known = nation.select(F.col("n_nationkey").alias("other"), F.concat("n_name", F.lit("站点")).alias("known"))
-    score = text.station_score(F.col("asked"), F.col("known"))
-    return asked.join(F.broadcast(known)).select("key", "other", score.alias("score"))  # 25 rows each
+    """Every part's brand, written three ways, against the next part's, cut short for some, by score."""
+    part = table(spark, sf_dir, "part")
+    k = F.col("p_partkey") % 3
+    asked = part.select(F.col("p_partkey").alias("key"), F.when(k == 0, F.concat("p_brand", F.lit("车站"))).when(k == 1, F.concat(F.lit("地铁"), "p_brand", F.lit("站"))).otherwise(F.concat(F.lit(" 轨道交通"), "p_brand")).alias("asked"))
+    short = F.when(F.col("p_partkey") % 5 < 3, F.substring("p_brand", 1, 7)).otherwise(F.col("p_brand"))
+    known = part.select((F.col("p_partkey") - 1).alias("key"), F.concat(short, F.lit("站点")).alias("known"))
+    return asked.join(known, "key").select("key", text.station_score(F.col("asked"), F.col("known")).alias("score"))
 
 
 def q_places(spark, sf_dir):
@@ -292,9 +292,11 @@ def q_places(spark, sf_dir):
 
 
 def q_roster(spark, sf_dir):
-    """The rosters' stations with what overrides them."""
-    known = roster.overrides(spark)
-    return roster.roster(spark).join(F.broadcast(known), ["city", "line", "station"], "left").select("city", "line", "sequence", "station", "lat", "lng")
+    """Customers as stations of lines, a nation's market segments, in order; those in debt have coordinates."""
+    customer = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("city"), F.col("c_mktsegment").alias("line"), F.col("c_name").alias("station"), "c_custkey", "c_acctbal")
+    listed = customer.groupBy("city", "line").agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "station"))), lambda s: s["station"]).alias("stations"))
+    known = customer.filter("c_acctbal < 0").select("city", "line", "station", lat("c_custkey").alias("lat"), lng("c_custkey").alias("lng"))
+    return roster.located(roster.of_lists(listed), known).withColumns({"lat": F.round("lat", 3), "lng": F.round("lng", 3)})
 
 
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q_")}
@@ -302,8 +304,6 @@ QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q_
 
 # -- the same in SQL
 
-_ROSTER = ", ".join(f"('{city}', '{line}', {i}, '{name}')" for (city, line), own in roster.LINES.items() for i, name in enumerate(own["stations"], 1))
-
 _FILES = f"""{EVENTS},
   spots as (
     select line_id, 'start' as name, 117e0 + (cast(line_id % 90 as double) / 1000 + 0.00037e0) as lng, 38.9e0 + (cast(line_id % 90 as double) / 700 + 0.00041e0) as lat, count(*) + 2 as pos from track_events group by line_id
@@ -418,9 +418,10 @@ union all select cast(line_id as varchar), name, cast(pos as integer), round(lng
 select cast(line_id as varchar) as line_id, i, round(lng, 8) as lng, round(lat, 8) as lat from v_3""",
     "q_export_table": f"""{_EXPORT}
 select '13号线#' || i as label, round(lng, 8) as lng, round(lat, 8) as lat from v_3""",
-    "q_station_scores": """with asked as (
-    select n_nationkey as key, n_name as a from nation), known as (select n_nationkey as other, n_name as b from nation)
-select key, other, case when a = b then 100 when contains(a, b) or contains(b, a) then 80 else 0 end as score from asked cross join known""",
+    "q_station_scores": """with pairs as (
+    select x.p_partkey as key, x.p_brand as a, case when y.p_partkey % 5 < 3 then substr(y.p_brand, 1, 7) else y.p_brand end as b
+    from part x join part y on y.p_partkey = x.p_partkey + 1)
+select key, case when a = b then 100 when contains(a, b) or contains(b, a) then 80 else 0 end as score from pairs""",
     "q_places": """with known as (
     select case n_nationkey % 3 when 0 then n_name when 1 then n_name || '市' else n_name || ' 中国' end as asked, n_nationkey / 2e0 as lat, (n_nationkey + 100) / 2e0 as lng,
       (n_nationkey + 1) / 2e0 as north, case when n_nationkey % 5 <> 4 then (n_nationkey + 2) / 2e0 end as west
@@ -430,6 +431,6 @@ select key, other, case when a = b then 100 when contains(a, b) or contains(b, a
     union all select n_name, 1, unnest([n_name, n_name || '市', n_name || ' 中国']), unnest([0, 1, 2]) from nation)
 select wanted, known.asked as name, lat, lng, case when city = 1 then north end as north, case when city = 1 then west end as west
 from tries join known on known.asked = tries.asked where city = 0 or west is not null qualify row_number() over (partition by wanted, city order by try) = 1""",
-    "q_roster": f"""select city, line, sequence, station, case when station = '张兴庄' then 39.1675e0 end as lat, case when station = '张兴庄' then 117.1989e0 end as lng
-from (values {_ROSTER}) r(city, line, sequence, station)""",
+    "q_roster": f"""select cast(c_nationkey as varchar) as city, c_mktsegment as line, cast(row_number() over (partition by c_nationkey, c_mktsegment order by c_custkey) as integer) as sequence, c_name as station,
+  case when c_acctbal < 0 then round({sql_lat("c_custkey")}, 3) end as lat, case when c_acctbal < 0 then round({sql_lng("c_custkey")}, 3) end as lng from customer""",
 }

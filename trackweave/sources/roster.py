@@ -36,6 +36,17 @@ def roster(spark: SparkSession, lines: dict | None = None) -> DataFrame:
     return spark.createDataFrame(rows, schema.ROSTER)
 
 
+def of_lists(lines: DataFrame) -> DataFrame:
+    """As :func:`roster`, of a table of lines (city, line, stations)."""
+    rows = lines.select("city", "line", F.posexplode("stations").alias("at", "station"))
+    return rows.select("city", "line", (F.col("at") + 1).alias("sequence"), "station")
+
+
+def located(stations: DataFrame, known: DataFrame) -> DataFrame:
+    """Roster rows with the coordinates that override the map's, null where none do."""
+    return stations.join(known.select("city", "line", "station", "lat", "lng"), ["city", "line", "station"], "left").select("city", "line", "sequence", "station", "lat", "lng")
+
+
 def station_list(spark: SparkSession, city: str, line: str) -> DataFrame:
     """The stations of one line in order; none for an unknown line."""
     return roster(spark).filter((F.col("city") == city) & (F.col("line") == line)).orderBy("sequence")
