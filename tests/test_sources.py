@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tests.test_rail import response
 from trackweave import cli
 from trackweave.sources import elements as el
-from trackweave.sources import geojson, geowrite, jsonitems, mapread, places
+from trackweave.sources import geojson, geowrite, jsonitems, mapread, places, roster
 
 BOX = (38.0, 116.0, 39.0, 118.0)
 
@@ -145,6 +145,21 @@ def test_command_line_asks_for_city_and_line(spark, served, tmp_path):
         cli.main(["list", "--city", "nowhere", "--geocoder", service.url, "--mirrors", service.url])
 
 
+def test_command_line_walks_a_route(spark, served, tmp_path, monkeypatch):
+    monkeypatch.setitem(roster.LINES, ("城", "1号线"), {"stations": ["甲", "乙", "丙"]})
+    node = lambda i, name: {"type": "node", "id": i, "lat": 1.0 + i / 100, "lon": 3.0, "tags": {"name": name, "railway": "station", "subway": "yes"}}
+    way = {"type": "way", "id": 9, "nodes": [0, 1, 2], "geometry": [{"lat": 1.0 + i / 100, "lon": 3.0} for i in range(3)], "tags": {"railway": "subway"}}
+    service = served(elements=lambda query: [node(0, "甲站"), node(2, "乙")] if "node" in query else [way], hits={"城": hit()})
+    target = tmp_path / "route.geojson"
+    assert cli.main(["route", "--city", "城", "--line", "1号线", "--geocoder", service.url, "--mirrors", service.url, "--strict", "--gap-aware", "--output", str(target)]) == 0
+    box = (1.0, 3.0, 2.0, 4.0)
+    assert set(service.queries) == {el.station_query(box), el.track_query(box)}
+    made = json.loads(target.read_text(encoding="utf-8"))["features"]
+    assert [f["properties"]["name"] for f in made] == ["1号线", "甲", "乙"] and made[0]["geometry"]["coordinates"] == [[3.0, 1.0], [3.0, 1.01], [3.0, 1.02]]
+    with pytest.raises(SystemExit, match="no roster"):
+        cli.main(["route", "--city", "城", "--line", "2号线", "--geocoder", service.url, "--mirrors", service.url])
+
+
 def test_saved_responses_give_the_asked_line(spark, tmp_path):
     relation = lambda i, name: {"type": "relation", "id": i, "tags": {"route": "subway", "name": name}, "members": []}
     saved, target = tmp_path / "saved.json", tmp_path / "line.geojson"

@@ -57,14 +57,14 @@ def counters(tracks: DataFrame, railway: str | None = None, route: str | None =
     return tracks.agg(F.count("*").alias("tracks")).join(sound.agg(F.count("*").alias("ways"), F.coalesce(F.sum(F.size("nodes")), F.lit(0)).alias("raw_nodes"))).join(sound.select(F.explode("nodes").alias("n")).agg(F.count_distinct("n").alias("nodes")))
 
 
-def nearest_vertices(stations: DataFrame, verts: DataFrame, station: list[str]) -> DataFrame:
+def nearest_vertices(stations: DataFrame, verts: DataFrame, station: list[str], few: int | None = None) -> DataFrame:
     """station keys, node: the vertex of the station's graph that is nearest in degrees, the first of equals.
 
-    Few stations go to every vertex and each task keeps one candidate a station; many walk down a packed
-    tree of boxes over the vertices (:mod:`trackweave.operators.boxtree`), so that density doesn't matter.
+    Few stations (``few``, or BROADCAST_STATIONS) go to every vertex and each task keeps one candidate a station;
+    many walk down a packed tree of boxes over the vertices (:mod:`trackweave.operators.boxtree`), so that density doesn't matter.
     """
     spots = stations.select("graph_id", *station, F.col("lng").alias("s_lng"), F.col("lat").alias("s_lat"))
-    if spots.count() <= BROADCAST_STATIONS:
+    if spots.count() <= (BROADCAST_STATIONS if few is None else few):
         return _nearest(verts.join(F.broadcast(spots), "graph_id"), station).drop("d")
     return _nearest(near_vertices(spots, verts, station), station).drop("d")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -94,20 +94,24 @@ def running(blocks: DataFrame, value: Column, line: list[str], order: list[str],
 # -- tables
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows as a table in the checkpoint folder of the session; a local session without one gets a
-    temporary one.
-
-    A table rather than a checkpoint: a checkpoint hands on what the optimizer has inferred about its
-    columns, which in loops of joins grows from round to round.
-    """
-    context = df.sparkSession.sparkContext
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the checkpoint folder of the session; a local session without one gets a temporary one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         found = context.getConf().get("spark.checkpoint.dir")
         if not found and not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         context.setCheckpointDir(found or tempfile.mkdtemp(prefix="trackweave-"))
-    path = f"{context.getCheckpointDir()}/rows-{uuid.uuid4().hex}"
+    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows as a table in the checkpoint folder.
+
+    A table rather than a checkpoint: a checkpoint hands on what the optimizer has inferred about its
+    columns, which in loops of joins grows from round to round.
+    """
+    path = shared_path(df.sparkSession, "rows")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -5,15 +5,15 @@ Those over map responses are in :mod:`trackweave.plans.mapped`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackweave.functions import geo, text
 from trackweave.operators import filters, graph, lines, matching, track
-from trackweave.operators.rows import cut_lineage, drop_consecutive, keep_first, keep_last
+from trackweave.operators.rows import cut_lineage, drop_consecutive, keep_first, keep_last, shared_path
 from trackweave.plans import build, mapped
 from trackweave.plans.tables import BOX, EVENTS, STEP, lat, lng, sampled_line, sql_lat, sql_lng, staged, table, track_events, tracks
-from trackweave.sources import geojson
+from trackweave.sources import geojson, geowrite
 
 
 def q_bbox_filter(spark, sf_dir):
@@ -148,6 +148,13 @@ def q_nearest_node(spark, sf_dir):
     return graph.nearest_vertices(spots, graph.vertices(tracks(spark, sf_dir)), ["s_suppkey"]).select("s_suppkey", "node")
 
 
+def q_nearest_many(spark, sf_dir):
+    """Every customer's nearest part in its graph, by the tree; parts' places repeat, so the first of equals."""
+    verts = table(spark, sf_dir, "part").select((F.col("p_size") % 3).alias("graph_id"), F.col("p_partkey").alias("node"), lng("p_partkey").alias("lng"), lat("p_partkey").alias("lat"), F.col("p_partkey").alias("first_pos"))
+    spots = table(spark, sf_dir, "customer").select((F.col("c_nationkey") % 3).alias("graph_id"), "c_custkey", (lng("c_custkey") + 0.0004).alias("lng"), (lat("c_custkey") + 0.0003).alias("lat"))
+    return graph.nearest_vertices(spots, verts, ["c_custkey"], few=0).select("c_custkey", "node")
+
+
 def q_station_order(spark, sf_dir):
     points = sampled_line(spark, sf_dir)
     stations = table(spark, sf_dir, "nation").select((F.col("n_nationkey") % 20).cast("long").alias("line_id"), F.col("n_nationkey").alias("pos"), "n_name", (lng("n_nationkey") + 0.0004).alias("lng"), (lat("n_nationkey") + 0.0003).alias("lat"))
@@ -261,15 +268,32 @@ def q_utm(spark, sf_dir):
     return back.select("p_partkey", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), F.round("lng", 6).alias("lng"), F.round("lat", 6).alias("lat"))
 
 
-def q_geojson(spark, sf_dir):
+def _documents(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Users as lines with their tracks, the first ones with a region's nations as stations."""
     users = table(spark, sf_dir, "events").select(F.col("user_id").alias("line_id")).distinct()
     stops = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("line_id"), F.col("n_nationkey").alias("pos"), F.col("n_name").alias("name"), F.round(lng("n_nationkey"), 3).alias("lng"), F.round(lat("n_nationkey"), 3).alias("lat"))
     named = users.union(stops.select("line_id")).distinct().withColumn("name", F.concat(F.lit("Line "), F.col("line_id").cast("string")))
-    made = geojson.collections(named, stops, sampled_line(spark, sf_dir))
+    return named, stops, sampled_line(spark, sf_dir)
+
+
+def _features(feats: DataFrame, line: Column) -> DataFrame:
+    kept = feats.withColumn("flat", F.when(F.col("kind") == "Point", F.array(F.from_json("coordinates", "array<double>"))).otherwise(F.from_json("coordinates", "array<array<double>>")))
+    return kept.select(line.alias("line_id"), F.col("pos").alias("i"), "kind", "name", "line", F.size("flat").alias("n_points"), F.round(F.get(F.get("flat", F.size("flat") - 1), F.lit(0)), 3).alias("lng"))
+
+
+def q_geojson(spark, sf_dir):
+    """Each line's document as a text, read again feature by feature."""
+    made = geojson.collections(*_documents(spark, sf_dir))
     parsed = geojson.parsed_features(made.select(F.col("line_id").cast("string").alias("file"), F.col("geojson").alias("value")))
-    kept = parsed.withColumn("flat", F.when(F.col("kind") == "Point", F.array(F.from_json("coordinates", "array<double>"))).otherwise(F.from_json("coordinates", "array<array<double>>")))
-    return kept.select(F.col("file").alias("line_id"), F.col("pos").alias("i"), "kind", "name", "line", F.size("flat").alias("n_points"), F.round(F.get(F.get("flat", F.size("flat") - 1), F.lit(0)), 3).alias("lng"))
+    return _features(parsed, F.col("file"))
+
+
+def q_geojson_files(spark, sf_dir):
+    """Each line's document as a file that tasks write, read again in byte ranges."""
+    named, stops, points = _documents(spark, sf_dir)
+    folder = shared_path(spark, "documents")
+    geowrite.write(named, stops, folder, points)
+    return _features(geojson.large_features(spark, folder), F.regexp_extract("file", r"([^/]*)\.geojson$", 1))
 
 
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q_")} | mapped.QUERIES
@@ -369,6 +393,10 @@ select cast(sequence as integer) as sequence, station from normal n where not ex
   spots as (select s_suppkey, {sql_lng("s_suppkey")} + 0.0004e0 as x, {sql_lat("s_suppkey")} + 0.0003e0 as y from supplier)
 select s_suppkey, node from spots cross join verts
 qualify row_number() over (partition by s_suppkey order by sqrt((x - lng) * (x - lng) + (y - lat) * (y - lat)), line_id, ts) = 1""",
+    "q_nearest_many": f"""with verts as (select p_size % 3 as graph_id, p_partkey as node, {sql_lng("p_partkey")} as lng, {sql_lat("p_partkey")} as lat from part),
+  spots as (select c_nationkey % 3 as graph_id, c_custkey, {sql_lng("c_custkey")} + 0.0004e0 as x, {sql_lat("c_custkey")} + 0.0003e0 as y from customer)
+select c_custkey, node from spots join verts on verts.graph_id = spots.graph_id
+qualify row_number() over (partition by c_custkey order by sqrt((x - lng) * (x - lng) + (y - lat) * (y - lat)), node) = 1""",
     "q_station_order": f"""with {EVENTS},
   stations as (
     select n_nationkey % 20 as line_id, n_nationkey as pos, n_name, {sql_lng("cast(n_nationkey as bigint)")} + 0.0004e0 as x, {sql_lat("cast(n_nationkey as bigint)")} + 0.0003e0 as y from nation),
@@ -450,3 +478,4 @@ select p_partkey, round(x, 2) as x, round(y, 2) as y, round(lng, 6) as lng, roun
     union all select line_id, pos, 'Point', name, 'Line ' || line_id, 1, lng from numbered)
 select cast(line_id as varchar) as line_id, cast(row_number() over (partition by line_id order by pos) - 1 as integer) as i, kind, name, line, cast(n as integer) as n_points, lng from feats""",
 } | mapped.ORACLES
+ORACLES["q_geojson_files"] = ORACLES["q_geojson"]

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from trackweave.sources.jsonitems import opened
+
 HEAD, POINT, STATION = 0, 1, 2
 COLUMNS = ("line_id", "part", "pos", "name", "label", "lng", "lat")
 
@@ -29,12 +31,6 @@ class Staged(WriterCommitMessage):
     files: list[str]
 
 
-def _open(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
-
-
 class GeoJsonSink(DataSource):
     """``write.format("geojson").save(folder)`` of rows as :func:`rows_of` makes them."""
 
@@ -53,7 +49,7 @@ class GeoJsonWriter(DataSourceArrowWriter):
         self.path, self.job = path, f"_staging-{uuid.uuid4().hex}"
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Staged:
-        files, root = _open(self.path)
+        files, root = opened(self.path)
         own = f"{root}/{self.job}/{TaskContext.get().partitionId()}-{TaskContext.get().taskAttemptId()}"
         files.create_dir(own)
         names, text = [], None
@@ -97,7 +93,7 @@ class GeoJsonWriter(DataSourceArrowWriter):
         return Staged(own, names)
 
     def commit(self, messages: list[Staged | None]) -> None:
-        files, root = _open(self.path)
+        files, root = opened(self.path)
         for message in messages:
             for name in message.files if message else ():
                 files.move(f"{message.folder}/{name}", f"{root}/{name}")
@@ -106,7 +102,7 @@ class GeoJsonWriter(DataSourceArrowWriter):
     def abort(self, messages: list[Staged | None]) -> None:
         from pyarrow import fs
 
-        files, root = _open(self.path)
+        files, root = opened(self.path)
         if files.get_file_info(f"{root}/{self.job}").type != fs.FileType.NotFound:
             files.delete_dir(f"{root}/{self.job}")
 

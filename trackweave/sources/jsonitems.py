@@ -28,16 +28,19 @@ def files_of(path: str) -> list[tuple[str, int]]:
     """The files at a path (a file or a folder, of any file system that Arrow reads) and their sizes."""
     from pyarrow import fs
 
-    files, root = _opened(path)
+    files, root = opened(path)
     info = files.get_file_info(root)
     found = [info] if info.is_file else [f for f in files.get_file_info(fs.FileSelector(root)) if f.is_file]
     scheme = path.split("://")[0] + "://" if "://" in path else ""
     return sorted((scheme + f.path, f.size) for f in found)
 
 
-def _opened(path: str):
+def opened(path: str):
+    """The file system of a path or URI, and the path in it."""
     from pyarrow import fs
 
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
@@ -46,7 +49,7 @@ class _Range:
     array of the key."""
 
     def __init__(self, path: str, start: int, end: int, key: str):
-        files, name = _opened(path)
+        files, name = opened(path)
         self.file, self.start, self.end = files.open_input_file(name), start, end
         self.key = re.compile(rb'"' + re.escape(key.encode()) + rb'"\s*:\s*$')
 
@@ -144,7 +147,8 @@ def read_items(spark: SparkSession, path: str, key: str, size: int = RANGE) -> D
     """
     ranges = [(name, start, min(total, start + size)) for name, total in files_of(path) for start in range(0, total, size)]
     schema = "file string, start long, end long"
-    tasks = max(1, len(ranges))
+    # small files share tasks
+    tasks = max(1, min(len(ranges), sum(end - start for _, start, end in ranges) // size + spark.sparkContext.defaultParallelism))
 
     def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
