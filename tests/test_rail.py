@@ -5,6 +5,8 @@ import inspect
 import json
 import math
 import random
+import zipfile
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -307,7 +309,18 @@ def test_export(spark, feats, tmp_path):
         assert (row.lng, row.lat) == pytest.approx(where[name], abs=2e-7)
     labels = geojson.labelled(build.exported(feats, "stop 11", "stop 3"), "L")
     path = geojson.save_table(labels, str(tmp_path / "x" / "out.xlsx"), "L")
-    assert open(path, encoding="utf-8").readline().strip() == "名称,经度,纬度" if path.endswith("csv") else path
+    assert path.endswith("out.xlsx")
+    with zipfile.ZipFile(path) as book:
+        sheet = ElementTree.fromstring(book.read("xl/worksheets/sheet1.xml"))
+        names = ElementTree.fromstring(book.read("xl/workbook.xml"))
+    tag = lambda name: "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}" + name
+    cells = [["".join(c.itertext()) for c in row] for row in sheet.iter(tag("row"))]
+    assert cells[0] == ["名称", "经度", "纬度"] and len(cells) == len(rows) + 1
+    assert [(c[0], float(c[1]), float(c[2])) for c in cells[1:]] == [(f"L#{r.i}", r.lng, r.lat) for r in rows]
+    assert [int(c.get("width")) for c in sheet.iter(tag("col"))] == [3 + max(len(c[k]) for c in cells) for k in range(3)]
+    assert [x.get("name") for x in names.iter(tag("sheet"))] == ["L轨迹"]
+    path = geojson.save_table(labels, str(tmp_path / "x" / "out.csv"), "L")
+    assert open(path, encoding="utf-8").readline().strip() == "名称,经度,纬度"
     assert build.exported(feats, "stop 11", "nowhere").count() == 0
 
 

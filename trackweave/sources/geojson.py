@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 from pathlib import Path
+from xml.sax.saxutils import escape, quoteattr
+from zipfile import ZIP_DEFLATED, ZipFile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,24 +97,52 @@ def labelled(samples: DataFrame, line: str) -> DataFrame:
     return samples.orderBy("line_id", "i").select(F.concat(F.lit(LABEL.format(line=line)), F.col("i").cast("string")).alias(name), F.col("lng").alias(lng), F.col("lat").alias(lat))
 
 
+#: Rows that a sheet can have, and what its name can't.
+SHEET_ROWS, NOT_IN_NAMES = 1_048_576, "[]:*?/\\"
+
+
 def save_table(rows: DataFrame, path: str, line: str) -> str:
-    """One line's export: a workbook where openpyxl is there and the name asks for it, else CSV."""
-    table = rows.toPandas()
+    """One line's export, as a workbook where the name asks for it, else as CSV.
+
+    The rows of one sheet come to the driver, as many as a sheet can have; more are an error in a workbook.
+    """
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     if path.endswith(".xlsx"):
-        try:
-            from openpyxl import Workbook
-        except ModuleNotFoundError:
-            path = path.removesuffix(".xlsx") + ".csv"
-        else:
-            book = Workbook()
-            sheet = book.active
-            sheet.title = SHEET.format(line=line)
-            for row in (table.columns.tolist(), *table.itertuples(index=False)):
-                sheet.append(list(row))
-            for column in sheet.columns:
-                sheet.column_dimensions[column[0].column_letter].width = 3 + max(len(str(c.value)) for c in column if c.value)
-            book.save(path)
-            return path
-    table.to_csv(path, index=False)
+        table = rows.limit(SHEET_ROWS).toPandas()  # one more than fit below the header
+        if len(table) == SHEET_ROWS:
+            raise ValueError(f"a sheet has no more than {SHEET_ROWS} rows")
+        _workbook(path, SHEET.format(line=line), [table.columns.tolist(), *table.itertuples(index=False)])
+    else:
+        rows.toPandas().to_csv(path, index=False)
     return path
+
+
+def _workbook(path: str, title: str, rows: list) -> None:
+    """One sheet of texts and numbers, its columns as wide as their longest value and three more."""
+    title = "".join("_" if c in NOT_IN_NAMES else c for c in title)[:31]
+    text = lambda v: "" if v is None or v != v else v if isinstance(v, str) else repr(float(v))
+    widths = [3 + max(len(text(row[i])) for row in rows) for i in range(len(rows[0]))]
+
+    def cell(v) -> str:
+        if isinstance(v, str):
+            return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>'
+        return f"<c><v>{text(v)}</v></c>" if text(v) else "<c/>"
+
+    main, office, head = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships", '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+    package, kind = "http://schemas.openxmlformats.org/package/2006", "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    link = lambda target, what: f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{office}/{what}" Target="{target}"/></Relationships>'
+    parts = {
+        "[Content_Types].xml": f'{head}<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}.worksheet+xml"/></Types>',
+        "_rels/.rels": link("xl/workbook.xml", "officeDocument"),
+        "xl/workbook.xml": f'{head}<workbook xmlns="{main}" xmlns:r="{office}"><sheets><sheet name={quoteattr(title)} sheetId="1" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": link("worksheets/sheet1.xml", "worksheet"),
+    }
+    with ZipFile(path, "w", ZIP_DEFLATED) as book:
+        for name, body in parts.items():
+            book.writestr(name, body)
+        with book.open("xl/worksheets/sheet1.xml", "w") as sheet:
+            cols = "".join(f'<col min="{i}" max="{i}" width="{w}" customWidth="1"/>' for i, w in enumerate(widths, 1))
+            sheet.write(f'{head}<worksheet xmlns="{main}"><cols>{cols}</cols><sheetData>'.encode())
+            for row in rows:
+                sheet.write(f"<row>{''.join(map(cell, row))}</row>".encode())
+            sheet.write(b"</sheetData></worksheet>")
