@@ -224,12 +224,18 @@ def _contracted(light: DataFrame, seeds: DataFrame) -> tuple[DataFrame, list[Dat
     while True:
         pairs = light.filter("src <> dst").select(F.col("src").alias("u"), F.col("dst").alias("v"))
         pairs = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-        degrees = pairs.groupBy("u").agg(F.count("*").alias("n"))
-        thin = cut_lineage(degrees.join(seeds, F.col("u") == F.col("seed"), "left_anti").filter("n <= 2").select("u", F.xxhash64(F.lit(len(taken)), "u").alias("h")))
+        stays = seeds.select(F.col("seed").alias("u"), F.lit(True).alias("stays"))
+        degrees = cut_lineage(pairs.groupBy("u").agg(F.count("*").alias("n")).join(stays, "u", "left"))
+        is_thin = (F.col("n") <= 2) & F.col("stays").isNull()
+        nodes, thin_nodes = degrees.agg(F.count("*"), F.count(F.when(is_thin, 1))).first()
+        if 10 * thin_nodes < nodes or not thin_nodes:
+            return light, taken
+        thin = cut_lineage(degrees.filter(is_thin).select("u", F.xxhash64(F.lit(len(taken)), "u").alias("h")))
+        free(degrees)
         beside = pairs.join(thin, "u").join(thin.select(F.col("u").alias("v"), F.col("h").alias("g")), "v")
         held_back = beside.filter((F.col("g") < F.col("h")) | ((F.col("g") == F.col("h")) & (F.col("v") < F.col("u")))).select("u").distinct()
         chosen = cut_lineage(thin.join(held_back, "u", "left_anti").select(F.col("u").alias("node")))
-        if 10 * chosen.count() < degrees.count() or chosen.isEmpty():
+        if 10 * (picked := chosen.count()) < nodes or not picked:
             return light, taken
         into = light.filter("src <> dst").join(chosen, F.col("dst") == F.col("node"), "left_semi")
         out = light.filter("src <> dst").join(chosen, F.col("src") == F.col("node"), "left_semi")

@@ -22,6 +22,7 @@ from trackweave.sources import geojson, places, roster
 
 #: Keys a document: of parts, users and orders.
 PARTS, USERS, ORDERS = 53, 4, 400
+WAY_KINDS = ("subway", "light_rail", "rail", "tram")
 #: Kinds of elements; members come with relations.
 ALL = ("node", "way", "relation", "members")
 
@@ -51,8 +52,11 @@ def _nodes(spark, sf_dir) -> DataFrame:
 
 def _ways(spark, sf_dir) -> DataFrame:
     events = track_events(spark, sf_dir).groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("ts", "k", "lng", "lat"))).alias("p"), F.min("event_type").alias("railway"))
+    # every other way is of a kind by its number
+    kinds = F.array(*map(F.lit, WAY_KINDS))
+    kind = F.when(F.col("line_id") % 2 == 0, F.col("railway")).otherwise(F.get(kinds, (F.floor(F.col("line_id") / 2) % len(WAY_KINDS)).cast("int")))
     shape = F.when(F.col("line_id") % 3 != 0, F.transform("p", lambda x: F.struct(x["lat"].alias("lat"), x["lng"].alias("lon"))))
-    way = F.struct(F.lit("way").alias("type"), F.col("line_id").alias("id"), F.transform("p", lambda x: x["k"]).alias("nodes"), shape.alias("geometry"), _tags(railway=F.col("railway"), name=F.concat(F.lit("way "), F.col("line_id").cast("string"))).alias("tags"))
+    way = F.struct(F.lit("way").alias("type"), F.col("line_id").alias("id"), F.transform("p", lambda x: x["k"]).alias("nodes"), shape.alias("geometry"), _tags(railway=kind, name=F.concat(F.lit("way "), F.col("line_id").cast("string"))).alias("tags"))
     return events.select(_doc("line_id", USERS).alias("doc"), (F.col("line_id") * 13 + 1).alias("pos"), F.lit(1).alias("kind"), F.to_json(way).alias("e"))
 
 
@@ -112,7 +116,8 @@ def _mapped(*kinds: str) -> str:
       p_size % 3 = 0 as rail, p_size % 4 = 0 as metro, p_size % 5 = 0 as yes
     from placed join part on kind = 0 and id = p_partkey),
   ways as (
-    select doc, elem_pos, p.id, min(event_type) as railway, count(*) as n from placed p join track_events e on kind = 1 and p.id = line_id group by doc, elem_pos, p.id),
+    select doc, elem_pos, p.id, case when p.id % 2 = 0 then min(event_type) else {list(WAY_KINDS)}[p.id // 2 % {len(WAY_KINDS)} + 1] end as railway, count(*) as n
+    from placed p join track_events e on kind = 1 and p.id = line_id group by doc, elem_pos, p.id),
   relations as (
     select doc, elem_pos, o_orderkey as id, ['subway', 'light_rail', 'tram', 'railway', 'bus'][o_custkey % 5 + 1] as route,
       case when o_custkey % 23 <> 0 then case when o_custkey % 9 = 8 then '地铁 ' else '' end || 'Line ' || (o_custkey % 40) || ':' || o_orderstatus end as name,
@@ -173,6 +178,12 @@ def q_tracks(spark, sf_dir):
     return found.select("doc_id", "way_pos", "id", "name", "railway", F.coalesce("service", F.lit("none")).alias("service"), F.size("nodes").alias("n_nodes"), F.size("geometry").alias("n_points"), F.round(F.get("geometry", F.size("geometry") - 1)["lng"], 3).alias("last_lng"))
 
 
+def q_rail_tracks(spark, sf_dir):
+    """What a track query asks for: ways of the track kinds with a point in the box."""
+    found = el.rail_tracks(elements(spark, sf_dir, "way"), BOX)
+    return found.select("doc_id", "way_pos", "id", "railway", F.size("geometry").alias("n_points"))
+
+
 def q_track_count(spark, sf_dir):
     return el.track_count(elements(spark, sf_dir, "way"))
 
@@ -352,6 +363,10 @@ select 'd' || doc as doc_id, cast(elem_pos as integer) as way_pos, id, 'way ' ||
   cast(case when id % 3 <> 0 then n else 0 end as integer) as n_points,
   case when id % 3 <> 0 then round((select arg_max(lng, ts) from track_events e where e.line_id = ways.id), 3) end as last_lng
 from ways where n >= 2""",
+    "q_rail_tracks": f"""with {_mapped('way')}
+select 'd' || doc as doc_id, cast(elem_pos as integer) as way_pos, id, railway, cast(n as integer) as n_points from ways
+where n >= 2 and id % 3 <> 0 and railway in ('subway', 'light_rail', 'rail')
+  and exists (select 1 from track_events e where e.line_id = ways.id and lat between {BOX[0]} and {BOX[2]} and lng between {BOX[1]} and {BOX[3]})""",
     "q_track_count": f"with {_mapped('way')} select 'd' || doc as doc_id, count(*) as tracks from ways where n >= 2 and id % 3 <> 0 group by doc",
     "q_metro_stations": f"""with {_mapped('node')}
 select 'd' || doc as doc_id, cast(elem_pos as integer) as cand_pos, name, round(lat, 3) as lat, round(lng, 3) as lng from nodes where name <> '' and rail and (metro or yes)""",
