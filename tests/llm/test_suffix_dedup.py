@@ -91,6 +91,72 @@ def test_maximal_repeats_remove_the_same(spark):
     assert found == {3: [(0, 1), (0, 4), (1, 1)]}
 
 
+@pytest.mark.parametrize("hot", [20_000, 10])
+def test_groups_of_a_table(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "CHUNK_ROWS", 50)
+    texts = random_texts(hot + 1, 40)
+    raw = [t.encode() for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    groups: dict = {}
+    for r in suffix_dedup.repeat_groups(docs).collect():
+        groups.setdefault((r.group_id, r.length, r.whole), []).append((r.doc_id, r.start))
+    told = {}
+    for (_, length, whole), where in groups.items():
+        strings = {raw[k][i : i + length] for k, i in where}
+        assert len(strings) == 1 and len(where) == len(set(where)) > 1
+        (string,) = strings
+        assert len(string) == length >= suffix_dedup.LEAST and string not in told
+        told[string] = whole, sorted(where)
+    # every group has all occurrences of its bytes
+    for string, (_, where) in told.items():
+        assert where == [(k, i) for k, t in enumerate(raw) for i in range(len(t) - len(string) + 1) if t.startswith(string, i)]
+    # what ends on both sides inside an anchor's surroundings is a maximal repeat of the texts
+    maximal = {raw[w[0][0]][w[0][1] : w[0][1] + n]: sorted(w) for n, w in suffix_dedup.maximal_repeats(raw)}
+    found = {s: w for s, (whole, w) in told.items() if whole}
+    assert found and all(maximal.get(s) == w for s, w in found.items())
+    # and what isn't the first of its group is what brute force removes
+    gone = suffix_dedup.removed_by([(len(s), w) for s, (_, w) in told.items()], raw)
+    for a, b in zip(gone, brute(raw), strict=True):
+        assert (a == b).all()
+
+
+def test_groups_are_the_maximal_repeats_around_an_anchor():
+    rnd = random.Random(5)
+    for n in (2, 3, 7, 40):
+        rows = sorted({bytes(rnd.choice(b"ab") if abs(i - 76) % 25 == 24 else 97 for i in range(176)) for _ in range(n)})
+        left, right = np.full(len(rows), 76), np.full(len(rows), 100)
+        around = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, 176)
+        wanted = set()
+        for i in range(len(rows)):
+            for j in range(i):
+                l = next((k for k in range(76) if rows[i][75 - k] != rows[j][75 - k]), 76)
+                r = next((k for k in range(100) if rows[i][76 + k] != rows[j][76 + k]), 100)
+                if l + r >= 100 and r >= 24:
+                    wanted.add((l, r, tuple(k for k in range(len(rows)) if rows[k][76 - l : 76 + r] == rows[i][76 - l : 76 + r])))
+        found = []
+        for members, sizes, ls, rs in suffix_dedup.anchored_groups(np.zeros(len(rows), np.int64), left, right, around):
+            for m, l, r in zip(np.split(members, np.cumsum(sizes)[:-1]), ls.tolist(), rs.tolist(), strict=True):
+                found.append((l, r, tuple(sorted(m.tolist()))))
+        assert len(found) == len(set(found)) and set(found) == wanted
+
+
+def test_zero_bytes_at_the_end_are_bytes(spark):
+    rnd = random.Random(6)
+    base = "".join(rnd.choices("abcdefgh", k=140))
+    texts = [base + "\0" * 30, base, base + "\0" * 50, base + "\0" * 40 + "x", "q" + base + "\0" * 60 + "y"]
+    raw = [t.encode() for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert got(suffix_dedup.digests(docs)) == sorted((str(i), *digest(r, g)) for i, (r, g) in enumerate(zip(raw, brute(raw), strict=True)))
+
+
+def test_groups_take_odd_tables(spark):
+    every = cases.tables(spark)
+    rows = suffix_dedup.repeat_groups(every["odd"].withColumn("group_id", F.lit("clash")).withColumn("spans", F.lit("clash"))).collect()
+    assert {8, 9, 10} <= {r.doc_id for r in rows} and 3 not in {r.doc_id for r in rows}
+    assert suffix_dedup.repeat_groups(every["empty"]).count() == 0
+
+
 def test_intervals_nest():
     assert list(suffix_dedup.intervals([0, 2, 3, 1, 0, 4])) == [(3, 1, 2), (2, 0, 2), (1, 0, 3), (4, 4, 5)]
     assert list(suffix_dedup.intervals([], 1)) == []

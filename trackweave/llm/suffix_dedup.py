@@ -3,14 +3,16 @@
 The core is the common-prefix interval tree of an enhanced suffix array: suffixes in order, the lengths
 of the prefixes that neighbours share, and one scan with a stack that closes an interval wherever the
 shared length drops. An interval whose members differ in what stands to their left is a maximal repeat
-with all its occurrences. :func:`maximal_repeats` does this for texts at hand.
+with all its occurrences. :func:`maximal_repeats` does this for texts at hand, :func:`repeat_groups` for a
+table, and :func:`with_spans` takes from such groups which bytes repeat.
 
 Over a table, the suffix array is sparse and dealt out by content. Every string of LEAST bytes has an
 anchor in it, the k-gram of least hash, which depends on the string alone; so equal strings meet at
 equal anchors, and only suffixes at anchors are sorted, each with the bytes around it in which such a
 string can lie. For an anchor's suffixes, every interval of the tree gives the length R shared to the
-right; ordering its members by what stands to their left gives for each the longest extension L that it
-shares with an earlier one; L + R >= LEAST marks the bytes. Anchors that occur once cost one row.
+right; its members ordered by what stands to their left make a tree of left extensions, whose intervals of
+length L that differ on both sides are the groups; of those with L + R >= LEAST, all occurrences but the
+first are marked. Anchors that occur once cost one row.
 
 An anchor's row carries a hash of those surroundings. Of equal surroundings all but the earliest are
 repeats as a whole, which settles the inside of repeated passages without their bytes: in each task
@@ -145,6 +147,13 @@ def _slide(x: np.ndarray, width: int, op) -> np.ndarray:
     return op(x[: len(x) - (width - done)], x[width - done :]) if width > done else x
 
 
+def _least_grams(prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of the k-gram at each place, and the least hash in the LEAST bytes from each place."""
+    at = np.arange(len(prefix) - GRAM)
+    grams = tx.span_hashes(prefix, at, at + GRAM)
+    return grams, _slide(grams, LEAST - GRAM + 1, np.minimum)
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places in the bytes of texts end to end that are the anchor of some LEAST bytes, and their hashes;
     and the prefix hashes of the bytes."""
@@ -152,9 +161,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     prefix = tx.prefix_hashes(data)
     if n < LEAST:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), prefix
-    at = np.arange(n - GRAM + 1)
-    grams = tx.span_hashes(prefix, at, at + GRAM)
-    least = _slide(grams, choice, np.minimum)
+    grams, least = _least_grams(prefix)
     ends = np.repeat(offsets[1:], np.diff(offsets))[: len(least)]
     least[np.arange(len(least)) + LEAST > ends] = 0
     padded = np.concatenate((np.zeros(choice - 1, np.uint64), least, np.zeros(choice - 1, np.uint64)))
@@ -172,6 +179,7 @@ def _surroundings(prefix, place, start, end) -> tuple[np.ndarray, np.ndarray, np
 # MARK: the anchor is hot; below that: -2 - pos of a hot anchor; SPAN: bytes [anchor, ctx) are repeats.
 ANCHORS = "way bigint, anchor bigint, ctx bigint, id bigint, tie bigint, spot bigint"
 MARK, SPAN = -1, -(1 << 62)
+OCCURRENCES = "anchor bigint, ctx bigint, id bigint, tie bigint, spot bigint"
 
 
 def _stretches(offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
@@ -183,9 +191,9 @@ def _stretches(offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
             yield i, j, at, min(last, at + step)
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-    size = docs = 0
+def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Every anchor: its hash, its surroundings', id, tie, pos, bytes to the right, and a number of its document."""
+    docs = 0
     for b in batches:
         data, offsets = tx.flat(b.column("text"))
         ids, ties = b.column("id").to_numpy(), b.column("tie").to_numpy()
@@ -198,9 +206,21 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place, h = place[inside], h[inside]
             text = np.searchsorted(own, place, side="right") - 1
             ctx, _, right = _surroundings(prefix, place, own[text], own[text + 1])
-            held.append((h.view(np.int64), ctx, ids[i + text], ties[i + text], place - own[text], right, docs + i + text))
-            size += len(h)
+            yield h.view(np.int64), ctx, ids[i + text], ties[i + text], place - own[text], right, docs + i + text
         docs += b.num_rows
+
+
+def _every_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for anchor, ctx, ids, ties, pos, right, _ in _anchored(batches):
+        yield from _rows(anchor, ctx, ids, ties, 256 * pos + right, names=OCCURRENCES)
+
+
+def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    size = 0
+    for found in _anchored(batches):
+        held.append(found)
+        size += len(found[0])
         if size > CHUNK_ANCHORS:
             yield from _anchor_batches(held)
             held, size = [], 0
@@ -298,9 +318,10 @@ def _found(cols: list[np.ndarray], hot_on: int | None) -> Iterator[pa.RecordBatc
 AROUND = "way bigint, kind int, id bigint, tie bigint, pos int, left int, right int, around binary"
 
 
-def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _around(batches: Iterator[pa.RecordBatch], merge: bool = True) -> Iterator[pa.RecordBatch]:
     """Rows of AROUND. kind 0: an anchor with its surroundings; 1: one string of LEAST bytes of a hot one,
-    the earliest that this task has; 2: repeated bytes [pos, pos + right).
+    the earliest that this task has (without ``merge`` all whose own anchor is hot); 2: repeated bytes
+    [pos, pos + right).
     """
     spots, strings = [], []
     size = 0
@@ -345,13 +366,18 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     k = slice(*np.searchsorted(begin, (first_byte, first_byte + tx.BATCH_BYTES)))
                     if k.stop > k.start:
                         prefix = tx.prefix_hashes(at[first_byte : first_byte + tx.BATCH_BYTES + LEAST])
-                        h = tx.span_hashes(prefix, begin[k] - first_byte, begin[k] - first_byte + LEAST)
-                        strings.append((h, ids[t[k]], ties[t[k]], begin[k] - s[k]))
+                        own_begin, doc, pos = begin[k] - first_byte, t[k], begin[k] - s[k]
+                        if not merge:
+                            grams, least = _least_grams(prefix)
+                            near = p[(p >= first_byte) & (p < first_byte + len(grams))] - first_byte
+                            kept = np.isin(least[own_begin], grams[near])
+                            own_begin, doc, pos = own_begin[kept], doc[kept], pos[kept]
+                        strings.append((tx.span_hashes(prefix, own_begin, own_begin + LEAST), ids[doc], ties[doc], pos))
                 size += len(begin) // 8
         if size > 2 * CHUNK_ROWS:
-            yield from _merged(spots, strings)
+            yield from _merged(spots, strings, merge)
             spots, strings, size = [], [], 0
-    yield from _merged(spots, strings)
+    yield from _merged(spots, strings, merge)
 
 
 def _unnested(column: pa.Array, *fields: str) -> tuple[np.ndarray, ...]:
@@ -372,12 +398,12 @@ def _earliest(h, ids, ties, pos) -> tuple[np.ndarray, np.ndarray]:
     return order[new], order[~same]
 
 
-def _merged(spots: list, strings: list) -> Iterator[pa.RecordBatch]:
+def _merged(spots: list, strings: list, merge: bool) -> Iterator[pa.RecordBatch]:
     if spots:
         yield from _around_batches(0, *(np.concatenate([s[i] for s in spots]) for i in range(7)))
     if strings:
         h, ids, ties, pos = (np.concatenate([s[i] for s in strings]) for i in range(4))
-        first, later = _earliest(h, ids, ties, pos)
+        first, later = _earliest(h, ids, ties, pos) if merge else (np.arange(len(h)), np.zeros(0, np.int64))
         for kind, at, way in ((1, first, h.view(np.int64)), (2, later, ids)):
             yield from _around_batches(kind, way[at], ids[at], ties[at], pos[at], np.zeros(len(at), np.int64), np.full(len(at), LEAST), None)
 
@@ -393,8 +419,8 @@ def _around_batches(kind, way, ids, ties, pos, left, right, around) -> Iterator[
 # -- the sparse suffix array of each anchor
 
 
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, tie, first, last: bytes that repeat something earlier, from AROUND rows sorted by kind and way."""
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of AROUND rows sorted by kind and way, rows of one kind and way together."""
     rest: list[np.ndarray] | None = None
     for b in batches:
         blobs = np.zeros((b.num_rows, _WIDE), np.uint8)
@@ -408,12 +434,18 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))
         last = int(cut[-1]) + 1 if len(cut) else 0
         if last >= CHUNK_ROWS // 2:
-            yield _span_batch([c[:last] for c in cols])
+            yield [c[:last] for c in cols]
             rest = [c[last:] for c in cols]
         else:
             rest = cols
     if rest is not None:
-        yield _span_batch(rest)
+        yield rest
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, tie, first, last: bytes that repeat something earlier, from AROUND rows sorted by kind and way."""
+    for cols in _chunks(batches):
+        yield _span_batch(cols)
 
 
 def _span_batch(cols: list[np.ndarray]) -> pa.RecordBatch:
@@ -439,6 +471,47 @@ def _span_batch(cols: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ties[at]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["id", "tie", "first", "last"])
 
 
+GROUPS = "anchor bigint, id bigint, tie bigint, pos bigint, left bigint, right bigint, group bigint, size bigint"
+
+
+def _rule(prefix: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For how many places to the left and right of each of n anchors no k-gram has a smaller hash."""
+    before, behind = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for i in range(0, n, 5_000):
+        at = np.arange(i, min(n, i + 5_000))[:, None] * _WIDE + np.arange(_WIDE - GRAM + 1)
+        grams = tx.span_hashes(prefix, at.ravel(), at.ravel() + GRAM).reshape(at.shape)
+        smaller = grams < grams[:, _LEFT : _LEFT + 1]
+        for out, part in ((before, smaller[:, :_LEFT][:, ::-1]), (behind, smaller[:, _LEFT + 1 :])):
+            out[i : i + len(at)] = np.where(part.any(axis=1), part.argmax(axis=1), part.shape[1])
+    return before, behind
+
+
+def _group_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of GROUPS from AROUND rows sorted by kind and way: each group's occurrences, of surroundings that
+    differ; and each of the surroundings as a group of its own (size 1), for those that occur again.
+
+    A group is told only at anchors of strings inside it, since all its occurrences have those.
+    """
+    for cols in _chunks(batches):
+        zero = np.flatnonzero(cols[0] == 0)
+        if not len(zero):
+            continue
+        _, way, ids, ties, pos, left, right, around = (c[zero] for c in cols)
+        prefix = tx.prefix_hashes(around.ravel())
+        before, behind = _rule(prefix, len(way))
+        alone = np.flatnonzero(left + right >= LEAST)
+        ones = (alone, np.ones(len(alone), np.int64), left[alone], right[alone])
+        for row, sizes, l, r in (ones, *anchored_groups(way, left, right, around)):
+            l, r = l.astype(np.int64), r.astype(np.int64)
+            member = row[np.cumsum(sizes) - sizes]
+            told = np.minimum(before[member], l) + np.minimum(behind[member], r - GRAM) >= LEAST - GRAM
+            row, member, sizes, l, r = row[np.repeat(told, sizes)], member[told], sizes[told], l[told], r[told]
+            middle = member * _WIDE + _LEFT
+            key = tx.span_hashes(prefix, middle - l, middle + r).view(np.int64)
+            l, r, key, many = (np.repeat(x, sizes) for x in (l, r, key, sizes))
+            yield from _rows(way[row], ids[row], ties[row], pos[row], l, r, key, many, names=GROUPS)
+
+
 def _joined(doc: np.ndarray, first: np.ndarray, last: np.ndarray):
     """Overlapping or touching spans of a document made one."""
     order = np.lexsort((first, doc))
@@ -461,84 +534,104 @@ def _agree(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     return np.minimum(at, most)
 
 
-def anchored_repeats(anchor, ids, ties, pos, left, right, around) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For occurrences of anchors: (row, L, R) where bytes [pos - L, pos + R) repeat an earlier occurrence's."""
+def _left_first(rows: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+    """The order of padded byte rows; of equal ones the shorter first, so that neighbours share the most."""
+    return np.argsort(np.ascontiguousarray(np.concatenate((rows, size[:, None].astype(np.uint8)), axis=1)).view(f"S{width + 1}").ravel(), kind="stable")
+
+
+def anchored_groups(anchor, left, right, around) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Maximal repeats of LEAST bytes or more around equal anchors, each with all its occurrences.
+
+    Yields (rows, sizes, L, R): the groups' occurrences end to end, and for each group how many they are and
+    that bytes [pos - L, pos + R) are the repeat. An interval of the tree shares R bytes to the right; its
+    members ordered by what stands to their left make a tree of left extensions, in which an interval of
+    length L is diverse to the left: its members differ in the byte before, or a text starts there. It is a
+    group where they differ behind R too, that is, lie in several children of the right interval. Of groups
+    that share R and a member, those with longer L come first.
+    """
     big = anchor.astype(">i8").view(np.uint8).reshape(-1, 8)
     rights, lefts = around[:, _LEFT:], around[:, _LEFT - 1 :: -1] if _LEFT else around[:, :0]
-    order = np.argsort(np.ascontiguousarray(np.concatenate((big, rights), axis=1)).view(f"S{8 + LEAST}").ravel(), kind="stable")
-    anchor, ids, ties, pos, left, right = (x[order] for x in (anchor, ids, ties, pos, left, right))
-    rights, lefts = rights[order], lefts[order]
-    age = np.empty(len(order), np.int64)
-    age[np.lexsort((pos, ties, ids))] = np.arange(len(order))
+    order = _left_first(np.concatenate((big, rights), axis=1), right, 8 + LEAST)
+    anchor, left, right, rights, lefts = (x[order] for x in (anchor, left, right, rights, lefts))
     shared = np.zeros(len(order), np.int64)
     both = anchor[1:] == anchor[:-1]
     shared[1:][both] = _agree(rights[1:][both], rights[:-1][both], np.minimum(right[1:][both], right[:-1][both]))
     starts = np.flatnonzero(np.concatenate(([True], ~both)))
     sizes = np.diff(np.append(starts, len(order)))
-    out = []
     # anchors with two occurrences have one interval each
     i = starts[sizes == 2]
     if len(i):
-        l = _agree(lefts[i], lefts[i + 1], np.minimum(left[i], left[i + 1]))
-        r, row = shared[i + 1], np.where(age[i] > age[i + 1], i, i + 1)
+        l, r = _agree(lefts[i], lefts[i + 1], np.minimum(left[i], left[i + 1])), shared[i + 1]
         keep = l + r >= LEAST
-        out.append((row[keep], l[keep], r[keep]))
+        if keep.any():
+            yield order[np.stack((i[keep], i[keep] + 1), axis=1).ravel()], np.full(int(keep.sum()), 2), l[keep], r[keep]
+    held: list[tuple[np.ndarray, list[int], list[int], list[int]]] = []
+    size = 0
     for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-        rows = np.arange(s, s + n)
-        by_left = np.argsort(np.ascontiguousarray(lefts[rows]).view(f"S{max(1, _LEFT)}").ravel(), kind="stable")
         rank = np.empty(n, np.int64)
-        rank[by_left] = np.arange(n)
-        lengths = shared[s : s + n].tolist()
+        rank[_left_first(lefts[s : s + n], left[s : s + n], _LEFT)] = np.arange(n)
+        lengths = shared[s : s + n].copy()
         lengths[0] = 0
-        for r, first, last in intervals(lengths, GRAM):
-            own = rows[first : last + 1]
-            own = own[np.argsort(rank[own - s])]
-            extends = [0, *_agree(lefts[own[1:]], lefts[own[:-1]], np.minimum(left[own[1:]], left[own[:-1]])).tolist()]
-            best = np.array(_earlier_extension(age[own].tolist(), extends))
-            keep = best + r >= LEAST
-            if keep.any():
-                out.append((own[keep], best[keep], np.full(int(keep.sum()), r)))
-    if not out:
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    row, l, r = (np.concatenate([o[i] for o in out]) for i in range(3))
-    return order[row], l, r
-
-
-def _earlier_extension(age: list[int], extends: list[int]) -> list[int]:
-    """For members ordered by what stands left of them: the most that each shares there with an older one.
-
-    The nearest older member on either side shares the most; two scans with a stack of ages find it.
-    ``extends[i]`` is what members i - 1 and i share. -1 where no member is older.
+        for r, first, last in intervals(lengths.tolist(), GRAM):
+            child = np.concatenate(([0], np.cumsum(lengths[first + 1 : last + 1] == r)))
+            by_left = np.argsort(rank[first : last + 1])
+            own, child = s + first + by_left, child[by_left]
+            extends = _agree(lefts[own[1:]], lefts[own[:-1]], np.minimum(left[own[1:]], left[own[:-1]]))
+            # one more than what is shared, so that nothing to the left is an interval as well
+            found = [(l - 1, i, j + 1) for l, i, j in intervals([0, *(extends + 1).tolist()], LEAST - r + 1) if (child[i : j + 1] != child[i]).any()]
+            if found:
+                members = np.concatenate([own[i:j] for _, i, j in found])
+                held.append((order[members], [j - i for _, i, j in found], [l for l, _, _ in found], [r] * len(found)))
+                size += len(members)
+            if size > 2 * CHUNK_ROWS:
+                yield tuple(np.concatenate([h[k] for h in held]) for k in range(4))
+                held, size = [], 0
+    if held:
+        yield tuple(np.concatenate([h[k] for h in held]) for k in range(4))
+
+
+def anchored_repeats(anchor, ids, ties, pos, left, right, around) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For occurrences of anchors: (row, L, R) where bytes [pos - L, pos + R) repeat an earlier occurrence's.
+
+    These are the occurrences of :func:`anchored_groups` but for each group's first; of the groups that
+    share R, the longest L of each occurrence. Every pair that shares LEAST bytes around an anchor is in
+    the group of just what the two share, so no other bytes repeat.
     """
-    n = len(age)
-    best = [-1] * n
-    for forward in (True, False):
-        stack: list[list[int]] = []  # age, and the least shared from the one below
-        for i in range(n) if forward else range(n - 1, -1, -1):
-            least = (extends[i] if forward else extends[i + 1] if i + 1 < n else 0) if stack else 0
-            while stack and stack[-1][0] > age[i]:
-                least = min(least, stack.pop()[1])
-            if stack and least > best[i]:
-                best[i] = least
-            stack.append([age[i], least if stack else 1 << 30])
-    return best
+    age = np.empty(len(anchor), np.int64)
+    age[np.lexsort((pos, ties, ids))] = np.arange(len(anchor))
+    out = [(np.zeros(0, np.int64),) * 3]
+    for rows, sizes, l, r in anchored_groups(anchor, left, right, around):
+        oldest = np.minimum.reduceat(age[rows], np.cumsum(sizes) - sizes)
+        later = np.flatnonzero(age[rows] != np.repeat(oldest, sizes))
+        group = np.repeat(np.arange(len(sizes)), sizes)[later]
+        key, at = np.unique(rows[later] * (LEAST + 1) + r[group], return_index=True)
+        out.append((key // (LEAST + 1), l[group[at]], r[group[at]]))
+    return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
 
 
 # -- over a table
 
 
+#: What a missing doc_id counts as: the earliest.
+NO_ID = -(1 << 63)
+
+
+def _keyed(docs: DataFrame, text: str) -> tuple[DataFrame, bool]:
+    """``docs`` with what tells documents apart (``_id``, and ``_tie`` of equal ids), and whether ids are single."""
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    single = docs.groupBy(number.alias("id")).count().filter("count > 1").isEmpty()
+    # always 0 where ids are single; not a literal, which the optimizer would take out of one join only
+    tie = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(1).cast("long")), F.lit(0).cast("long")) if single else F.xxhash64(F.lit(4), F.col("doc_id").isNull(), F.col(text))
+    return docs.drop("spans", "_id", "_tie").withColumns({"_id": number, "_tie": tie}), single
+
+
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` and ``spans``: [first, last) byte ranges, ascending, that repeat something earlier.
 
     ``docs`` are shuffled once; Spark reuses that exchange for both joins.
     """
     parts = store.partitions_for(docs)
-    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    single = docs.groupBy(number.alias("id")).count().filter("count > 1").isEmpty()
-    # always 0 where ids are single; not a literal, which the optimizer would take out of one join only
-    tie = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(1).cast("long")), F.lit(0).cast("long")) if single else F.xxhash64(F.lit(4), F.col("doc_id").isNull(), F.col(text))
-    own = docs.drop("spans", "_id", "_tie").withColumns({"_id": number, "_tie": tie})
+    own, _ = _keyed(docs, text)
     dealt = own.repartition(parts, "_id", "_tie")
     rows = own.select(F.col("_id").alias("id"), F.col("_tie").alias("tie"), F.col(text).alias("text")).filter(F.octet_length("text") >= LEAST).mapInArrow(tx.tidy(_anchor_rows), ANCHORS)
     found = rows.repartition(parts, "way").sortWithinPartitions("anchor", "ctx", "id", "tie", "spot").mapInArrow(tx.tidy(_repeated), FOUND)
@@ -555,6 +648,54 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     return joined.withColumn("_whole", whole).drop("_id", "_tie", "_i", "_t")
 
 
+def repeat_groups(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Groups of repeats of LEAST bytes or more, one row an occurrence: group_id (of the repeated bytes),
+    length, whole, doc_id, doc_key (tells documents of one doc_id apart), start.
+
+    All occurrences of a group are there. ``whole``: the repeat ends on both sides inside what is looked at
+    around an anchor (LEAST - GRAM bytes to the left, LEAST to the right), so it's a maximal repeat of the
+    texts; a longer repeat is told as a group for each of its anchors, each as wide as the anchor's
+    surroundings. Anchors with more than HOT differing surroundings give each repeated string of LEAST bytes
+    around them as a group. A text that repeats in rows of one doc_id is one document.
+
+    Only the earliest of equal surroundings is scanned; its group's other occurrences follow by a join on the
+    surroundings, so no task holds the copies of a passage.
+    """
+    parts = store.partitions_for(docs)
+    own, single = _keyed(docs, text)
+    bare = own.select(F.col("_id").alias("id"), F.col("_tie").alias("tie"), F.col(text).cast("string").alias("text")).filter(F.octet_length("text") >= LEAST)
+    if not single:
+        bare = bare.dropDuplicates(["id", "tie"])
+    every = store.written(bare.mapInArrow(tx.tidy(_every_anchor), OCCURRENCES), "anchors")
+    alike = every.groupBy("anchor", "ctx").agg(F.min(F.struct("id", "tie", "spot")).alias("head"), F.count("*").alias("n"))
+    anchors_of = alike.groupBy(F.col("anchor").alias("_a")).agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).filter("all > 1")
+    classes = store.written(alike.join(anchors_of, F.col("anchor") == F.col("_a")).select("anchor", "ctx", "head.*", "n", "kinds"), "surroundings")
+    pos = F.shiftright("spot", 8)
+    cold = classes.filter((F.col("kinds") <= HOT) | (F.col("n") > 1)).select("id", "tie", (2 * pos).alias("asked"))
+    hot = classes.filter(F.col("kinds") > HOT).select(F.col("anchor").alias("_a")).distinct()
+    burning = every.join(hot, F.col("anchor") == F.col("_a"), "left_semi").select("id", "tie", (2 * pos + 1).alias("asked"))
+    spots = cold.unionByName(burning).groupBy(F.col("id").alias("_i"), F.col("tie").alias("_t")).agg(F.collect_list("asked").alias("spots"))
+    nothing = F.array().cast("array<struct<first:bigint,last:bigint>>").alias("spans")
+    with_bytes = bare.join(spots, (F.col("id") == F.col("_i")) & (F.col("tie") == F.col("_t"))).select("id", "tie", "text", "spots", nothing)
+    around = store.written(with_bytes.mapInArrow(tx.tidy(lambda batches: _around(batches, merge=False)), AROUND), "around")
+    found = around.filter("kind = 0").repartition(parts, "way").sortWithinPartitions("kind", "way").mapInArrow(tx.tidy(_group_rows), GROUPS)
+    head = classes.select("anchor", "ctx", "n", "kinds", F.col("id"), F.col("tie"), pos.alias("pos"))
+    # what hot anchors share is told by their strings, but for equal surroundings that no text's end cuts
+    full = (F.col("left") == _LEFT) & (F.col("right") == LEAST)
+    again = (F.col("size") == 1) & (F.col("n") > 1)
+    found = found.join(head, ["anchor", "id", "tie", "pos"]).filter(F.when(F.col("kinds") <= HOT, again | (F.col("size") > 1)).otherwise(again & full))
+    found = found.select("anchor", "ctx", "left", "right", "group").join(every, ["anchor", "ctx"])
+    inside = (F.col("left") < _LEFT) & (F.col("right") < LEAST)
+    repeats = found.select(F.col("group").alias("group_id"), (F.col("left") + F.col("right")).alias("length"), inside.alias("whole"), "id", "tie", (pos - F.col("left")).alias("start"))
+    strings = around.filter("kind = 1").select(F.col("way").alias("group_id"), F.lit(LEAST).cast("long").alias("length"), F.lit(False).alias("whole"), "id", "tie", F.col("pos").cast("long").alias("start"))
+    twice = strings.select("group_id", "id", "tie", "start").distinct().groupBy(F.col("group_id").alias("_g")).count().filter("count > 1")
+    strings = strings.join(twice, F.col("group_id") == F.col("_g"), "left_semi")
+    once = store.written(repeats.unionByName(strings).groupBy("group_id", "length", "id", "tie", "start").agg(F.max("whole").alias("whole")), "repeats")
+    ends = once.groupBy(F.col("group_id").alias("_g"), F.col("length").alias("_n")).agg(F.max("whole").alias("whole"))
+    out = once.drop("whole").join(ends, (F.col("group_id") == F.col("_g")) & (F.col("length") == F.col("_n")))
+    return out.select("group_id", "length", "whole", F.nullif("id", F.lit(NO_ID)).alias("doc_id"), F.col("tie").alias("doc_key"), "start")
+
+
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Disjoint, maximal ranges from ascending ones that may overlap."""
     out: list[list[int]] = []
