@@ -647,3 +647,10 @@ def test_station_order_takes_points_of_every_line(spark, monkeypatch):
     monkeypatch.setattr(lines, "station_order", lambda stations, points: (seen.append(points.select("line_id").distinct().count()), order(stations, points))[1])
     catalog.QUERIES["q_station_order"](spark, "/root/testdata/sf0.01")
     assert seen == [catalog.table(spark, "/root/testdata/sf0.01", "events").select("user_id").distinct().count()] and seen[0] > 20
+
+
+def test_distances_begin_at_every_vertex(spark):
+    nodes = {r.src for r in catalog._whole_edges(spark, SMALL).collect()}
+    starts = {r.start for r in catalog._way_ends(spark, SMALL).collect()}
+    found = catalog.QUERIES["q_shortest_path"](spark, SMALL).collect()
+    assert {r.seed for r in found} == nodes > starts

@@ -196,9 +196,9 @@ def _way_ends(spark, sf_dir) -> DataFrame:
 
 
 def q_shortest_path(spark, sf_dir):
-    """From every node that a way begins at."""
-    seeds = _way_ends(spark, sf_dir).select(F.col("start").alias("seed"))
-    return graph.distances(_whole_edges(spark, sf_dir), seeds).select("seed", "node", "d")
+    """From every vertex that has an edge, itself included."""
+    whole = _whole_edges(spark, sf_dir)
+    return graph.distances(whole, whole.select(F.col("src").alias("seed")).distinct()).select("seed", "node", "d")
 
 
 def q_paths(spark, sf_dir):
@@ -413,7 +413,7 @@ select line_id, event_id, round(round(sum(step) over (partition by line_id order
   steps as (select *, coalesce({STEP}, 0e0) as step from moved where l_lng is null or l_lng <> lng or l_lat <> lat)
 select line_id, event_id, round(round(sum(step) over (partition by line_id order by ts rows unbounded preceding), 2)) as distance from steps""",
     "q_interchange": "select l_partkey as station_id, count(distinct l_suppkey) > 1 as interchange from lineitem group by l_partkey",
-    "q_shortest_path": f"""with recursive {EVENTS}, {_EDGES}, {_ENDS}, {_walk(_SEEDS)}
+    "q_shortest_path": f"""with recursive {EVENTS}, {_EDGES}, {_walk(_ALL)}
 select seed, node, d from dist""",
     "q_paths": f"""with recursive {EVENTS}, {_EDGES}, {_ENDS}, {_walk(_SEEDS)},
   pairs as (select way as pair_pos, start, "end" from ends), {_BACK}
