@@ -654,3 +654,12 @@ def test_distances_begin_at_every_vertex(spark):
     starts = {r.start for r in catalog._way_ends(spark, SMALL).collect()}
     found = catalog.QUERIES["q_shortest_path"](spark, SMALL).collect()
     assert {r.seed for r in found} == nodes > starts
+
+
+def test_paths_lead_from_every_vertex_to_the_next(spark):
+    nodes = sorted({r.src for r in catalog._whole_edges(spark, SMALL).filter("src <> dst").collect()})
+    ways = {("way", r.way): (r.start, r.end) for r in catalog._way_ends(spark, SMALL).collect()}
+    paths = {}
+    for r in sorted(catalog.QUERIES["q_paths"](spark, SMALL).collect(), key=lambda r: (r.asked, r.pair_pos, r.pt_pos)):
+        paths.setdefault((r.asked, r.pair_pos), []).append(r.node)
+    assert {k: (p[0], p[-1]) for k, p in paths.items()} == ways | {("vertex", a): (a, b) for a, b in zip(nodes, nodes[1:], strict=False)}

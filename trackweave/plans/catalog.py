@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trackweave.functions import geo, text
 from trackweave.operators import filters, graph, lines, matching, track
-from trackweave.operators.rows import cut_lineage, drop_consecutive, keep_first, keep_last, shared_path
+from trackweave.operators.rows import before, cut_lineage, drop_consecutive, keep_first, keep_last, shared_path, spread
 from trackweave.plans import build, mapped
 from trackweave.plans.tables import BOX, EVENTS, STEP, lat, lng, sampled_line, sql_lat, sql_lng, staged, table, track_events, tracks
 from trackweave.sources import geojson, geowrite
@@ -202,9 +202,14 @@ def q_shortest_path(spark, sf_dir):
 
 
 def q_paths(spark, sf_dir):
-    """From every way's first node to its last, by relaxation up to the last node's distance."""
-    pairs = _way_ends(spark, sf_dir).select(F.col("way").alias("pair_pos"), "start", "end")
-    return graph.fixpoint_paths(_whole_edges(spark, sf_dir), pairs).select("pair_pos", "pt_pos", "node")
+    """From every vertex to the one after it, and from every way's first node to its last, by relaxation up to
+    the last node's distance."""
+    whole = _whole_edges(spark, sf_dir)
+    nodes = whole.filter("src <> dst").select(F.lit(0).alias("all"), F.col("src").alias("end")).distinct()
+    follow = before(spread(nodes, ["all"], ["end"]), ["all"], ["end"], {"start": "end"}).filter("NOT _first")
+    asked = lambda kind, pos: F.struct(F.lit(kind).alias("asked"), F.col(pos).alias("pos")).alias("pair_pos")
+    pairs = follow.select(asked("vertex", "start"), "start", "end").unionByName(_way_ends(spark, sf_dir).select(asked("way", "way"), "start", "end"))
+    return graph.fixpoint_paths(whole, pairs).select("pair_pos.asked", F.col("pair_pos.pos").alias("pair_pos"), "pt_pos", "node")
 
 
 def q_find_path(spark, sf_dir):
@@ -415,9 +420,11 @@ select line_id, event_id, round(round(sum(step) over (partition by line_id order
     "q_interchange": "select l_partkey as station_id, count(distinct l_suppkey) > 1 as interchange from lineitem group by l_partkey",
     "q_shortest_path": f"""with recursive {EVENTS}, {_EDGES}, {_walk(_ALL)}
 select seed, node, d from dist""",
-    "q_paths": f"""with recursive {EVENTS}, {_EDGES}, {_ENDS}, {_walk(_SEEDS)},
-  pairs as (select way as pair_pos, start, "end" from ends), {_BACK}
-select pair_pos, cast(row_number() over (partition by pair_pos order by back desc) - 1 as integer) as pt_pos, node from traced""",
+    "q_paths": f"""with recursive {EVENTS}, {_EDGES}, {_ENDS}, {_walk(_ALL)},
+  pairs as (
+    select {{'asked': 'way', 'pos': way}} as pair_pos, start, "end" from ends
+    union all select {{'asked': 'vertex', 'pos': s}}, s, lead(s) over (order by s) from (select distinct src as s from light)), {_BACK}
+select pair_pos.asked as asked, pair_pos.pos as pair_pos, cast(row_number() over (partition by pair_pos order by back desc) - 1 as integer) as pt_pos, node from traced""",
     "q_find_path": f"""with recursive {EVENTS}, {_EDGES}, {_ENDS}, {_walk(_SEEDS, "1000000")},
   verts as (select k as node, lng, lat from track_events qualify row_number() over (partition by k order by line_id, ts) = 1),
   pairs as (select way as pair_pos, start, "end" from ends), {_BACK},
