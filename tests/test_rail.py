@@ -663,3 +663,9 @@ def test_paths_lead_from_every_vertex_to_the_next(spark):
     for r in sorted(catalog.QUERIES["q_paths"](spark, SMALL).collect(), key=lambda r: (r.asked, r.pair_pos, r.pt_pos)):
         paths.setdefault((r.asked, r.pair_pos), []).append(r.node)
     assert {k: (p[0], p[-1]) for k, p in paths.items()} == ways | {("vertex", a): (a, b) for a, b in zip(nodes, nodes[1:], strict=False)}
+
+
+@pytest.mark.parametrize("name", ["q_tracks"])
+def test_queries_read_whole_documents(spark, name):
+    files = catalog.QUERIES[name](spark, SMALL).inputFiles()
+    assert {"part", "events", "orders", "lineitem"} <= {f.rsplit("/", 1)[1].removesuffix(".parquet") for f in files}
