@@ -665,7 +665,7 @@ def test_paths_lead_from_every_vertex_to_the_next(spark):
     assert {k: (p[0], p[-1]) for k, p in paths.items()} == ways | {("vertex", a): (a, b) for a, b in zip(nodes, nodes[1:], strict=False)}
 
 
-@pytest.mark.parametrize("name", ["q_tracks", "q_track_count", "q_metro_stations", "q_relations_named", "q_simple_line", "q_grouped_lines"])
+@pytest.mark.parametrize("name", ["q_tracks", "q_track_count", "q_metro_stations", "q_relations_named", "q_simple_line", "q_grouped_lines", "q_city_listing"])
 def test_queries_read_whole_documents(spark, name):
     files = catalog.QUERIES[name](spark, SMALL).inputFiles()
     assert {"part", "events", "orders", "lineitem"} <= {f.rsplit("/", 1)[1].removesuffix(".parquet") for f in files}
