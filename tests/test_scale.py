@@ -139,6 +139,16 @@ def test_longer_lines_share_less_with_a_spot(spark):
     assert shares[0] == 1 and shares[1] < 0.2 and shares[2] < shares[1] / 4
 
 
+def test_few_pairs_of_spots_and_legs_are_sorted(spark, monkeypatch):
+    legs = rows.cut_lineage(track.legs(winding(spark, 2_000)))
+    asked = spark.range(40).select(F.lit("l").alias("line_id"), F.col("id").alias("k"), (F.col("id") * 5.0 - 60).alias("px"), (F.col("id") * 3.0 - 60).alias("py"))
+    met = []
+    for name in ("nearest", "may_be_nearest"):  # the pairs that are sorted
+        monkeypatch.setattr(boxtree, name, lambda *a, made=getattr(boxtree, name, None), **k: (met.append(made(*a, **k)), met[-1])[1])
+    track.referenced(asked, legs, ["k"]).collect()
+    assert met[0].count() < 160 and track.near_legs(asked, legs, ["k"]).count() > 40 * boxtree.FANOUT
+
+
 def test_ties_go_to_the_first_leg(spark):
     points = spark.createDataFrame([("l", i, float(i % 2), float(i // 2 % 2)) for i in range(1000)], "line_id string, pt_pos long, x double, y double")
     spots = spark.createDataFrame([("l", 1, 0.5, 0.5), ("l", 2, -1.0, 0.0)], "line_id string, k long, px double, py double")

@@ -67,6 +67,25 @@ def _bounds(x: str, y: str) -> tuple[Column, Column]:
     return square(near(x, *BOX[:2])) + square(near(y, *BOX[2:])), F.least(x_less + y_more, x_more + y_less)
 
 
+def _walked(spots: DataFrame, levels: list[DataFrame], group: list[str], keys: list[str], x: str, y: str, slack: float) -> DataFrame:
+    """Spots with ``_up``, the leaves of their group that may hold what is nearest.
+
+    A spot meets a parent's boxes twice: for the least of their bounds, which is added up as they pass, and
+    for the boxes within it, so that what goes to a sort or a shuffle is a row a parent and not one a box.
+    """
+    low, high = _bounds(x, y)
+    # a hair more than the bound, for the rounding of the bounds themselves
+    reach = F.sqrt(F.col("_bound")) * (1 + 1e-9) + slack + 1e-12
+    near = spots.withColumn("_up", F.lit(0).cast("long"))
+    for k, nodes in reversed(list(enumerate(levels))):
+        boxes, on = nodes.withColumn("_up", F.floor(F.col("_node") / FANOUT)), [*group, "_up"]
+        bounds = near.join(boxes, on).groupBy(*near.columns).agg(F.min(high).alias("_bound"))
+        if k < len(levels) - 1:
+            bounds = bounds.withColumn("_bound", F.min("_bound").over(Window.partitionBy(*group, *keys)))
+        near = bounds.join(boxes, on).filter(F.sqrt(low) <= reach).select(*spots.columns, F.col("_node").alias("_up"))
+    return near
+
+
 def may_be_nearest(spots: DataFrame, items: DataFrame, group: list[str], keys: list[str], x: str, y: str, slack: float = 0.0) -> DataFrame:
     """Spots (group, keys, x, y) with those of their group's items (group, rank, box) that may be nearest.
 
@@ -74,19 +93,19 @@ def may_be_nearest(spots: DataFrame, items: DataFrame, group: list[str], keys: l
     them too. A spot is compared with some nodes a level and some leaves' items; a group of FANOUT items or
     fewer is compared whole.
     """
-    levels = _levels(items, group)
-    near = spots
-    for k, nodes in reversed(list(enumerate(levels))):
-        low, high = _bounds(x, y)
-        if k < len(levels) - 1:
-            met = near.join(nodes.withColumn("_up", F.floor(F.col("_node") / FANOUT)), [*group, "_up"]).drop("_up")
-        else:
-            met = near.join(nodes, group)
-        bound = F.min(high).over(Window.partitionBy(*group, *keys))
-        # a hair more than the bound, for the rounding of the bounds themselves
-        reach = F.sqrt(F.col("_bound")) * (1 + 1e-9) + slack + 1e-12
-        kept = met.withColumns({"_low": low, "_bound": bound}).filter(F.sqrt("_low") <= reach)
-        near = kept.select(*spots.columns, F.col("_node").alias("_up"))
-    if not levels:
-        return spots.join(items.drop(*BOX, "rank"), group)
-    return near.join(items.withColumn("_up", F.floor(F.col("rank") / FANOUT)).drop(*BOX, "rank"), [*group, "_up"]).drop("_up")
+    near = _walked(spots, _levels(items, group), group, keys, x, y, slack)
+    return near.join(_leaves(items), [*group, "_up"]).drop("_up")
+
+
+def _leaves(items: DataFrame) -> DataFrame:
+    return items.withColumn("_up", F.floor(F.col("rank") / FANOUT)).drop(*BOX, "rank")
+
+
+def nearest(spots: DataFrame, items: DataFrame, group: list[str], keys: list[str], x: str, y: str, far: Column, slack: float = 0.0) -> DataFrame:
+    """As :func:`may_be_nearest`, but of a leaf only its nearest items by their distance ``far`` (null: all), and
+    those that are farther by ``slack`` at most. Pairs of spots and other items are neither sorted nor shuffled."""
+    near = _walked(spots, _levels(items, group), group, keys, x, y, slack)
+    leaves, on = _leaves(items), [*group, "_up"]
+    least = near.join(leaves, on).groupBy(*near.columns).agg(F.min(far).alias("_least"))
+    within = F.col("_least").isNull() | (far <= F.col("_least") * (1 + 1e-9) + slack + 1e-12)
+    return least.join(leaves, on).filter(within).drop("_up", "_least")

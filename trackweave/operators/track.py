@@ -49,16 +49,20 @@ def legs(points: DataFrame, line: str = "line_id", pos: str = "pt_pos", long: bo
 
 def near_legs(spots: DataFrame, line_legs: DataFrame, keys: list[str], line: str = "line_id") -> DataFrame:
     """Spots (line, keys, px, py) with the legs of their line that may be nearest to them."""
+    return boxtree.may_be_nearest(spots, _boxed(line_legs), [line], keys, "px", "py", slack=10.0**-DIGITS)
+
+
+def _boxed(line_legs: DataFrame) -> DataFrame:
     least, most = (lambda a: F.least(F.col(a), F.col(f"{a}2"))), (lambda a: F.greatest(F.col(a), F.col(f"{a}2")))
-    boxed = line_legs.withColumns({"x0": least("x"), "x1": most("x"), "y0": least("y"), "y1": most("y")})
-    return boxtree.may_be_nearest(spots, boxed, [line], keys, "px", "py", slack=10.0**-DIGITS)
+    return line_legs.withColumns({"x0": least("x"), "x1": most("x"), "y0": least("y"), "y1": most("y")})
 
 
 def referenced(spots: DataFrame, line_legs: DataFrame, keys: list[str], line: str = "line_id", pos: str = "pt_pos") -> DataFrame:
     """keys, off, along: how far each spot (line, keys, px, py) is from its line, and how far along it; the
     first of equally near segments (to a micrometre)."""
     share = geo.share_along("px", "py", "x", "y", "x2", "y2")
-    pairs = near_legs(spots, line_legs, keys, line).withColumn("_t", F.expr(share))
+    off = geo.planar("px", "py", geo.between("x", "x2", share), geo.between("y", "y2", share))
+    pairs = boxtree.nearest(spots, _boxed(line_legs), [line], keys, "px", "py", F.expr(off), slack=10.0**-DIGITS).withColumn("_t", F.expr(share))
     off = F.expr(geo.planar("px", "py", geo.between("x", "x2", "_t"), geo.between("y", "y2", "_t")))
     best = pairs.groupBy(line, *keys).agg(F.min(F.struct(F.round(off, DIGITS).alias("near"), F.col(pos).alias("pos"), off.alias("off"), (F.col("cum") + F.col("_t") * F.col("length")).alias("along"))).alias("b"))
     return best.select(line, *keys, "b.off", "b.along")
