@@ -115,6 +115,16 @@ def test_dense_points_are_compared_with_few(spark, monkeypatch):
     assert pairs.agg(F.max("count")).first()[0] <= 20 * boxtree.FANOUT  # of 312
 
 
+def test_equal_places_are_one_item(spark, monkeypatch):
+    verts = spark.range(3_000).select(F.lit("g").alias("graph_id"), F.col("id").alias("node"), (F.col("id") % 10).cast("double").alias("lng"), F.lit(1.0).alias("lat"), (-F.col("id")).alias("first_pos"))
+    spots = spark.range(10).select(F.lit("g").alias("graph_id"), F.col("id").alias("s"), (F.col("id") + 0.25).alias("lng"), F.lit(1.5).alias("lat"))
+    met = []
+    for name in ("nearest", "may_be_nearest"):  # the pairs that are sorted
+        monkeypatch.setattr(boxtree, name, lambda *a, made=getattr(boxtree, name, None), **k: (met.append(made(*a, **k)), met[-1])[1])
+    found = {r.s: r.node for r in graph.nearest_vertices(spots, verts, ["s"], few=0).collect()}
+    assert found == {s: 2_990 + s for s in range(10)} and met[0].count() == 10
+
+
 def winding(spark, n: int):
     points = [("l", i, 40 * math.sin(i / n * 9) + i * 100 / n, 30 * math.cos(i / n * 7)) for i in range(n)]
     return spark.createDataFrame(points, "line_id string, pt_pos long, x double, y double")

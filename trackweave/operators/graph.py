@@ -62,19 +62,25 @@ def nearest_vertices(stations: DataFrame, verts: DataFrame, station: list[str],
 
     Few stations (``few``, or BROADCAST_STATIONS) go to every vertex and each task keeps one candidate a station;
     many walk down a packed tree of boxes over the vertices (:mod:`trackweave.operators.boxtree`), so that density doesn't matter.
+    There, of vertices at one place only the first is in the tree.
     """
     spots = stations.select("graph_id", *station, F.col("lng").alias("s_lng"), F.col("lat").alias("s_lat"))
     if spots.count() <= (BROADCAST_STATIONS if few is None else few):
         return _nearest(verts.join(F.broadcast(spots), "graph_id"), station).drop("d")
-    return _nearest(near_vertices(spots, verts, station), station).drop("d")
+    first = verts.groupBy("graph_id", "lng", "lat").agg(F.min(F.struct("first_pos", "node")).alias("f")).select("graph_id", "f.node", "lng", "lat", "f.first_pos")
+    far = F.expr(geo.degree_distance("s_lng", "s_lat", "lng", "lat"))
+    return _nearest(boxtree.nearest(spots, _boxed(first), ["graph_id"], station, "s_lng", "s_lat", far), station).drop("d")
 
 
 def near_vertices(spots: DataFrame, verts: DataFrame, station: list[str]) -> DataFrame:
     """Spots (graph_id, station keys, s_lng, s_lat) with the vertices that may be nearest to them."""
+    return boxtree.may_be_nearest(spots, _boxed(verts), ["graph_id"], station, "s_lng", "s_lat")
+
+
+def _boxed(verts: DataFrame) -> DataFrame:
     placed = boxtree.with_z_order(verts.select("graph_id", "node", "lng", "lat", "first_pos"), "lng", "lat")
     items = cut_lineage(boxtree.ranked(placed, ["graph_id"], ["_z", "node"]).drop("_z"))
-    boxed = items.withColumns({"x0": F.col("lng"), "x1": F.col("lng"), "y0": F.col("lat"), "y1": F.col("lat")})
-    return boxtree.may_be_nearest(spots, boxed, ["graph_id"], station, "s_lng", "s_lat")
+    return items.withColumns({"x0": F.col("lng"), "x1": F.col("lng"), "y0": F.col("lat"), "y1": F.col("lat")})
 
 
 def _nearest(pairs: DataFrame, station: list[str]) -> DataFrame:
