@@ -244,3 +244,12 @@ def test_features_of_large_documents(spark, tmp_path):
     rows = lambda df: sorted(tuple(r)[1:] for r in df.collect())
     large = geojson.large_features(spark, str(tmp_path), 512)
     assert rows(large) == rows(geojson.features(spark, str(tmp_path))) and geojson.line_points(large).count() == 500
+
+
+def test_many_small_documents_are_read_without_a_look(spark, tmp_path, monkeypatch):
+    for k in range(300):
+        (tmp_path / f"{k}.json").write_text(json.dumps({"features": [{"k": k}, {"k": -k}][: k % 3]}), encoding="utf-8")
+    monkeypatch.setattr(jsonitems, "begun", lambda summaries: pytest.fail("looked at"))
+    found = jsonitems.read_items(spark, str(tmp_path), "features")
+    rows = sorted((int(r.file.rsplit("/", 1)[1][:-5]), r.pos, json.loads(r.value)["k"]) for r in found.collect())
+    assert rows == [(k, i, (k, -k)[i]) for k in range(300) for i in range(k % 3)]

@@ -22,6 +22,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from trackweave.sources.jsonitems import opened
 
 HEAD, POINT, STATION = 0, 1, 2
+#: Pieces of text that are written together.
+HELD = 10_000
 COLUMNS = ("line_id", "part", "pos", "name", "label", "lng", "lat")
 
 
@@ -56,13 +58,22 @@ class GeoJsonWriter(DataSourceArrowWriter):
         current, what, first, name = object(), HEAD, True, None
         dumps = lambda x: json.dumps(x, ensure_ascii=False)
 
+        held: list[str] = []
+
         def put(s: str) -> None:
-            text.write(s.encode())
+            held.append(s)
+            if len(held) >= HELD:
+                flush()
+
+        def flush() -> None:
+            text.write("".join(held).encode())
+            held.clear()
 
         def end() -> None:
             if text is not None:
                 put(track_end() if what == POINT else "")
                 put("]}")
+                flush()
                 text.close()
 
         track_end = lambda: f']}},"properties":{{"name":{dumps(name)}}}}}'

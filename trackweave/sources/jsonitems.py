@@ -1,6 +1,6 @@
 """Large JSON documents, item by item: the objects in one array of the root, read in byte ranges.
 
-A file is cut into ranges of so many bytes. One job looks at each range without knowing what stands before it:
+A file is cut into ranges of so many bytes. Where it has several, a job looks at each without knowing what stands before it:
 a quote turns inside and outside around, so it notes the brackets for both cases, and what they open and
 close. Put together, in order and as little as a few numbers a range, that tells each range in which brackets
 it begins and how many items begin before it; a second job then reads every item in the range it begins in.
@@ -13,6 +13,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -145,10 +146,11 @@ def read_items(spark: SparkSession, path: str, key: str, size: int = RANGE) -> D
 
     A file that isn't such a document gives no rows, or those items that it has whole.
     """
-    ranges = [(name, start, min(total, start + size)) for name, total in files_of(path) for start in range(0, total, size)]
+    files = files_of(path)
+    ranges = [(name, start, min(total, start + size)) for name, total in files if total > size for start in range(0, total, size)]
     schema = "file string, start long, end long"
     # small files share tasks
-    tasks = max(1, min(len(ranges), sum(end - start for _, start, end in ranges) // size + spark.sparkContext.defaultParallelism))
+    tasks = max(1, min(len(files) + len(ranges), sum(total for _, total in files) // size + spark.sparkContext.defaultParallelism))
 
     def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -156,25 +158,29 @@ def read_items(spark: SparkSession, path: str, key: str, size: int = RANGE) -> D
                 found = summary(_Range(file, int(start), int(end), key).tokens(int(start), int(end)))
                 yield pd.DataFrame({"file": [file], "start": [start], "found": [json.dumps(found)]})
 
-    rows = spark.createDataFrame(ranges, schema).repartition(tasks, "file", "start")
-    known = {(r.file, r.start): json.loads(r.found) for r in rows.mapInPandas(look, "file string, start long, found string").collect()}  # some numbers a range
-    told = []
-    for name in dict.fromkeys(r[0] for r in ranges):
-        own = [r for r in ranges if r[0] == name]
-        told += [(*r, *state) for r, state in zip(own, begun([known[name, r[1]] for r in own]), strict=True)]
+    # a file of one range begins outside of everything, so only files of several are looked at
+    told = [(name, 0, total, False, "", 0) for name, total in files if 0 < total <= size]
+    if ranges:
+        rows = spark.createDataFrame(ranges, schema).repartition(min(tasks, len(ranges)), "file", "start")
+        known = {(r.file, r.start): json.loads(r.found) for r in rows.mapInPandas(look, "file string, start long, found string").collect()}  # some numbers a range
+        for _, some in groupby(ranges, key=lambda r: r[0]):
+            own = list(some)
+            told += [(*r, *state) for r, state in zip(own, begun([known[r[:2]] for r in own]), strict=True)]
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # small files share frames
+        held, held_bytes = ([], [], []), 0
         for frame in frames:
             for file, start, end, inside, stack, before in frame.itertuples(index=False):
-                held, held_bytes, place = [], 0, int(before)
-                for value in items(_Range(file, int(start), int(end), key), bool(inside), stack):
-                    held.append(value.decode())
-                    held_bytes += len(value)
+                for place, value in enumerate(items(_Range(file, int(start), int(end), key), bool(inside), stack), int(before)):
+                    for column, x in zip(held, (file, place, value.decode()), strict=True):
+                        column.append(x)
+                    held_bytes += len(file) + len(value)
                     if held_bytes > 8 << 20:
-                        yield pd.DataFrame({"file": file, "pos": range(place, place + len(held)), "value": held})
-                        place, held, held_bytes = place + len(held), [], 0
-                if held:
-                    yield pd.DataFrame({"file": file, "pos": range(place, place + len(held)), "value": held})
+                        yield pd.DataFrame(dict(zip(("file", "pos", "value"), held, strict=True)))
+                        held, held_bytes = ([], [], []), 0
+        if held[0]:
+            yield pd.DataFrame(dict(zip(("file", "pos", "value"), held, strict=True)))
 
     states = spark.createDataFrame(told, f"{schema}, inside boolean, stack string, before long").repartition(tasks, "file", "start")
     return states.mapInPandas(read, "file string, pos int, value string")
