@@ -669,3 +669,27 @@ def test_paths_lead_from_every_vertex_to_the_next(spark):
 def test_queries_read_whole_documents(spark, name):
     files = catalog.QUERIES[name](spark, SMALL).inputFiles()
     assert {"part", "events", "orders", "lineitem"} <= {f.rsplit("/", 1)[1].removesuffix(".parquet") for f in files}
+
+
+def test_track_counts_tell_every_document(spark):
+    way = {"type": "way", "id": 1, "nodes": [1, 2], "geometry": [{"lat": 1, "lon": 2}, {"lat": 3, "lon": 4}]}
+    bare, short, empty = {**way, "geometry": None}, {**way, "nodes": [1]}, {**way, "geometry": []}
+    nodeless = {k: v for k, v in way.items() if k != "nodes"}
+    texts = {"two": [way, bare, way], "none": [bare, short, empty, nodeless], "other": [{"type": "node", "id": 5}, {"id": 6}]}
+    responses = spark.createDataFrame([(k, json.dumps({"elements": v})) for k, v in texts.items()], "k string, value string")
+    elems = el.elements(responses, key="k")
+    assert {r.doc_id: r.tracks for r in el.track_count(elems).collect()} == {"two": 2, "none": 0, "other": 0}
+    assert el.way_geometries(elems).groupBy("doc_id").count().collect() == [("two", 2)]
+
+
+def test_track_count_has_documents_behind_the_last_way(spark, tmp_path):
+    import duckdb
+
+    con = duckdb.connect()
+    for name in ("part", "orders", "lineitem", "events"):
+        rows = catalog.table(spark, SMALL, name)
+        (rows.filter("user_id < 4") if name == "events" else rows).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    found = {r.doc_id: r.tracks for r in catalog.QUERIES["q_track_count"](spark, str(tmp_path)).collect()}
+    assert found == dict(con.execute(catalog.ORACLES["q_track_count"]).fetchall())
+    assert found.keys() == {"d0", "d1", "d2", "d3"} and found["d0"] > 0 == found["d1"] == found["d2"] == found["d3"]
